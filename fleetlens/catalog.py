@@ -45,6 +45,7 @@ def load_all() -> dict[str, Entry]:
     # importing the modules fills REGISTRY
     from .queries import (  # noqa: F401
         bench_q,
+        documents_q,
         inventory_q,
         profiles_q,
         proxy_q,

@@ -1 +1,256 @@
-"""placeholder"""
+"""Source queries: text and JSON built from the fixtures, read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..catalog import query
+from ..fixtures import fixture
+from ..operators import bench as B
+from ..sources import config as CF
+from ..sources import listings as L
+from ..sources import logs as LG
+from ..sources.kv import parse_kv
+from .bench_q import _tx
+
+NL = "\n"
+
+
+def _yaml_docs(spark, sf):
+    """One YAML text per deployment (with a password field that must be dropped); every
+    tenth is empty."""
+    d = fixture(spark, sf, "fx_deployment")
+    b = lambda c: F.when(F.col(c).isNull(), F.lit("")).otherwise(F.col(c).cast("string"))
+    text = F.concat(
+        F.lit("yandex_cloud:" + NL + "  zone: "), F.col("zone"), F.lit(NL + "  ssh_user: "), F.col("ssh_user"),
+        F.lit(NL + "  image_family: "), b("image_family"),
+        F.lit(NL + "deployment:" + NL + "  name: "), F.col("deploy_name"),
+        F.lit(NL + "vm_defaults:" + NL + "  core_fraction: "), b("default_core_fraction"),
+        F.lit(NL + "oceanbase:" + NL + "  deploy_user: '"), F.col("deploy_user"), F.lit("'"),
+        F.lit(NL + "  auto_tune: "), b("auto_tune"),
+        F.lit(NL + "  root_password: secret" + NL + "ssh:" + NL + "  port: 22" + NL),
+    )
+    return d.select("deploy_id", F.when(F.col("deploy_id") % 10 == 0, F.lit("")).otherwise(text).alias("doc"))
+
+
+@query("config_docs")
+def q_config_docs(spark, sf):
+    c = CF.read_config_docs(_yaml_docs(spark, sf))
+    return c.select(
+        "deploy_id",
+        F.col("config.deployment.name").alias("deploy_name"),
+        F.col("config.yandex_cloud.zone").alias("zone"),
+        F.col("config.oceanbase.deploy_user").alias("deploy_user"),
+        F.col("config.oceanbase.auto_tune").alias("auto_tune"),
+        F.col("config.vm_defaults.core_fraction").alias("core_fraction"),
+        F.col("config_json").contains("password").alias("has_secret"),
+    )
+
+
+def _json_docs(spark, sf):
+    d = fixture(spark, sf, "fx_deployment")
+    doc = F.to_json(F.struct(
+        F.struct("zone", "ssh_user", "image_family").alias("yandex_cloud"),
+        F.struct("deploy_user", "auto_tune").alias("oceanbase"),
+        F.struct(F.col("default_core_fraction").alias("core_fraction")).alias("vm_defaults"),
+    ))
+    return d.select("deploy_id", doc.alias("doc"))
+
+
+PATHS = {
+    "zone": "yandex_cloud.zone",
+    "family": "yandex_cloud..image_family",
+    "deploy_user": "oceanbase.deploy_user",
+    "auto_tune": "oceanbase.auto_tune",
+    "core_fraction": "vm_defaults.core_fraction",
+    "ocp_port": "ocp.port",
+}
+
+
+@query(
+    "config_get",
+    """WITH j AS (SELECT deploy_id, to_json({'yandex_cloud': {'zone': zone, 'ssh_user': ssh_user, 'image_family': image_family},
+                                           'oceanbase': {'deploy_user': deploy_user, 'auto_tune': auto_tune},
+                                           'vm_defaults': {'core_fraction': default_core_fraction}}) AS doc
+                  FROM fx_deployment)
+       SELECT deploy_id,
+              coalesce(json_extract_string(doc, '$.yandex_cloud.zone'), '') AS zone,
+              coalesce(json_extract_string(doc, '$.yandex_cloud.image_family'), '') AS family,
+              coalesce(json_extract_string(doc, '$.oceanbase.deploy_user'), '') AS deploy_user,
+              coalesce(json_extract_string(doc, '$.oceanbase.auto_tune'), '') AS auto_tune,
+              coalesce(json_extract_string(doc, '$.vm_defaults.core_fraction'), '') AS core_fraction,
+              coalesce(json_extract_string(doc, '$.ocp.port'), '') AS ocp_port
+       FROM j""",
+    ("fx_deployment",),
+)
+def q_config_get(spark, sf):
+    d = _json_docs(spark, sf)
+    return d.select("deploy_id", *[CF.config_get("doc", p).alias(k) for k, p in PATHS.items()])
+
+
+@query(
+    "inventory_parse",
+    """WITH kv AS (SELECT file_id, line_no, trim(split_part(line, '=', 1)) AS key,
+                          trim(substr(line, strpos(line, '=') + 1)) AS value
+                   FROM fx_kv_line WHERE strpos(line, '=') > 0)
+       SELECT file_id, key, arg_max(value, line_no) AS value FROM kv GROUP BY file_id, key""",
+    ("fx_kv_line",),
+)
+def q_inventory_parse(spark, sf):
+    return parse_kv(fixture(spark, sf, "fx_kv_line"), keep="last", key_cols=("file_id",))
+
+
+MARKER_KEYS = {"OBSERVER_1_IP": "", "OBSERVER_COUNT": "0", "OPTS": "none", "role": None}
+
+
+@query(
+    "marker_parse",
+    """WITH l AS (SELECT file_id, line_no, replace(line, chr(13), '') AS line FROM fx_kv_line),
+            w AS (SELECT * FROM (VALUES ('OBSERVER_1_IP', ''), ('OBSERVER_COUNT', '0'), ('OPTS', 'none'),
+                                        ('role', NULL)) t(key, dflt)),
+            f AS (SELECT l.file_id, w.key, arg_min(substr(l.line, length(w.key) + 2), l.line_no) AS value
+                  FROM l JOIN w ON starts_with(l.line, w.key || '=') GROUP BY l.file_id, w.key),
+            files AS (SELECT DISTINCT file_id FROM fx_kv_line)
+       SELECT files.file_id, w.key, coalesce(f.value, w.dflt) AS value
+       FROM files CROSS JOIN w LEFT JOIN f ON f.file_id = files.file_id AND f.key = w.key""",
+    ("fx_kv_line",),
+)
+def q_marker_parse(spark, sf):
+    return parse_kv(fixture(spark, sf, "fx_kv_line"), keep="first", key_cols=("file_id",), defaults=MARKER_KEYS)
+
+
+def _instance_docs(spark, sf):
+    i = fixture(spark, sf, "fx_instance")
+    labels = F.when(F.col("label_deployment").isNull(), F.create_map().cast("map<string,string>")).otherwise(
+        F.create_map(F.lit("deployment"), F.col("label_deployment")))
+    el = F.struct(
+        F.col("instance_id").cast("string").alias("id"), "name", "status", labels.alias("labels"),
+        F.array(F.struct(F.struct(F.col("ip_address").alias("address"),
+                                  F.struct(F.col("nat_address").alias("address")).alias("one_to_one_nat"))
+                         .alias("primary_v4_address"))).alias("network_interfaces"),
+    )
+    # a listing document holds up to four instances (bounded group)
+    return i.groupBy(F.expr("instance_id div 4").alias("doc_id")).agg(
+        F.to_json(F.collect_list(el)).alias("doc"))
+
+
+@query(
+    "instance_listing",
+    """SELECT CAST(instance_id AS VARCHAR) AS instance_id, name, status, label_deployment,
+              coalesce(nullif(ip_address, ''), nullif(nat_address, ''), '') AS ip
+       FROM fx_instance""",
+    ("fx_instance",),
+)
+def q_instance_listing(spark, sf):
+    return L.instance_rows(_instance_docs(spark, sf))
+
+
+@query(
+    "disk_listing",
+    """SELECT CAST(disk_id AS VARCHAR) AS disk_id, name, status, label_deployment,
+              CASE WHEN attached_instance_id IS NULL THEN 0 ELSE 1 END AS n_instances
+       FROM fx_disk""",
+    ("fx_disk",),
+)
+def q_disk_listing(spark, sf):
+    d = fixture(spark, sf, "fx_disk")
+    ids = F.when(F.col("attached_instance_id").isNull(), F.array().cast("array<string>")).otherwise(
+        F.array(F.col("attached_instance_id").cast("string")))
+    el = F.struct(F.col("disk_id").cast("string").alias("id"), "name", "status",
+                  F.create_map(F.lit("deployment"), F.col("label_deployment")).alias("labels"),
+                  ids.alias("instance_ids"))
+    docs = d.groupBy(F.expr("disk_id div 10").alias("doc_id")).agg(F.to_json(F.collect_list(el)).alias("doc"))
+    return L.disk_rows(docs).select("disk_id", "name", "status", "label_deployment",
+                                    F.size("instance_ids").alias("n_instances"))
+
+
+@query("image_listing", "SELECT name, family, family_id FROM fx_image", ("fx_image",))
+def q_image_listing(spark, sf):
+    i = fixture(spark, sf, "fx_image")
+    doc = i.agg(F.to_json(F.collect_list(F.struct("name", "family", "family_id"))).alias("doc"))
+    return L.image_rows(doc)
+
+
+STEP_LINES_SQL = """sl AS (
+  SELECT op_id, line_no,
+         CASE WHEN line_no % 7 = 0 THEN '=== step-' || CAST(op_id AS VARCHAR) || ' ==='
+              WHEN line_no % 7 = 1 THEN 'plain output ' || line
+              ELSE '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] '
+                   || CASE WHEN contains(line, 'ERROR:') THEN 'ERROR' WHEN contains(line, 'limit') THEN 'WARN'
+                           ELSE 'INFO' END || ': ' || line END AS line
+  FROM fx_op_line)"""
+
+
+def step_lines(spark, sf):
+    o = fixture(spark, sf, "fx_op_line")
+    level = (F.when(F.col("line").contains("ERROR:"), F.lit("ERROR"))
+             .when(F.col("line").contains("limit"), F.lit("WARN")).otherwise(F.lit("INFO")))
+    line = (
+        F.when(F.col("line_no") % 7 == 0, F.concat(F.lit("=== step-"), F.col("op_id").cast("string"), F.lit(" ===")))
+        .when(F.col("line_no") % 7 == 1, F.concat(F.lit("plain output "), F.col("line")))
+        .otherwise(F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("] "), level,
+                            F.lit(": "), F.col("line")))
+    )
+    return o.select("op_id", "line_no", line.alias("line"))
+
+
+@query(
+    "step_log_parse",
+    f"""WITH {STEP_LINES_SQL},
+        p AS (SELECT op_id, line_no, line,
+                     regexp_matches(line, '^\\[(\\d{{4}}-\\d\\d-\\d\\d \\d\\d:\\d\\d:\\d\\d)\\] (INFO|WARN|ERROR): (.*)$') AS ok
+              FROM sl)
+        SELECT op_id, line_no,
+               CASE WHEN ok THEN strptime(regexp_extract(line, '^\\[([^\\]]*)\\]', 1), '%Y-%m-%d %H:%M:%S') END AS ts,
+               CASE WHEN ok THEN regexp_extract(line, '^\\[[^\\]]*\\] (INFO|WARN|ERROR): ', 1) END AS level,
+               CASE WHEN ok THEN regexp_extract(line, '^\\[[^\\]]*\\] (INFO|WARN|ERROR): (.*)$', 2) ELSE line END AS message,
+               CASE WHEN regexp_matches(line, '^=== (.*) ===$') THEN regexp_extract(line, '^=== (.*) ===$', 1) END AS step
+        FROM p""",
+    ("fx_op_line",),
+)
+def q_step_log_parse(spark, sf):
+    return LG.parse_step_log(step_lines(spark, sf))
+
+
+@query(
+    "result_log_parse",
+    """SELECT run_id, line_no,
+              regexp_extract(line, 'info:\\s+(\\w+): OK=', 1) AS tx_type,
+              CAST(regexp_extract(line, 'OK=(\\d+)', 1) AS BIGINT) AS ok_count,
+              CAST(regexp_extract(line, 'Failed=(\\d+)', 1) AS BIGINT) AS failed_count,
+              CAST(regexp_extract(line, 'p50=(\\d+)ms', 1) AS INTEGER) AS p50,
+              CAST(regexp_extract(line, 'p90=(\\d+)ms', 1) AS INTEGER) AS p90,
+              CAST(regexp_extract(line, 'p99=(\\d+)ms', 1) AS INTEGER) AS p99
+       FROM fx_result_line WHERE regexp_matches(line, 'OK=\\d+ Failed=\\d+ p50=')""",
+    ("fx_result_line",),
+)
+def q_result_log_parse(spark, sf):
+    return LG.parse_result_log(fixture(spark, sf, "fx_result_line"))
+
+
+def result_table_lines(spark, sf):
+    """Render each run's counts and percentiles as a box-drawn table (as a load tool prints it)."""
+    from ..sinks.documents import render_result_table
+
+    tx = _tx(spark, sf)
+    return render_result_table(B.tx_summary(tx, total=True), B.tx_percentiles(tx))
+
+
+@query(
+    "result_table_parse",
+    """WITH c AS (SELECT run_id, CASE WHEN grouping(tx_type) = 1 THEN 'TOTAL' ELSE tx_type END AS tx_type,
+                         CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS ok_count,
+                         CAST(count(*) FILTER (WHERE NOT ok) AS BIGINT) AS failed_count
+                  FROM fx_tx GROUP BY GROUPING SETS ((run_id, tx_type), (run_id))),
+            p AS (SELECT run_id, tx_type,
+                         CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY latency_ms) AS INTEGER) AS p50,
+                         CAST(percentile_disc(0.9) WITHIN GROUP (ORDER BY latency_ms) AS INTEGER) AS p90,
+                         CAST(percentile_disc(0.99) WITHIN GROUP (ORDER BY latency_ms) AS INTEGER) AS p99
+                  FROM fx_tx GROUP BY run_id, tx_type)
+       SELECT c.run_id, c.tx_type, c.ok_count, c.failed_count, p.p50, p.p90, p.p99, c.tx_type = 'TOTAL' AS is_total
+       FROM c LEFT JOIN p ON c.run_id = p.run_id AND c.tx_type = p.tx_type""",
+    ("fx_tx",),
+)
+def q_result_table_parse(spark, sf):
+    rows, _ = LG.parse_result_table(result_table_lines(spark, sf))
+    return rows.drop("line_no")
