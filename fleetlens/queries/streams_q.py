@@ -1 +1,36 @@
-"""placeholder"""
+"""Streaming queries.
+
+``scrape_windows`` is registered in its batch form (the oracle compares
+it); the streaming form is tested against it. ``readiness_stream`` and
+``health_stream`` run their stream to completion and return the emitted
+rows (rows-only check; the tests compare them with the batch forms).
+"""
+
+from __future__ import annotations
+
+from ..catalog import query
+from ..fixtures import fixture
+from ..streaming import streams as ST
+
+
+@query(
+    "scrape_windows",
+    """SELECT target_id, job_name, time_bucket(INTERVAL 6 HOUR, ts) AS window_start,
+              time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS window_end,
+              count(*) AS n_samples, arg_max(value, ts) AS last_value, round(avg(value), 6) AS avg_value
+       FROM fx_metric GROUP BY target_id, job_name, time_bucket(INTERVAL 6 HOUR, ts)""",
+    ("fx_metric",),
+)
+def q_scrape_windows(spark, sf):
+    # the fixture's samples are sparse, so the period is 6 hours instead of 15 seconds
+    return ST.scrape_windows(fixture(spark, sf, "fx_metric"), every="6 hours")
+
+
+@query("readiness_stream")
+def q_readiness_stream(spark, sf):
+    return ST.run_to_table(ST.readiness_stream(ST.stream_fixture(spark, sf, "fx_status")), "readiness")
+
+
+@query("health_stream")
+def q_health_stream(spark, sf):
+    return ST.run_to_table(ST.health_stream(ST.stream_fixture(spark, sf, "fx_probe")), "health")
