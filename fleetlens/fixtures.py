@@ -163,6 +163,19 @@ FROM {part}
 """,
 }
 
+# Spark-side form of fx_profile: the five roles are generated per customer row
+# (``inline`` of a literal array) instead of a cross join with a constant
+# table; the rows are the same (the oracle checks it).
+SPARK_FIXTURE_SQL: dict[str, str] = {
+    "fx_profile": FIXTURE_SQL["fx_profile"].replace(
+        """CROSS JOIN (SELECT 1 AS k, 'observer' AS role UNION ALL SELECT 2, 'obproxy' UNION ALL SELECT 3, 'configserver'
+            UNION ALL SELECT 4, 'monitoring' UNION ALL SELECT 5, 'ocp') r""",
+        """LATERAL VIEW inline(array(struct(1 AS k, 'observer' AS role), struct(2 AS k, 'obproxy' AS role),
+                                 struct(3 AS k, 'configserver' AS role), struct(4 AS k, 'monitoring' AS role),
+                                 struct(5 AS k, 'ocp' AS role))) r AS k, role""",
+    ),
+}
+
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")
 
 
@@ -173,7 +186,7 @@ def base_tables_of(name: str) -> list[str]:
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One fixture view as a DataFrame over the parquet tables of ``sf_dir``."""
     frames = {t: read_table(spark, sf_dir, t) for t in base_tables_of(name)}
-    return spark.sql(FIXTURE_SQL[name], **frames)
+    return spark.sql(SPARK_FIXTURE_SQL.get(name, FIXTURE_SQL[name]), **frames)
 
 
 def duckdb_text(name: str) -> str:

@@ -1,9 +1,9 @@
 """Capacity sizing from a measured base run.
 
-Targets are a table (one row per sizing request); the base is a table of
-measured runs with one row per base (``base_id``). Targets join their base
-on ``base_id``; with the default single base the base side is one row and
-is broadcast - its size is fixed by construction.
+Targets are a table (one row per sizing request). The base is the measured
+run they scale from: by default the published run, given as literals (no
+join); or a table of runs keyed by ``base_id`` that targets reference,
+joined on that key with the runs table broadcast (one row per base run).
 """
 
 from __future__ import annotations
@@ -37,23 +37,30 @@ def density(runs: DataFrame) -> DataFrame:
         "wh_per_gb", F.col("warehouses") / F.col("memory_gb"))
 
 
-def _with_base(targets: DataFrame, base: DataFrame) -> DataFrame:
+def _with_base(targets: DataFrame, base) -> DataFrame:
+    """Targets with the ``base_*`` columns of their base run.
+
+    ``base`` is either one run as a dict (its values become literals: no
+    join at all) or a table of runs keyed by ``base_id`` that the targets
+    reference (an equi-join; the runs table is tiny and broadcast).
+    """
+    if isinstance(base, dict):
+        return targets.select("*", *[F.lit(v).alias(f"base_{k}") for k, v in base.items() if k != "base_id"])
     b = base.select(*[F.col(c).alias(f"base_{c}") if c != "base_id" else F.col(c) for c in base.columns])
-    t = targets if "base_id" in targets.columns else targets.withColumn("base_id", F.lit(1))
-    return t.join(F.broadcast(b), "base_id")
+    return targets.join(F.broadcast(b), "base_id")
 
 
-def scale_capacity(targets: DataFrame, base: DataFrame) -> DataFrame:
+def scale_capacity(targets: DataFrame, base=None) -> DataFrame:
     """#77 linear need: k = target / base warehouses; vCPU and RAM times k; nodes of the target
     shape to cover both, raised to a multiple of the 3 zones."""
-    t = _with_base(targets, base)
+    t = _with_base(targets, BASE_RUN if base is None else base)
     k = F.col("warehouses") / F.col("base_warehouses")
     vcpu = F.col("base_vcpu") * k
     ram = F.col("base_memory_gb") * k
     raw = F.greatest(F.ceil(vcpu / F.col("node_cores")), F.ceil(ram / F.col("node_memory_gb")))
     nodes = (F.ceil(raw / F.lit(ZONES)) * ZONES).cast("int")
     return t.select(
-        "target_id", "warehouses", "node_cores", "node_memory_gb", "base_id",
+        "target_id", "warehouses", "node_cores", "node_memory_gb",
         k.alias("k"), vcpu.alias("vcpu_need"), ram.alias("memory_need_gb"), nodes.alias("nodes"),
         F.col("base_observers"), F.col("base_inflight"),
     )

@@ -19,7 +19,7 @@ CAP_CTE = """cap AS (
 
 
 def capacity(spark, sf):
-    return Z.scale_capacity(fixture(spark, sf, "fx_target"), Z.base_frame(spark))
+    return Z.scale_capacity(fixture(spark, sf, "fx_target"))
 
 
 @query(

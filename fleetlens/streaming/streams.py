@@ -104,9 +104,16 @@ def _readiness_fn(timeout_s: float):
             yield pd.DataFrame([{"deploy_id": deploy_id, "n_resources": len(latest), "pending": 0,
                                  "state": "ready", "first_seen": first, "last_seen": last}])
             return
+        deadline = int(pd.Timestamp(first).timestamp() * 1000 + timeout_s * 1000)
+        if deadline <= state.getCurrentWatermarkMs():
+            # the wait already ran out before these rows were seen
+            state.remove()
+            yield pd.DataFrame([{"deploy_id": deploy_id, "n_resources": len(latest), "pending": pend,
+                                 "state": "timed_out", "first_seen": first, "last_seen": last}])
+            return
         state.update((latest["resource_id"].tolist(), latest["seq"].tolist(), latest["status"].tolist(),
                       pd.Timestamp(first).to_pydatetime(), pd.Timestamp(last).to_pydatetime()))
-        state.setTimeoutTimestamp(int(pd.Timestamp(first).timestamp() * 1000 + timeout_s * 1000))
+        state.setTimeoutTimestamp(deadline)
 
     return fn
 
