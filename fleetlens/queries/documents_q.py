@@ -90,12 +90,10 @@ def q_inventory_render(spark, sf):
 
 @query("cluster_docs")
 def q_cluster_docs(spark, sf):
-    inv = C.inventory(spark, sf)
-    fl = flags(spark, sf)
-    placement = D.component_placement(inv, fl, C.profiles_with_role(spark, sf))
-    servers = D.server_overrides(inv, fixture(spark, sf, "fx_deployment"))
-    tuning = P.effective_tuning(fixture(spark, sf, "fx_deployment"), P.auto_tune(resolved(spark, sf)))
-    return D.render_cluster_docs(placement, servers, tuning.drop("auto_tune_on"), fl)
+    from ..plans.cluster_config import cluster_documents
+
+    return cluster_documents(fixture(spark, sf, "fx_deployment"), fixture(spark, sf, "fx_profile"),
+                             fixture(spark, sf, "fx_role_alias"), fixture(spark, sf, "fx_instance"))
 
 
 PROFILE_VALUES = ", ".join([
