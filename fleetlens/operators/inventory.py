@@ -87,8 +87,13 @@ def existing(listing: DataFrame, wanted: DataFrame, skip_status=()) -> DataFrame
 
 
 def new_vms(desired: DataFrame, listing: DataFrame) -> DataFrame:
-    """#40 desired minus existing, by exact name (anti join)."""
-    return desired.join(listing.select("name"), "name", "left_anti")
+    """#40 desired minus existing, by exact name (anti join).
+
+    The listing side is reduced to distinct names first (partial
+    aggregation map-side), so a name repeated in many snapshots is one row
+    before the shuffle.
+    """
+    return desired.join(listing.select("name").distinct(), "name", "left_anti")
 
 
 def disk_names(vms: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -113,7 +118,7 @@ def disk_names(vms: DataFrame, resolved: DataFrame) -> DataFrame:
 def disks_to_create(new: DataFrame, resolved: DataFrame, disks: DataFrame) -> DataFrame:
     """#41 disks of the new VMs minus disks that exist (a DELETING or id-less disk is absent)."""
     live = disks.where((F.col("status") != DELETING) & F.col("disk_id").isNotNull()).select(
-        F.col("name").alias("disk_name"))
+        F.col("name").alias("disk_name")).distinct()
     return disk_names(new, resolved).join(live, "disk_name", "left_anti")
 
 
@@ -123,7 +128,7 @@ def pending_disks(listing: DataFrame, wanted: DataFrame, key: str = "deploy_id")
     w = wanted.select(key, F.col("disk_name").alias("name")).distinct()
     listed = listing.select("name", "status").join(w, "name")
     pend = listed.groupBy(key).agg(F.count_if(F.col("status") != READY_DISK).cast("bigint").alias("pending"))
-    miss = w.join(listing.select("name"), "name", "left_anti").groupBy(key).agg(
+    miss = w.join(listing.select("name").distinct(), "name", "left_anti").groupBy(key).agg(
         F.count(F.lit(1)).cast("bigint").alias("missing"))
     return w.select(key).distinct().join(pend, key, "left").join(miss, key, "left").select(
         key,
@@ -212,30 +217,33 @@ def host_lists(inv: DataFrame) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("idx", "host"))), lambda s: s["host"]).alias("hosts"))
 
 
-def server_names(observers: DataFrame) -> DataFrame:
-    """#66 ``server<i>`` by position (VM index order) within the deployment."""
-    w = Window.partitionBy("deploy_id").orderBy("idx", "name")
-    return observers.withColumn("server_name", F.concat(F.lit("server"), F.row_number().over(w).cast("string")))
+def server_names(observers: DataFrame, chunk_size: int = 10_000) -> DataFrame:
+    """#66 ``server<i>`` by position (VM index order) within the deployment.
 
+    Positions come from :func:`ordered_index`, so even a deployment with a
+    huge number of servers is numbered in chunks of its VM index.
+    """
+    from .sequence import ordered_index
 
-def zone_assign(servers: DataFrame, n_zones: int | None = None) -> DataFrame:
-    """#67 server i -> ``zone<((i-1) mod n) + 1>``; n defaults to the number of servers."""
-    w = Window.partitionBy("deploy_id").orderBy("idx", "name")
-    i = F.row_number().over(w)
-    n = F.lit(n_zones) if n_zones else F.count(F.lit(1)).over(Window.partitionBy("deploy_id"))
-    return servers.withColumn("zone_name", F.concat(F.lit("zone"), (F.pmod(i - 1, n) + 1).cast("string")))
+    s = ordered_index(observers, ["idx", "name"], F.floor(F.col("idx") / F.lit(chunk_size)), ("deploy_id",),
+                      out="_pos")
+    return s.withColumn("server_name", F.concat(F.lit("server"), F.col("_pos").cast("string"))).drop("_pos")
 
 
-def server_overrides(servers: DataFrame, deploy: DataFrame) -> DataFrame:
-    """#47 each observer row gets ports, directories and zone from its deployment."""
-    # Default ports and directories of the database servers.
-    d = deploy.select(
-        "deploy_id",
-        F.lit(2881).alias("mysql_port"), F.lit(2882).alias("rpc_port"), F.lit(2886).alias("obshell_port"),
-        F.concat(F.lit("/home/"), F.col("deploy_user_eff"), F.lit("/observer")).alias("home_path"),
-        F.lit("/data/1").alias("data_dir"), F.lit("/data/log1").alias("redo_dir"),
-    )
-    return servers.join(d, "deploy_id")
+def zone_assign(servers: DataFrame, n_zones: int | None = None, chunk_size: int = 10_000) -> DataFrame:
+    """#67 server i -> ``zone<((i-1) mod n) + 1>``; n defaults to the number of servers."""
+    from .sequence import ordered_index
+
+    s = ordered_index(servers, ["idx", "name"], F.floor(F.col("idx") / F.lit(chunk_size)), ("deploy_id",),
+                      out="_pos")
+    if n_zones:
+        n = F.lit(n_zones)
+    else:
+        counts = servers.groupBy("deploy_id").agg(F.count(F.lit(1)).alias("_n"))
+        s = s.join(counts, "deploy_id")
+        n = F.col("_n")
+    out = s.withColumn("zone_name", F.concat(F.lit("zone"), (F.pmod(F.col("_pos") - 1, n) + 1).cast("string")))
+    return out.drop("_pos", "_n")
 
 
 # ---------------------------------------------------------------- listings
@@ -285,11 +293,24 @@ def delete_candidates(kv: DataFrame, instances: DataFrame, deploy: DataFrame) ->
 
 
 def disk_attachments(disks: DataFrame, instances: DataFrame) -> DataFrame:
-    """#48 disk <-> instance by id; unattached disks and dangling ids kept on both ends."""
+    """#48 disk <-> instance by id; unattached disks and dangling ids kept on both ends.
+
+    The same rows as a full outer join, built as an inner join plus two
+    anti joins: AQE can split a hot instance id on the inner and anti
+    joins (it cannot on a full outer join), and the id list of the other
+    side is made distinct before the anti join.
+    """
     d = disks.select("disk_id", F.col("name").alias("disk_name"),
                      F.explode_outer("instance_ids").alias("instance_id"))
     i = instances.select("instance_id", F.col("name").alias("instance_name")).distinct()
-    return d.join(i, "instance_id", "full_outer").select("disk_id", "disk_name", "instance_id", "instance_name")
+    matched = d.join(i, "instance_id")
+    d_only = d.join(i.select("instance_id").distinct(), "instance_id", "left_anti").withColumn(
+        "instance_name", F.lit(None).cast("string"))
+    i_only = i.join(d.select("instance_id").where(F.col("instance_id").isNotNull()).distinct(), "instance_id",
+                    "left_anti").select(F.lit(None).cast(d.schema["disk_id"].dataType).alias("disk_id"),
+                                        F.lit(None).cast("string").alias("disk_name"), "instance_id", "instance_name")
+    cols = ["disk_id", "disk_name", "instance_id", "instance_name"]
+    return matched.select(*cols).unionByName(d_only.select(*cols)).unionByName(i_only.select(*cols))
 
 
 def image_availability(deploy: DataFrame, images: DataFrame) -> DataFrame:
@@ -504,8 +525,3 @@ def fqdn_frame(instances: DataFrame, deploy: DataFrame) -> DataFrame:
     """#22 internal DNS name of each listed instance."""
     return instances.join(deploy.select("deploy_id", "zone"), "deploy_id", "left").select(
         "instance_id", "name", "zone", internal_fqdn("name", "zone").alias("fqdn"))
-
-
-def host_and_index(vms: DataFrame) -> DataFrame:
-    """#33 index of a VM taken back from its name (text after the last ``-``)."""
-    return vms.withColumn("name_idx", name_index("name").cast("int"))
