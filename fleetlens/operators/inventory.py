@@ -456,7 +456,7 @@ def fleet_totals(resolved: DataFrame) -> DataFrame:
         F.sum("vms").cast("bigint").alias("vms"),
         F.sum(F.col("vms") * F.col("cores")).cast("bigint").alias("vcpu"),
         F.sum(F.col("vms") * F.col("memory_gb")).cast("bigint").alias("memory_gb"),
-        F.grouping_id().alias("level"),
+        F.grouping_id().cast("int").alias("level"),
     )
 
 

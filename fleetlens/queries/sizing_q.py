@@ -48,7 +48,8 @@ def q_scale_capacity(spark, sf):
 
 @query(
     "tpmc_ceiling",
-    """SELECT target_id, warehouses, warehouses * 12.86 AS max_tpmc, warehouses * 12.86 * 0.9 AS expected_tpmc
+    """SELECT target_id, warehouses, warehouses * CAST(12.86 AS DOUBLE) AS max_tpmc,
+              warehouses * CAST(12.86 AS DOUBLE) * CAST(0.9 AS DOUBLE) AS expected_tpmc
        FROM fx_target""",
     ("fx_target",),
 )

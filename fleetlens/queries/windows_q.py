@@ -48,7 +48,7 @@ def q_zone_assign(spark, sf):
     "log_tail",
     f"""WITH {JOBS_SQL},
         t AS (SELECT op_id, line_no, line,
-                     row_number() OVER (PARTITION BY op_id ORDER BY line_no DESC) AS rn_from_end
+                     CAST(row_number() OVER (PARTITION BY op_id ORDER BY line_no DESC) AS INTEGER) AS rn_from_end
               FROM fx_op_line WHERE op_id IN (SELECT CAST(substr(host, 6) AS BIGINT) FROM jobs WHERE failed))
         SELECT * FROM t WHERE rn_from_end <= 40""",
     ("fx_op_line",),

@@ -23,6 +23,9 @@ from fleetlens.catalog import load_all  # noqa: E402
 from fleetlens.session import TABLES, local_session  # noqa: E402
 
 
+EXACT = os.environ.get("ORACLE_EXACT") == "1"
+
+
 def norm(v):
     if v is None:
         return "NULL"
@@ -31,7 +34,7 @@ def norm(v):
             return "NaN"
         if v == int(v) and abs(v) < 1e15:
             return str(int(v))
-        return f"{v:.9g}"
+        return repr(v) if EXACT else f"{v:.9g}"
     if isinstance(v, bool):
         return str(v).lower()
     if hasattr(v, "isoformat"):
