@@ -81,7 +81,46 @@ def health_state(probes: DataFrame, fall: int = FALL, rise: int = RISE, key: str
     return p.select(*probes.columns, state.alias("state"))
 
 
-def idle_sessions(conns: DataFrame, gap: str = IDLE_GAP, key: str = "client_ip", ts: str = "ts") -> DataFrame:
-    """#86 connections of one client joined until ``gap`` of silence (session windows)."""
-    s = conns.groupBy(key, F.session_window(F.col(ts), gap).alias("s")).agg(F.count(F.lit(1)).alias("n_conns"))
-    return s.select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n_conns")
+_UNITS_US = {"second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 86400 * 10**6}
+
+
+def _gap_us(gap: str) -> int:
+    n, unit = gap.split()
+    return int(float(n) * _UNITS_US[unit.rstrip("s").lower()])
+
+
+def idle_sessions(conns: DataFrame, gap: str = IDLE_GAP, key: str = "client_ip", ts: str = "ts",
+                  chunk: Column | None = None) -> DataFrame:
+    """#86 connections of one client joined until ``gap`` of silence.
+
+    Same sessions as ``session_window(ts, gap)`` (a connection ``gap`` or
+    more after the previous one starts a new session; the session ends
+    ``gap`` after its last connection), computed so that one very busy
+    client is not one task: the client's connections are cut into chunks of
+    time (``chunk``, default the day), each chunk finds its session starts
+    with the last time of the previous chunk carried in, and the running
+    session start is carried across chunks with windows over one row per
+    chunk. The final grouping by (client, session start) is an ordinary
+    partial aggregation. The streaming form is
+    :func:`fleetlens.streaming.streams.idle_sessions_stream`.
+    """
+    ch = chunk if chunk is not None else F.date_trunc("day", F.col(ts))
+    d = conns.select(key, ts).withColumn("_chunk", ch)
+    within = Window.partitionBy(key, "_chunk").orderBy(ts)
+    running = within.rowsBetween(Window.unboundedPreceding, 0)
+    chunks = Window.partitionBy(key).orderBy("_chunk")
+    before = chunks.rowsBetween(Window.unboundedPreceding, -1)
+
+    last = d.groupBy(key, "_chunk").agg(F.max(ts).alias("_last"))
+    last = last.withColumn("_prev_last", F.lag("_last").over(chunks)).drop("_last")
+    d = d.join(last, [key, "_chunk"])
+    prev = F.coalesce(F.lag(ts).over(within), F.col("_prev_last"))
+    new = prev.isNull() | (F.timestamp_diff("MICROSECOND", prev, F.col(ts)) >= F.lit(_gap_us(gap)))
+    d = d.withColumn("_start", F.when(new, F.col(ts)))
+    d = d.withColumn("_start_local", F.max("_start").over(running))
+    carry = d.groupBy(key, "_chunk").agg(F.max("_start").alias("_m"))
+    carry = carry.withColumn("_carry", F.max("_m").over(before)).drop("_m")
+    d = d.join(carry, [key, "_chunk"]).withColumn("session_start", F.coalesce("_start_local", "_carry"))
+    s = d.groupBy(key, "session_start").agg(F.max(ts).alias("_end"), F.count(F.lit(1)).alias("n_conns"))
+    return s.select(key, "session_start", (F.col("_end") + F.expr(f"INTERVAL {gap}")).alias("session_end"),
+                    "n_conns")
