@@ -41,17 +41,26 @@ def local_session(cpus: int | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder.
+    """Return the shared checkpoint folder of the session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only when it is unset (local tests) a scratch folder is made.
+    as is (also when it was set with ``setCheckpointDir``). Only when
+    neither is set (local tests) a scratch folder is made and registered
+    with the context.
     """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir", None)
+    if not path:
+        try:
+            path = spark.conf.get("spark.checkpoint.dir", None)
+        except Exception:  # noqa: BLE001 - an unknown key on some versions
+            path = None
+    if not path:
+        path = sc.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="fleetlens-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
     return path
 
 
