@@ -13,7 +13,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .session import read_table
+from .session import read_table, session_key
 
 # The view texts of FIXTURES.md section 2, kept verbatim.
 FIXTURE_SQL: dict[str, str] = {
@@ -183,10 +183,18 @@ def base_tables_of(name: str) -> list[str]:
     return sorted(set(_PLACEHOLDER.findall(FIXTURE_SQL[name])))
 
 
+_VIEWS: dict[tuple, DataFrame] = {}
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One fixture view as a DataFrame over the parquet tables of ``sf_dir``."""
-    frames = {t: read_table(spark, sf_dir, t) for t in base_tables_of(name)}
-    return spark.sql(SPARK_FIXTURE_SQL.get(name, FIXTURE_SQL[name]), **frames)
+    """One fixture view as a DataFrame over the parquet tables of ``sf_dir`` (built once per
+    session; the same immutable frame serves every query)."""
+    key = (*session_key(spark), sf_dir.rstrip("/"), name)
+    df = _VIEWS.get(key)
+    if df is None:
+        frames = {t: read_table(spark, sf_dir, t) for t in base_tables_of(name)}
+        df = _VIEWS[key] = spark.sql(SPARK_FIXTURE_SQL.get(name, FIXTURE_SQL[name]), **frames)
+    return df
 
 
 def duckdb_text(name: str) -> str:

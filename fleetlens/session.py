@@ -64,8 +64,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_TABLES: dict[tuple, DataFrame] = {}
+
+
+def session_key(spark: SparkSession) -> tuple:
+    return (id(spark), spark.sparkContext.applicationId)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A parquet table as a DataFrame; one reader per session and path (DataFrames are
+    immutable, so every query can share it and the footers are read once)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (*session_key(spark), path)
+    df = _TABLES.get(key)
+    if df is None:
+        df = _TABLES[key] = spark.read.parquet(path)
+    return df
 
 
 def tables(spark: SparkSession, sf_dir: str, names=TABLES) -> dict[str, DataFrame]:
