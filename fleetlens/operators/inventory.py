@@ -124,16 +124,17 @@ def disks_to_create(new: DataFrame, resolved: DataFrame, disks: DataFrame) -> Da
 
 def pending_disks(listing: DataFrame, wanted: DataFrame, key: str = "deploy_id") -> DataFrame:
     """#51 per ``key``: wanted disks listed but not READY (counted over listing rows, as the
-    poller does) and, apart, wanted disks missing from the listing."""
+    poller does) and, apart, wanted disks missing from the listing.
+
+    The listing is reduced to one row per name (rows, rows not ready) by a
+    partial aggregation, then joined once with the distinct wanted names.
+    """
     w = wanted.select(key, F.col("disk_name").alias("name")).distinct()
-    listed = listing.select("name", "status").join(w, "name")
-    pend = listed.groupBy(key).agg(F.count_if(F.col("status") != READY_DISK).cast("bigint").alias("pending"))
-    miss = w.join(listing.select("name").distinct(), "name", "left_anti").groupBy(key).agg(
-        F.count(F.lit(1)).cast("bigint").alias("missing"))
-    return w.select(key).distinct().join(pend, key, "left").join(miss, key, "left").select(
-        key,
-        F.coalesce("pending", F.lit(0).cast("bigint")).alias("pending"),
-        F.coalesce("missing", F.lit(0).cast("bigint")).alias("missing"),
+    by_name = listing.groupBy("name").agg(
+        F.count(F.lit(1)).alias("_rows"), F.count_if(F.col("status") != READY_DISK).alias("_not_ready"))
+    return w.join(by_name, "name", "left").groupBy(key).agg(
+        F.coalesce(F.sum("_not_ready"), F.lit(0)).cast("bigint").alias("pending"),
+        F.count_if(F.col("_rows").isNull()).cast("bigint").alias("missing"),
     )
 
 
@@ -217,33 +218,38 @@ def host_lists(inv: DataFrame) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("idx", "host"))), lambda s: s["host"]).alias("hosts"))
 
 
-def server_names(observers: DataFrame, chunk_size: int = 10_000) -> DataFrame:
-    """#66 ``server<i>`` by position (VM index order) within the deployment.
+def server_positions(observers: DataFrame, chunk_size: int = 10_000) -> DataFrame:
+    """Position of each server in VM index order within its deployment (``server_pos``) and the
+    number of servers (``n_servers``).
 
     Positions come from :func:`ordered_index`, so even a deployment with a
     huge number of servers is numbered in chunks of its VM index.
     """
     from .sequence import ordered_index
 
-    s = ordered_index(observers, ["idx", "name"], F.floor(F.col("idx") / F.lit(chunk_size)), ("deploy_id",),
-                      out="_pos")
-    return s.withColumn("server_name", F.concat(F.lit("server"), F.col("_pos").cast("string"))).drop("_pos")
+    return ordered_index(observers, ["idx", "name"], F.floor(F.col("idx") / F.lit(chunk_size)), ("deploy_id",),
+                         out="server_pos", total="n_servers")
+
+
+def server_name_col(pos: Column) -> Column:
+    return F.concat(F.lit("server"), pos.cast("string"))
+
+
+def zone_col(pos: Column, n: Column) -> Column:
+    return F.concat(F.lit("zone"), (F.pmod(pos - 1, n) + 1).cast("string"))
+
+
+def server_names(observers: DataFrame, chunk_size: int = 10_000) -> DataFrame:
+    """#66 ``server<i>`` by position (VM index order) within the deployment."""
+    s = server_positions(observers, chunk_size)
+    return s.withColumn("server_name", server_name_col(F.col("server_pos"))).drop("server_pos", "n_servers")
 
 
 def zone_assign(servers: DataFrame, n_zones: int | None = None, chunk_size: int = 10_000) -> DataFrame:
     """#67 server i -> ``zone<((i-1) mod n) + 1>``; n defaults to the number of servers."""
-    from .sequence import ordered_index
-
-    s = ordered_index(servers, ["idx", "name"], F.floor(F.col("idx") / F.lit(chunk_size)), ("deploy_id",),
-                      out="_pos")
-    if n_zones:
-        n = F.lit(n_zones)
-    else:
-        counts = servers.groupBy("deploy_id").agg(F.count(F.lit(1)).alias("_n"))
-        s = s.join(counts, "deploy_id")
-        n = F.col("_n")
-    out = s.withColumn("zone_name", F.concat(F.lit("zone"), (F.pmod(F.col("_pos") - 1, n) + 1).cast("string")))
-    return out.drop("_pos", "_n")
+    s = server_positions(servers, chunk_size)
+    n = F.lit(n_zones) if n_zones else F.col("n_servers")
+    return s.withColumn("zone_name", zone_col(F.col("server_pos"), n)).drop("server_pos", "n_servers")
 
 
 # ---------------------------------------------------------------- listings

@@ -46,30 +46,53 @@ def health_state(probes: DataFrame, fall: int = FALL, rise: int = RISE, key: str
     """#69 state after each probe: starts up, down after ``fall`` failures in a row,
     up after ``rise`` successes in a row.
 
-    The position of a probe inside its run of equal results, and the last
-    state change before it, are running maxima - associative, so they are
-    computed inside chunks of ``order`` and carried across chunks with
-    windows over the chunk summaries.
+    A probe's place in its run of equal results and the last state change
+    before it are running maxima, so they can be worked in chunks of
+    ``order`` and carried over chunk edges:
+
+    1. inside each chunk: local position and changes between neighbours;
+    2. one summary row per chunk (size, first / last result, last inner
+       change) and a window over those rows give each chunk its offset, the
+       result just before it and the last change before it;
+    3. back on the rows: run position, fall / rise events, and the last
+       event, carried over chunks the same way.
+
+    Every row-level window is bounded by a chunk; only the one-row-per-chunk
+    summaries are ordered per backend. The result equals the single-window
+    form (tested with several chunk sizes).
     """
     chunk = F.floor(F.col(order) / F.lit(chunk_size))
-    p = ordered_index(probes, [order], chunk, (key,), out="_seq").withColumn("_chunk", chunk)
-    within = Window.partitionBy(key, "_chunk").orderBy("_seq")
+    within = Window.partitionBy(key, "_chunk").orderBy(order)
     running = within.rowsBetween(Window.unboundedPreceding, 0)
     chunks = Window.partitionBy(key).orderBy("_chunk")
     before = chunks.rowsBetween(Window.unboundedPreceding, -1)
 
-    # run boundaries: compare with the previous probe, across chunk edges too
-    summ = p.groupBy(key, "_chunk").agg(F.max_by("ok", "_seq").alias("_last_ok"))
-    summ = summ.withColumn("_prev_last_ok", F.lag("_last_ok").over(chunks)).drop("_last_ok")
-    p = p.join(summ, [key, "_chunk"])
-    prev = F.coalesce(F.lag("ok").over(within), F.col("_prev_last_ok"))
-    p = p.withColumn("_chg", F.when(prev.isNull() | (prev != F.col("ok")), F.col("_seq")))
-    p = p.withColumn("_last_chg_local", F.max("_chg").over(running))
-    carry = p.groupBy(key, "_chunk").agg(F.max("_chg").alias("_m"))
-    carry = carry.withColumn("_carry_chg", F.max("_m").over(before)).drop("_m")
-    p = p.join(carry, [key, "_chunk"])
-    pos = F.col("_seq") - F.coalesce("_last_chg_local", "_carry_chg") + 1
-
+    rows = probes.withColumn("_chunk", chunk).withColumn("_lp", F.row_number().over(within))
+    lag_ok = F.lag("ok").over(within)
+    rows = rows.withColumn("_inner_chg", F.when(lag_ok.isNotNull() & (lag_ok != F.col("ok")), F.col("_lp")))
+
+    summ = rows.groupBy(key, "_chunk").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min_by("ok", "_lp").alias("_first_ok"),
+        F.max_by("ok", "_lp").alias("_last_ok"),
+        F.max("_inner_chg").alias("_last_inner"),
+    )
+    summ = summ.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn(
+        "_prev_ok", F.lag("_last_ok").over(chunks))
+    edge_chg = F.col("_prev_ok").isNull() | (F.col("_first_ok") != F.col("_prev_ok"))
+    summ = summ.withColumn(
+        "_chunk_last_chg", F.col("_off") + F.coalesce(F.col("_last_inner"), F.when(edge_chg, F.lit(1))))
+    summ = summ.withColumn("_carry_chg", F.max("_chunk_last_chg").over(before)).select(
+        key, "_chunk", "_off", "_prev_ok", "_carry_chg")
+
+    p = rows.join(summ, [key, "_chunk"]).withColumn("_seq", F.col("_off") + F.col("_lp"))
+    first_chg = (F.col("_lp") == 1) & (F.col("_prev_ok").isNull() | (F.col("ok") != F.col("_prev_ok")))
+    p = p.withColumn("_chg", F.when(first_chg, F.col("_seq")).when(
+        F.col("_inner_chg").isNotNull(), F.col("_off") + F.col("_inner_chg")))
+    last_chg = F.coalesce(F.max("_chg").over(running), F.col("_carry_chg"))
+    p = p.withColumn("_pos", F.col("_seq") - last_chg + 1)
+
+    pos = F.col("_pos")
     event = (F.when(~F.col("ok") & (pos == fall), F.struct(F.col("_seq").alias("s"), F.lit(True).alias("down")))
              .when(F.col("ok") & (pos == rise), F.struct(F.col("_seq").alias("s"), F.lit(False).alias("down"))))
     p = p.withColumn("_ev", event).withColumn("_last_ev_local", F.max("_ev").over(running))

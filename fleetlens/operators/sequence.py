@@ -16,18 +16,23 @@ from pyspark.sql import functions as F
 
 
 def ordered_index(df: DataFrame, order: list[str], chunk: Column, by: tuple[str, ...] = (),
-                  out: str = "seq") -> DataFrame:
+                  out: str = "seq", total: str | None = None) -> DataFrame:
     """Add ``out`` = 1-based position of each row within ``by`` in ``order``.
 
     ``chunk`` must not decrease along ``order`` (e.g. ``floor(ts / 1 hour)``
     when ordering by ``ts``). Rows are numbered inside ``(by, chunk)``; the
     counts per chunk are summed cumulatively per ``by`` and joined back.
+    ``total`` names an optional column with the number of rows of the ``by``
+    group, taken from the same chunk summary.
     """
     by = list(by)
     d = df.withColumn("_chunk", chunk)
     local = d.withColumn("_local", F.row_number().over(Window.partitionBy(*by, "_chunk").orderBy(*order)))
     counts = d.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    if total:
+        offsets = offsets.withColumn(total, F.sum("_n").over(Window.partitionBy(*by)))
+    offsets = offsets.drop("_n")
     return local.join(offsets, [*by, "_chunk"]).withColumn(out, F.col("_off") + F.col("_local")).drop(
         "_chunk", "_local", "_off")

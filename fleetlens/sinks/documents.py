@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import host_address, host_log_name
-from ..operators.inventory import SECTION_ORDER, cluster_hosts, server_names, zone_assign
+from ..operators.inventory import SECTION_ORDER, cluster_hosts, server_name_col, server_positions, zone_col
 
 # Roles in queue order, with their inventory key prefix.
 QUEUE_ORDER = [("observer", "OBSERVER", 1), ("obproxy", "OBPROXY", 2), ("configserver", "CONFIGSERVER", 3),
@@ -216,7 +216,10 @@ def server_overrides(inv: DataFrame, deploy: DataFrame, n_zones: int | None = No
     """Observer servers with their name, zone, ports and directories; ``ip`` NULL is an error row."""
     obs = inv.where(F.col("role") == "observer").select("deploy_id", "idx", "name",
                                                         F.nullif("ip", F.lit("")).alias("ip"))
-    s = zone_assign(server_names(obs), n_zones)
+    s = server_positions(obs)
+    n = F.lit(n_zones) if n_zones else F.col("n_servers")
+    s = s.select("deploy_id", "ip", server_name_col(F.col("server_pos")).alias("server_name"),
+                 zone_col(F.col("server_pos"), n).alias("zone_name"))
     d = deploy.select(
         "deploy_id",
         F.lit(2881).alias("mysql_port"), F.lit(2882).alias("rpc_port"), F.lit(2886).alias("obshell_port"),
