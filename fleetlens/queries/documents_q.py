@@ -136,7 +136,16 @@ def q_host_docs(spark, sf):
     return D.render_host_docs(C.inventory(spark, sf), resolved(spark, sf), deploy_eff(spark, sf))
 
 
-@query("host_logs")
+@query(
+    "host_logs",
+    """WITH h AS (SELECT 'dep-' || CAST(op_id AS VARCHAR) || '-observer-1.ru-central1.internal' AS host, line_no, line
+                  FROM fx_op_line)
+       SELECT 'observer' AS role, replace(replace(replace(host, '.', '_'), '/', '_'), ':', '_') AS host_safe,
+              'observer-' || replace(replace(replace(host, '.', '_'), '/', '_'), ':', '_') || '.log' AS log_name,
+              line_no, line
+       FROM h""",
+    ("fx_op_line",),
+)
 def q_host_logs(spark, sf):
     lines = fixture(spark, sf, "fx_op_line").select(
         F.lit("observer").alias("role"),

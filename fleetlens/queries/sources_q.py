@@ -33,7 +33,18 @@ def _yaml_docs(spark, sf):
     return d.select("deploy_id", F.when(F.col("deploy_id") % 10 == 0, F.lit("")).otherwise(text).alias("doc"))
 
 
-@query("config_docs")
+@query(
+    "config_docs",
+    """SELECT deploy_id,
+              CASE WHEN deploy_id % 10 = 0 THEN NULL ELSE deploy_name END AS deploy_name,
+              CASE WHEN deploy_id % 10 = 0 THEN NULL ELSE zone END AS zone,
+              CASE WHEN deploy_id % 10 = 0 THEN NULL ELSE deploy_user END AS deploy_user,
+              CASE WHEN deploy_id % 10 = 0 THEN NULL ELSE auto_tune END AS auto_tune,
+              CASE WHEN deploy_id % 10 = 0 THEN NULL ELSE default_core_fraction END AS core_fraction,
+              false AS has_secret
+       FROM fx_deployment""",
+    ("fx_deployment",),
+)
 def q_config_docs(spark, sf):
     c = CF.read_config_docs(_yaml_docs(spark, sf))
     return c.select(

@@ -3,7 +3,9 @@
 ``scrape_windows`` is registered in its batch form (the oracle compares
 it); the streaming form is tested against it. ``readiness_stream`` and
 ``health_stream`` run their stream to completion and return the emitted
-rows (rows-only check; the tests compare them with the batch forms).
+rows; the health stream emits the state changes, which SQL can give (the
+oracle), the readiness stream is checked on rows only (tests compare it
+with the batch form).
 """
 
 from __future__ import annotations
@@ -31,6 +33,22 @@ def q_readiness_stream(spark, sf):
     return ST.run_to_table(ST.readiness_stream(ST.stream_fixture(spark, sf, "fx_status")), "readiness")
 
 
-@query("health_stream")
+@query(
+    "health_stream",
+    """WITH p AS (SELECT *, CASE WHEN lag(ok) OVER (PARTITION BY backend_id ORDER BY probe_no) IS DISTINCT FROM ok
+                                 THEN 1 ELSE 0 END AS chg FROM fx_probe),
+            r AS (SELECT *, sum(chg) OVER (PARTITION BY backend_id ORDER BY probe_no ROWS UNBOUNDED PRECEDING) AS run_id
+                  FROM p),
+            q AS (SELECT *, row_number() OVER (PARTITION BY backend_id, run_id ORDER BY probe_no) AS pos FROM r),
+            e AS (SELECT *, CASE WHEN NOT ok AND pos = 3 THEN 'down' WHEN ok AND pos = 2 THEN 'up' END AS ev FROM q),
+            s AS (SELECT backend_id, probe_no, ok,
+                         coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY backend_id ORDER BY probe_no
+                                                                    ROWS UNBOUNDED PRECEDING), 'up') AS state
+                  FROM e)
+       SELECT backend_id, probe_no, ok, state FROM (
+         SELECT *, coalesce(lag(state) OVER (PARTITION BY backend_id ORDER BY probe_no), 'up') AS prev FROM s)
+       WHERE state <> prev""",
+    ("fx_probe",),
+)
 def q_health_stream(spark, sf):
     return ST.run_to_table(ST.health_stream(ST.stream_fixture(spark, sf, "fx_probe")), "health")

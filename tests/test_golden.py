@@ -177,3 +177,25 @@ def test_result_table_parse(spark):
     assert r["NewOrder"].p99 == 3640 and r["TOTAL"].is_total and r["TOTAL"].p50 is None
     f = {x.key: (x.value, x.starred) for x in foot.collect()}
     assert f["tpmC"] == ("39489", True) and f["warehouses"] == ("3400", False) and f["efficiency"][0] == "90.31%"
+
+
+def test_approx_percentiles_within_rank_error(spark):
+    """#63 against the exact values: each approximate percentile is a value whose rank is
+    within n / accuracy of the wanted rank."""
+    from fleetlens.fixtures import fixture
+
+    tx = fixture(spark, "/root/testdata/sf0.01", "fx_tx")
+    acc = 100
+    approx = {(r.run_id, r.tx_type): r for r in B.tx_percentiles(tx, approx=True, accuracy=acc).collect()}
+    vals = {}
+    for r in tx.select("run_id", "tx_type", "latency_ms").collect():
+        vals.setdefault((r.run_id, r.tx_type), []).append(r.latency_ms)
+    for k, v in vals.items():
+        v.sort()
+        n = len(v)
+        for p, name in ((0.5, "p50"), (0.9, "p90"), (0.99, "p99")):
+            got = getattr(approx[k], name)
+            lo = sum(1 for x in v if x < got)
+            hi = sum(1 for x in v if x <= got)
+            want = p * n
+            assert lo - n / acc - 1 <= want <= hi + n / acc + 1, (k, name, got)
