@@ -62,3 +62,17 @@ def test_cluster_docs_one_per_deployment(spark, scratch):
     assert back.count() == fixture(spark, SF, "fx_deployment").count()
     comp = back.select(F.explode("components").alias("c")).select("c.component").distinct()
     assert {r[0] for r in comp.collect()} >= {"oceanbase-ce", "obagent", "ob-configserver"}
+
+
+def test_provisioning_and_validation_plans(spark):
+    from fleetlens.plans.provisioning import provisioning_plan
+    from fleetlens.plans.validation import validate
+
+    dep, prof, ali = (fixture(spark, SF, n) for n in ("fx_deployment", "fx_profile", "fx_role_alias"))
+    p = provisioning_plan(dep, prof, ali, fixture(spark, SF, "fx_instance"), fixture(spark, SF, "fx_disk"))
+    assert p["new"].count() + p["desired"].join(p["existing"].select("name").distinct(), "name", "left_semi").count() \
+        == p["desired"].count()
+    assert p["profile_rejects"].count() == 0
+    v = validate(dep, prof, ali, fixture(spark, SF, "fx_role_min"))
+    assert v["errors"].count() + v["warnings"].count() == v["issues"].count()
+    assert v["status"].count() == dep.count()
