@@ -261,9 +261,15 @@ def by_deployment(df: DataFrame, name) -> DataFrame:
     return df.where(F.col("label_deployment") == target)
 
 
-def orphan_disks(disks: DataFrame) -> DataFrame:
-    """#36 labelled disks with no instance and not being deleted."""
-    return disks.where(
+def orphan_disks(disks: DataFrame, deployment=None) -> DataFrame:
+    """#36 labelled disks with no instance and not being deleted.
+
+    ``deployment`` (a name or a Column, e.g. the deployment name joined in)
+    keeps the disks labelled with that deployment; without it every
+    labelled disk counts.
+    """
+    d = disks if deployment is None else by_deployment(disks, deployment)
+    return d.where(
         F.col("label_deployment").isNotNull()
         & (F.coalesce(F.size("instance_ids"), F.lit(0)) == 0)
         & ((F.col("status") != DELETING) | F.col("status").isNull())
@@ -271,13 +277,20 @@ def orphan_disks(disks: DataFrame) -> DataFrame:
 
 
 def disk_states(disks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """#25 state per disk name (latest row per name); with ``wanted`` absent names are ``missing``."""
+    """#25 state per disk name (latest row per name); with ``wanted`` absent names are ``missing``.
+
+    ``exists_strict`` is the strict lookup: a disk being deleted or without
+    an id counts as absent.
+    """
     last = latest_by_name(disks, "disk_id", ["disk_id", "status", "instance_ids"])
+    strict = F.col("disk_id").isNotNull() & (F.coalesce(F.col("status"), F.lit("")) != DELETING)
     if wanted is None:
-        return last.select("name", disk_state("status", "instance_ids").alias("state"))
+        return last.select("name", disk_state("status", "instance_ids").alias("state"), strict.alias("exists_strict"))
     w = wanted.select(F.col("disk_name").alias("name")).distinct()
     j = w.join(last.withColumn("_present", F.lit(True)), "name", "left")
-    return j.select("name", disk_state("status", "instance_ids", F.coalesce("_present", F.lit(False))).alias("state"))
+    present = F.coalesce("_present", F.lit(False))
+    return j.select("name", disk_state("status", "instance_ids", present).alias("state"),
+                    (present & strict).alias("exists_strict"))
 
 
 def delete_candidates(kv: DataFrame, instances: DataFrame, deploy: DataFrame) -> DataFrame:

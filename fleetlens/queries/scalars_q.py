@@ -94,9 +94,11 @@ def q_pick_ip(spark, sf):
 @query(
     "disk_state",
     f"""WITH {C.DISKS_CTE},
-        l AS (SELECT name, arg_max({{'status': status, 'n': len(instance_ids)}}, disk_id) AS s FROM disks GROUP BY name)
+        l AS (SELECT name, arg_max({{'status': status, 'n': len(instance_ids), 'id': disk_id}}, disk_id) AS s
+              FROM disks GROUP BY name)
         SELECT name, CASE WHEN s.status = 'DELETING' THEN 'deleting' WHEN coalesce(s.n, 0) > 0 THEN 'attached'
-                          ELSE 'orphan' END AS state
+                          ELSE 'orphan' END AS state,
+               s.id IS NOT NULL AND coalesce(s.status, '') <> 'DELETING' AS exists_strict
         FROM l""",
     ("fx_disk",),
 )
