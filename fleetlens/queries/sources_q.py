@@ -178,7 +178,9 @@ def q_disk_listing(spark, sf):
 @query("image_listing", "SELECT name, family, family_id FROM fx_image", ("fx_image",))
 def q_image_listing(spark, sf):
     i = fixture(spark, sf, "fx_image")
-    doc = i.agg(F.to_json(F.collect_list(F.struct("name", "family", "family_id"))).alias("doc"))
+    # image lists of up to ten images each (grouped by the last digit of the name)
+    doc = i.groupBy(F.substring("name", -1, 1).alias("doc_id")).agg(
+        F.to_json(F.collect_list(F.struct("name", "family", "family_id"))).alias("doc"))
     return L.image_rows(doc)
 
 
