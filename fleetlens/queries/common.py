@@ -2,29 +2,52 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..fixtures import fixture
 from ..operators import inventory as I
 from ..operators import profiles as P
+from ..session import session_key
+
+_SHARED: dict[tuple, object] = {}
+
+
+def shared(fn):
+    """Build a derived input once per session and scale factor (frames are immutable)."""
+
+    @functools.wraps(fn)
+    def wrapper(spark, sf):
+        key = (*session_key(spark), sf.rstrip("/"), fn.__module__, fn.__name__)
+        if key not in _SHARED:
+            _SHARED[key] = fn(spark, sf)
+        return _SHARED[key]
+
+    return wrapper
+
 
 # ---------------------------------------------------------------- Spark side
 
 
+@shared
 def profiles_with_role(spark, sf):
     return P.role_lookup(fixture(spark, sf, "fx_profile"), fixture(spark, sf, "fx_role_alias"))
 
 
+@shared
 def resolved_raw(spark, sf):
     prof = fixture(spark, sf, "fx_profile")
     return P.resolve_profiles(prof, fixture(spark, sf, "fx_deployment"), fixture(spark, sf, "fx_role_alias"),
                               keep_raw=True)[0]
 
 
+@shared
 def desired(spark, sf):
     return I.vm_queue(fixture(spark, sf, "fx_deployment"), profiles_with_role(spark, sf))
 
 
+@shared
 def disk_listing(spark, sf):
     """fx_disk with the attached instance as an ``instance_ids`` array, as listings give it."""
     d = fixture(spark, sf, "fx_disk")
@@ -33,6 +56,7 @@ def disk_listing(spark, sf):
     return d.withColumn("instance_ids", ids)
 
 
+@shared
 def inventory(spark, sf):
     return I.vm_inventory(desired(spark, sf), fixture(spark, sf, "fx_instance"), fixture(spark, sf, "fx_deployment"))
 

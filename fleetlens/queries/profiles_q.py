@@ -8,6 +8,7 @@ from ..catalog import query
 from ..fixtures import fixture
 from ..functions.scalars import merge_disk
 from ..operators import profiles as P
+from .common import shared
 
 FX = ("fx_profile", "fx_deployment", "fx_role_alias")
 
@@ -104,11 +105,13 @@ def inputs(spark, sf):
     )
 
 
+@shared
 def resolved(spark, sf):
     prof, dep, ali = inputs(spark, sf)
     return P.resolve_profiles(prof, dep, ali)[0]
 
 
+@shared
 def issues(spark, sf):
     prof, dep, ali = inputs(spark, sf)
     return P.audit_profiles(prof, dep, ali, fixture(spark, sf, "fx_role_min"))
