@@ -3,9 +3,10 @@
 ``scrape_windows`` is registered in its batch form (the oracle compares
 it); the streaming form is tested against it. ``readiness_stream`` and
 ``health_stream`` run their stream to completion and return the emitted
-rows; the health stream emits the state changes, which SQL can give (the
-oracle), the readiness stream is checked on rows only (tests compare it
-with the batch form).
+rows; both oracles give what one micro-batch over the whole table emits (the
+health state changes; per deployment ``ready`` or, once the watermark has
+passed first sight + 1 hour, ``timed_out``). Multi-batch runs are tested
+against the batch forms.
 """
 
 from __future__ import annotations
@@ -28,7 +29,22 @@ def q_scrape_windows(spark, sf):
     return ST.scrape_windows(fixture(spark, sf, "fx_metric"), every="6 hours")
 
 
-@query("readiness_stream")
+@query(
+    "readiness_stream",
+    """WITH l AS (SELECT deploy_id, resource_id, arg_max(status, seq) AS status FROM fx_status
+                  GROUP BY deploy_id, resource_id),
+            p AS (SELECT deploy_id, count(*) AS n_resources,
+                         count(*) FILTER (WHERE status NOT IN ('RUNNING', 'STOPPED')) AS pending
+                  FROM l GROUP BY deploy_id),
+            t AS (SELECT deploy_id, min(ts) AS first_seen, max(ts) AS last_seen FROM fx_status GROUP BY deploy_id),
+            g AS (SELECT max(ts) AS max_ts FROM fx_status)
+       SELECT p.deploy_id, p.n_resources, p.pending,
+              CASE WHEN p.pending = 0 THEN 'ready' ELSE 'timed_out' END AS state,
+              date_trunc('millisecond', t.first_seen) AS first_seen, date_trunc('millisecond', t.last_seen) AS last_seen
+       FROM p JOIN t ON p.deploy_id = t.deploy_id CROSS JOIN g
+       WHERE p.pending = 0 OR t.first_seen + INTERVAL 3600 SECOND < g.max_ts - INTERVAL 1 HOUR""",
+    ("fx_status",),
+)
 def q_readiness_stream(spark, sf):
     return ST.run_to_table(ST.readiness_stream(ST.stream_fixture(spark, sf, "fx_status")), "readiness")
 

@@ -68,51 +68,47 @@ def idle_sessions_stream(conns: DataFrame, gap: str = "24 hours", watermark: str
 
 # ---------------------------------------------------------------- readiness (#83)
 
-READINESS_OUT = ("deploy_id long, n_resources long, pending long, state string, first_seen timestamp, "
-                 "last_seen timestamp")
-READINESS_STATE = "res_ids array<long>, seqs array<long>, statuses array<string>, first_seen timestamp, last_seen timestamp"
+READINESS_OUT = "deploy_id long, n_resources long, pending long, state string, first_ms long, last_ms long"
+READINESS_STATE = "res_ids array<long>, seqs array<long>, statuses array<string>, first_ms long, last_ms long"
 
 
 def _readiness_fn(timeout_s: float):
     ready = set(READY_INSTANCE)
+    timeout_ms = int(timeout_s * 1000)
+
+    def row(deploy_id, n, pend, state, first, last):
+        return pd.DataFrame([{"deploy_id": deploy_id, "n_resources": n, "pending": pend, "state": state,
+                              "first_ms": first, "last_ms": last}])
 
     def fn(key, pdfs, state):
         (deploy_id,) = key
         if state.hasTimedOut:
             ids, seqs, sts, first, last = state.get
-            pend = sum(1 for s in sts if s not in ready)
             state.remove()
-            yield pd.DataFrame([{"deploy_id": deploy_id, "n_resources": len(ids), "pending": pend,
-                                 "state": "timed_out", "first_seen": first, "last_seen": last}])
+            yield row(deploy_id, len(ids), sum(1 for s in sts if s not in ready), "timed_out", first, last)
             return
+        batch = pd.concat(list(pdfs), ignore_index=True)
         if state.exists:
             ids, seqs, sts, first, last = state.get
             cur = pd.DataFrame({"resource_id": list(ids), "seq": list(seqs), "status": list(sts)})
+            first, last = min(first, int(batch["event_ms"].min())), max(last, int(batch["event_ms"].max()))
         else:
-            cur = pd.DataFrame({"resource_id": pd.Series(dtype="int64"), "seq": pd.Series(dtype="int64"),
-                                "status": pd.Series(dtype="object")})
-            first = last = None
-        batch = pd.concat(list(pdfs), ignore_index=True)
-        t_min, t_max = batch["event_ts"].min(), batch["event_ts"].max()
-        first = t_min if first is None else min(pd.Timestamp(first), t_min)
-        last = t_max if last is None else max(pd.Timestamp(last), t_max)
+            cur = batch.iloc[0:0][["resource_id", "seq", "status"]]
+            first, last = int(batch["event_ms"].min()), int(batch["event_ms"].max())
         allrows = pd.concat([cur, batch[["resource_id", "seq", "status"]]], ignore_index=True)
         latest = allrows.sort_values("seq").drop_duplicates("resource_id", keep="last")
         pend = int((~latest["status"].isin(ready)).sum())
         if pend == 0 and len(latest) > 0:
             state.remove()
-            yield pd.DataFrame([{"deploy_id": deploy_id, "n_resources": len(latest), "pending": 0,
-                                 "state": "ready", "first_seen": first, "last_seen": last}])
+            yield row(deploy_id, len(latest), 0, "ready", first, last)
             return
-        deadline = int(pd.Timestamp(first).timestamp() * 1000 + timeout_s * 1000)
+        deadline = first + timeout_ms
         if deadline <= state.getCurrentWatermarkMs():
             # the wait already ran out before these rows were seen
             state.remove()
-            yield pd.DataFrame([{"deploy_id": deploy_id, "n_resources": len(latest), "pending": pend,
-                                 "state": "timed_out", "first_seen": first, "last_seen": last}])
+            yield row(deploy_id, len(latest), pend, "timed_out", first, last)
             return
-        state.update((latest["resource_id"].tolist(), latest["seq"].tolist(), latest["status"].tolist(),
-                      pd.Timestamp(first).to_pydatetime(), pd.Timestamp(last).to_pydatetime()))
+        state.update((latest["resource_id"].tolist(), latest["seq"].tolist(), latest["status"].tolist(), first, last))
         state.setTimeoutTimestamp(deadline)
 
     return fn
@@ -123,11 +119,20 @@ def readiness_stream(status: DataFrame, timeout_s: float = 3600, watermark: str
     or ``timed_out`` once the watermark passes first sight + ``timeout_s``.
 
     State per deployment holds one entry per resource of that deployment.
+    Event times travel as epoch milliseconds, so the Python side never
+    depends on the session time zone; ``first_seen`` / ``last_seen`` come
+    back in the type of the input column.
     """
+    ts_type = status.schema["ts"].dataType.simpleString()
     s = event_time(status).withWatermark("event_ts", watermark).select(
-        "deploy_id", "resource_id", "seq", "status", "event_ts")
-    return s.groupBy("deploy_id").applyInPandasWithState(
+        "deploy_id", "resource_id", "seq", "status", "event_ts", F.unix_millis("event_ts").alias("event_ms"))
+    out = s.groupBy("deploy_id").applyInPandasWithState(
         _readiness_fn(timeout_s), READINESS_OUT, READINESS_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(
+        "deploy_id", "n_resources", "pending", "state",
+        F.timestamp_millis("first_ms").cast(ts_type).alias("first_seen"),
+        F.timestamp_millis("last_ms").cast(ts_type).alias("last_seen"),
+    )
 
 
 # ---------------------------------------------------------------- health (#84)
