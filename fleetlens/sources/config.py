@@ -14,7 +14,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The typed view of a deployment config that the operators read.
+# The section and key names of the deployment config files (their format),
+# as the typed view the operators read.
 DISK = "struct<enabled:boolean,type:string,size_gb:int,mount_point:string>"
 PROFILE = (
     "struct<enabled:boolean,dedicated:boolean,count:int,platform:string,cores:int,memory_gb:int,"
