@@ -52,8 +52,26 @@ def image_rows(docs: DataFrame, text_col: str = "doc", keep=()) -> DataFrame:
     return read_listing(docs, IMAGE_SCHEMA, text_col, keep).where(F.col("name").isNotNull())
 
 
+def element_schema(array_schema: str) -> str:
+    """``array<struct<...>>`` -> ``struct<...>`` (the schema of one listed resource)."""
+    assert array_schema.startswith("array<") and array_schema.endswith(">")
+    return array_schema[len("array<"):-1]
+
+
+def read_listing_lines(spark, path: str, schema: str) -> DataFrame:
+    """Large listings stored one resource per line (JSON lines): the files are split by
+    size and read in parallel, so no single document has to fit one task."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    return spark.read.schema(_parse_datatype_string(element_schema(schema))).json(path)
+
+
 def read_listing_files(spark, path: str, schema: str) -> DataFrame:
-    """Listing files (one JSON array per file) from a folder, read in parallel by file."""
+    """Listing files (one JSON array per file) from a folder, read in parallel by file.
+
+    Each file is one value decoded by one task; for listings too large for
+    that, store them as JSON lines and use :func:`read_listing_lines`.
+    """
     docs = spark.read.text(path, wholetext=True).withColumnRenamed("value", "doc").withColumn(
         "source_file", F.input_file_name())
     return read_listing(docs, schema, keep=("source_file",))

@@ -76,3 +76,24 @@ def test_provisioning_and_validation_plans(spark):
     v = validate(dep, prof, ali, fixture(spark, SF, "fx_role_min"))
     assert v["errors"].count() + v["warnings"].count() == v["issues"].count()
     assert v["status"].count() == dep.count()
+
+
+def test_listing_files_and_lines_agree(spark, scratch):
+    import json
+
+    from fleetlens.sources import listings as L
+
+    items = [{"id": str(i), "name": f"vm-{i}", "status": "RUNNING", "labels": {"deployment": "d"},
+              "network_interfaces": [{"primary_v4_address": {"address": f"10.0.0.{i}", "one_to_one_nat": None}}]}
+             for i in range(20)]
+    import os
+
+    os.makedirs(f"{scratch}/arr")
+    os.makedirs(f"{scratch}/lines")
+    with open(f"{scratch}/arr/a.json", "w") as f:
+        json.dump(items, f)
+    with open(f"{scratch}/lines/a.json", "w") as f:
+        f.write("\n".join(json.dumps(x) for x in items))
+    a = L.read_listing_files(spark, f"{scratch}/arr", L.INSTANCE_SCHEMA).select("name", "status")
+    b = L.read_listing_lines(spark, f"{scratch}/lines", L.INSTANCE_SCHEMA).select("name", "status")
+    assert a.count() == 20 and a.exceptAll(b).count() == 0
