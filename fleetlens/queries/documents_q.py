@@ -122,12 +122,12 @@ def q_profile_render(spark, sf):
     f"""WITH {BASE}
         SELECT v.deploy_id, v.name,
                concat_ws(chr(10), 'role=' || v.role,
-                         'deploy_user=' || coalesce(coalesce(nullif(nullif(d.deploy_user, ''), 'null'), d.ssh_user), ''),
+                         'deploy_user=' || coalesce(d.ssh_user, ''),
                          'data_disk_enabled=' || CAST(coalesce(r.data_enabled, false) AS VARCHAR),
                          'data_mount=' || coalesce(r.data_mount, '/data'),
                          'log_disk_enabled=' || CAST(coalesce(r.log_enabled, false) AS VARCHAR),
                          'log_mount=' || coalesce(r.log_mount, '/data/log1'),
-                         'data_dir=/data/1', 'redo_dir=/data/log1') AS doc
+                         'data_dir=', 'redo_dir=') AS doc
         FROM inv v LEFT JOIN resolved r ON v.deploy_id = r.deploy_id AND v.role = r.role
         LEFT JOIN fx_deployment d ON d.deploy_id = v.deploy_id""",
     INV_FX,

@@ -136,20 +136,27 @@ def read_profile_lines(lines: DataFrame) -> DataFrame:
 
 
 def render_host_docs(inv: DataFrame, resolved: DataFrame, deploy: DataFrame) -> DataFrame:
-    """The role marker text of each VM: role, user, disks and directories (8 ``key=value`` lines)."""
+    """The role marker text of each VM (8 ``key=value`` lines): role, the login user (the
+    ssh user), data / log disk flags and mounts from the role profile, and the data and
+    redo directories of the config (empty when the config has none)."""
+    from ..operators.profiles import col_or_null
+
     r = resolved.select("deploy_id", "role", "data_enabled", "data_mount", "log_enabled", "log_mount")
-    d = deploy.select("deploy_id", F.col("deploy_user_eff"))
+    d = deploy.select("deploy_id", col_or_null(deploy, "ssh_user", "string").alias("_user"),
+                      col_or_null(deploy, "data_dir", "string").alias("_data_dir"),
+                      col_or_null(deploy, "redo_dir", "string").alias("_redo_dir"))
     j = inv.join(r, ["deploy_id", "role"], "left").join(d, "deploy_id", "left")
     b = lambda c: F.lower(F.coalesce(F.col(c), F.lit(False)).cast("string"))
+    e = lambda c: F.coalesce(F.col(c), F.lit(""))
     lines = [
         F.concat(F.lit("role="), F.col("role")),
-        F.concat(F.lit("deploy_user="), F.coalesce("deploy_user_eff", F.lit(""))),
+        F.concat(F.lit("deploy_user="), e("_user")),
         F.concat(F.lit("data_disk_enabled="), b("data_enabled")),
         F.concat(F.lit("data_mount="), F.coalesce("data_mount", F.lit("/data"))),
         F.concat(F.lit("log_disk_enabled="), b("log_enabled")),
         F.concat(F.lit("log_mount="), F.coalesce("log_mount", F.lit("/data/log1"))),
-        F.lit("data_dir=/data/1"),
-        F.lit("redo_dir=/data/log1"),
+        F.concat(F.lit("data_dir="), e("_data_dir")),
+        F.concat(F.lit("redo_dir="), e("_redo_dir")),
     ]
     return j.select("deploy_id", "name", F.concat_ws("\n", *lines).alias("doc"))
 
