@@ -254,7 +254,8 @@ def q_vm_key(spark, sf):
     f"""WITH {RESOLVED_CTE}, {C.PR_CTE}, {C.DESIRED_CTE}, {C.INVENTORY_CTE}
         SELECT v.name,
                {C.host_sql('v.name', 'v.ip', 'v.zone')} || ':9100' AS exporter_target,
-               'http://' || v.ip || ':8080' AS site_url,
+               CASE WHEN v.role = 'observer' THEN {C.host_sql('v.name', 'v.ip', 'v.zone')} || ':8088' END AS agent_target,
+               CASE WHEN v.role = 'ocp' THEN 'http://' || v.ip || ':8080' END AS site_url,
                r.image_spec || ',name=' || v.name || '-boot,type=' || coalesce(r.boot_type, 'network-ssd')
                || ',size=' || CAST(coalesce(r.boot_size_gb, 50) AS VARCHAR) || 'G,auto-delete=true' AS boot_disk_spec
         FROM inv v JOIN resolved r ON v.deploy_id = r.deploy_id AND v.role = r.role""",

@@ -178,13 +178,17 @@ def write_host_logs(lines: DataFrame, path: str) -> None:
 
 
 def endpoint_text(inv: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Exporter target ``host:port``, management site URL, boot-disk spec per VM."""
+    """Per VM: exporter target ``host:port`` (every host), agent target (observers), the
+    management site URL (management servers) and the boot-disk spec text."""
     r = resolved.select("deploy_id", "role", "image_spec", "boot_type", "boot_size_gb")
     j = inv.join(r, ["deploy_id", "role"])
+    host = host_address("name", "ip", "zone")
     return j.select(
         "name",
-        F.concat(host_address("name", "ip", "zone"), F.lit(f":{NODE_EXPORTER_PORT}")).alias("exporter_target"),
-        F.concat(F.lit("http://"), F.col("ip"), F.lit(f":{MGMT_PORT}")).alias("site_url"),
+        F.concat(host, F.lit(f":{NODE_EXPORTER_PORT}")).alias("exporter_target"),
+        F.when(F.col("role") == "observer", F.concat(host, F.lit(f":{AGENT_PORT}"))).alias("agent_target"),
+        F.when(F.col("role") == "ocp", F.concat(F.lit("http://"), F.col("ip"), F.lit(f":{MGMT_PORT}")))
+        .alias("site_url"),
         F.format_string("%s,name=%s-boot,type=%s,size=%sG,auto-delete=true", F.col("image_spec"), F.col("name"),
                         F.coalesce("boot_type", F.lit("network-ssd")),
                         F.coalesce(F.col("boot_size_gb"), F.lit(50)).cast("string")).alias("boot_disk_spec"),
