@@ -54,8 +54,13 @@ def merge_disk(base: dict[str, Column], over: dict[str, Column]) -> Column:
 
 
 def merge_open_maps(base: Column, over: Column) -> Column:
-    """#16 for open key sets (map columns): override value unless NULL, keys of both."""
-    return F.map_zip_with(base, over, lambda k, b, o: F.coalesce(o, b))
+    """#16 for open key sets (map columns): override value unless NULL, keys of both.
+
+    A key that only the override has, with a NULL value, is skipped (it is
+    not added), as the merge skips NULL overrides.
+    """
+    merged = F.map_zip_with(base, over, lambda k, b, o: F.coalesce(o, b))
+    return F.map_filter(merged, lambda k, v: v.isNotNull() | F.map_contains_key(base, k))
 
 
 def image_spec(profile_folder, profile_name, profile_family, deploy_folder, deploy_name, deploy_family) -> Column:

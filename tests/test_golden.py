@@ -199,3 +199,29 @@ def test_approx_percentiles_within_rank_error(spark):
             hi = sum(1 for x in v if x <= got)
             want = p * n
             assert lo - n / acc - 1 <= want <= hi + n / acc + 1, (k, name, got)
+
+
+def test_config_get_rules(spark):
+    from fleetlens.sources.config import config_get
+
+    doc = '{"a": {"b": true, "c": null, "n": 22, "s": "x"}, "e": ""}'
+    df = spark.createDataFrame([(doc,)], "doc string")
+    got = df.select(*[config_get("doc", p).alias(str(i)) for i, p in
+                      enumerate(["a.b", "a.c", "a..n", "a.s", "a.missing", "a.s.deeper", "e", ".a.n."])]).collect()[0]
+    assert tuple(got) == ("true", "", "22", "x", "", "", "", "22")
+
+
+def test_merge_open_maps(spark):
+    df = spark.createDataFrame([({"type": "ssd", "size": "10"}, {"size": "20", "mount": None, "extra": "y"})],
+                               "b map<string,string>, o map<string,string>")
+    got = df.select(S.merge_open_maps(F.col("b"), F.col("o")).alias("m")).collect()[0].m
+    assert got == {"type": "ssd", "size": "20", "extra": "y"}
+
+
+def test_pick_ip_order(spark):
+    rows = [([("", "1.1.1.1"), ("10.0.0.2", None)],), ([(None, None), (None, "2.2.2.2")],), ([],)]
+    schema = "ifs array<struct<a:string,n:string>>"
+    df = spark.createDataFrame(rows, schema).select(F.transform("ifs", lambda x: F.struct(
+        F.struct(x["a"].alias("address"), F.struct(x["n"].alias("address")).alias("one_to_one_nat"))
+        .alias("primary_v4_address"))).alias("ifs"))
+    assert [r[0] for r in df.select(S.pick_ip("ifs")).collect()] == ["1.1.1.1", "2.2.2.2", ""]
