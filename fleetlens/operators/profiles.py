@@ -247,9 +247,15 @@ def audit_profiles(profiles: DataFrame, deploy: DataFrame, aliases: DataFrame, m
         issue(data_on & F.coalesce(F.col("log_enabled"), F.lit(False)) & (ltype != IO_M3), "log_disk_type", "WARN",
               txt("observer log_disk.type=", ltype)),
     )
-    return r.select("deploy_id", "role", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("i")).select(
+    found = r.select("deploy_id", "role", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("i")).select(
         "deploy_id", "role", "i.rule", "i.severity", "i.message"
     )
+    # a config without an observer profile reads as observer count 0
+    no_observer = deploy.select("deploy_id").join(
+        resolved.where(F.col("role") == "observer").select("deploy_id"), "deploy_id", "left_anti"
+    ).select("deploy_id", F.lit("observer").alias("role"), F.lit("observer_count").alias("rule"),
+             F.lit("WARN").alias("severity"), F.lit("observer.count=0 < 3").alias("message"))
+    return found.unionByName(no_observer)
 
 
 def route_issues(issues: DataFrame) -> tuple[DataFrame, DataFrame]:

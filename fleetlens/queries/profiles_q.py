@@ -70,6 +70,9 @@ issues AS (
          'observer.count=' || CAST(coalesce(raw_count, 0) AS VARCHAR) || ' < 3' AS message
   FROM resolved WHERE role = 'observer' AND coalesce(raw_count, 0) < 3
   UNION ALL
+  SELECT deploy_id, 'observer', 'observer_count', 'WARN', 'observer.count=0 < 3' FROM fx_deployment
+  WHERE deploy_id NOT IN (SELECT deploy_id FROM resolved WHERE role = 'observer')
+  UNION ALL
   SELECT r.deploy_id, r.role, 'min_cores', 'ERROR',
          r.role || ': cores=' || CAST(r.cores AS VARCHAR) || ' < ' || CAST(m.min_cores AS VARCHAR)
   FROM resolved r JOIN mins m ON r.role = m.role

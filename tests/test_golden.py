@@ -225,3 +225,12 @@ def test_pick_ip_order(spark):
         F.struct(x["a"].alias("address"), F.struct(x["n"].alias("address")).alias("one_to_one_nat"))
         .alias("primary_v4_address"))).alias("ifs"))
     assert [r[0] for r in df.select(S.pick_ip("ifs")).collect()] == ["1.1.1.1", "2.2.2.2", ""]
+
+
+def test_audit_without_observer_profile(spark):
+    dep = spark.createDataFrame([(1, "standard-v3", 100)], "deploy_id long, default_platform string, default_core_fraction int")
+    prof = spark.createDataFrame([(1, "obproxy", 2, 1, 2)], "deploy_id long, role_in string, vm_count int, cores int, memory_gb int")
+    issues = P.audit_profiles(prof, dep, P.alias_frame(spark), P.minimum_frame(spark)).collect()
+    rules = sorted((r.role, r.rule, r.severity) for r in issues)
+    assert rules == [("obproxy", "min_cores", "ERROR"), ("obproxy", "min_memory", "ERROR"),
+                     ("observer", "observer_count", "WARN")]
