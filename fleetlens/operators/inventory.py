@@ -498,7 +498,7 @@ def feature_flags(deploy: DataFrame, resolved: DataFrame) -> DataFrame:
     p = resolved.groupBy("deploy_id").agg(
         F.bool_or((F.col("role") == "monitoring") & F.coalesce(F.col("_raw_enabled"), F.lit(False))).alias("_mon_vm"),
         F.bool_or((F.col("role") == "ocp") & F.coalesce(F.col("_raw_enabled"), F.lit(False))).alias("_ocp_vm"),
-        F.max(F.when(F.col("role") == "observer", F.col("vm_count"))).alias("_obs"),
+        F.max(F.when(F.col("role") == "observer", F.col("_raw_count"))).alias("_obs"),
     )
     j = deploy.join(p, "deploy_id", "left")
     mon_vm = F.coalesce(F.col("_mon_vm"), F.lit(False))

@@ -30,7 +30,7 @@ def flags(spark, sf):
 FLAGS_CTE = """pf AS (SELECT deploy_id,
                     bool_or(role = 'monitoring' AND coalesce(raw_enabled, false)) AS mon_vm,
                     bool_or(role = 'ocp' AND coalesce(raw_enabled, false)) AS ocp_vm,
-                    max(CASE WHEN role = 'observer' THEN vm_count END) AS obs
+                    max(CASE WHEN role = 'observer' THEN raw_count END) AS obs
              FROM resolved GROUP BY deploy_id),
 flags AS (SELECT d.deploy_id,
                  coalesce(d.ocp_enabled, false) AND coalesce(pf.ocp_vm, false) AS management,
