@@ -17,7 +17,6 @@ from ..functions.scalars import (
     disk_state,
     host_address,
     internal_fqdn,
-    name_index,
     op_line_class,
     vm_key,
 )

@@ -50,18 +50,6 @@ IO_M3 = "network-ssd-io-m3"
 
 DISKS = ("boot", "data", "log")
 DISK_FIELDS = {"enabled": "boolean", "type": "string", "size_gb": "int", "mount": "string"}
-PROFILE_FIELDS = {
-    "vm_count": "int",
-    "enabled": "boolean",
-    "dedicated": "boolean",
-    "platform": "string",
-    "cores": "int",
-    "memory_gb": "int",
-    "core_fraction": "int",
-    "image_folder_id": "string",
-    "image_name": "string",
-    "image_family": "string",
-}
 
 
 def alias_frame(spark: SparkSession) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import host_address, host_log_name
-from ..operators.inventory import SECTION_ORDER, cluster_hosts, server_name_col, server_positions, zone_col
+from ..operators.inventory import cluster_hosts, server_name_col, server_positions, zone_col
 
 # Roles in queue order, with their inventory key prefix.
 QUEUE_ORDER = [("observer", "OBSERVER", 1), ("obproxy", "OBPROXY", 2), ("configserver", "CONFIGSERVER", 3),
