@@ -73,11 +73,18 @@ def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
     ap.add_argument("--show", action="store_true")
+    ap.add_argument("--plain", action="store_true", help="a bare local[*] session, as a driver would make")
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
     reg = load_all()
     names = a.names or sorted(reg)
-    spark = local_session()
+    if a.plain:
+        from pyspark.sql import SparkSession
+
+        spark = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
+                 .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate())
+    else:
+        spark = local_session()
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
     for t in TABLES:
