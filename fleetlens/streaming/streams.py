@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.inventory import READY_INSTANCE
 from ..session import ensure_checkpoint_dir
@@ -114,20 +115,108 @@ def _readiness_fn(timeout_s: float):
     return fn
 
 
-def readiness_stream(status: DataFrame, timeout_s: float = 3600, watermark: str = WATERMARK) -> DataFrame:
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class ReadinessProcessor(StatefulProcessor):
+    """#83 with per-resource state: a map resource -> (seq, status) and a running
+    pending counter per deployment, so a batch touches only the resources it
+    carries (no whole-deployment state is loaded), and an event-time timer for
+    the timeout."""
+
+    def __init__(self, timeout_s: float):
+        self.timeout_ms = int(timeout_s * 1000)
+        self.ready = set(READY_INSTANCE)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.summary = handle.getValueState(
+            "summary", "n long, pending long, first_ms long, last_ms long, deadline long")
+        self.resources = handle.getMapState("resources", "resource_id long", "seq long, status string")
+
+    def _row(self, deploy_id, n, pend, state, first, last):
+        return pd.DataFrame([{"deploy_id": deploy_id, "n_resources": n, "pending": pend, "state": state,
+                              "first_ms": first, "last_ms": last}])
+
+    def _finish(self):
+        self.resources.clear()
+        self.summary.clear()
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+
+    def handleInputRows(self, key, rows, timerValues):
+        (deploy_id,) = key
+        batch = pd.concat(list(rows), ignore_index=True)
+        latest = batch.sort_values("seq").drop_duplicates("resource_id", keep="last")
+        if self.summary.exists():
+            n, pend, first, last, deadline = self.summary.get()
+        else:
+            n, pend, first, last, deadline = 0, 0, None, None, None
+        bmin, bmax = int(batch["event_ms"].min()), int(batch["event_ms"].max())
+        first = bmin if first is None else min(first, bmin)
+        last = bmax if last is None else max(last, bmax)
+        for rid, seq, status in zip(latest["resource_id"], latest["seq"], latest["status"]):
+            k = (int(rid),)
+            if self.resources.containsKey(k):
+                old_seq, old_status = self.resources.getValue(k)
+                if old_seq >= seq:
+                    continue
+                pend -= old_status not in self.ready
+            else:
+                n += 1
+            pend += status not in self.ready
+            self.resources.updateValue(k, (int(seq), str(status)))
+        if pend == 0 and n > 0:
+            self._finish()
+            yield self._row(deploy_id, n, 0, "ready", first, last)
+            return
+        if deadline is None:
+            deadline = first + self.timeout_ms
+            if deadline <= timerValues.getCurrentWatermarkInMs():
+                self._finish()
+                yield self._row(deploy_id, n, pend, "timed_out", first, last)
+                return
+            self.handle.registerTimer(deadline)
+        self.summary.update((n, pend, first, last, deadline))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        (deploy_id,) = key
+        if self.summary.exists():
+            n, pend, first, last, _ = self.summary.get()
+            self._finish()
+            yield self._row(deploy_id, n, pend, "timed_out", first, last)
+
+    def close(self) -> None:
+        pass
+
+
+def readiness_stream(status: DataFrame, timeout_s: float = 3600, watermark: str = WATERMARK,
+                     engine: str | None = None) -> DataFrame:
     """#83 per deployment: latest status per resource; emits ``ready`` when nothing is pending,
     or ``timed_out`` once the watermark passes first sight + ``timeout_s``.
 
-    State per deployment holds one entry per resource of that deployment.
-    Event times travel as epoch milliseconds, so the Python side never
-    depends on the session time zone; ``first_seen`` / ``last_seen`` come
-    back in the type of the input column.
+    With the RocksDB state store the per-resource form runs
+    (``transformWithStateInPandas``: map state per resource, a pending
+    counter, an event-time timer); with another state store the same rows
+    come from ``applyInPandasWithState`` keeping the resources of a
+    deployment in one state value. Event times travel as epoch
+    milliseconds, so the Python side never depends on the session time
+    zone; ``first_seen`` / ``last_seen`` come back in the input column's type.
+    ``engine`` ("map_state" or "grouped") overrides the choice.
     """
+    spark = status.sparkSession
     ts_type = status.schema["ts"].dataType.simpleString()
     s = event_time(status).withWatermark("event_ts", watermark).select(
         "deploy_id", "resource_id", "seq", "status", "event_ts", F.unix_millis("event_ts").alias("event_ms"))
-    out = s.groupBy("deploy_id").applyInPandasWithState(
-        _readiness_fn(timeout_s), READINESS_OUT, READINESS_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    if engine is None:
+        provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
+        engine = "map_state" if provider == ROCKSDB else "grouped"
+    if engine == "map_state":
+        out = s.groupBy("deploy_id").transformWithStateInPandas(
+            ReadinessProcessor(timeout_s), READINESS_OUT, "Append", "EventTime")
+    else:
+        out = s.groupBy("deploy_id").applyInPandasWithState(
+            _readiness_fn(timeout_s), READINESS_OUT, READINESS_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return out.select(
         "deploy_id", "n_resources", "pending", "state",
         F.timestamp_millis("first_ms").cast(ts_type).alias("first_seen"),

@@ -100,3 +100,14 @@ def test_stateless_rules_on_streams(spark, scratch):
                                  10 * 86400), scratch, "window")
     assert win.count() == B.measured_window(fixture(spark, SF, "fx_tx"), dt.datetime(2024, 1, 1), 5 * 86400,
                                             10 * 86400).count()
+
+
+def test_readiness_engines_agree(spark, scratch):
+    folder, schema = _split_events(spark, scratch)
+    rows = {}
+    for engine in ("map_state", "grouped"):
+        st = ST.readiness_stream(_stream_fx(spark, folder, schema, "fx_status"), timeout_s=5 * 86400, engine=engine)
+        rows[engine] = _run(st, scratch, f"ready_{engine}")
+    a, b = rows["map_state"], rows["grouped"]
+    assert a.count() == b.count() > 0
+    assert a.exceptAll(b).count() == 0
