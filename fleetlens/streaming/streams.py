@@ -7,9 +7,12 @@ Stateful rules keep per-key state between micro-batches:
 
 * #87 scrape windows and #86 idle sessions use Spark's own windowed
   aggregations with a watermark that bounds the state;
-* #83 readiness and #84 health checks keep small per-key state with
+* #83 readiness keeps one map entry per resource, a pending counter and an
+  event-time timer per deployment (``transformWithStateInPandas`` on the
+  RocksDB state store; ``applyInPandasWithState`` with other stores);
+* #84 health checks keep a small state per backend with
   ``applyInPandasWithState``; each key's rows of a micro-batch are worked
-  as one pandas frame (vectorised), never row by row across the stream.
+  as one pandas frame (vectorised).
 
 Event times of the fixtures are TIMESTAMP_NTZ; watermarks need TIMESTAMP,
 so streams cast with the session time zone (UTC in our sessions).
