@@ -234,3 +234,13 @@ def test_audit_without_observer_profile(spark):
     rules = sorted((r.role, r.rule, r.severity) for r in issues)
     assert rules == [("obproxy", "min_cores", "ERROR"), ("obproxy", "min_memory", "ERROR"),
                      ("observer", "observer_count", "WARN")]
+
+
+def test_measured_window_per_run_start(spark):
+    rows = [(0, dt.datetime(2024, 1, 1, 0, 4, 59)), (0, dt.datetime(2024, 1, 1, 0, 5, 0)),
+            (1, dt.datetime(2024, 1, 1, 1, 5, 0)), (1, dt.datetime(2024, 1, 1, 1, 15, 0))]
+    tx = spark.createDataFrame(rows, "run_id int, ts timestamp_ntz")
+    starts = spark.createDataFrame([(0, dt.datetime(2024, 1, 1, 0, 0)), (1, dt.datetime(2024, 1, 1, 1, 0))],
+                                   "run_id int, start timestamp_ntz")
+    w = B.measured_window(tx.join(starts, "run_id"), F.col("start"), 300, 600)
+    assert sorted((r.run_id, r.ts.minute) for r in w.collect()) == [(0, 5), (1, 5)]
