@@ -160,8 +160,9 @@ class ReadinessProcessor(StatefulProcessor):
         last = bmax if last is None else max(last, bmax)
         for rid, seq, status in zip(latest["resource_id"], latest["seq"], latest["status"]):
             k = (int(rid),)
-            if self.resources.containsKey(k):
-                old_seq, old_status = self.resources.getValue(k)
+            old = self.resources.getValue(k)  # None for a resource not seen before
+            if old is not None:
+                old_seq, old_status = old
                 if old_seq >= seq:
                     continue
                 pend -= old_status not in self.ready
