@@ -3,21 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def dependency_closure(edges: DataFrame) -> DataFrame:
+def component_edges(components: DataFrame, edges: DataFrame, keys=("deploy_id",)) -> DataFrame:
+    """The dependency edges of the components each deployment runs.
+
+    ``components``: ``(keys, component)``; ``edges``: the product's
+    ``component -> depends_on`` table (a fixed handful of rows, broadcast).
+    """
+    c = components.select(*keys, "component").distinct()
+    return c.join(F.broadcast(edges.select("component", "depends_on")), "component").select(
+        *keys, "component", "depends_on")
+
+
+def dependency_closure(edges: DataFrame, keys=()) -> DataFrame:
     """All direct and indirect dependencies of each component, with the depth of the
-    longest path (components start in increasing depth).
+    longest path (components start in increasing depth), per ``keys`` group.
 
-    Spark's recursive CTE iterates the join until no new rows appear; the
-    edge table is the set of components of one product, so it is small.
+    Spark's recursive CTE iterates the join (on the keys and the edge end)
+    until no new rows appear; the number of iterations is the longest chain
+    of the product's components. The edges are read by every iteration, so
+    they are persisted (memory, then disk) instead of being recomputed from
+    their sources each time.
     """
+    from pyspark import StorageLevel
+
+    k = list(keys)
+    edges = edges.select(*k, "component", "depends_on").persist(StorageLevel.MEMORY_AND_DISK)
     spark = edges.sparkSession
+    cols = ", ".join([*k, "component", "depends_on"])
+    on = " AND ".join([*(f"c.{x} = e.{x}" for x in k), "c.depends_on = e.component"])
+    sel_k = "".join(f"c.{x}, " for x in k)
     return spark.sql(
-        """WITH RECURSIVE c(component, depends_on, depth) AS (
-             SELECT component, depends_on, 1 FROM {edges}
-             UNION ALL
-             SELECT c.component, e.depends_on, c.depth + 1 FROM c JOIN {edges} e ON c.depends_on = e.component)
-           SELECT component, depends_on, max(depth) AS depth FROM c GROUP BY component, depends_on""",
+        f"""WITH RECURSIVE c({cols}, depth) AS (
+              SELECT {cols}, 1 FROM {{edges}}
+              UNION ALL
+              SELECT {sel_k}c.component, e.depends_on, c.depth + 1 FROM c JOIN {{edges}} e ON {on})
+            SELECT {cols}, max(depth) AS depth FROM c GROUP BY {cols}""",
         edges=edges,
     )

@@ -193,10 +193,7 @@ def q_server_overrides(spark, sf):
     return D.server_overrides(C.inventory(spark, sf), fixture(spark, sf, "fx_deployment"))
 
 
-@query(
-    "component_placement",
-    f"""WITH {BASE}, {FLAGS_CTE},
-        v AS (SELECT deploy_id, role, idx, nullif(ip, '') AS ip FROM inv),
+PLACEMENT_CTES = f"""v AS (SELECT deploy_id, role, idx, nullif(ip, '') AS ip FROM inv),
         fs AS (SELECT deploy_id,
                       max(CASE WHEN role = 'observer' AND idx = 1 THEN ip END) AS obs1,
                       max(CASE WHEN role = 'configserver' AND idx = 1 THEN ip END) AS cs1,
@@ -211,7 +208,8 @@ def q_server_overrides(spark, sf):
                FROM pr GROUP BY deploy_id),
         g AS (SELECT fs.*, pp.cs_ded, pp.mon_vm, fl.prometheus, fl.grafana, fl.management,
                      coalesce(pp.mon_vm, false) AND fs.n_mon > 0 AS mon_here
-              FROM fs LEFT JOIN pp ON fs.deploy_id = pp.deploy_id LEFT JOIN flags fl ON fs.deploy_id = fl.deploy_id)
+              FROM fs LEFT JOIN pp ON fs.deploy_id = pp.deploy_id LEFT JOIN flags fl ON fs.deploy_id = fl.deploy_id),
+placement AS (
         SELECT deploy_id, CASE WHEN role = 'observer' THEN 'oceanbase-ce' ELSE 'obproxy-ce' END AS component, idx, ip
         FROM v WHERE role IN ('observer', 'obproxy')
         UNION ALL SELECT deploy_id, 'obagent', idx, ip FROM v WHERE role = 'observer'
@@ -222,8 +220,33 @@ def q_server_overrides(spark, sf):
         UNION ALL SELECT deploy_id, 'grafana', 1, CASE WHEN mon_here OR mon1 IS NOT NULL THEN mon1 ELSE obs1 END FROM g
                   WHERE coalesce(grafana, false)
         UNION ALL SELECT deploy_id, 'ocp-server-ce', 1, CASE WHEN n_ocp > 0 THEN ocp1 END FROM g
-                  WHERE coalesce(management, false)""",
-    INV_FX,
-)
+                  WHERE coalesce(management, false))"""
+
+
+@query("component_placement", f"WITH {BASE}, {FLAGS_CTE}, {PLACEMENT_CTES} SELECT * FROM placement", INV_FX)
 def q_component_placement(spark, sf):
     return D.component_placement(C.inventory(spark, sf), flags(spark, sf), C.profiles_with_role(spark, sf))
+
+
+@query(
+    "component_closure",
+    f"""WITH RECURSIVE {BASE}, {FLAGS_CTE}, {PLACEMENT_CTES},
+        comps AS (SELECT DISTINCT deploy_id, component FROM placement),
+        e AS (SELECT c.deploy_id, x.component, x.depends_on FROM comps c JOIN fx_component_edge x
+                ON x.component = c.component),
+        cl(deploy_id, component, depends_on, depth) AS (
+          SELECT deploy_id, component, depends_on, 1 FROM e
+          UNION ALL
+          SELECT cl.deploy_id, cl.component, e.depends_on, cl.depth + 1 FROM cl JOIN e
+            ON cl.deploy_id = e.deploy_id AND cl.depends_on = e.component)
+        SELECT deploy_id, component, depends_on, max(depth) AS depth FROM cl
+        GROUP BY deploy_id, component, depends_on""",
+    INV_FX + ("fx_component_edge",),
+)
+def q_component_closure(spark, sf):
+    """#50 per deployment: the dependency closure of the components it runs."""
+    from ..operators import graph as G
+
+    placement = D.component_placement(C.inventory(spark, sf), flags(spark, sf), C.profiles_with_role(spark, sf))
+    edges = G.component_edges(placement, fixture(spark, sf, "fx_component_edge"))
+    return G.dependency_closure(edges, keys=("deploy_id",))

@@ -1,4 +1,4 @@
-"""Window / ordered queries."""
+"""Window / ordered queries."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..fixtures import fixture
-from ..operators import graph as G
 from ..operators import inventory as I
 from . import common as C
 from .inventory_q import JOBS_SQL, jobs
@@ -105,16 +104,3 @@ def q_retry_budget(spark, sf):
 )
 def q_ready_after(spark, sf):
     return I.ready_after(fixture(spark, sf, "fx_status"))
-
-
-@query(
-    "component_closure",
-    """WITH RECURSIVE c(component, depends_on, depth) AS (
-          SELECT component, depends_on, 1 FROM fx_component_edge
-          UNION ALL
-          SELECT c.component, e.depends_on, c.depth + 1 FROM c JOIN fx_component_edge e ON c.depends_on = e.component)
-       SELECT component, depends_on, max(depth) AS depth FROM c GROUP BY component, depends_on""",
-    ("fx_component_edge",),
-)
-def q_component_closure(spark, sf):
-    return G.dependency_closure(fixture(spark, sf, "fx_component_edge"))
