@@ -27,10 +27,11 @@ def assign_round_robin(conns: DataFrame, n: int = DEFAULT_BACKENDS, by: tuple[st
                        order=("ts", "conn_id"), chunk: Column | None = None) -> DataFrame:
     """#68 new connections go to backends ``0..n-1`` in arrival order, per front end ``by``.
 
-    ``chunk`` (default: the hour of ``ts``) splits the arrival order so that
-    no task has to hold a whole front end.
+    ``chunk`` (default: the minute of ``ts``) splits the arrival order so
+    that no task has to hold a whole front end; only the per-chunk counts
+    (one row per minute) are ordered in one window.
     """
-    ch = chunk if chunk is not None else F.date_trunc("hour", F.col(order[0]))
+    ch = chunk if chunk is not None else F.date_trunc("minute", F.col(order[0]))
     seq = ordered_index(conns, list(order), ch, by, out="_seq")
     return seq.withColumn("backend", F.pmod(F.col("_seq") - 1, F.lit(n))).drop("_seq")
 
@@ -120,14 +121,14 @@ def idle_sessions(conns: DataFrame, gap: str = IDLE_GAP, key: str = "client_ip",
     more after the previous one starts a new session; the session ends
     ``gap`` after its last connection), computed so that one very busy
     client is not one task: the client's connections are cut into chunks of
-    time (``chunk``, default the day), each chunk finds its session starts
+    time (``chunk``, default the hour), each chunk finds its session starts
     with the last time of the previous chunk carried in, and the running
     session start is carried across chunks with windows over one row per
     chunk. The final grouping by (client, session start) is an ordinary
     partial aggregation. The streaming form is
     :func:`fleetlens.streaming.streams.idle_sessions_stream`.
     """
-    ch = chunk if chunk is not None else F.date_trunc("day", F.col(ts))
+    ch = chunk if chunk is not None else F.date_trunc("hour", F.col(ts))
     d = conns.select(key, ts).withColumn("_chunk", ch)
     within = Window.partitionBy(key, "_chunk").orderBy(ts)
     running = within.rowsBetween(Window.unboundedPreceding, 0)
