@@ -123,7 +123,7 @@ def tx_percentiles(
     lat = F.col("latency_ms")
     if bucket == "pow2":
         lat = pow2_bucket(lat)
-    names = [f"p{int(round(p * 100))}" for p in percentiles]
+    names = ["p" + format(p * 100, "g").replace(".", "_") for p in percentiles]  # p50, p90, p99, p99_9
     if approx:
         arr = F.percentile_approx(lat, list(percentiles), accuracy)
         out = tx.groupBy(*keys, "tx_type").agg(arr.alias("_p"))
