@@ -23,14 +23,17 @@ def dependency_closure(edges: DataFrame, keys=()) -> DataFrame:
 
     Spark's recursive CTE iterates the join (on the keys and the edge end)
     until no new rows appear; the number of iterations is the longest chain
-    of the product's components. The edges are read by every iteration, so
-    they are persisted (memory, then disk) instead of being recomputed from
-    their sources each time.
+    of the product's components. Every iteration reads the edges, so they
+    are written once to the shared checkpoint folder (``checkpoint()``,
+    which also cuts their lineage): an iteration - or a task retried after
+    an executor loss - reads that copy instead of recomputing the
+    edges from their sources.
     """
-    from pyspark import StorageLevel
+    from ..session import ensure_checkpoint_dir
 
     k = list(keys)
-    edges = edges.select(*k, "component", "depends_on").persist(StorageLevel.MEMORY_AND_DISK)
+    ensure_checkpoint_dir(edges.sparkSession)
+    edges = edges.select(*k, "component", "depends_on").checkpoint(eager=True)
     spark = edges.sparkSession
     cols = ", ".join([*k, "component", "depends_on"])
     on = " AND ".join([*(f"c.{x} = e.{x}" for x in k), "c.depends_on = e.component"])
