@@ -65,3 +65,67 @@ def test_round_robin_chunking_does_not_matter(spark):
     a = X.assign_round_robin(conns, 3, chunk=F.date_trunc("minute", "ts"))
     b = X.assign_round_robin(conns, 3, chunk=F.lit(0))
     assert a.exceptAll(b).count() == 0
+
+
+def _health_reference(oks, fall=3, rise=2):
+    """The state machine probe by probe (the sequential definition)."""
+    state, run_val, run_len, out = "up", None, 0, []
+    for ok in oks:
+        run_len = run_len + 1 if ok == run_val else 1
+        run_val = ok
+        if not ok and run_len == fall:
+            state = "down"
+        elif ok and run_len == rise:
+            state = "up"
+        out.append(state)
+    return out
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.lists(st.booleans(), min_size=1, max_size=40), min_size=1, max_size=3),
+       st.integers(min_value=1, max_value=7), st.integers(min_value=1, max_value=3))
+def test_health_state_matches_sequential_definition(spark, backends, chunk, gap):
+    rows, want = [], {}
+    for b, oks in enumerate(backends):
+        nos = [i * gap for i in range(len(oks))]  # probe numbers with gaps
+        rows += [(b, n, ok) for n, ok in zip(nos, oks)]
+        want.update({(b, n): s for n, s in zip(nos, _health_reference(oks))})
+    df = spark.createDataFrame(rows, "backend_id int, probe_no long, ok boolean")
+    got = {(r.backend_id, r.probe_no): r.state for r in X.health_state(df, chunk_size=chunk).collect()}
+    assert got == want
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.integers(min_value=0, max_value=5000), min_size=1, max_size=60), st.integers(2, 5))
+def test_round_robin_matches_sequential_definition(spark, seconds, n):
+    import datetime as dt
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(seconds=s)) for i, s in enumerate(seconds)]
+    df = spark.createDataFrame(rows, "conn_id long, ts timestamp_ntz")
+    order = sorted(rows, key=lambda r: (r[1], r[0]))
+    want = {cid: k % n for k, (cid, _) in enumerate(order)}
+    got = {r.conn_id: r.backend for r in X.assign_round_robin(df, n).collect()}
+    assert got == want
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 10 * 86400)), min_size=1, max_size=60))
+def test_idle_sessions_match_sequential_definition(spark, events):
+    import datetime as dt
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(f"c{c}", t0 + dt.timedelta(seconds=s)) for c, s in events]
+    want = set()
+    for c in {r[0] for r in rows}:
+        ts = sorted(t for k, t in rows if k == c)
+        start, last, n = ts[0], ts[0], 0
+        for t in ts:
+            if (t - last).total_seconds() >= 86400:
+                want.add((c, start, last + dt.timedelta(days=1), n))
+                start, n = t, 0
+            last, n = t, n + 1
+        want.add((c, start, last + dt.timedelta(days=1), n))
+    df = spark.createDataFrame(rows, "client_ip string, ts timestamp_ntz")
+    got = {tuple(r) for r in X.idle_sessions(df).collect()}
+    assert got == want
