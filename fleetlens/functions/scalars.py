@@ -27,6 +27,12 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def strip_ws(text) -> Column:
+    """Whitespace (space, tab, CR, LF, VT, FF) removed at both ends, as text splitting of
+    config files does (``trim`` alone removes spaces only)."""
+    return F.regexp_replace(_c(text), r"^\s+|\s+$", "")
+
+
 def round_disk(size, disk_type) -> Column:
     """#15 ``max(1, size)``; step types go up to a multiple of 93 GB, at least 93."""
     s = F.greatest(F.lit(1), _c(size).cast("int"))

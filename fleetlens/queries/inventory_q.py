@@ -40,8 +40,8 @@ def q_orphan_disks(spark, sf):
 @query(
     "delete_candidates",
     """WITH kv AS (
-          SELECT file_id AS deploy_id, trim(split_part(line, '=', 1)) AS key,
-                 trim(substr(line, strpos(line, '=') + 1)) AS value, line_no
+          SELECT file_id AS deploy_id, regexp_replace(split_part(line, '=', 1), '^\\s+|\\s+$', '', 'g') AS key,
+                 regexp_replace(substr(line, strpos(line, '=') + 1), '^\\s+|\\s+$', '', 'g') AS value, line_no
           FROM fx_kv_line WHERE strpos(line, '=') > 0),
         last AS (SELECT deploy_id, key, arg_max(value, line_no) AS value FROM kv GROUP BY deploy_id, key)
         SELECT deploy_id, value AS name, 'inventory' AS source FROM last

@@ -101,8 +101,8 @@ def q_config_get(spark, sf):
 
 @query(
     "inventory_parse",
-    """WITH kv AS (SELECT file_id, line_no, trim(split_part(line, '=', 1)) AS key,
-                          trim(substr(line, strpos(line, '=') + 1)) AS value
+    """WITH kv AS (SELECT file_id, line_no, regexp_replace(split_part(line, '=', 1), '^\\s+|\\s+$', '', 'g') AS key,
+                          regexp_replace(substr(line, strpos(line, '=') + 1), '^\\s+|\\s+$', '', 'g') AS value
                    FROM fx_kv_line WHERE strpos(line, '=') > 0)
        SELECT file_id, key, arg_max(value, line_no) AS value FROM kv GROUP BY file_id, key""",
     ("fx_kv_line",),

@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import strip_ws
+
 
 def parse_kv(lines: DataFrame, keep: str = "last", key_cols=("file_id",), defaults: dict[str, str | None] | None = None):
     """Parse ``KEY=value`` lines.
 
     ``keep='last'`` (inventory files): lines without ``=`` are ignored, the
-    line is split at the first ``=``, both sides are trimmed, the last line
+    line is split at the first ``=``, whitespace is stripped from both sides, the last line
     of a key wins.
 
     ``keep='first'`` (marker files): carriage returns are removed, a line
@@ -29,8 +31,8 @@ def parse_kv(lines: DataFrame, keep: str = "last", key_cols=("file_id",), defaul
     if keep == "last":
         kv = lines.where(F.col("line").contains("=")).select(
             *keys, "line_no",
-            F.trim(F.substring_index("line", "=", 1)).alias("key"),
-            F.trim(F.expr("substr(line, instr(line, '=') + 1)")).alias("value"),
+            strip_ws(F.substring_index("line", "=", 1)).alias("key"),
+            strip_ws(F.expr("substr(line, instr(line, '=') + 1)")).alias("value"),
         )
         return kv.groupBy(*keys, "key").agg(F.max_by("value", "line_no").alias("value"))
     if keep != "first":

@@ -129,3 +129,50 @@ def test_idle_sessions_match_sequential_definition(spark, events):
     df = spark.createDataFrame(rows, "client_ip string, ts timestamp_ntz")
     got = {tuple(r) for r in X.idle_sessions(df).collect()}
     assert got == want
+
+
+def _retry_reference(classes, max_tries=60, sleep_s=10):
+    tries = 0
+    for c in classes:
+        if c != "rate_limited":
+            return ("success" if c == "ok" else "failed", tries + 1, tries * sleep_s)
+        tries += 1
+        if tries >= max_tries:
+            return ("gave_up", max_tries, max_tries * sleep_s)
+    return ("incomplete", tries, tries * sleep_s)
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["rl", "rl", "rl", "err", "ok"]), min_size=1, max_size=15),
+                min_size=1, max_size=4), st.integers(1, 6))
+def test_retry_outcome_matches_sequential_definition(spark, ops, max_tries):
+    text = {"rl": "The limit on maximum number of active operations has exceeded", "err": "ERROR: x", "ok": "done"}
+    cls = {"rl": "rate_limited", "err": "error", "ok": "ok"}
+    rows = [(op, i, text[c]) for op, seq in enumerate(ops) for i, c in enumerate(seq)]
+    df = spark.createDataFrame(rows, "op_id int, line_no int, line string")
+    got = {r.op_id: (r.outcome, r.attempts, r.waited_s) for r in I.retry_outcome(df, max_tries=max_tries).collect()}
+    want = {op: _retry_reference([cls[c] for c in seq], max_tries) for op, seq in enumerate(ops)}
+    assert got == want
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["A", "B", " A", "role"]), st.sampled_from(["=", " = ", "", "=x="]),
+                          st.sampled_from(["1", "v w", "", "\r"])), min_size=1, max_size=12))
+def test_kv_parsing_matches_definitions(spark, parts):
+    from fleetlens.sources.kv import parse_kv
+
+    lines = [k + sep + v for k, sep, v in parts]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "file_id int, line_no int, line string")
+    last = {}
+    for x in lines:  # inventory rule: split at the first '=', trim, last wins
+        if "=" in x:
+            k, v = x.split("=", 1)
+            last[k.strip()] = v.strip()
+    assert {r.key: r.value for r in parse_kv(df).collect()} == last
+    defaults = {"A": "dflt", "role": None}
+    first = {}
+    for k in defaults:  # marker rule: CR removed, exact 'key=' prefix, first wins, else default
+        first[k] = next((x.replace("\r", "")[len(k) + 1:] for x in lines if x.replace("\r", "").startswith(k + "=")),
+                        defaults[k])
+    got = {r.key: r.value for r in parse_kv(df, keep="first", defaults=defaults).collect()}
+    assert got == first
