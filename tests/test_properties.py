@@ -176,3 +176,42 @@ def test_kv_parsing_matches_definitions(spark, parts):
                         defaults[k])
     got = {r.key: r.value for r in parse_kv(df, keep="first", defaults=defaults).collect()}
     assert got == first
+
+
+def _image_spec_reference(p_folder, p_name, p_family, d_folder, d_name, d_family):
+    folder = p_folder or d_folder or "standard-images"
+    name = p_name or d_name
+    if name:
+        return f"image-folder-id={folder},image-name={name}"
+    return f"image-folder-id={folder},image-family={p_family or d_family or 'ubuntu-2204-lts'}"
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.tuples(*[st.sampled_from([None, "", "x", "y"])] * 6), min_size=1, max_size=30))
+def test_image_spec_matches_or_fallbacks(spark, rows):
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string, e string, f string")
+    got = [r[0] for r in df.select(S.image_spec("a", "b", "c", "d", "e", "f")).collect()]
+    assert got == [_image_spec_reference(*r) for r in rows]
+
+
+def _auto_tune_reference(cores, mem, data, log_on, log):
+    limit = max(4, mem - max(4, mem // 8))
+    system = min(4, max(2, mem // 8))
+    datafile = max(20, int((100 if data is None else data) * 0.85))
+    log_gb = (log or 0) if log_on else 0
+    log_disk = max(15, int(log_gb * 0.9)) if log_gb else max(15, limit * 3)
+    return (f"{limit}G", f"{system}G", f"{datafile}G", f"{log_disk}G", cores)
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 64), st.integers(1, 1024), st.one_of(st.none(), st.integers(1, 20000)),
+                          st.booleans(), st.one_of(st.none(), st.integers(0, 20000))), min_size=1, max_size=30))
+def test_auto_tune_matches_definition(spark, rows):
+    from fleetlens.operators import profiles as P
+
+    df = spark.createDataFrame([(i, "observer", *r) for i, r in enumerate(rows)],
+                               "deploy_id long, role string, cores int, memory_gb int, data_size_gb int, "
+                               "log_enabled boolean, log_size_gb int")
+    got = {r.deploy_id: (r.memory_limit, r.system_memory, r.datafile_size, r.log_disk_size, r.cpu_count)
+           for r in P.auto_tune(df).collect()}
+    assert got == {i: _auto_tune_reference(*r) for i, r in enumerate(rows)}
