@@ -215,3 +215,65 @@ def test_auto_tune_matches_definition(spark, rows):
     got = {r.deploy_id: (r.memory_limit, r.system_memory, r.datafile_size, r.log_disk_size, r.cpu_count)
            for r in P.auto_tune(df).collect()}
     assert got == {i: _auto_tune_reference(*r) for i, r in enumerate(rows)}
+
+
+MINS = {"observer": (4, 16, 100), "obproxy": (2, 4, None), "configserver": (2, 4, None),
+        "monitoring": (4, 8, None), "ocp": (4, 16, None)}
+
+
+def _audit_reference(profiles):
+    """Issues (role, rule, severity) of one config whose profiles are dicts without absent keys."""
+    out = set()
+    if profiles.get("observer", {}).get("count", 0) < 3:
+        out.add(("observer", "observer_count", "WARN"))
+    for role, (mc, mm, md) in MINS.items():
+        if role not in profiles:
+            continue
+        p = profiles[role]
+        if role == "configserver" and not p.get("dedicated", False):
+            continue
+        if role in ("monitoring", "ocp") and not p.get("enabled", False):
+            continue
+        if p.get("cores", 4) < mc:
+            out.add((role, "min_cores", "ERROR"))
+        if p.get("memory_gb", 16) < mm:
+            out.add((role, "min_memory", "ERROR"))
+        if role == "observer" and p.get("data_enabled"):
+            size, typ = p.get("data_size_gb", 0), p.get("data_type")
+            if typ and size and typ in ("network-ssd-nonreplicated", "network-ssd-io-m3"):
+                size = max(93, math.ceil(max(1, size) / 93) * 93)  # the resolver rounds before the check
+            if size < md:
+                out.add((role, "min_data_disk", "ERROR"))
+            if p.get("data_type", "") != "network-ssd-nonreplicated":
+                out.add((role, "data_disk_type", "WARN"))
+            if p.get("log_enabled") and p.get("log_type", "") != "network-ssd-io-m3":
+                out.add((role, "log_disk_type", "WARN"))
+    return out
+
+
+_OPT = lambda s: st.one_of(st.none(), s)
+PROFILE = st.fixed_dictionaries({}, optional={
+    "count": st.integers(0, 5), "enabled": st.booleans(), "dedicated": st.booleans(),
+    "cores": st.integers(1, 8), "memory_gb": st.integers(2, 32), "data_enabled": st.booleans(),
+    "data_type": st.sampled_from(["network-ssd", "network-ssd-nonreplicated"]),
+    "data_size_gb": st.integers(1, 300), "log_enabled": st.booleans(),
+    "log_type": st.sampled_from(["network-ssd", "network-ssd-io-m3"])})
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.dictionaries(st.sampled_from(list(MINS)), PROFILE, max_size=5), min_size=1, max_size=12))
+def test_profile_audit_matches_validator(spark, configs):
+    from fleetlens.operators import profiles as P
+
+    cols = ["count", "enabled", "dedicated", "cores", "memory_gb", "data_enabled", "data_type", "data_size_gb",
+            "log_enabled", "log_type"]
+    rows = [(d, role, *[p.get(c) for c in cols]) for d, cfg in enumerate(configs) for role, p in cfg.items()]
+    schema = ("deploy_id long, role_in string, vm_count int, enabled boolean, dedicated boolean, cores int, "
+              "memory_gb int, data_enabled boolean, data_type string, data_size_gb int, log_enabled boolean, "
+              "log_type string")
+    prof = spark.createDataFrame(rows, schema)
+    dep = spark.createDataFrame([(d,) for d in range(len(configs))], "deploy_id long")
+    got = {(r.deploy_id, r.role, r.rule, r.severity)
+           for r in P.audit_profiles(prof, dep, P.alias_frame(spark), P.minimum_frame(spark)).collect()}
+    want = {(d, *i) for d, cfg in enumerate(configs) for i in _audit_reference(cfg)}
+    assert got == want
