@@ -308,3 +308,49 @@ def test_vm_queue_matches_provisioner(spark, configs):
     got = {(r.deploy_id, r.role, r.prefix, r.idx, r.name) for r in I.vm_queue(dep, prof).collect()}
     want = {(d, *v) for d, cfg in enumerate(configs) for v in _queue_reference(f"dep{d}", cfg)}
     assert got == want
+
+
+def _resolve_reference(p, d):
+    def rnd(size, typ):
+        if typ and size:
+            size = max(1, size)
+            if typ in ("network-ssd-nonreplicated", "network-ssd-io-m3"):
+                return max(93, math.ceil(size / 93) * 93)
+        return size
+
+    return (
+        p.get("platform", d.get("default_platform", "standard-v3")),
+        p.get("cores", 4), p.get("memory_gb", 16),
+        p.get("core_fraction", d.get("default_core_fraction", 100)),
+        rnd(p.get("data_size_gb"), p.get("data_type")), p.get("count", 1),
+        p.get("enabled", True), p.get("dedicated", True),
+    )
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(
+    st.fixed_dictionaries({}, optional={"platform": st.sampled_from(["v2", "v3"]), "cores": st.integers(1, 9),
+                                        "memory_gb": st.integers(1, 99), "core_fraction": st.integers(5, 100),
+                                        "data_size_gb": st.integers(0, 400), "count": st.integers(0, 4),
+                                        "data_type": st.sampled_from(["", "network-ssd", "network-ssd-io-m3"]),
+                                        "enabled": st.booleans(), "dedicated": st.booleans()}),
+    st.fixed_dictionaries({}, optional={"default_platform": st.just("dv"),
+                                        "default_core_fraction": st.integers(5, 100)})),
+    min_size=1, max_size=12))
+def test_resolve_matches_resolver(spark, cases):
+    from fleetlens.operators import profiles as P
+
+    pcols = ["platform", "cores", "memory_gb", "core_fraction", "data_size_gb", "data_type", "count", "enabled",
+             "dedicated"]
+    prof = spark.createDataFrame(
+        [(i, "observer", *[p.get(c) for c in pcols]) for i, (p, _) in enumerate(cases)],
+        "deploy_id long, role_in string, platform string, cores int, memory_gb int, core_fraction int, "
+        "data_size_gb int, data_type string, vm_count int, enabled boolean, dedicated boolean")
+    dep = spark.createDataFrame([(i, d.get("default_platform"), d.get("default_core_fraction"))
+                                 for i, (_, d) in enumerate(cases)],
+                                "deploy_id long, default_platform string, default_core_fraction int")
+    res, rej = P.resolve_profiles(prof, dep, P.alias_frame(spark))
+    got = {r.deploy_id: (r.platform, r.cores, r.memory_gb, r.core_fraction, r.data_size_gb, r.vm_count, r.enabled,
+                         r.dedicated) for r in res.collect()}
+    assert rej.count() == 0
+    assert got == {i: _resolve_reference(p, d) for i, (p, d) in enumerate(cases)}
