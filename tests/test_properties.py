@@ -354,3 +354,25 @@ def test_resolve_matches_resolver(spark, cases):
                          r.dedicated) for r in res.collect()}
     assert rej.count() == 0
     assert got == {i: _resolve_reference(p, d) for i, (p, d) in enumerate(cases)}
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["d1", "d2", "d3"]), st.sampled_from(["READY", "CREATING", "DELETING"]),
+                          st.booleans()), min_size=0, max_size=20),
+       st.sets(st.sampled_from(["d1", "d2", "d3", "d4"]), min_size=1))
+def test_disk_listing_rules_match_pollers(spark, listing, wanted):
+    """pending = listed rows of wanted names not READY; missing = wanted names not listed;
+    state of the latest row per name; new disks = wanted minus live (not DELETING) names."""
+    rows = [(i, n, s, [7] if att else []) for i, (n, s, att) in enumerate(listing)]
+    disks = spark.createDataFrame(rows, "disk_id long, name string, status string, instance_ids array<long>")
+    want = spark.createDataFrame([(1, w) for w in sorted(wanted)], "deploy_id long, disk_name string")
+    r = I.pending_disks(disks, want).collect()
+    pend = sum(1 for n, s, _ in listing if n in wanted and s != "READY")
+    miss = sum(1 for w in wanted if w not in {n for n, _, _ in listing})
+    assert [(x.pending, x.missing) for x in r] == [(pend, miss)]
+    latest = {}
+    for i, (n, s, att) in enumerate(listing):
+        latest[n] = (s, att)
+    states = {x.name: x.state for x in I.disk_states(disks).collect()}
+    assert states == {n: ("deleting" if s == "DELETING" else "attached" if att else "orphan")
+                      for n, (s, att) in latest.items()}
