@@ -88,14 +88,6 @@ def q_inventory_render(spark, sf):
     return lines
 
 
-@query("cluster_docs")
-def q_cluster_docs(spark, sf):
-    from ..plans.cluster_config import cluster_documents
-
-    return cluster_documents(fixture(spark, sf, "fx_deployment"), fixture(spark, sf, "fx_profile"),
-                             fixture(spark, sf, "fx_role_alias"), fixture(spark, sf, "fx_instance"))
-
-
 PROFILE_VALUES = ", ".join([
     "platform", "CAST(cores AS VARCHAR)", "CAST(memory_gb AS VARCHAR)", "image_spec", "CAST(core_fraction AS VARCHAR)",
     "coalesce(boot_type, 'network-ssd')", "coalesce(CAST(boot_size_gb AS VARCHAR), '50')",
@@ -175,18 +167,20 @@ def q_scrape_targets(spark, sf):
     return D.scrape_targets(C.inventory(spark, sf), flags(spark, sf))
 
 
-@query(
-    "server_overrides",
-    f"""WITH {BASE},
-        o AS (SELECT deploy_id, idx, name, nullif(ip, '') AS ip,
+SERVERS_CTE = """o AS (SELECT deploy_id, idx, name, nullif(ip, '') AS ip,
                      row_number() OVER (PARTITION BY deploy_id ORDER BY idx, name) AS rn,
                      count(*) OVER (PARTITION BY deploy_id) AS n
-              FROM inv WHERE role = 'observer')
-        SELECT o.deploy_id, 'server' || CAST(o.rn AS VARCHAR) AS server_name, o.ip, 2881 AS mysql_port,
-               2882 AS rpc_port, 2886 AS obshell_port, '/home/' || coalesce(d.deploy_user, d.ssh_user) || '/observer'
-               AS home_path, '/data/1' AS data_dir, '/data/log1' AS redo_dir,
-               'zone' || CAST(((o.rn - 1) % o.n) + 1 AS VARCHAR) AS zone
-        FROM o JOIN fx_deployment d ON d.deploy_id = o.deploy_id""",
+              FROM inv WHERE role = 'observer'),
+so AS (SELECT o.deploy_id, 'server' || CAST(o.rn AS VARCHAR) AS server_name, o.ip, 2881 AS mysql_port,
+              2882 AS rpc_port, 2886 AS obshell_port, '/home/' || coalesce(d.deploy_user, d.ssh_user) || '/observer'
+              AS home_path, '/data/1' AS data_dir, '/data/log1' AS redo_dir,
+              'zone' || CAST(((o.rn - 1) % o.n) + 1 AS VARCHAR) AS zone
+       FROM o JOIN fx_deployment d ON d.deploy_id = o.deploy_id)"""
+
+
+@query(
+    "server_overrides",
+    f"WITH {BASE}, {SERVERS_CTE} SELECT * FROM so",
     INV_FX,
 )
 def q_server_overrides(spark, sf):
@@ -250,3 +244,43 @@ def q_component_closure(spark, sf):
     placement = D.component_placement(C.inventory(spark, sf), flags(spark, sf), C.profiles_with_role(spark, sf))
     edges = G.component_edges(placement, fixture(spark, sf, "fx_component_edge"))
     return G.dependency_closure(edges, keys=("deploy_id",))
+
+
+def _cluster_docs_sql() -> str:
+    from ..sinks.documents import DEPENDS
+    from .profiles_q import TUNED_CTE
+
+    deps = ", ".join(f"('{k}', [{', '.join(repr(d) for d in v)}])" for k, v in DEPENDS.items())
+    return f"""WITH {BASE}, {FLAGS_CTE}, {PLACEMENT_CTES}, {SERVERS_CTE}, {TUNED_CTE},
+        dep(component, depends) AS (VALUES {deps}),
+        comps AS (SELECT deploy_id, component, list(ip ORDER BY idx) AS servers FROM placement
+                  GROUP BY deploy_id, component),
+        cdoc AS (SELECT c.deploy_id,
+                        list({{'component': c.component, 'depends': coalesce(d.depends, CAST([] AS VARCHAR[])),
+                               'servers': c.servers}} ORDER BY c.component) AS components
+                 FROM comps c LEFT JOIN dep d ON c.component = d.component GROUP BY c.deploy_id),
+        sdoc AS (SELECT deploy_id,
+                        list({{'server_name': server_name, 'ip': ip, 'zone': zone, 'mysql_port': mysql_port,
+                               'rpc_port': rpc_port, 'obshell_port': obshell_port, 'home_path': home_path,
+                               'data_dir': data_dir, 'redo_dir': redo_dir}} ORDER BY server_name) AS servers
+                 FROM so GROUP BY deploy_id),
+        tdoc AS (SELECT d.deploy_id,
+                        {{'memory_limit': CASE WHEN coalesce(d.auto_tune, true) THEN t.memory_limit END,
+                          'system_memory': CASE WHEN coalesce(d.auto_tune, true) THEN t.system_memory END,
+                          'datafile_size': CASE WHEN coalesce(d.auto_tune, true) THEN t.datafile_size END,
+                          'log_disk_size': CASE WHEN coalesce(d.auto_tune, true) THEN t.log_disk_size END,
+                          'cpu_count': CASE WHEN coalesce(d.auto_tune, true) THEN t.cpu_count END}} AS g
+                 FROM fx_deployment d LEFT JOIN tuned t ON d.deploy_id = t.deploy_id)
+        SELECT c.deploy_id,
+               CAST(to_json({{'components': c.components, 'servers': s.servers, 'global': t.g,
+                              'production_mode': f.production_mode}}) AS VARCHAR) AS doc
+        FROM cdoc c LEFT JOIN sdoc s ON c.deploy_id = s.deploy_id LEFT JOIN tdoc t ON c.deploy_id = t.deploy_id
+        LEFT JOIN flags f ON c.deploy_id = f.deploy_id"""
+
+
+@query("cluster_docs", _cluster_docs_sql(), INV_FX)
+def q_cluster_docs(spark, sf):
+    from ..plans.cluster_config import cluster_documents
+
+    return cluster_documents(fixture(spark, sf, "fx_deployment"), fixture(spark, sf, "fx_profile"),
+                             fixture(spark, sf, "fx_role_alias"), fixture(spark, sf, "fx_instance"))

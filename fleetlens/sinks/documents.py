@@ -317,7 +317,9 @@ def render_cluster_docs(placement: DataFrame, servers: DataFrame, tuning: DataFr
     t = tuning.select("deploy_id", F.struct(*[c for c in tuning.columns if c != "deploy_id"]).alias("global"))
     f = flags.select("deploy_id", "production_mode")
     doc = per_dep.join(srv, "deploy_id", "left").join(t, "deploy_id", "left").join(f, "deploy_id", "left")
-    return doc.select("deploy_id", F.to_json(F.struct("components", "servers", "global", "production_mode")).alias("doc"))
+    # NULL fields are written as null (a missing address or tuning value stays visible)
+    return doc.select("deploy_id", F.to_json(F.struct("components", "servers", "global", "production_mode"),
+                                             {"ignoreNullFields": "false"}).alias("doc"))
 
 
 def write_cluster_docs(docs: DataFrame, path: str) -> None:
