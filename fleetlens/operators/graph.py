@@ -17,6 +17,28 @@ def component_edges(components: DataFrame, edges: DataFrame, keys=("deploy_id",)
         *keys, "component", "depends_on")
 
 
+def closure_per_component_set(components: DataFrame, edges: DataFrame, keys=("deploy_id",)) -> DataFrame:
+    """Per-deployment closure, computed once per distinct set of components.
+
+    Deployments that run the same components have the same closure, and the
+    sets differ only by a few optional components, so the recursion runs on
+    the edges of those few sets - its cost does not grow with the number of
+    deployments - and the rows are joined back to each deployment by its set
+    (an equi-join on a small key). The per-deployment sets are written once
+    to the shared checkpoint folder, as both the recursion input and the
+    final join read them.
+    """
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(components.sparkSession)
+    sets = components.groupBy(*keys).agg(
+        F.array_join(F.array_sort(F.collect_set("component")), ",").alias("component_set")).checkpoint(eager=True)
+    per_set = sets.select("component_set").distinct().select(
+        "component_set", F.explode(F.split("component_set", ",")).alias("component"))
+    closure = dependency_closure(component_edges(per_set, edges, keys=("component_set",)), keys=("component_set",))
+    return sets.join(closure, "component_set").select(*keys, "component", "depends_on", "depth")
+
+
 def dependency_closure(edges: DataFrame, keys=()) -> DataFrame:
     """All direct and indirect dependencies of each component, with the depth of the
     longest path (components start in increasing depth), per ``keys`` group.

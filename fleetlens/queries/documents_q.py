@@ -242,8 +242,7 @@ def q_component_closure(spark, sf):
     from ..operators import graph as G
 
     placement = D.component_placement(C.inventory(spark, sf), flags(spark, sf), C.profiles_with_role(spark, sf))
-    edges = G.component_edges(placement, fixture(spark, sf, "fx_component_edge"))
-    return G.dependency_closure(edges, keys=("deploy_id",))
+    return G.closure_per_component_set(placement, fixture(spark, sf, "fx_component_edge"))
 
 
 def _cluster_docs_sql() -> str:
