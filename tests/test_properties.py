@@ -376,3 +376,33 @@ def test_disk_listing_rules_match_pollers(spark, listing, wanted):
     states = {x.name: x.state for x in I.disk_states(disks).collect()}
     assert states == {n: ("deleting" if s == "DELETING" else "attached" if att else "orphan")
                       for n, (s, att) in latest.items()}
+
+
+def _closure_reference(present, edges):
+    """Longest path length from c to every d reachable over edges whose source is present."""
+    out = {}
+
+    def walk(start, node, depth):
+        for c, d in edges:
+            if c == node and c in present:
+                out[(start, d)] = max(out.get((start, d), 0), depth)
+                walk(start, d, depth + 1)
+
+    for c in present:
+        walk(c, c, 1)
+    return out
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.sets(st.sampled_from(["a", "b", "c", "d", "e"]), min_size=1), min_size=1, max_size=8))
+def test_dependency_closure_matches_paths(spark, sets):
+    from fleetlens.operators import graph as G
+
+    edges = [("b", "a"), ("c", "b"), ("d", "b"), ("e", "c"), ("e", "d"), ("d", "a")]
+    comps = spark.createDataFrame([(i, c) for i, s in enumerate(sets) for c in sorted(s)],
+                                  "deploy_id long, component string")
+    e = spark.createDataFrame(edges, "component string, depends_on string")
+    got = {(r.deploy_id, r.component, r.depends_on): r.depth
+           for r in G.closure_per_component_set(comps, e).collect()}
+    want = {(i, c, d): n for i, s in enumerate(sets) for (c, d), n in _closure_reference(s, edges).items()}
+    assert got == want
