@@ -156,11 +156,12 @@ def q_host_logs(spark, sf):
         SELECT h.deploy_id, 'node_exporter', '/metrics', h.host || ':9100', h.section, h.idx
         FROM hosts h JOIN f ON h.deploy_id = f.deploy_id
         UNION ALL
-        SELECT h.deploy_id, j.job_name, j.metrics_path, h.host || ':8088', h.section, h.idx
-        FROM hosts h JOIN f ON h.deploy_id = f.deploy_id
-        CROSS JOIN (VALUES ('node', '/metrics/node/host'), ('ob_basic', '/metrics/ob/basic'),
-                           ('ob_extra', '/metrics/ob/extra'), ('agent', '/metrics/stat')) j(job_name, metrics_path)
-        WHERE h.role = 'observer'""",
+        SELECT deploy_id, j.job_name, j.metrics_path, host || ':8088', section, idx
+        FROM (SELECT h.*, unnest([{{'job_name': 'node', 'metrics_path': '/metrics/node/host'}},
+                                  {{'job_name': 'ob_basic', 'metrics_path': '/metrics/ob/basic'}},
+                                  {{'job_name': 'ob_extra', 'metrics_path': '/metrics/ob/extra'}},
+                                  {{'job_name': 'agent', 'metrics_path': '/metrics/stat'}}]) AS j
+              FROM hosts h JOIN f ON h.deploy_id = f.deploy_id WHERE h.role = 'observer')""",
     INV_FX,
 )
 def q_scrape_targets(spark, sf):

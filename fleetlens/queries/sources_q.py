@@ -117,13 +117,16 @@ MARKER_KEYS = {"OBSERVER_1_IP": "", "OBSERVER_COUNT": "0", "OPTS": "none", "role
 @query(
     "marker_parse",
     """WITH l AS (SELECT file_id, line_no, replace(line, chr(13), '') AS line FROM fx_kv_line),
-            w AS (SELECT * FROM (VALUES ('OBSERVER_1_IP', ''), ('OBSERVER_COUNT', '0'), ('OPTS', 'none'),
-                                        ('role', NULL)) t(key, dflt)),
-            f AS (SELECT l.file_id, w.key, arg_min(substr(l.line, length(w.key) + 2), l.line_no) AS value
-                  FROM l JOIN w ON starts_with(l.line, w.key || '=') GROUP BY l.file_id, w.key),
-            files AS (SELECT DISTINCT file_id FROM fx_kv_line)
-       SELECT files.file_id, w.key, coalesce(f.value, w.dflt) AS value
-       FROM files CROSS JOIN w LEFT JOIN f ON f.file_id = files.file_id AND f.key = w.key""",
+            fw AS (SELECT file_id, unnest([{'key': 'OBSERVER_1_IP', 'dflt': ''}, {'key': 'OBSERVER_COUNT', 'dflt': '0'},
+                                           {'key': 'OPTS', 'dflt': 'none'},
+                                           {'key': 'role', 'dflt': CAST(NULL AS VARCHAR)}]) AS w
+                   FROM (SELECT DISTINCT file_id FROM fx_kv_line)),
+            wanted AS (SELECT file_id, w.key AS key, w.dflt AS dflt FROM fw),
+            f AS (SELECT l.file_id, k.key, arg_min(substr(l.line, length(k.key) + 2), l.line_no) AS value
+                  FROM l JOIN wanted k ON k.file_id = l.file_id AND starts_with(l.line, k.key || '=')
+                  GROUP BY l.file_id, k.key)
+       SELECT k.file_id, k.key, coalesce(f.value, k.dflt) AS value
+       FROM wanted k LEFT JOIN f ON f.file_id = k.file_id AND f.key = k.key""",
     ("fx_kv_line",),
 )
 def q_marker_parse(spark, sf):

@@ -36,13 +36,13 @@ def q_scrape_windows(spark, sf):
             p AS (SELECT deploy_id, count(*) AS n_resources,
                          count(*) FILTER (WHERE status NOT IN ('RUNNING', 'STOPPED')) AS pending
                   FROM l GROUP BY deploy_id),
-            t AS (SELECT deploy_id, min(ts) AS first_seen, max(ts) AS last_seen FROM fx_status GROUP BY deploy_id),
-            g AS (SELECT max(ts) AS max_ts FROM fx_status)
+            t AS (SELECT deploy_id, min(ts) AS first_seen, max(ts) AS last_seen FROM fx_status GROUP BY deploy_id)
        SELECT p.deploy_id, p.n_resources, p.pending,
               CASE WHEN p.pending = 0 THEN 'ready' ELSE 'timed_out' END AS state,
               date_trunc('millisecond', t.first_seen) AS first_seen, date_trunc('millisecond', t.last_seen) AS last_seen
-       FROM p JOIN t ON p.deploy_id = t.deploy_id CROSS JOIN g
-       WHERE p.pending = 0 OR t.first_seen + INTERVAL 3600 SECOND < g.max_ts - INTERVAL 1 HOUR""",
+       FROM p JOIN t ON p.deploy_id = t.deploy_id
+       WHERE p.pending = 0
+          OR t.first_seen + INTERVAL 3600 SECOND < (SELECT max(ts) FROM fx_status) - INTERVAL 1 HOUR""",
     ("fx_status",),
 )
 def q_readiness_stream(spark, sf):
