@@ -265,7 +265,13 @@ def _health_fn(fall: int, rise: int):
         else:
             down0, run_ok0, run_len0, last_probe = False, None, 0, None
         if last_probe is not None:
-            pdf = pdf[pdf["probe_no"] > last_probe]  # a probe older than the state is late: dropped
+            # a probe older than the state cannot enter the state machine any more; it is
+            # reported as ``late`` instead of being dropped silently
+            late = pdf[pdf["probe_no"] <= last_probe]
+            if len(late):
+                yield pd.DataFrame({"backend_id": backend, "probe_no": late["probe_no"].to_numpy(),
+                                    "ok": late["ok"].to_numpy(), "state": "late"})
+            pdf = pdf[pdf["probe_no"] > last_probe]
         if pdf.empty:
             return
         ok = pdf["ok"].to_numpy(dtype=bool)
@@ -285,7 +291,8 @@ def _health_fn(fall: int, rise: int):
 def health_stream(probes: DataFrame, fall: int = 3, rise: int = 2) -> DataFrame:
     """#84 the health state machine with per-backend state kept between micro-batches;
     emits only the probes where the state changes. Probes of one backend are
-    expected in probe order across batches."""
+    expected in probe order across batches; a probe that arrives after a
+    later one of its backend was applied is emitted with state ``late``."""
     p = probes.select("backend_id", "probe_no", "ok")
     return p.groupBy("backend_id").applyInPandasWithState(
         _health_fn(fall, rise), HEALTH_OUT, HEALTH_STATE, "append", GroupStateTimeout.NoTimeout)

@@ -111,3 +111,18 @@ def test_readiness_engines_agree(spark, scratch):
     a, b = rows["map_state"], rows["grouped"]
     assert a.count() == b.count() > 0
     assert a.exceptAll(b).count() == 0
+
+
+def test_health_stream_reports_late_probes(spark, scratch):
+    import os
+
+    import pandas as pd
+
+    folder = f"{scratch}/probes"
+    for i, rows in enumerate([[(0, 10, False), (0, 11, False)], [(0, 5, True), (0, 12, False)]]):
+        os.makedirs(f"{folder}/b{i}")
+        pd.DataFrame(rows, columns=["backend_id", "probe_no", "ok"]).to_parquet(f"{folder}/b{i}/p.parquet")
+    s = spark.readStream.schema("backend_id long, probe_no long, ok boolean").option("maxFilesPerTrigger", 1) \
+        .option("recursiveFileLookup", "true").parquet(folder)
+    got = {(r.probe_no, r.state) for r in _run(ST.health_stream(s), scratch, "late").collect()}
+    assert got == {(5, "late"), (12, "down")}
