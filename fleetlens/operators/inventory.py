@@ -182,7 +182,8 @@ def vm_inventory(vms: DataFrame, listing: DataFrame, deploy: DataFrame) -> DataF
     """Desired VMs with the address of their latest listing row and the deployment zone.
 
     ``ip`` is the private address, else the NAT one, else ''. An empty
-    address is an error of the inventory (see :func:`inventory_rejects`).
+    address is an error of the inventory (the rejects of
+    :func:`fleetlens.sinks.documents.render_inventory`).
     """
     last = latest_by_name(listing, "instance_id", ["ip_address", "nat_address"])
     ip = F.coalesce(F.nullif(F.col("ip_address"), F.lit("")), F.nullif(F.col("nat_address"), F.lit("")), F.lit(""))
