@@ -97,3 +97,17 @@ def test_listing_files_and_lines_agree(spark, scratch):
     a = L.read_listing_files(spark, f"{scratch}/arr", L.INSTANCE_SCHEMA).select("name", "status")
     b = L.read_listing_lines(spark, f"{scratch}/lines", L.INSTANCE_SCHEMA).select("name", "status")
     assert a.count() == 20 and a.exceptAll(b).count() == 0
+
+
+def test_inventory_file_order(spark, scratch):
+    import glob
+
+    lines, _ = D.render_inventory(C.inventory(spark, SF), fixture(spark, SF, "fx_deployment"),
+                                  C.profiles_with_role(spark, SF))
+    D.write_lines(lines, f"{scratch}/inv_order")
+    one = sorted(glob.glob(f"{scratch}/inv_order/deploy_id=*"))[0]
+    dep = int(one.rsplit("=", 1)[1])
+    text = "".join(open(f).read() for f in sorted(glob.glob(f"{one}/part-*")))
+    want = [r.line for r in lines.where(F.col("deploy_id") == dep).orderBy("section", "idx", "kind").collect()]
+    assert text.splitlines() == want
+    assert want[-8].startswith("OBSERVER_COUNT=") and want[-1].startswith("CONFIGSERVER_DEDICATED=")
