@@ -406,3 +406,50 @@ def test_dependency_closure_matches_paths(spark, sets):
            for r in G.closure_per_component_set(comps, e).collect()}
     want = {(i, c, d): n for i, s in enumerate(sets) for (c, d), n in _closure_reference(s, edges).items()}
     assert got == want
+
+
+def _placement_reference(vms, cs_ded, mon_vm, prom, graf, mgmt):
+    """Component -> [(idx, ip)] as the cluster-document generator places them; '' ip -> None."""
+    ips = {role: [None if ip == "" else ip for _, ip in sorted(v)] for role, v in vms.items()}
+    obs = ips.get("observer", [])
+    first = lambda role: (ips.get(role) or [None])[0]
+    out = {"oceanbase-ce": list(enumerate(obs, 1)), "obagent": list(enumerate(obs, 1)),
+           "ob-configserver": [(1, first("configserver") if cs_ded else first("observer"))]}
+    out["obproxy-ce"] = list(enumerate(ips["obproxy"], 1)) if ips.get("obproxy") else [(1, first("observer"))]
+    mon_here = mon_vm and len(ips.get("monitoring", [])) > 0
+    if prom:
+        out["prometheus"] = [(1, first("monitoring") if mon_here else first("observer"))]
+    if graf:
+        out["grafana"] = [(1, first("monitoring") if (mon_here or first("monitoring")) else first("observer"))]
+    if mgmt:
+        out["ocp-server-ce"] = [(1, first("ocp") if ips.get("ocp") else None)]
+    return out
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(
+    st.dictionaries(st.sampled_from(["observer", "obproxy", "configserver", "monitoring", "ocp"]),
+                    st.lists(st.sampled_from(["", "10.0.0.1", "10.0.0.2", "10.0.0.3"]), min_size=1, max_size=3)),
+    st.booleans(), st.booleans(), st.booleans(), st.booleans(), st.booleans()), min_size=1, max_size=8))
+def test_component_placement_matches_generator(spark, deps):
+    from fleetlens.sinks import documents as D
+
+    deps = [(dict(v, observer=v.get("observer", ["10.0.0.9"])), *f) for v, *f in deps]
+    inv = [(d, role, i, ip) for d, (v, *_) in enumerate(deps) for role, ips in v.items()
+           for i, ip in enumerate(ips, 1)]
+    inv_df = spark.createDataFrame(inv, "deploy_id long, role string, idx int, ip string")
+    flags = spark.createDataFrame([(d, p, g, m) for d, (_, _, _, p, g, m) in enumerate(deps)],
+                                  "deploy_id long, prometheus boolean, grafana boolean, management boolean")
+    prof = spark.createDataFrame([(d, r, cs if r == "configserver" else None, mv if r == "monitoring" else None)
+                                  for d, (_, cs, mv, *_) in enumerate(deps) for r in ("configserver", "monitoring")],
+                                 "deploy_id long, role string, dedicated boolean, enabled boolean")
+    got = {}
+    for r in D.component_placement(inv_df, flags, prof).collect():
+        got.setdefault((r.deploy_id, r.component), []).append((r.idx, r.ip))
+    got = {k: sorted(v) for k, v in got.items()}
+    want = {}
+    for d, (v, cs, mv, p, g, m) in enumerate(deps):
+        vms = {role: list(enumerate(ips, 1)) for role, ips in v.items()}
+        for comp, places in _placement_reference(vms, cs, mv, p, g, m).items():
+            want[(d, comp)] = sorted(places)
+    assert got == want
