@@ -453,3 +453,33 @@ def test_component_placement_matches_generator(spark, deps):
         for comp, places in _placement_reference(vms, cs, mv, p, g, m).items():
             want[(d, comp)] = sorted(places)
     assert got == want
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(
+    st.dictionaries(st.sampled_from(["observer", "obproxy", "configserver", "monitoring", "ocp"]),
+                    st.integers(1, 3)), st.booleans()), min_size=1, max_size=6))
+def test_scrape_targets_match_generator(spark, deps):
+    from fleetlens.sinks import documents as D
+
+    inv, want = [], set()
+    for d, (counts, prom) in enumerate(deps):
+        counts = dict(counts, observer=counts.get("observer", 1))
+        hosts = []
+        for role in ("observer", "obproxy", "configserver", "monitoring", "ocp"):
+            for i in range(1, counts.get(role, 0) + 1):
+                name = f"d{d}-{role}-{i}"
+                inv.append((d, role, i, name, "", f"10.{d}.0.{i}"))
+                if role != "ocp":
+                    hosts.append((role, f"{name}:9100", f"{name}:8088"))
+        if prom:  # the generator writes scrape jobs only with prometheus
+            want.add((d, "prometheus", "/metrics", "localhost:9090"))
+            want |= {(d, "node_exporter", "/metrics", t) for _, t, _ in hosts}
+            for job, path in [("node", "/metrics/node/host"), ("ob_basic", "/metrics/ob/basic"),
+                              ("ob_extra", "/metrics/ob/extra"), ("agent", "/metrics/stat")]:
+                want |= {(d, job, path, a) for r, _, a in hosts if r == "observer"}
+    inv_df = spark.createDataFrame(inv, "deploy_id long, role string, idx int, name string, zone string, ip string")
+    flags = spark.createDataFrame([(d, p, True) for d, (_, p) in enumerate(deps)],
+                                  "deploy_id long, prometheus boolean, node_exporter boolean")
+    got = {(r.deploy_id, r.job_name, r.metrics_path, r.target) for r in D.scrape_targets(inv_df, flags).collect()}
+    assert got == want
