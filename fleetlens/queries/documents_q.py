@@ -60,7 +60,9 @@ hosts AS (SELECT * FROM ch WHERE NOT (role = 'configserver' AND host IS NULL))""
                      max(CASE WHEN role = 'ocp' THEN vm_count END) AS ocp,
                      bool_or(role = 'ocp' AND coalesce(enabled, false)) AS ocp_on
               FROM pr GROUP BY deploy_id),
-        f AS (SELECT p.*, d.deploy_name, d.ssh_user FROM p JOIN fx_deployment d ON d.deploy_id = p.deploy_id),
+        f AS (SELECT d.deploy_id, p.obs, p.prx, p.cs, p.cs_ded, p.mon, p.mon_on, p.ocp, p.ocp_on, d.deploy_name,
+                     d.ssh_user
+              FROM fx_deployment d LEFT JOIN p ON d.deploy_id = p.deploy_id),
         k AS (SELECT *, CASE role WHEN 'observer' THEN 'OBSERVER' WHEN 'obproxy' THEN 'OBPROXY'
                                   WHEN 'configserver' THEN 'CONFIGSERVER' WHEN 'monitoring' THEN 'MONITOR' ELSE 'OCP' END
                         AS key,
@@ -74,9 +76,9 @@ hosts AS (SELECT * FROM ch WHERE NOT (role = 'configserver' AND host IS NULL))""
         UNION ALL SELECT deploy_id, 9, 0, 2, 'CONFIGSERVER_COUNT=' ||
                   CASE WHEN coalesce(cs_ded, false) THEN coalesce(CAST(cs AS VARCHAR), '') ELSE '0' END FROM f
         UNION ALL SELECT deploy_id, 9, 0, 3, 'MONITOR_COUNT=' ||
-                  CASE WHEN mon_on THEN coalesce(CAST(mon AS VARCHAR), '') ELSE '0' END FROM f
+                  CASE WHEN coalesce(mon_on, false) THEN coalesce(CAST(mon AS VARCHAR), '') ELSE '0' END FROM f
         UNION ALL SELECT deploy_id, 9, 0, 4, 'OCP_COUNT=' ||
-                  CASE WHEN ocp_on THEN coalesce(CAST(ocp AS VARCHAR), '') ELSE '0' END FROM f
+                  CASE WHEN coalesce(ocp_on, false) THEN coalesce(CAST(ocp AS VARCHAR), '') ELSE '0' END FROM f
         UNION ALL SELECT deploy_id, 9, 0, 5, 'DEPLOY_NAME=' || deploy_name FROM f
         UNION ALL SELECT deploy_id, 9, 0, 6, 'SSH_USER=' || coalesce(ssh_user, '') FROM f
         UNION ALL SELECT deploy_id, 9, 0, 7, 'CONFIGSERVER_DEDICATED=' || coalesce(CAST(cs_ded AS VARCHAR), '') FROM f""",

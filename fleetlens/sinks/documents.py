@@ -73,7 +73,8 @@ def render_inventory(inv: DataFrame, deploy: DataFrame, profiles: DataFrame) ->
         raw("ocp", "vm_count").alias("ocp"), F.bool_or(
             (F.col("role") == "ocp") & F.coalesce(F.col("enabled"), F.lit(False))).alias("ocp_on"),
     )
-    d = deploy.select("deploy_id", "deploy_name", "ssh_user").join(p, "deploy_id")
+    # every deployment gets its facts, also one whose config has no profiles
+    d = deploy.select("deploy_id", "deploy_name", "ssh_user").join(p, "deploy_id", "left")
     txt = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     ded = F.coalesce(F.col("cs_ded"), F.lit(False))
     facts = [

@@ -483,3 +483,49 @@ def test_scrape_targets_match_generator(spark, deps):
                                   "deploy_id long, prometheus boolean, node_exporter boolean")
     got = {(r.deploy_id, r.job_name, r.metrics_path, r.target) for r in D.scrape_targets(inv_df, flags).collect()}
     assert got == want
+
+
+def _inventory_reference(name, ssh_user, profiles, vms):
+    """The provisioner's inventory file: VM lines in queue order, then counts and facts."""
+    key = {"observer": "OBSERVER", "obproxy": "OBPROXY", "configserver": "CONFIGSERVER",
+           "monitoring": "MONITOR", "ocp": "OCP"}
+    lines = []
+    for role, idx, vm, ip in vms:
+        lines += [f"{key[role]}_{idx}_NAME={vm}", f"{key[role]}_{idx}_IP={ip}"]
+    txt = lambda v: "" if v is None else str(v).lower() if isinstance(v, bool) else str(v)
+    g = lambda r, k: profiles.get(r, {}).get(k)
+    lines += [
+        f"OBSERVER_COUNT={txt(g('observer', 'count'))}",
+        f"OBPROXY_COUNT={txt(g('obproxy', 'count')) or '0'}",
+        f"CONFIGSERVER_COUNT={txt(g('configserver', 'count')) if g('configserver', 'dedicated') is True else '0'}",
+        f"MONITOR_COUNT={txt(g('monitoring', 'count')) if g('monitoring', 'enabled') is True else '0'}",
+        f"OCP_COUNT={txt(g('ocp', 'count')) if g('ocp', 'enabled') is True else '0'}",
+        f"DEPLOY_NAME={name}", f"SSH_USER={ssh_user}",
+        f"CONFIGSERVER_DEDICATED={txt(g('configserver', 'dedicated'))}",
+    ]
+    return lines
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.dictionaries(st.sampled_from(list(MINS)), PROFILE, max_size=5), min_size=1, max_size=6))
+def test_inventory_lines_match_provisioner(spark, configs):
+    from fleetlens.sinks import documents as D
+
+    rows = [(d, role, p.get("count"), p.get("enabled"), p.get("dedicated"))
+            for d, cfg in enumerate(configs) for role, p in cfg.items()]
+    prof = spark.createDataFrame(rows, "deploy_id long, role string, vm_count int, enabled boolean, dedicated boolean")
+    dep = spark.createDataFrame([(d, f"dep{d}", "adm") for d in range(len(configs))],
+                                "deploy_id long, deploy_name string, ssh_user string")
+    queue = I.vm_queue(dep, prof)
+    inv = queue.select("deploy_id", "role", "prefix", "idx", "name", F.lit("").alias("zone"),
+                       F.concat(F.lit("10.0."), F.col("idx").cast("string")).alias("ip"))
+    lines, rejects = D.render_inventory(inv, dep, prof)
+    assert rejects.count() == 0
+    got = {}
+    for r in lines.orderBy("deploy_id", "section", "idx", "kind").collect():
+        got.setdefault(r.deploy_id, []).append(r.line)
+    want = {}
+    for d, cfg in enumerate(configs):
+        vms = [(role, i, name, f"10.0.{i}") for role, _, i, name in _queue_reference(f"dep{d}", cfg)]
+        want[d] = _inventory_reference(f"dep{d}", "adm", cfg, vms)
+    assert got == want
