@@ -529,3 +529,27 @@ def test_inventory_lines_match_provisioner(spark, configs):
         vms = [(role, i, name, f"10.0.{i}") for role, _, i, name in _queue_reference(f"dep{d}", cfg)]
         want[d] = _inventory_reference(f"dep{d}", "adm", cfg, vms)
     assert got == want
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 20000), st.sampled_from(["CREATING", "READY", "RUNNING"])),
+                min_size=1, max_size=30), st.integers(1, 30), st.integers(60, 9000))
+def test_ready_after_matches_poll_loop(spark, events, poll, timeout):
+    import datetime as dt
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(r % 2, r, i, t0 + dt.timedelta(seconds=s, microseconds=i), st_) for i, (r, s, st_) in enumerate(events)]
+    df = spark.createDataFrame(rows, "deploy_id long, resource_id long, seq long, ts timestamp_ntz, status string")
+    got = {r.resource_id: (r.wait_s, r.timed_out) for r in I.ready_after(df, timeout_s=timeout, poll_s=poll).collect()}
+    want = {}
+    for res in {r[1] for r in rows}:
+        mine = [r for r in rows if r[1] == res]
+        seen = min(r[3] for r in mine)
+        ready = [r[3] for r in mine if r[4] in ("READY", "RUNNING", "STOPPED")]
+        if not ready:
+            want[res] = (None, True)
+        else:
+            secs = (min(ready) - seen).total_seconds()
+            wait = -(-secs // poll) * poll  # rounded up to the poll step
+            want[res] = (int(wait), wait > timeout)
+    assert got == want
