@@ -553,3 +553,23 @@ def test_ready_after_matches_poll_loop(spark, events, poll, timeout):
             wait = -(-secs // poll) * poll  # rounded up to the poll step
             want[res] = (int(wait), wait > timeout)
     assert got == want
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.sampled_from(["", "10.0.0.1", "10.0.0.2"]), min_size=1, max_size=12),
+                          st.sampled_from([None, "", "ops"]), st.sampled_from(["adm", "root"])), min_size=1, max_size=5))
+def test_server_overrides_match_generator(spark, deps):
+    from fleetlens.sinks import documents as D
+
+    inv = [(d, "observer", i, f"d{d}-observer-{i}", "", ip) for d, (ips, _, _) in enumerate(deps)
+           for i, ip in enumerate(ips, 1)]
+    inv_df = spark.createDataFrame(inv, "deploy_id long, role string, idx int, name string, zone string, ip string")
+    dep = spark.createDataFrame([(d, u, s) for d, (_, u, s) in enumerate(deps)],
+                                "deploy_id long, deploy_user string, ssh_user string")
+    got = {(r.deploy_id, r.server_name): (r.ip, r.zone, r.home_path) for r in D.server_overrides(inv_df, dep).collect()}
+    want = {}
+    for d, (ips, user, ssh) in enumerate(deps):
+        home_user = ssh if user is None else user  # absent-only fallback of the generator
+        for i, ip in enumerate(ips, 1):
+            want[(d, f"server{i}")] = (ip or None, f"zone{(i - 1) % len(ips) + 1}", f"/home/{home_user}/observer")
+    assert got == want
