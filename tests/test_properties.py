@@ -573,3 +573,24 @@ def test_server_overrides_match_generator(spark, deps):
         for i, ip in enumerate(ips, 1):
             want[(d, f"server{i}")] = (ip or None, f"zone{(i - 1) % len(ips) + 1}", f"/home/{home_user}/observer")
     assert got == want
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([None, "", "null", "img-a", "img-b"]),
+                          st.sampled_from([None, "", "null", "fam-x", "fam-y"])), min_size=1, max_size=10),
+       st.lists(st.tuples(st.sampled_from(["img-a", "img-c"]), st.sampled_from([None, "fam-x", "fam-y"]),
+                          st.sampled_from([None, "fam-x", "fam-y"])), min_size=0, max_size=8))
+def test_image_availability_matches_check(spark, wanted, images):
+    dep = spark.createDataFrame([(d, n, f) for d, (n, f) in enumerate(wanted)],
+                                "deploy_id long, image_name string, image_family string")
+    img = spark.createDataFrame(images, "name string, family string, family_id string")
+    got = {r.deploy_id: (r.kind, r.wanted, r.matches) for r in I.image_availability(dep, img).collect()}
+    want = {}
+    for d, (n, f) in enumerate(wanted):
+        n = None if n in (None, "", "null") else n
+        f = None if f in (None, "", "null") else f
+        if n:
+            want[d] = ("name", n, sum(1 for i in images if i[0] == n))
+        elif f:
+            want[d] = ("family", f, sum(1 for i in images if i[1] == f or i[2] == f))
+    assert got == want
