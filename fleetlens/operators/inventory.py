@@ -293,15 +293,19 @@ def disk_states(disks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
                     (present & strict).alias("exists_strict"))
 
 
-def delete_candidates(kv: DataFrame, instances: DataFrame, deploy: DataFrame) -> DataFrame:
+def delete_candidates(kv: DataFrame, instances: DataFrame, deploy: DataFrame,
+                      files: DataFrame | None = None) -> DataFrame:
     """#37 names from the inventory when the deployment has one, else names by label.
 
     ``kv``: parsed inventory (``deploy_id, key, value``). ``DEPLOY_NAME`` is
-    not a VM name and is left out.
+    not a VM name and is left out. ``files`` (``deploy_id``) lists the
+    deployments that have an inventory file at all - a file without any
+    ``KEY=value`` line still means "use the inventory" (it names nothing);
+    without it, having a parsed key is taken as having the file.
     """
     from_inv = kv.where(F.col("key").rlike("_NAME$") & (F.col("key") != "DEPLOY_NAME")).select(
         "deploy_id", F.col("value").alias("name"), F.lit("inventory").alias("source"))
-    has_inv = kv.select("deploy_id").distinct()
+    has_inv = (files if files is not None else kv).select("deploy_id").distinct()
     by_label = (
         instances.join(deploy.select("deploy_id", F.col("deploy_name").alias("_dn")), "deploy_id")
         .where(F.col("label_deployment") == F.col("_dn"))

@@ -50,12 +50,14 @@ def q_orphan_disks(spark, sf):
         SELECT i.deploy_id, i.name, 'label' AS source
         FROM fx_instance i JOIN fx_deployment d ON d.deploy_id = i.deploy_id
         WHERE i.label_deployment = d.deploy_name
-          AND i.deploy_id NOT IN (SELECT DISTINCT file_id FROM fx_kv_line WHERE strpos(line, '=') > 0)""",
+          AND i.deploy_id NOT IN (SELECT DISTINCT file_id FROM fx_kv_line)""",
     ("fx_kv_line", "fx_instance", "fx_deployment"),
 )
 def q_delete_candidates(spark, sf):
-    kv = parse_kv(fixture(spark, sf, "fx_kv_line"), key_cols=("file_id",)).withColumnRenamed("file_id", "deploy_id")
-    return I.delete_candidates(kv, fixture(spark, sf, "fx_instance"), fixture(spark, sf, "fx_deployment"))
+    lines = fixture(spark, sf, "fx_kv_line")
+    kv = parse_kv(lines, key_cols=("file_id",)).withColumnRenamed("file_id", "deploy_id")
+    files = lines.select(F.col("file_id").alias("deploy_id"))
+    return I.delete_candidates(kv, fixture(spark, sf, "fx_instance"), fixture(spark, sf, "fx_deployment"), files)
 
 
 @query(
