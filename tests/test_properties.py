@@ -594,3 +594,27 @@ def test_image_availability_matches_check(spark, wanted, images):
         elif f:
             want[d] = ("family", f, sum(1 for i in images if i[1] == f or i[2] == f))
     assert got == want
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.booleans()), st.one_of(st.none(), st.booleans()),
+                          st.dictionaries(st.sampled_from(["observer", "monitoring", "ocp"]), PROFILE, max_size=3)),
+                min_size=1, max_size=10))
+def test_feature_flags_match_generator(spark, deps):
+    from fleetlens.operators import profiles as P
+
+    cols = ["count", "enabled", "dedicated"]
+    rows = [(d, role, *[p.get(c) for c in cols]) for d, (_, _, cfg) in enumerate(deps) for role, p in cfg.items()]
+    prof = spark.createDataFrame(rows, "deploy_id long, role_in string, vm_count int, enabled boolean, dedicated boolean")
+    dep = spark.createDataFrame([(d, o, pc) for d, (o, pc, _) in enumerate(deps)],
+                                "deploy_id long, ocp_enabled boolean, prometheus_component boolean")
+    resolved, _ = P.resolve_profiles(prof, dep, P.alias_frame(spark), keep_raw=True)
+    got = {r.deploy_id: (r.management, r.prometheus, r.grafana, r.node_exporter, r.production_mode)
+           for r in I.feature_flags(dep, resolved).collect()}
+    want = {}
+    for d, (ocp, prom_c, cfg) in enumerate(deps):
+        mon_vm = bool(cfg.get("monitoring", {}).get("enabled", False))
+        want[d] = (bool(ocp) and bool(cfg.get("ocp", {}).get("enabled", False)),
+                   bool(prom_c) or mon_vm, mon_vm, mon_vm or bool(prom_c),
+                   cfg.get("observer", {}).get("count", 3) >= 3)
+    assert got == want
