@@ -44,18 +44,20 @@ def vm_queue(deploy: DataFrame, profiles: DataFrame) -> DataFrame:
     """#42 desired VMs: role x 1..count behind the gates of the provisioner.
 
     ``profiles``: ``deploy_id, role`` (canonical) and the raw keys
-    ``vm_count, enabled, dedicated`` (NULL = absent). Gates: observers always,
+    ``vm_count, enabled, dedicated`` (NULL or a missing column = absent). Gates: observers always,
     proxies when count > 0, the config server when dedicated, monitoring and
     management when enabled. A missing count reads as 0, and ``count > 0`` is
     tested before ``sequence`` because ``sequence(1, 0)`` is not empty.
     """
+    from .profiles import col_or_null
+
     role = F.col("role")
-    count = F.coalesce(F.col("vm_count"), F.lit(0))
+    count = F.coalesce(col_or_null(profiles, "vm_count", "int"), F.lit(0))
     gate = (
         (role == "observer")
         | ((role == "obproxy") & (count > 0))
-        | ((role == "configserver") & F.coalesce(F.col("dedicated"), F.lit(False)))
-        | (role.isin("monitoring", "ocp") & F.coalesce(F.col("enabled"), F.lit(False)))
+        | ((role == "configserver") & F.coalesce(col_or_null(profiles, "dedicated", "boolean"), F.lit(False)))
+        | (role.isin("monitoring", "ocp") & F.coalesce(col_or_null(profiles, "enabled", "boolean"), F.lit(False)))
     )
     p = profiles.where(gate & (count > 0)).select("deploy_id", "role", count.alias("_n"))
     q = p.join(deploy.select("deploy_id", "deploy_name"), "deploy_id").select(
