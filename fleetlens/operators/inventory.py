@@ -501,6 +501,8 @@ def feature_flags(deploy: DataFrame, resolved: DataFrame) -> DataFrame:
     """
     from .profiles import col_or_null
 
+    if "_raw_enabled" not in resolved.columns:
+        raise ValueError("feature_flags needs resolve_profiles(..., keep_raw=True): the gates read raw keys")
     p = resolved.groupBy("deploy_id").agg(
         F.bool_or((F.col("role") == "monitoring") & F.coalesce(F.col("_raw_enabled"), F.lit(False))).alias("_mon_vm"),
         F.bool_or((F.col("role") == "ocp") & F.coalesce(F.col("_raw_enabled"), F.lit(False))).alias("_ocp_vm"),
