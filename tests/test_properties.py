@@ -652,3 +652,44 @@ def test_disks_to_create_match_provisioner(spark, deps, disks, existing):
             want |= {vm + "-data"} if de else set()
             want |= {vm + "-log"} if le else set()
     assert got == want - live
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 5), st.sampled_from(["RUNNING", "STOPPED", "CREATING"])),
+                min_size=1, max_size=30))
+def test_pending_instances_match_poller(spark, events):
+    rows = [(d, d * 10 + r, i, s) for i, (d, r, s) in enumerate(events)]
+    df = spark.createDataFrame(rows, "deploy_id long, resource_id long, seq long, status string")
+    got = {r.deploy_id: (r.n_resources, r.pending) for r in I.pending_instances(df).collect()}
+    latest = {}
+    for d, res, seq, s in rows:  # rows come in seq order: the last one wins
+        latest[(d, res)] = s
+    want = {}
+    for (d, _), s in latest.items():
+        n, p = want.get(d, (0, 0))
+        want[d] = (n + 1, p + (s not in ("RUNNING", "STOPPED")))
+    assert got == want
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["observer", "obproxy", "configserver", "monitoring", "ocp"]),
+                          st.one_of(st.none(), st.booleans()), st.one_of(st.none(), st.booleans()),
+                          st.one_of(st.none(), st.just("/mnt/d"))), min_size=1, max_size=15))
+def test_role_disk_needs_match_prepare_step(spark, vms):
+    inv = spark.createDataFrame([(i, role, f"vm{i}") for i, (role, *_) in enumerate(vms)],
+                                "deploy_id long, role string, name string")
+    res = spark.createDataFrame([(i, role, de, dm, le, None) for i, (role, de, le, dm) in enumerate(vms)],
+                                "deploy_id long, role string, data_enabled boolean, data_mount string, "
+                                "log_enabled boolean, log_mount string")
+    got = {r.name: (r.need_data, r.data_mount, r.need_log, r.log_mount) for r in I.role_disk_needs(inv, res).collect()}
+    want = {}
+    for i, (role, de, le, dm) in enumerate(vms):
+        if role in ("obproxy", "configserver"):
+            nd, nl = False, False
+        elif role == "observer":
+            nd, nl = True, bool(le)
+        else:
+            nd, nl = bool(de), False
+        mount = dm or ("/ocp-data" if role == "ocp" else "/data")
+        want[f"vm{i}"] = (nd, mount if nd else None, nl, "/data/log1" if nl else None)
+    assert got == want
