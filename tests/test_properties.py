@@ -693,3 +693,25 @@ def test_role_disk_needs_match_prepare_step(spark, vms):
         mount = dm or ("/ocp-data" if role == "ocp" else "/data")
         want[f"vm{i}"] = (nd, mount if nd else None, nl, "/data/log1" if nl else None)
     assert got == want
+
+
+def _region(zone):
+    if not zone:
+        return ""
+    return zone.rsplit("-", 1)[0] if "-" in zone else zone
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([None, "", "vm-1", "a.b"]), st.sampled_from([None, "", "10.0.0.1"]),
+                          st.sampled_from([None, "", "ru-central1-a", "standalone", "x-", "-y", "a-b-c"])),
+                min_size=1, max_size=30))
+def test_address_rules_match_definitions(spark, rows):
+    df = spark.createDataFrame(rows, "name string, ip string, zone string")
+    got = [tuple(r) for r in df.select(S.zone_region("zone"), S.host_address("name", "ip", "zone"),
+                                       S.host_address("name", "ip", "zone", strict=True)).collect()]
+    want = []
+    for name, ip, zone in rows:
+        region = _region(zone)
+        host = (f"{name}.{region}.internal" if region else name) if name else (ip or None)
+        want.append((region, host, ip or None))
+    assert got == want
