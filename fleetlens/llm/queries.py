@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, language_id, license_scan, url_filter
+from . import bpe, decontaminate, fingerprint, language_id, license_scan, near_dedup, url_filter
 from .text import documents
 
 QUERIES = {}
@@ -26,6 +26,33 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.held_out_prediction(documents(spark, sf_dir))
 
 
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return decontaminate.contaminated(documents(spark, sf_dir), items)
+
+
+ORACLE["op2_decontaminate"] = r"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), items AS (
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS g
+  FROM item_words
+), sizes AS (SELECT item_id, count(*) AS n_item FROM items GROUP BY item_id
+), doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM doc_words
+), common AS (
+  SELECT doc_id, item_id, count(*) AS n_common FROM grams JOIN items USING (g) GROUP BY doc_id, item_id
+)
+SELECT doc_id, item_id, n_item, n_common, n_common / n_item::DOUBLE AS containment
+FROM common JOIN sizes USING (item_id) WHERE 100 * n_common >= 80 * n_item
+"""
+
+
 @query
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet"), URL_RULES)
@@ -64,6 +91,37 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(documents(spark, sf_dir))
 
 
+@query
+def op8_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+ORACLE["op8_setsketch_dedup"] = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                 ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s
+  FROM split
+), shingles AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS i
+  FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id <> y.doc_id
+  GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared WHERE 100 * i >= 85 * (na + nb - i)
+), reach AS (
+  SELECT doc_id, doc_id AS r FROM sets UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.r = links.a
+)
+SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, min(r) AS component_id, min(r) = sets.doc_id AS kept
+FROM sets JOIN reach ON sets.doc_id = reach.doc_id
+GROUP BY sets.doc_id, s
+"""
+
+
 @query
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
