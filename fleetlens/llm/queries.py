@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprint, language_id, license_scan, near_dedup, url_filter
+from . import bpe, decontaminate, fingerprint, language_id, license_scan, near_dedup, substring_dedup, url_filter
 from .text import documents
 
 QUERIES = {}
@@ -81,6 +81,35 @@ FROM ruled
 """
 
 
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_passages(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE["op5_substring_dedup"] = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 11)) AS i,
+         unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i+12], ' '))) AS g
+  FROM split
+), first AS (
+  SELECT g, min(doc_id) AS least FROM windows GROUP BY g
+), gone AS (
+  SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS js
+  FROM windows JOIN first USING (g) WHERE doc_id > least GROUP BY doc_id
+), words AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS x FROM split
+), flat AS (
+  SELECT doc_id, unnest(js) AS j FROM gone
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY j) AS t FROM words ANTI JOIN flat USING (doc_id, j) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+"""
+
+
 @query
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(documents(spark, sf_dir))
