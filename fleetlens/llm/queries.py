@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprint, language_id, license_scan, near_dedup, substring_dedup, url_filter
+from . import bpe, decontaminate, fingerprint, language_id, license_scan, near_dedup, substring_dedup, suffix_dedup, url_filter
 from .text import documents
 
 QUERIES = {}
@@ -81,6 +81,42 @@ FROM ruled
 """
 
 
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_strings(documents(spark, sf_dir))
+
+
+ORACLE["op4_suffix_dedup"] = r"""
+WITH raw AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, lower(hex(encode(coalesce(text, '')))) AS x FROM documents
+), strings AS (
+  SELECT doc_id, i, md5_number(substr(x, (2 * i + 1)::BIGINT, 100)) AS g
+  FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM raw)
+), first AS (
+  SELECT g, min(doc_id) AS least FROM strings GROUP BY g
+), gone AS (
+  SELECT doc_id, i FROM strings JOIN first USING (g) WHERE doc_id > least
+), ordered AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM gone
+), runs AS (
+  SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM ordered
+), spans AS (
+  SELECT doc_id, run, min(i) AS s, max(i) + 50 AS e FROM runs GROUP BY doc_id, run
+), between_spans AS (
+  SELECT doc_id, s, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS from_byte, e FROM spans
+), kept AS (
+  SELECT k.doc_id, count(*) AS n_spans, sum(k.e - k.s) AS n_removed, max(k.e) AS tail,
+         string_agg(substr(x, (2 * from_byte + 1)::BIGINT, (2 * (s - from_byte))::BIGINT), '' ORDER BY s) AS head
+  FROM between_spans k JOIN raw USING (doc_id) GROUP BY k.doc_id
+)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(x, (2 * coalesce(tail, 0) + 1)::BIGINT))) AS kept_sha256
+FROM raw LEFT JOIN kept USING (doc_id)
+"""
+
+
 @query
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_passages(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
