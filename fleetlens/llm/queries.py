@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprint, language_id, license_scan, near_dedup, substring_dedup, suffix_dedup, url_filter
+from . import bpe, decontaminate, fingerprint, language_id, license_scan, lm, near_dedup, substring_dedup, suffix_dedup, url_filter
 from .text import documents
 
 QUERIES = {}
@@ -191,3 +191,8 @@ GROUP BY sets.doc_id, s
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                                 public_tokenizers.PATTERN)
+
+
+@query
+def op10_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.held_out_scores(documents(spark, sf_dir))
