@@ -188,6 +188,28 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_i
     return src.mapInArrow(predict, "doc_id bigint, lang_pred string, score double, mixture map<string,double>")
 
 
+def label_documents(docs: DataFrame, model: dict[str, np.ndarray], lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """The documents whose language can be told, all columns; a null language becomes the predicted one.
+
+    Documents that are ``und`` (null text, or no letter) are rejected. A scan."""
+    spark = docs.sparkSession
+    short_batches(spark)
+    names = list(model)
+    probs = spark.sparkContext.broadcast(np.stack([model[x] for x in names], axis=1).astype(np.float32) if names else None)
+    at_text, at_lang = docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = [t if t and any(map(str.isalpha, t)) else "" for t in batch.column(at_text).to_pylist()]
+            got = mixtures(texts, probs.value) if names else [[] for _ in texts]
+            known = batch.column(at_lang)
+            told = [x if x is not None else names[m[0][0]] if m else None for x, m in zip(known.to_pylist(), got)]
+            batch = batch.set_column(at_lang, batch.schema.field(at_lang), pa.array(told, known.type))
+            yield batch.filter(pa.array([bool(m) if names else bool(t) for m, t in zip(got, texts)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out_prediction(docs: DataFrame) -> DataFrame:
     """Learn from the documents outside the held-out fold, predict all of them."""
     model = train(docs.where(F.coalesce(remainder("doc_id", 4), F.lit(0)) != 2))

@@ -7,8 +7,8 @@ run if there are fewer). Every element spreads points of a Poisson process over
 (``merge``), and two registers agree with about the Jaccard similarity.
 
 * Documents with equal sets are one node from then on.
-* ``BANDS`` bands of ``ROWS`` registers name buckets. A pair at the threshold
-  of 0.85 shares no bucket with probability (1 - 0.85**6)**42 = 2.3e-9.
+* ``BANDS`` bands of ``ROWS`` registers name buckets. A pair at a threshold of
+  0.8 shares no bucket with probability (1 - 0.8**5)**48 = 5e-9, at 0.85 with 6e-13.
 * Pairs inside a bucket are not all formed: in each round the next leaders of a
   bucket (1, then 2, 4, 8, ...) are compared with the members that are still in
   another component, so a large group of copies costs about one pair a member.
@@ -43,8 +43,8 @@ from .text import LOWER, U64, mix, short_batches, steps, text_bytes, window_hash
 
 WIDTH = 5
 THRESHOLD = 85
-ROWS = 6
-BANDS = 42
+ROWS = 5
+BANDS = 48
 REGISTERS = ROWS * BANDS
 #: SetSketch parameters: base of the scale, rate, largest value.
 B, RATE, TOP = 1.001, 20.0, 65535

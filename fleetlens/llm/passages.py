@@ -33,21 +33,25 @@ NO_ID = (1 << 63) - 1
 
 
 class Corpus:
-    """base: (uid, id, text), uid naming the id and text; copies: (uid) of rows whose whole
-    text stands in a row with a smaller id; buckets: how many buckets fit the input."""
+    """base: (uid, id, text, rest), uid naming the id and text, rest holding the other columns;
+    copies: (uid) of rows whose whole text stands in a row with a smaller id; buckets: how many
+    buckets fit the input."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, carry: bool = False):
         short_batches(docs.sparkSession)
+        others = [F.col(c) for c in docs.columns if carry and c not in (id_col, text_col)]
+        rest = F.struct(*others) if others else F.lit(None).cast("int")
         src = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(NO_ID)).alias("id"),
-                          F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+                          F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
         digest = F.md5(F.col("text").cast("binary"))
-        self.base = src.select(F.xxhash64("id", digest).alias("uid"), "id", "text")
+        self.base = src.select(F.xxhash64("id", digest).alias("uid"), "id", "text", "rest")
         seen = stored(src.select(F.xxhash64("id", digest).alias("uid"), "id", F.unhex(digest).alias("digest"),
                                  F.octet_length("text").alias("n")))
         self.buckets = max(LEAST_BUCKETS, int((seen.agg(F.sum("n")).first()[0] or 0) // BUCKET))
         first = seen.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
         self.copies = seen.join(first, "digest").where("id > least").select("uid").distinct().withColumn("copy", F.lit(True))
-        self.rows = self.base.join(self.copies, "uid", "left").select("uid", "id", "text", F.coalesce("copy", F.lit(False)).alias("copy"))
+        self.rows = self.base.join(self.copies, "uid", "left").select(
+            "uid", "id", "text", "rest", F.coalesce("copy", F.lit(False)).alias("copy"))
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -181,7 +185,7 @@ def shared_places(rows: DataFrame, grams, buckets: int) -> DataFrame:
         return pa.table({"uid": pa.array(uid[cut], pa.int64()),
                          "places": pa.array([at[x:y].tobytes() for x, y in zip(cut, ends)], pa.binary())})
 
-    sent = rows.select("uid", "id", "text").mapInArrow(send, SEEDS)
+    sent = rows.select("uid", "id", "text", "rest").mapInArrow(send, SEEDS)  # the columns of every use, so that the texts move once
     told = sent.groupBy("bucket").applyInArrow(answer, "uid bigint, places binary")
     return told.groupBy("uid").agg(F.collect_list("places").alias("places"))
 

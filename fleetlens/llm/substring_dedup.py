@@ -207,26 +207,40 @@ def _cut(window: int, keep_text: bool):
                     *(pa.array(x, pa.int64()) for x in (factors, longest))]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256", "n_factors", "longest_factor"]
             if keep_text:
-                cols += [batch.column(4), pa.array(kept_text, pa.string())]
-                names += ["uid", "kept_text"]
+                cols += [pa.array(kept_text, pa.string()), batch.column(4)]
+                names += ["kept_text", "rest"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
 
-def remove_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
-                    keep_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, n_factors, longest_factor[, uid, kept_text]).
-
-    A word goes if a window of ``window`` words over it also starts in a document
-    with a smaller id; windows are judged on the input. ``kept_sha256`` is over
-    the kept words joined by a blank. ``kept_text`` is the text itself where
-    nothing goes, else the kept words; uid names the row's id and text."""
-    corpus = Corpus(docs, id_col, text_col)
+def _parsed(docs: DataFrame, window: int, gram: int, id_col: str, text_col: str, keep_text: bool) -> DataFrame:
+    corpus = Corpus(docs, id_col, text_col, carry=keep_text)
     originals = corpus.rows.where(~F.col("copy"))
     places = shared_places(originals, seeds(window, gram), corpus.buckets)
-    asked = corpus.base.join(places, "uid").select("uid", "id", "text", "places").mapInArrow(_look_up(window, gram, corpus.buckets), LOOKUP)
+    asked = corpus.base.join(places, "uid").select("uid", "id", "text", "rest", "places")
+    asked = asked.mapInArrow(_look_up(window, gram, corpus.buckets), LOOKUP)
     hits = asked.groupBy("bucket").applyInArrow(_answer, HITS).groupBy("uid").agg(F.collect_list("hits").alias("hits"))
-    whole = corpus.rows.join(hits, "uid", "left").select("id", "text", "copy", "hits", "uid")
+    whole = corpus.rows.join(hits, "uid", "left").select("id", "text", "copy", "hits", "rest")
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, n_factors bigint, longest_factor bigint"
-    return whole.mapInArrow(_cut(window, keep_text), schema + (", uid bigint, kept_text string" if keep_text else ""))
+    if keep_text:
+        schema += f", kept_text string, rest {whole.schema['rest'].dataType.simpleString()}"
+    return whole.mapInArrow(_cut(window, keep_text), schema)
+
+
+def remove_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, n_factors, longest_factor).
+
+    A word goes if a window of ``window`` words over it also starts in a document
+    with a smaller id; windows are judged on the input. ``kept_sha256`` is over
+    the kept words joined by a blank."""
+    return _parsed(docs, window, gram, id_col, text_col, False)
+
+
+def rewrite_documents(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id",
+                      text_col: str = "text") -> DataFrame:
+    """The documents, all columns, without their duplicate spans: a text that loses nothing stays
+    as it is, else its kept words are joined by a blank. A null text comes out empty."""
+    got = _parsed(docs, window, gram, id_col, text_col, True)
+    of = {id_col: F.col("doc_id"), text_col: F.col("kept_text")}
+    return got.select(*(of[c].alias(c) if c in of else F.col("rest").getField(c).alias(c) for c in docs.columns))

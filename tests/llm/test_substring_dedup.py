@@ -59,8 +59,11 @@ def test_passages_against_brute_force(spark):
 def test_edge_cases(spark):
     assert seen(S.remove_passages(clashing(spark, DOCS))) == brute(DOCS)
     assert S.remove_passages(frame(spark, [])).count() == 0
-    kept = {r.doc_id: r for r in S.remove_passages(frame(spark, DOCS), keep_text=True).collect()}
-    assert kept[8].kept_text == DOCS[9][1] and kept[6].kept_text == "" and kept[6].n_factors == 1
+    docs = clashing(spark, DOCS)
+    kept = S.rewrite_documents(docs)
+    assert kept.columns == docs.columns and kept.count() == len(DOCS)
+    kept = {r.doc_id: r for r in kept.collect()}
+    assert kept[8].text == DOCS[9][1] and kept[6].text == "" and kept[1].text == "" and kept[8].hashes == [1]
 
 
 def test_factors():
