@@ -6,65 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def component_edges(components: DataFrame, edges: DataFrame, keys=("deploy_id",)) -> DataFrame:
-    """The dependency edges of the components each deployment runs.
+def dependency_paths(edges: DataFrame) -> DataFrame:
+    """``component, depends_on, depth, inner`` of every path of the product's edges.
 
-    ``components``: ``(keys, component)``; ``edges``: the product's
-    ``component -> depends_on`` table (a fixed handful of rows, broadcast).
+    ``inner`` lists the components between the two ends. The edge table has a
+    handful of rows and no cycle, so the recursive CTE ends after the longest
+    chain of the product's components.
     """
-    c = components.select(*keys, "component").distinct()
-    return c.join(F.broadcast(edges.select("component", "depends_on")), "component").select(
-        *keys, "component", "depends_on")
-
-
-def closure_per_component_set(components: DataFrame, edges: DataFrame, keys=("deploy_id",)) -> DataFrame:
-    """Per-deployment closure, computed once per distinct set of components.
-
-    Deployments that run the same components have the same closure, and the
-    sets differ only by a few optional components, so the recursion runs on
-    the edges of those few sets - its cost does not grow with the number of
-    deployments - and the rows are joined back to each deployment by its set
-    (an equi-join on a small key). The per-deployment sets are written once
-    to the shared checkpoint folder, as both the recursion input and the
-    final join read them.
+    e = edges.select("component", "depends_on")
+    return e.sparkSession.sql(
+        """WITH RECURSIVE p(component, depends_on, depth, inner_nodes) AS (
+             SELECT component, depends_on, 1, CAST(array() AS ARRAY<STRING>) FROM {e}
+             UNION ALL
+             SELECT p.component, e.depends_on, p.depth + 1, array_append(p.inner_nodes, p.depends_on)
+             FROM p JOIN {e} e ON p.depends_on = e.component)
+           SELECT component, depends_on, depth, inner_nodes FROM p""", e=e)
+
+
+def component_closure(components: DataFrame, edges: DataFrame, keys=("deploy_id",), optional=()) -> DataFrame:
+    """All direct and indirect dependencies of the components each deployment runs, with the
+    depth of the longest path.
+
+    ``components``: ``(keys, component)``. A path holds where every component
+    on the way to its end runs in the deployment; components in ``optional``
+    must run also where they are the end. The paths depend on the product
+    only, so they are worked once and joined on the component; the
+    deployment's components are gathered in one list (as long as the list of
+    the product's components) beside each of them.
     """
-    from ..session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(components.sparkSession)
-    sets = components.groupBy(*keys).agg(
-        F.array_join(F.array_sort(F.collect_set("component")), ",").alias("component_set")).checkpoint(eager=True)
-    per_set = sets.select("component_set").distinct().select(
-        "component_set", F.explode(F.split("component_set", ",")).alias("component"))
-    closure = dependency_closure(component_edges(per_set, edges, keys=("component_set",)), keys=("component_set",))
-    return sets.join(closure, "component_set").select(*keys, "component", "depends_on", "depth")
-
-
-def dependency_closure(edges: DataFrame, keys=()) -> DataFrame:
-    """All direct and indirect dependencies of each component, with the depth of the
-    longest path (components start in increasing depth), per ``keys`` group.
-
-    Spark's recursive CTE iterates the join (on the keys and the edge end)
-    until no new rows appear; the number of iterations is the longest chain
-    of the product's components. Every iteration reads the edges, so they
-    are written once to the shared checkpoint folder (``checkpoint()``,
-    which also cuts their lineage): an iteration - or a task retried after
-    an executor loss - reads that copy instead of recomputing the
-    edges from their sources.
-    """
-    from ..session import ensure_checkpoint_dir
-
-    k = list(keys)
-    ensure_checkpoint_dir(edges.sparkSession)
-    edges = edges.select(*k, "component", "depends_on").checkpoint(eager=True)
-    spark = edges.sparkSession
-    cols = ", ".join([*k, "component", "depends_on"])
-    on = " AND ".join([*(f"c.{x} = e.{x}" for x in k), "c.depends_on = e.component"])
-    sel_k = "".join(f"c.{x}, " for x in k)
-    return spark.sql(
-        f"""WITH RECURSIVE c({cols}, depth) AS (
-              SELECT {cols}, 1 FROM {{edges}}
-              UNION ALL
-              SELECT {sel_k}c.component, e.depends_on, c.depth + 1 FROM c JOIN {{edges}} e ON {on})
-            SELECT {cols}, max(depth) AS depth FROM c GROUP BY {cols}""",
-        edges=edges,
-    )
+    keys = list(keys)
+    own = components.groupBy(*keys).agg(F.collect_set("component").alias("_all"))
+    have = own.select(*keys, "_all", F.explode("_all").alias("component"))
+    found = have.join(dependency_paths(edges), "component")
+    runs = F.forall("inner_nodes", lambda x: F.array_contains(F.col("_all"), x))
+    ends = ~F.col("depends_on").isin(*optional) | F.array_contains(F.col("_all"), F.col("depends_on")) if optional else F.lit(True)
+    return found.where(runs & ends).groupBy(*keys, "component", "depends_on").agg(F.max("depth").alias("depth"))
