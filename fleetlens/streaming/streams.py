@@ -7,12 +7,12 @@ Stateful rules keep per-key state between micro-batches:
 
 * #87 scrape windows and #86 idle sessions use Spark's own windowed
   aggregations with a watermark that bounds the state;
-* #83 readiness keeps one map entry per resource, a pending counter and an
-  event-time timer per deployment (``transformWithStateInPandas`` on the
-  RocksDB state store; ``applyInPandasWithState`` with other stores);
-* #84 health checks keep a small state per backend with
-  ``applyInPandasWithState``; each key's rows of a micro-batch are worked
-  as one pandas frame (vectorised).
+* #83 readiness and #84 health checks keep their rows in a list state until
+  the watermark passes them and then work them in event order
+  (``transformWithStateInPandas`` with event-time timers on the RocksDB state
+  store). So the rows that come out do not depend on how the input is cut into
+  micro-batches. Frames of a key are appended one by one; no frame holds a
+  key's whole history.
 
 Event times of the fixtures are TIMESTAMP_NTZ; watermarks need TIMESTAMP,
 so streams cast with the session time zone (UTC in our sessions).
@@ -26,11 +26,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.inventory import READY_INSTANCE
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, read_table
 
 WATERMARK = "1 hour"
 
@@ -70,157 +69,94 @@ def idle_sessions_stream(conns: DataFrame, gap: str = "24 hours", watermark: str
                     "n_conns")
 
 
-# ---------------------------------------------------------------- readiness (#83)
-
-READINESS_OUT = "deploy_id long, n_resources long, pending long, state string, first_ms long, last_ms long"
-READINESS_STATE = "res_ids array<long>, seqs array<long>, statuses array<string>, first_ms long, last_ms long"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _readiness_fn(timeout_s: float):
-    ready = set(READY_INSTANCE)
-    timeout_ms = int(timeout_s * 1000)
+def _needs_rocksdb(spark: SparkSession) -> None:
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
+        raise ValueError(f"list state and timers need spark.sql.streaming.stateStore.providerClass={ROCKSDB}")
 
-    def row(deploy_id, n, pend, state, first, last):
-        return pd.DataFrame([{"deploy_id": deploy_id, "n_resources": n, "pending": pend, "state": state,
-                              "first_ms": first, "last_ms": last}])
 
-    def fn(key, pdfs, state):
-        (deploy_id,) = key
-        if state.hasTimedOut:
-            ids, seqs, sts, first, last = state.get
-            state.remove()
-            yield row(deploy_id, len(ids), sum(1 for s in sts if s not in ready), "timed_out", first, last)
-            return
-        batch = pd.concat(list(pdfs), ignore_index=True)
-        if state.exists:
-            ids, seqs, sts, first, last = state.get
-            cur = pd.DataFrame({"resource_id": list(ids), "seq": list(seqs), "status": list(sts)})
-            first, last = min(first, int(batch["event_ms"].min())), max(last, int(batch["event_ms"].max()))
-        else:
-            cur = batch.iloc[0:0][["resource_id", "seq", "status"]]
-            first, last = int(batch["event_ms"].min()), int(batch["event_ms"].max())
-        allrows = pd.concat([cur, batch[["resource_id", "seq", "status"]]], ignore_index=True)
-        latest = allrows.sort_values("seq").drop_duplicates("resource_id", keep="last")
-        pend = int((~latest["status"].isin(ready)).sum())
-        if pend == 0 and len(latest) > 0:
-            state.remove()
-            yield row(deploy_id, len(latest), 0, "ready", first, last)
-            return
-        deadline = first + timeout_ms
-        if deadline <= state.getCurrentWatermarkMs():
-            # the wait already ran out before these rows were seen
-            state.remove()
-            yield row(deploy_id, len(latest), pend, "timed_out", first, last)
-            return
-        state.update((latest["resource_id"].tolist(), latest["seq"].tolist(), latest["status"].tolist(), first, last))
-        state.setTimeoutTimestamp(deadline)
+def _retime(handle: StatefulProcessorHandle, when: int) -> None:
+    """One timer of the key, at ``when``."""
+    for t in list(handle.listTimers()):
+        handle.deleteTimer(t)
+    handle.registerTimer(when)
 
-    return fn
 
+# ---------------------------------------------------------------- readiness (#83)
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+READINESS_OUT = "deploy_id long, n_resources long, pending long, state string, first_ms long, last_ms long"
 
 
 class ReadinessProcessor(StatefulProcessor):
-    """#83 with per-resource state: a map resource -> (seq, status) and a running
-    pending counter per deployment, so a batch touches only the resources it
-    carries (no whole-deployment state is loaded), and an event-time timer for
-    the timeout."""
+    """#83: the statuses of a deployment up to its deadline, and a mark once its row is out."""
 
-    def __init__(self, timeout_s: float):
+    def __init__(self, timeout_s: float, forget_s: float | None):
         self.timeout_ms = int(timeout_s * 1000)
+        self.forget_ms = None if forget_s is None else int(forget_s * 1000)
         self.ready = set(READY_INSTANCE)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.summary = handle.getValueState(
-            "summary", "n long, pending long, first_ms long, last_ms long, deadline long")
-        self.resources = handle.getMapState("resources", "resource_id long", "seq long, status string")
-
-    def _row(self, deploy_id, n, pend, state, first, last):
-        return pd.DataFrame([{"deploy_id": deploy_id, "n_resources": n, "pending": pend, "state": state,
-                              "first_ms": first, "last_ms": last}])
-
-    def _finish(self):
-        self.resources.clear()
-        self.summary.clear()
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+        self.wait = handle.getValueState("wait", "first_ms long, done boolean")
+        self.rows = handle.getListState("rows", "resource_id long, seq long, event_ms long, status string")
 
     def handleInputRows(self, key, rows, timerValues):
-        (deploy_id,) = key
-        batch = pd.concat(list(rows), ignore_index=True)
-        latest = batch.sort_values("seq").drop_duplicates("resource_id", keep="last")
-        if self.summary.exists():
-            n, pend, first, last, deadline = self.summary.get()
-        else:
-            n, pend, first, last, deadline = 0, 0, None, None, None
-        bmin, bmax = int(batch["event_ms"].min()), int(batch["event_ms"].max())
-        first = bmin if first is None else min(first, bmin)
-        last = bmax if last is None else max(last, bmax)
-        for rid, seq, status in zip(latest["resource_id"], latest["seq"], latest["status"]):
-            k = (int(rid),)
-            old = self.resources.getValue(k)  # None for a resource not seen before
-            if old is not None:
-                old_seq, old_status = old
-                if old_seq >= seq:
-                    continue
-                pend -= old_status not in self.ready
-            else:
-                n += 1
-            pend += status not in self.ready
-            self.resources.updateValue(k, (int(seq), str(status)))
-        if pend == 0 and n > 0:
-            self._finish()
-            yield self._row(deploy_id, n, 0, "ready", first, last)
-            return
-        if deadline is None:
-            deadline = first + self.timeout_ms
-            if deadline <= timerValues.getCurrentWatermarkInMs():
-                self._finish()
-                yield self._row(deploy_id, n, pend, "timed_out", first, last)
-                return
-            self.handle.registerTimer(deadline)
-        self.summary.update((n, pend, first, last, deadline))
+        first, done = self.wait.get() if self.wait.exists() else (None, False)
+        if not done:
+            for pdf in rows:
+                low = int(pdf["event_ms"].min())
+                first = low if first is None else min(first, low)
+                pdf = pdf[pdf["event_ms"] <= first + self.timeout_ms]
+                if len(pdf):
+                    self.rows.appendList(list(pdf[["resource_id", "seq", "event_ms", "status"]].itertuples(index=False, name=None)))
+            self.wait.update((first, False))
+            _retime(self.handle, first + self.timeout_ms)
+        yield pd.DataFrame(columns=["deploy_id", "n_resources", "pending", "state", "first_ms", "last_ms"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         (deploy_id,) = key
-        if self.summary.exists():
-            n, pend, first, last, _ = self.summary.get()
-            self._finish()
-            yield self._row(deploy_id, n, pend, "timed_out", first, last)
+        first, done = self.wait.get()
+        if done:  # long over: a later row of the deployment is a new wait
+            self.wait.clear()
+            return
+        deadline, last, latest = first + self.timeout_ms, first, {}
+        for resource, seq, ms, status in self.rows.get():
+            if ms <= deadline:
+                last = max(last, ms)
+                if resource not in latest or seq > latest[resource][0]:
+                    latest[resource] = (seq, status)
+        self.rows.clear()
+        self.wait.update((first, True))
+        if self.forget_ms is not None:
+            self.handle.registerTimer(deadline + self.forget_ms)
+        pending = sum(status not in self.ready for _, status in latest.values())
+        yield pd.DataFrame([{"deploy_id": deploy_id, "n_resources": len(latest), "pending": pending,
+                             "state": "timed_out" if pending else "ready", "first_ms": first, "last_ms": last}])
 
     def close(self) -> None:
         pass
 
 
 def readiness_stream(status: DataFrame, timeout_s: float = 3600, watermark: str = WATERMARK,
-                     engine: str | None = None) -> DataFrame:
-    """#83 per deployment: latest status per resource; emits ``ready`` when nothing is pending,
-    or ``timed_out`` once the watermark passes first sight + ``timeout_s``.
-
-    With the RocksDB state store the per-resource form runs
-    (``transformWithStateInPandas``: map state per resource, a pending
-    counter, an event-time timer); with another state store the same rows
-    come from ``applyInPandasWithState`` keeping the resources of a
-    deployment in one state value. Event times travel as epoch
-    milliseconds, so the Python side never depends on the session time
-    zone; ``first_seen`` / ``last_seen`` come back in the input column's type.
-    ``engine`` ("map_state" or "grouped") overrides the choice.
+                     forget_s: float | None = None) -> DataFrame:
+    """#83 one row per deployment, once the watermark passes its deadline (first sight +
+    ``timeout_s``): the latest status of each resource at the deadline, ``ready`` when nothing
+    is pending, else ``timed_out``.
+
+    Only rows up to the deadline count, in event time, so the row is the same
+    whatever micro-batches the input comes in; rows after it change nothing
+    (a mark is kept, for ``forget_s`` after the deadline if given). The state
+    holds the statuses of one wait. Event times travel as epoch milliseconds,
+    so the Python side never depends on the session time zone;
+    ``first_seen`` / ``last_seen`` come back in the input column's type.
     """
-    spark = status.sparkSession
+    _needs_rocksdb(status.sparkSession)
     ts_type = status.schema["ts"].dataType.simpleString()
     s = event_time(status).withWatermark("event_ts", watermark).select(
         "deploy_id", "resource_id", "seq", "status", "event_ts", F.unix_millis("event_ts").alias("event_ms"))
-    if engine is None:
-        provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
-        engine = "map_state" if provider == ROCKSDB else "grouped"
-    if engine == "map_state":
-        out = s.groupBy("deploy_id").transformWithStateInPandas(
-            ReadinessProcessor(timeout_s), READINESS_OUT, "Append", "EventTime")
-    else:
-        out = s.groupBy("deploy_id").applyInPandasWithState(
-            _readiness_fn(timeout_s), READINESS_OUT, READINESS_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    out = s.groupBy("deploy_id").transformWithStateInPandas(ReadinessProcessor(timeout_s, forget_s), READINESS_OUT, "Append", "EventTime")
     return out.select(
         "deploy_id", "n_resources", "pending", "state",
         F.timestamp_millis("first_ms").cast(ts_type).alias("first_seen"),
@@ -231,7 +167,6 @@ def readiness_stream(status: DataFrame, timeout_s: float = 3600, watermark: str
 # ---------------------------------------------------------------- health (#84)
 
 HEALTH_OUT = "backend_id long, probe_no long, ok boolean, state string"
-HEALTH_STATE = "down boolean, run_ok boolean, run_len long, last_probe long"
 
 
 def health_steps(ok: np.ndarray, down0: bool, run_ok0, run_len0: int, fall: int, rise: int):
@@ -256,46 +191,76 @@ def health_steps(ok: np.ndarray, down0: bool, run_ok0, run_len0: int, fall: int,
     return down, bool(ok[-1]), int(pos[-1])
 
 
-def _health_fn(fall: int, rise: int):
-    def fn(key, pdfs, state):
+class HealthProcessor(StatefulProcessor):
+    """#84: probes wait in a list until the watermark has passed them, then enter the state
+    machine in order of time and number."""
+
+    def __init__(self, fall: int, rise: int):
+        self.fall, self.rise = fall, rise
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.machine = handle.getValueState("machine", "down boolean, run_ok boolean, run_len long, last_ms long, last_probe long")
+        self.probes = handle.getListState("probes", "probe_no long, event_ms long, ok boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        (backend,) = key
+        _, _, _, last_ms, last_probe = self.machine.get() if self.machine.exists() else (False, True, 0, None, None)
+        due = min(self.handle.listTimers(), default=None)
+        for pdf in rows:
+            if last_ms is not None:  # the state machine is past these: told, not dropped
+                late = (pdf["event_ms"] < last_ms) | ((pdf["event_ms"] == last_ms) & (pdf["probe_no"] <= last_probe))
+                if late.any():
+                    yield pd.DataFrame({"backend_id": backend, "probe_no": pdf["probe_no"][late], "ok": pdf["ok"][late], "state": "late"})
+                    pdf = pdf[~late]
+            if len(pdf):
+                self.probes.appendList(list(pdf[["probe_no", "event_ms", "ok"]].itertuples(index=False, name=None)))
+                low = int(pdf["event_ms"].min())
+                due = low if due is None else min(due, low)
+        if due is not None:
+            _retime(self.handle, due)
+        yield pd.DataFrame(columns=["backend_id", "probe_no", "ok", "state"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         (backend,) = key
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("probe_no")
-        if state.exists:
-            down0, run_ok0, run_len0, last_probe = state.get
+        down0, run_ok, run_len, _, _ = self.machine.get() if self.machine.exists() else (False, None, 0, None, None)
+        passed = timerValues.getCurrentWatermarkInMs()
+        due, rest = [], []
+        for probe in self.probes.get():
+            (due if probe[1] <= passed else rest).append(probe)
+        if rest:
+            self.probes.put(rest)
+            self.handle.registerTimer(min(p[1] for p in rest))
         else:
-            down0, run_ok0, run_len0, last_probe = False, None, 0, None
-        if last_probe is not None:
-            # a probe older than the state cannot enter the state machine any more; it is
-            # reported as ``late`` instead of being dropped silently
-            late = pdf[pdf["probe_no"] <= last_probe]
-            if len(late):
-                yield pd.DataFrame({"backend_id": backend, "probe_no": late["probe_no"].to_numpy(),
-                                    "ok": late["ok"].to_numpy(), "state": "late"})
-            pdf = pdf[pdf["probe_no"] > last_probe]
-        if pdf.empty:
+            self.probes.clear()
+        if not due:
             return
-        ok = pdf["ok"].to_numpy(dtype=bool)
-        down, run_ok, run_len = health_steps(ok, bool(down0), run_ok0, int(run_len0), fall, rise)
-        prev = np.concatenate([[bool(down0)], down[:-1]])
-        changed = down != prev
-        state.update((bool(down[-1]), run_ok, run_len, int(pdf["probe_no"].iloc[-1])))
-        out = pdf.loc[changed, ["probe_no", "ok"]].copy()
-        if len(out):
-            out.insert(0, "backend_id", backend)
-            out["state"] = np.where(down[changed], "down", "up")
-            yield out
+        number, ms, ok = (np.array(x) for x in zip(*sorted(due, key=lambda p: (p[1], p[0]))))
+        ok = ok.astype(bool)
+        down, run_ok, run_len = health_steps(ok, bool(down0), run_ok, int(run_len), self.fall, self.rise)
+        changed = down != np.concatenate([[bool(down0)], down[:-1]])
+        self.machine.update((bool(down[-1]), run_ok, run_len, int(ms[-1]), int(number[-1])))
+        yield pd.DataFrame({"backend_id": np.full(int(changed.sum()), backend), "probe_no": number[changed], "ok": ok[changed],
+                            "state": np.where(down[changed], "down", "up")})
 
-    return fn
+    def close(self) -> None:
+        pass
 
 
-def health_stream(probes: DataFrame, fall: int = 3, rise: int = 2) -> DataFrame:
+def health_stream(probes: DataFrame, fall: int = 3, rise: int = 2, watermark: str = WATERMARK) -> DataFrame:
     """#84 the health state machine with per-backend state kept between micro-batches;
-    emits only the probes where the state changes. Probes of one backend are
-    expected in probe order across batches; a probe that arrives after a
-    later one of its backend was applied is emitted with state ``late``."""
-    p = probes.select("backend_id", "probe_no", "ok")
-    return p.groupBy("backend_id").applyInPandasWithState(
-        _health_fn(fall, rise), HEALTH_OUT, HEALTH_STATE, "append", GroupStateTimeout.NoTimeout)
+    emits only the probes where the state changes.
+
+    Probes are held until the watermark has passed them, and worked in order of
+    time and number: files that come in any order within the watermark give
+    the changes of the batch form. A probe that
+    arrives after a later one was worked is emitted with state ``late``. The
+    state holds one backend's probes of a watermark's length and a trigger.
+    """
+    _needs_rocksdb(probes.sparkSession)
+    p = event_time(probes).withWatermark("event_ts", watermark).select(
+        "backend_id", "probe_no", "ok", "event_ts", F.unix_millis("event_ts").alias("event_ms"))
+    return p.groupBy("backend_id").transformWithStateInPandas(HealthProcessor(fall, rise), HEALTH_OUT, "Append", "EventTime")
 
 
 # ---------------------------------------------------------------- running a stream to a table
@@ -310,11 +275,24 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | N
     return r.parquet(sf_dir)
 
 
-def stream_fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A fixture view over the streamed base table (same SQL text as the batch view)."""
+def stream_fixture(spark: SparkSession, sf_dir: str, name: str, files: int = 4, order: str = "event_id") -> DataFrame:
+    """A fixture view over its base table as a stream of ``files`` files, one a micro-batch
+    (same SQL text as the batch view). The table is first written in ranges of ``order``
+    under the shared checkpoint folder, one after the other (the file source takes files by
+    their time), so no trigger takes it whole and rows come within the watermark."""
     from ..fixtures import FIXTURE_SQL, base_tables_of
 
-    frames = {t: stream_table(spark, sf_dir, t) for t in base_tables_of(name)}
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    frames = {}
+    for t in base_tables_of(name):
+        table = read_table(spark, sf_dir, t)
+        path = f"{root}/fleetlens-streams/{t}-{uuid.uuid4().hex[:12]}"
+        cuts = sorted(set(table.stat.approxQuantile(order, [i / files for i in range(1, files)], 0.01)))
+        for low, high in zip([None, *cuts], [*cuts, None]):
+            part = table if low is None else table.where(F.col(order) > low)
+            part = part if high is None else part.where(F.col(order) <= high)
+            part.write.mode("append").parquet(path)
+        frames[t] = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return spark.sql(FIXTURE_SQL[name], **frames)
 
 

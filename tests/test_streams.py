@@ -38,33 +38,75 @@ def _run(df, scratch, name, mode="append"):
     return df.sparkSession.table(name)
 
 
+def _changes(spark, until_ms):
+    """The batch form's state changes among the probes up to a time."""
+    probes = fixture(spark, SF, "fx_probe").where(F.unix_millis(F.col("ts").cast("timestamp")) <= until_ms)
+    w = Window.partitionBy("backend_id").orderBy("probe_no")
+    return X.health_state(probes, chunk_size=100).withColumn("_prev", F.coalesce(F.lag("state").over(w), F.lit("up"))).where(
+        F.col("state") != F.col("_prev")).select("backend_id", "probe_no", "ok", "state")
+
+
+def _last_ms(spark):
+    return fixture(spark, SF, "fx_probe").agg(F.max(F.unix_millis(F.col("ts").cast("timestamp")))).first()[0]
+
+
 def test_health_stream_equals_batch_changes(spark, scratch):
     folder, schema = _split_events(spark, scratch)
     got = _run(ST.health_stream(_stream_fx(spark, folder, schema, "fx_probe")), scratch, "health")
-    batch = X.health_state(fixture(spark, SF, "fx_probe"), chunk_size=100)
-    w = Window.partitionBy("backend_id").orderBy("probe_no")
-    changes = batch.withColumn("_prev", F.coalesce(F.lag("state").over(w), F.lit("up"))).where(
-        F.col("state") != F.col("_prev")).select("backend_id", "probe_no", "ok", "state")
-    a = got.select("backend_id", "probe_no", "ok", "state")
-    assert a.count() == changes.count() > 0
-    assert a.exceptAll(changes).count() == 0
+    changes = _changes(spark, _last_ms(spark) - 3600_000)
+    assert got.count() == changes.count() > 0
+    assert got.exceptAll(changes).count() == 0
+
+
+def test_health_stream_takes_files_in_any_order(spark, scratch):
+    """Within the watermark the order of the files does not matter."""
+    import os
+    import time
+
+    folder, schema = _split_events(spark, scratch)
+    files = sorted(f"{d}/{x}" for d, _, names in os.walk(folder) for x in names if x.endswith(".parquet"))
+    now = time.time()
+    assert len(files) == 4
+    for f, age in zip(files, (3000, 4000, 1000, 2000)):  # the file source takes files by their time: 2, 1, 4, 3
+        os.utime(f, (now - age, now - age))
+    got = _run(ST.health_stream(_stream_fx(spark, folder, schema, "fx_probe"), watermark="16 days"), scratch, "health_any")
+    changes = _changes(spark, _last_ms(spark) - 16 * 86400_000)
+    assert got.count() == changes.count() > 0
+    assert got.exceptAll(changes).count() == 0
 
 
 def test_readiness_stream_matches_batch(spark, scratch):
+    """The rows are those of the batch form over the statuses up to each deployment's deadline."""
     folder, schema = _split_events(spark, scratch)
-    got = _run(ST.readiness_stream(_stream_fx(spark, folder, schema, "fx_status"), timeout_s=10 * 86400),
-               scratch, "ready")
-    rows = got.collect()
-    assert rows, "every deployment ends ready or timed out"
-    # a deployment reported ready had no pending resource at that point; the batch form
-    # over the same rows agrees for deployments that end ready with all data in
-    batch = {r.deploy_id: r.pending for r in I.pending_instances(fixture(spark, SF, "fx_status")).collect()}
-    for r in rows:
-        assert r.deploy_id in batch
-        if r.state == "ready":
-            assert r.pending == 0
-        else:
-            assert r.state == "timed_out"
+    got = _run(ST.readiness_stream(_stream_fx(spark, folder, schema, "fx_status"), timeout_s=10 * 86400), scratch, "ready")
+    status = fixture(spark, SF, "fx_status").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    seen = status.groupBy("deploy_id").agg(F.min("ms").alias("first"))
+    wait = status.join(seen, "deploy_id").where(F.col("ms") <= F.col("first") + 10 * 86400_000)
+    want = {(r.deploy_id, r.n_resources, r.pending, "timed_out" if r.pending else "ready") for r in I.pending_instances(wait).collect()}
+    assert {(r.deploy_id, r.n_resources, r.pending, r.state) for r in got.collect()} == want and len(want) == 10
+
+
+def _statuses(spark, folder, batches):
+    import os
+
+    import pandas as pd
+
+    for i, rows in enumerate(batches):
+        os.makedirs(f"{folder}/b{i}")
+        pd.DataFrame([(d, r, q, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s), st) for d, r, q, s, st in rows],
+                     columns=["deploy_id", "resource_id", "seq", "ts", "status"]).astype({"ts": "datetime64[us]"}).to_parquet(f"{folder}/b{i}/p.parquet")
+    return spark.readStream.schema("deploy_id long, resource_id long, seq long, ts timestamp_ntz, status string").option(
+        "maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+
+
+def test_readiness_is_told_once(spark, scratch):
+    """Two resources that come in different micro-batches, and rows after the deadline: one row each."""
+    s = _statuses(spark, f"{scratch}/st", [
+        [(1, 10, 1, 0, "RUNNING"), (2, 20, 1, 0, "CREATING")], [(1, 11, 2, 30, "RUNNING"), (2, 20, 3, 50, "CREATING")],
+        [(1, 11, 4, 4000, "CREATING"), (2, 20, 5, 4000, "RUNNING")], [(3, 30, 6, 9000, "RUNNING")], [(1, 12, 7, 9500, "RUNNING")]])
+    got = _run(ST.readiness_stream(s, timeout_s=60, watermark="10 seconds"), scratch, "once").collect()
+    assert sorted((r.deploy_id, r.n_resources, r.pending, r.state) for r in got) == [
+        (1, 2, 0, "ready"), (2, 1, 1, "timed_out"), (3, 1, 0, "ready")]
 
 
 def test_scrape_windows_stream_equals_batch(spark, scratch):
@@ -102,27 +144,29 @@ def test_stateless_rules_on_streams(spark, scratch):
                                             10 * 86400).count()
 
 
-def test_readiness_engines_agree(spark, scratch):
-    folder, schema = _split_events(spark, scratch)
-    rows = {}
-    for engine in ("map_state", "grouped"):
-        st = ST.readiness_stream(_stream_fx(spark, folder, schema, "fx_status"), timeout_s=5 * 86400, engine=engine)
-        rows[engine] = _run(st, scratch, f"ready_{engine}")
-    a, b = rows["map_state"], rows["grouped"]
-    assert a.count() == b.count() > 0
-    assert a.exceptAll(b).count() == 0
+def test_stateful_streams_name_the_state_store_they_need(spark):
+    import pytest
 
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        for stream in (ST.readiness_stream, ST.health_stream):
+            with pytest.raises(ValueError, match="RocksDB"):
+                stream(fixture(spark, SF, "fx_status" if stream is ST.readiness_stream else "fx_probe"))
+    finally:
+        spark.conf.set(key, old)
 
-def test_health_stream_reports_late_probes(spark, scratch):
-    import os
 
-    import pandas as pd
-
-    folder = f"{scratch}/probes"
-    for i, rows in enumerate([[(0, 10, False), (0, 11, False)], [(0, 5, True), (0, 12, False)]]):
-        os.makedirs(f"{folder}/b{i}")
-        pd.DataFrame(rows, columns=["backend_id", "probe_no", "ok"]).to_parquet(f"{folder}/b{i}/p.parquet")
-    s = spark.readStream.schema("backend_id long, probe_no long, ok boolean").option("maxFilesPerTrigger", 1) \
-        .option("recursiveFileLookup", "true").parquet(folder)
-    got = {(r.probe_no, r.state) for r in _run(ST.health_stream(s), scratch, "late").collect()}
-    assert got == {(5, "late"), (12, "down")}
+def test_workers_get_the_package(tmp_path):
+    """A query with Python on the workers runs from a folder that does not hold the package."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.path.insert(0, {root!r}); import __spark_entry__ as e; from fleetlens.session import local_session; "
+            f"s = local_session(2, 2); print('ROWS', e.queries()['config_docs'](s, {SF!r}).count())")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "ROWS 150" in out.stdout, out.stderr[-2000:]
