@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # TPC-C constants used by the published results.
@@ -104,6 +104,30 @@ def pow2_bucket(col: Column) -> Column:
     return F.when(col <= 1, F.lit(1)).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(col.cast("double"))))).cast("int")
 
 
+def percentile_names(percentiles) -> list[str]:
+    return ["p" + format(p * 100, "g").replace(".", "_") for p in percentiles]  # p50, p90, p99, p99_9
+
+
+def type_histogram(tx: DataFrame, value: Column, keys=("run_id",)) -> DataFrame:
+    """``keys, tx_type, _v, _n, ok_count, failed_count``: one row per distinct value, from partial counts."""
+    return tx.groupBy(*keys, "tx_type", value.alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("ok")).alias("ok_count"), F.count_if(~F.col("ok")).alias("failed_count"))
+
+
+def histogram_percentiles(hist: DataFrame, percentiles=(0.5, 0.9, 0.99), keys=("run_id",), counts: bool = False) -> DataFrame:
+    """Exact discrete percentiles of a histogram: the smallest value that ``p`` of a group's values
+    do not exceed. Values are counted before they meet, so a group's task sorts its distinct
+    values (and spills), however many transactions it has. NULL values don't take part."""
+    group = Window.partitionBy(*keys, "tx_type")
+    n = F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)
+    h = hist.withColumn("_upto", F.sum(n).over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    h = h.withColumn("_total", F.sum(n).over(group))
+    at = [F.min(F.when(F.col("_upto") >= F.col("_total") * F.lit(p), F.col("_v"))).cast("int").alias(name)
+          for p, name in zip(percentiles, percentile_names(percentiles))]
+    sums = [F.sum(c).cast("bigint").alias(c) for c in ("ok_count", "failed_count")] if counts else []
+    return h.groupBy(*keys, "tx_type").agg(*sums, *at)
+
+
 def tx_percentiles(
     tx: DataFrame,
     percentiles=(0.5, 0.9, 0.99),
@@ -114,25 +138,34 @@ def tx_percentiles(
 ) -> DataFrame:
     """Latency percentiles per run and type.
 
-    Exact form: ``percentile_disc`` (needs the values of a group in one
-    task, fine for per-type groups of a run). ``approx=True`` uses
-    ``percentile_approx``, whose sketch is merged across partitions so a
-    hot group never buffers all its values. ``bucket='pow2'`` first maps
-    each latency to its power-of-two bucket bound.
+    Exact form: values are counted first (:func:`type_histogram`), then ranked.
+    ``approx=True`` uses ``percentile_approx``, whose sketch is merged across
+    partitions, for logs with very many distinct values. ``bucket='pow2'``
+    first maps each latency to its power-of-two bucket bound.
     """
     lat = F.col("latency_ms")
     if bucket == "pow2":
         lat = pow2_bucket(lat)
-    names = ["p" + format(p * 100, "g").replace(".", "_") for p in percentiles]  # p50, p90, p99, p99_9
     if approx:
         arr = F.percentile_approx(lat, list(percentiles), accuracy)
         out = tx.groupBy(*keys, "tx_type").agg(arr.alias("_p"))
+        names = percentile_names(percentiles)
         return out.select(*keys, "tx_type", *[F.col("_p")[i].cast("int").alias(n) for i, n in enumerate(names)])
-    exprs = [
-        F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY _lat)").cast("int").alias(n)
-        for p, n in zip(percentiles, names)
-    ]
-    return tx.withColumn("_lat", lat).groupBy(*keys, "tx_type").agg(*exprs)
+    return histogram_percentiles(type_histogram(tx, lat, keys), percentiles, keys)
+
+
+def percentile_bounds(approx: DataFrame, tx: DataFrame, percentiles=(0.5, 0.9, 0.99), accuracy: int = 10000,
+                      keys=("run_id",)) -> DataFrame:
+    """Whether each approximate percentile lies within its rank bound (``1 / accuracy``) of the exact counts."""
+    h = type_histogram(tx, F.col("latency_ms"), keys).join(approx, [*keys, "tx_type"])
+    names = percentile_names(percentiles)
+    sums = h.groupBy(*keys, "tx_type").agg(
+        F.sum("_n").alias("_total"),
+        *[F.sum(F.when(F.col("_v") < F.col(n), F.col("_n")).otherwise(0)).alias(f"_below_{n}") for n in names],
+        *[F.sum(F.when(F.col("_v") <= F.col(n), F.col("_n")).otherwise(0)).alias(f"_upto_{n}") for n in names])
+    ok = lambda p, n: ((F.col(f"_upto_{n}") >= (p - 1 / accuracy) * F.col("_total"))
+                       & (F.col(f"_below_{n}") <= (p + 1 / accuracy) * F.col("_total"))).alias(f"{n}_within")
+    return sums.select(*keys, "tx_type", *[ok(p, n) for p, n in zip(percentiles, names)])
 
 
 def compare_runs(tx: DataFrame, run_a, run_b, cores_a: float = 1.0, cores_b: float = 1.0) -> DataFrame:
@@ -141,18 +174,12 @@ def compare_runs(tx: DataFrame, run_a, run_b, cores_a: float = 1.0, cores_b: flo
     Both sides are aggregates with one row per type, so the final join is
     tiny whatever the log size.
     """
-    agg = tx.where(F.col("run_id").isin(run_a, run_b)).groupBy("run_id", "tx_type").agg(
-        F.count_if(F.col("ok")).cast("bigint").alias("ok_count"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY latency_ms)").cast("int").alias("p50"),
-        F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY latency_ms)").cast("int").alias("p99"),
-    )
-    a = agg.where(F.col("run_id") == run_a).select(
-        "tx_type", F.col("ok_count").alias("ok_a"), F.col("p50").alias("p50_a"), F.col("p99").alias("p99_a")
-    )
-    b = agg.where(F.col("run_id") == run_b).select(
-        "tx_type", F.col("ok_count").alias("ok_b"), F.col("p50").alias("p50_b"), F.col("p99").alias("p99_b")
-    )
-    return a.join(b, "tx_type", "full_outer").select(
+    hist = type_histogram(tx.where(F.col("run_id").isin(run_a, run_b)), F.col("latency_ms"))
+    agg = histogram_percentiles(hist, (0.5, 0.99), counts=True)
+    of = lambda run, c: F.max(F.when(F.col("run_id") == F.lit(run), F.col(c)))
+    both = agg.groupBy("tx_type").agg(*[of(run, c).alias(f"{name}_{side}") for side, run in (("a", run_a), ("b", run_b))
+                                        for c, name in (("ok_count", "ok"), ("p50", "p50"), ("p99", "p99"))])
+    return both.select(
         "tx_type",
         "ok_a",
         "ok_b",
