@@ -47,16 +47,15 @@ def health_state(probes: DataFrame, fall: int = FALL, rise: int = RISE, key: str
     """#69 state after each probe: starts up, down after ``fall`` failures in a row,
     up after ``rise`` successes in a row.
 
-    A probe's place in its run of equal results and the last state change
-    before it are running maxima, so they can be worked in chunks of
-    ``order`` and carried over chunk edges:
+    Probes are worked in chunks of ``order``:
 
-    1. inside each chunk: local position and changes between neighbours;
-    2. one summary row per chunk (size, first / last result, last inner
-       change) and a window over those rows give each chunk its offset, the
-       result just before it and the last change before it;
-    3. back on the rows: run position, fall / rise events, and the last
-       event, carried over chunks the same way.
+    1. inside each chunk: a probe's place in its run of equal results and the
+       state changes of all runs that begin there; only the chunk's first run
+       may go on from the chunk before;
+    2. one summary row per chunk (size, first and last result, length of the
+       first run, last change) and windows over those rows give each chunk the
+       length of the run that it continues and the state it begins with;
+    3. one join back: probes of the first run add the carried length.
 
     Every row-level window is bounded by a chunk; only the one-row-per-chunk
     summaries are ordered per backend. The result equals the single-window
@@ -67,42 +66,34 @@ def health_state(probes: DataFrame, fall: int = FALL, rise: int = RISE, key: str
     running = within.rowsBetween(Window.unboundedPreceding, 0)
     chunks = Window.partitionBy(key).orderBy("_chunk")
     before = chunks.rowsBetween(Window.unboundedPreceding, -1)
+    c = F.col
+    limit = lambda ok: F.when(ok, F.lit(rise)).otherwise(F.lit(fall))
 
     rows = probes.withColumn("_chunk", chunk).withColumn("_lp", F.row_number().over(within))
-    lag_ok = F.lag("ok").over(within)
-    rows = rows.withColumn("_inner_chg", F.when(lag_ok.isNotNull() & (lag_ok != F.col("ok")), F.col("_lp")))
+    rows = rows.withColumn("_prev", F.lag("ok").over(within))
+    rows = rows.withColumn("_begin", F.max(F.when(c("_prev") != c("ok"), c("_lp"))).over(running))  # NULL in the first run
+    fires = c("_lp") - c("_begin") + 1 == limit(c("ok"))
+    rows = rows.withColumn("_ev", F.when(fires, F.struct(c("_lp").alias("at"), (~c("ok")).alias("down"))))
+    rows = rows.withColumn("_last", F.max("_ev").over(running))
 
     summ = rows.groupBy(key, "_chunk").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min_by("ok", "_lp").alias("_first_ok"),
-        F.max_by("ok", "_lp").alias("_last_ok"),
-        F.max("_inner_chg").alias("_last_inner"),
-    )
-    summ = summ.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn(
-        "_prev_ok", F.lag("_last_ok").over(chunks))
-    edge_chg = F.col("_prev_ok").isNull() | (F.col("_first_ok") != F.col("_prev_ok"))
-    summ = summ.withColumn(
-        "_chunk_last_chg", F.col("_off") + F.coalesce(F.col("_last_inner"), F.when(edge_chg, F.lit(1))))
-    summ = summ.withColumn("_carry_chg", F.max("_chunk_last_chg").over(before)).select(
-        key, "_chunk", "_off", "_prev_ok", "_carry_chg")
-
-    p = rows.join(summ, [key, "_chunk"]).withColumn("_seq", F.col("_off") + F.col("_lp"))
-    first_chg = (F.col("_lp") == 1) & (F.col("_prev_ok").isNull() | (F.col("ok") != F.col("_prev_ok")))
-    p = p.withColumn("_chg", F.when(first_chg, F.col("_seq")).when(
-        F.col("_inner_chg").isNotNull(), F.col("_off") + F.col("_inner_chg")))
-    last_chg = F.coalesce(F.max("_chg").over(running), F.col("_carry_chg"))
-    p = p.withColumn("_pos", F.col("_seq") - last_chg + 1)
-
-    pos = F.col("_pos")
-    event = (F.when(~F.col("ok") & (pos == fall), F.struct(F.col("_seq").alias("s"), F.lit(True).alias("down")))
-             .when(F.col("ok") & (pos == rise), F.struct(F.col("_seq").alias("s"), F.lit(False).alias("down"))))
-    p = p.withColumn("_ev", event).withColumn("_last_ev_local", F.max("_ev").over(running))
-    evc = p.groupBy(key, "_chunk").agg(F.max("_ev").alias("_m"))
-    evc = evc.withColumn("_carry_ev", F.max("_m").over(before)).drop("_m")
-    p = p.join(evc, [key, "_chunk"])
-    last = F.coalesce("_last_ev_local", "_carry_ev")
-    state = F.when(last.isNull(), F.lit("up")).when(last["down"], F.lit("down")).otherwise(F.lit("up"))
-    return p.select(*probes.columns, state.alias("state"))
+        F.count(F.lit(1)).alias("_n"), F.min_by("ok", "_lp").alias("_first_ok"), F.max_by("ok", "_lp").alias("_last_ok"),
+        F.count_if(c("_begin").isNull()).alias("_head"), F.max("_begin").alias("_tail_begin"), F.max("_ev").alias("_inner"))
+    summ = summ.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    joined = F.lag("_last_ok").over(chunks) == c("_first_ok")
+    # where the run at a chunk's end began, in probes of the backend; a chunk of one run that goes on has none of its own
+    began = F.when(c("_tail_begin").isNotNull(), c("_off") + c("_tail_begin")).when(F.coalesce(joined, F.lit(False)), F.lit(None)).otherwise(c("_off") + 1)
+    summ = summ.withColumn("_began", began).withColumn("_joined", F.coalesce(joined, F.lit(False)))
+    summ = summ.withColumn("_len", F.when(c("_joined"), c("_off") - F.max("_began").over(before) + 1).otherwise(F.lit(0)))
+    at = limit(c("_first_ok")) - c("_len")  # place in the chunk at which the first run changes the state
+    summ = summ.withColumn("_at", F.when((at >= 1) & (at <= c("_head")), at))
+    down = F.when(c("_inner").isNotNull(), c("_inner.down")).when(c("_at").isNotNull(), ~c("_first_ok"))
+    summ = summ.withColumn("_down", F.coalesce(F.last(down, ignorenulls=True).over(before), F.lit(False)))
+    carry = summ.select(key, "_chunk", "_at", "_down", "_first_ok")
+
+    p = rows.join(carry, [key, "_chunk"])
+    now = F.when(c("_last").isNotNull(), c("_last.down")).when(c("_at") <= c("_lp"), ~c("_first_ok")).otherwise(c("_down"))
+    return p.select(*probes.columns, F.when(now, F.lit("down")).otherwise(F.lit("up")).alias("state"))
 
 
 _UNITS_US = {"second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 86400 * 10**6}
@@ -120,31 +111,24 @@ def idle_sessions(conns: DataFrame, gap: str = IDLE_GAP, key: str = "client_ip",
     Same sessions as ``session_window(ts, gap)`` (a connection ``gap`` or
     more after the previous one starts a new session; the session ends
     ``gap`` after its last connection), computed so that one very busy
-    client is not one task: the client's connections are cut into chunks of
-    time (``chunk``, default the hour), each chunk finds its session starts
-    with the last time of the previous chunk carried in, and the running
-    session start is carried across chunks with windows over one row per
-    chunk. The final grouping by (client, session start) is an ordinary
-    partial aggregation. The streaming form is
+    client is not one task: a client's connections are cut into chunks of
+    time (``chunk``, default the hour) and made into sessions inside each
+    chunk; then neighbouring chunks' sessions are merged the same way. Rows
+    never join back. The streaming form is
     :func:`fleetlens.streaming.streams.idle_sessions_stream`.
     """
     ch = chunk if chunk is not None else F.date_trunc("hour", F.col(ts))
-    d = conns.select(key, ts).withColumn("_chunk", ch)
-    within = Window.partitionBy(key, "_chunk").orderBy(ts)
-    running = within.rowsBetween(Window.unboundedPreceding, 0)
-    chunks = Window.partitionBy(key).orderBy("_chunk")
-    before = chunks.rowsBetween(Window.unboundedPreceding, -1)
 
-    last = d.groupBy(key, "_chunk").agg(F.max(ts).alias("_last"))
-    last = last.withColumn("_prev_last", F.lag("_last").over(chunks)).drop("_last")
-    d = d.join(last, [key, "_chunk"])
-    prev = F.coalesce(F.lag(ts).over(within), F.col("_prev_last"))
-    new = prev.isNull() | (F.timestamp_diff("MICROSECOND", prev, F.col(ts)) >= F.lit(_gap_us(gap)))
-    d = d.withColumn("_start", F.when(new, F.col(ts)))
-    d = d.withColumn("_start_local", F.max("_start").over(running))
-    carry = d.groupBy(key, "_chunk").agg(F.max("_start").alias("_m"))
-    carry = carry.withColumn("_carry", F.max("_m").over(before)).drop("_m")
-    d = d.join(carry, [key, "_chunk"]).withColumn("session_start", F.coalesce("_start_local", "_carry"))
-    s = d.groupBy(key, "session_start").agg(F.max(ts).alias("_end"), F.count(F.lit(1)).alias("n_conns"))
-    return s.select(key, "session_start", (F.col("_end") + F.expr(f"INTERVAL {gap}")).alias("session_end"),
-                    "n_conns")
+    def merged(rows, by):
+        """Rows (by, start, end, n) joined where the next begins less than the gap after the end."""
+        w = Window.partitionBy(*by).orderBy("_start", "_end")
+        prev = F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        new = prev.isNull() | (F.timestamp_diff("MICROSECOND", prev, F.col("_start")) >= F.lit(_gap_us(gap)))
+        rows = rows.withColumn("_new", new.cast("int"))
+        rows = rows.withColumn("_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return rows.groupBy(*by, "_id").agg(F.min("_start").alias("_start"), F.max("_end").alias("_end"), F.sum("_n").alias("_n")).drop("_id")
+
+    one = conns.select(key, ch.alias("_chunk"), F.col(ts).alias("_start"), F.col(ts).alias("_end"), F.lit(1).alias("_n"))
+    s = merged(merged(one, [key, "_chunk"]).drop("_chunk"), [key])
+    return s.select(key, F.col("_start").alias("session_start"), (F.col("_end") + F.expr(f"INTERVAL {gap}")).alias("session_end"),
+                    F.col("_n").alias("n_conns"))
