@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .session import read_table, session_key
 
-# The view texts of FIXTURES.md section 2, kept verbatim.
+# The view texts of FIXTURES.md section 2.
 FIXTURE_SQL: dict[str, str] = {
     "fx_deployment": """
 SELECT c_custkey AS deploy_id,
@@ -23,22 +23,51 @@ SELECT c_custkey AS deploy_id,
        CASE c_nationkey % 4 WHEN 0 THEN 'ru-central1-a' WHEN 1 THEN 'ru-central1-b'
                             WHEN 2 THEN 'ru-central1-d' ELSE 'standalone' END AS zone,
        CASE WHEN c_nationkey % 5 = 0 THEN '' ELSE 'standard-images' END AS image_folder_id,
-       CASE WHEN c_nationkey % 3 = 0 THEN 'os-image-' || CAST(c_nationkey AS STRING) END AS image_name,
+       CASE WHEN c_nationkey % 3 = 0 THEN 'os-image-' || CAST(c_nationkey + 30 * (c_nationkey % 2) AS STRING) END AS image_name,
        CASE WHEN c_nationkey % 8 = 2 THEN 'other-lts' WHEN c_nationkey % 2 = 0 THEN 'ubuntu-2404-lts' END AS image_family,
        CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 'standard-v3' END AS default_platform,
        CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE 100 END AS default_core_fraction,
+       CASE WHEN c_custkey % 5 = 0 THEN 6 END AS default_cores,
+       CASE WHEN c_custkey % 7 = 0 THEN 24 END AS default_memory_gb,
        'adm' AS ssh_user,
        CASE c_custkey % 10 WHEN 0 THEN 'other' WHEN 1 THEN '' WHEN 2 THEN 'null' ELSE 'adm' END AS deploy_user,
        CASE c_custkey % 4 WHEN 0 THEN false WHEN 1 THEN NULL ELSE true END AS auto_tune,
        c_custkey % 3 = 0 AS ocp_enabled,
-       c_custkey % 7 = 0 AS prometheus_component
+       c_custkey % 7 = 0 AS prometheus_component,
+       c_custkey % 26 = 0 AS grafana_component,
+       CASE c_custkey % 23 WHEN 0 THEN false WHEN 1 THEN NULL ELSE true END AS configserver_component,
+       CASE c_custkey % 29 WHEN 0 THEN false END AS database_component,
+       CASE c_custkey % 31 WHEN 0 THEN false END AS proxy_component,
+       CASE c_custkey % 22 WHEN 0 THEN false END AS agent_component,
+       CASE c_custkey % 20 WHEN 0 THEN false END AS node_exporter_enabled,
+       CASE WHEN c_custkey % 11 = 0 THEN 3306 END AS mysql_port,
+       CASE WHEN c_custkey % 13 = 0 THEN 9200 END AS exporter_port,
+       CASE WHEN c_custkey % 12 = 0 THEN 8188 END AS agent_port,
+       CASE WHEN c_custkey % 17 = 0 THEN 9091 END AS prometheus_port,
+       CASE WHEN c_custkey % 9 = 0 THEN 8180 END AS management_port,
+       CASE WHEN c_custkey % 10 = 3 THEN 2222 END AS ssh_port,
+       CASE WHEN c_custkey % 18 = 0 THEN '/keys/' || CAST(c_custkey AS STRING) WHEN c_custkey % 18 = 1 THEN '' END AS key_file,
+       CASE WHEN c_custkey % 14 = 0 THEN '/srv/observer' END AS home_path,
+       CASE WHEN c_custkey % 15 = 0 THEN '/srv/data' END AS data_dir,
+       CASE WHEN c_custkey % 16 = 0 THEN '/srv/redo' END AS redo_dir,
+       CASE WHEN c_custkey % 21 = 0 THEN 'cluster-' || CAST(c_custkey AS STRING) END AS cluster_name,
+       CASE WHEN c_custkey % 19 = 0 THEN 'metrics' END AS agent_user,
+       CASE WHEN c_custkey % 27 = 0 THEN '4.3.1' END AS management_version,
+       CASE WHEN c_custkey % 24 = 0 THEN '16G' END AS management_memory,
+       CASE WHEN c_custkey % 24 = 0 THEN 'meta_two' END AS meta_tenant_name,
+       CASE WHEN c_custkey % 24 = 0 THEN CAST(4.5 AS DOUBLE) END AS meta_max_cpu,
+       CASE WHEN c_custkey % 8 = 0 THEN '10G' END AS memory_limit,
+       CASE WHEN c_custkey % 8 = 0 THEN '2G' END AS system_memory,
+       CASE WHEN c_custkey % 8 = 0 THEN '50G' END AS datafile_size,
+       CASE WHEN c_custkey % 8 = 0 THEN '30G' END AS log_disk_size,
+       CASE WHEN c_custkey % 8 = 0 THEN 6 END AS cpu_count
 FROM {customer}
 """,
     "fx_profile": """
 SELECT c.c_custkey AS deploy_id,
        CASE WHEN r.k = 1 AND c.c_custkey % 8 = 0 THEN 'observers'
             WHEN r.k = 4 AND c.c_custkey % 8 = 1 THEN 'monitor' ELSE r.role END AS role_in,
-       CAST(CASE r.k WHEN 1 THEN 1 + c.c_custkey % 6 WHEN 2 THEN c.c_custkey % 3 ELSE 1 END AS INT) AS vm_count,
+       CAST(CASE r.k WHEN 1 THEN CASE WHEN c.c_custkey % 40 = 7 THEN 14 ELSE 1 + c.c_custkey % 6 END WHEN 2 THEN c.c_custkey % 3 ELSE 1 END AS INT) AS vm_count,
        CASE WHEN r.k IN (4, 5) THEN c.c_custkey % 2 = 0 END AS enabled,
        CASE WHEN r.k = 3 THEN c.c_custkey % 5 = 0 END AS dedicated,
        CASE WHEN c.c_custkey % 4 = 0 THEN NULL ELSE 'standard-v' || CAST(2 + c.c_custkey % 2 AS STRING) END AS platform,
@@ -93,7 +122,7 @@ FROM {lineitem}
 SELECT 'os-image-' || CAST(n_nationkey AS STRING) AS name,
        CASE WHEN n_nationkey % 4 = 0 THEN 'ubuntu-2404-lts' END AS family,
        CASE WHEN n_nationkey % 6 = 1 THEN 'ubuntu-2204-lts' END AS family_id
-FROM {nation} WHERE n_nationkey % 2 = 0 OR n_nationkey % 6 = 1
+FROM {nation}
 """,
     "fx_kv_line": """
 SELECT user_id AS file_id, event_id AS line_no,

@@ -341,8 +341,9 @@ def disk_attachments(disks: DataFrame, instances: DataFrame) -> DataFrame:
 def image_availability(deploy: DataFrame, images: DataFrame) -> DataFrame:
     """#44 matches of the wanted image name (else family) in the image list; 0 -> warning.
 
-    The OR condition of the family match (``family`` or ``family_id``) is
-    two equi-joins and a union, so neither side becomes a nested loop.
+    Images are counted per name and per family first (an image counts once
+    for ``family`` and ``family_id`` together), so the join with the wanted
+    values has one row per value and no pair of deployment and image is made.
     """
     name = F.nullif(F.nullif(F.col("image_name"), F.lit("")), F.lit("null"))
     fam = F.nullif(F.nullif(F.col("image_family"), F.lit("")), F.lit("null"))
@@ -351,17 +352,13 @@ def image_availability(deploy: DataFrame, images: DataFrame) -> DataFrame:
         F.when(name.isNotNull(), F.lit("name")).when(fam.isNotNull(), F.lit("family")).alias("kind"),
         F.coalesce(name, fam).alias("wanted"),
     ).where(F.col("kind").isNotNull())
-    by_name = want.where(F.col("kind") == "name").join(
-        images.select(F.col("name").alias("wanted")), "wanted")
-    by_family = want.where(F.col("kind") == "family").join(
-        images.select(F.col("family").alias("wanted")), "wanted")
-    by_family_id = want.where(F.col("kind") == "family").join(
-        images.select(F.col("family_id").alias("wanted")).where(F.col("family").isNull() | (F.col("family") != F.col("family_id"))),
-        "wanted",
-    )
-    hits = by_name.unionByName(by_family).unionByName(by_family_id).groupBy("deploy_id").agg(
+    labels = F.array(
+        F.struct(F.lit("name").alias("kind"), F.col("name").alias("wanted")),
+        F.struct(F.lit("family").alias("kind"), F.col("family").alias("wanted")),
+        F.when(~F.col("family_id").eqNullSafe(F.col("family")), F.struct(F.lit("family").alias("kind"), F.col("family_id").alias("wanted"))))
+    hits = images.select(F.explode(F.filter(labels, lambda x: x.isNotNull())).alias("x")).select("x.*").groupBy("kind", "wanted").agg(
         F.count(F.lit(1)).cast("bigint").alias("matches"))
-    return want.join(hits, "deploy_id", "left").select(
+    return want.join(hits, ["kind", "wanted"], "left").select(
         "deploy_id", "kind", "wanted", F.coalesce("matches", F.lit(0).cast("bigint")).alias("matches"),
     ).withColumn("warn", F.col("matches") == 0)
 
@@ -493,10 +490,12 @@ def fleet_totals(resolved: DataFrame) -> DataFrame:
 
 
 def feature_flags(deploy: DataFrame, resolved: DataFrame) -> DataFrame:
-    """#27 per deployment: management, prometheus, grafana, exporter, production mode.
+    """#27 per deployment: management, prometheus, grafana, exporter, production mode, and the
+    switches of config server, database, proxy and agent (on unless switched off).
 
     ``deploy``: ``ocp_enabled, prometheus_component`` (and optionally
-    ``grafana_component, node_exporter_enabled``); ``resolved`` gives the
+    ``grafana_component, node_exporter_enabled, configserver_component,
+    database_component, proxy_component, agent_component``); ``resolved`` gives the
     raw monitoring / management flags and the observer count.
     """
     from .profiles import col_or_null
@@ -520,6 +519,8 @@ def feature_flags(deploy: DataFrame, resolved: DataFrame) -> DataFrame:
         prom.alias("prometheus"),
         graf.alias("grafana"),
         exporter.alias("node_exporter"),
+        *[F.coalesce(col_or_null(deploy, f"{c}_component", "boolean"), F.lit(True)).alias(c)
+          for c in ("configserver", "database", "proxy", "agent")],
         (F.coalesce(F.col("_obs"), F.lit(3)) >= 3).alias("production_mode"),
     )
 

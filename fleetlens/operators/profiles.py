@@ -8,10 +8,8 @@ key that is absent everywhere. Deployment-level defaults come from the
 deployment table (``default_platform, default_core_fraction, image_*`` and
 optional ``default_<disk>_<field>`` columns).
 
-The constant tables (aliases, minimums) have a fixed handful of rows and
-are broadcast; everything keyed by deployment is joined on ``deploy_id``
-and left to Catalyst/AQE, which broadcasts only when the runtime size is
-under the threshold.
+No join is hinted: Catalyst / AQE broadcast a side (the few rows of the alias
+and minimum tables, say) only when its size is under the threshold.
 """
 
 from __future__ import annotations
@@ -68,12 +66,8 @@ def col_or_null(df: DataFrame, name: str, dtype: str) -> Column:
 
 
 def role_lookup(df: DataFrame, aliases: DataFrame, col: str = "role_in", out: str = "role") -> DataFrame:
-    """#43 alias -> canonical role; unknown names pass through.
-
-    The alias table is a fixed constant of a few rows: broadcasting it is
-    safe at any data size.
-    """
-    a = F.broadcast(aliases.select(F.col("alias").alias("_alias"), F.col("role").alias("_role")))
+    """#43 alias -> canonical role; unknown names pass through."""
+    a = aliases.select(F.col("alias").alias("_alias"), F.col("role").alias("_role"))
     return (
         df.join(a, F.col(col) == F.col("_alias"), "left")
         .withColumn(out, F.coalesce(F.col("_role"), F.col(col)))
@@ -93,7 +87,7 @@ def resolve_profiles(
     back through profile, deployment and constant with empty text counting
     as missing.
     """
-    a = F.broadcast(aliases.select(F.col("alias").alias("_alias"), F.col("role").alias("role")))
+    a = aliases.select(F.col("alias").alias("_alias"), F.col("role").alias("role"))
     joined = profiles.join(a, F.col(role_col) == F.col("_alias"), "left")
     rejects = joined.where(F.col("role").isNull()).select(
         "deploy_id", F.col(role_col).alias("role_in"), F.lit("unknown vm profile role").alias("reason")
@@ -203,7 +197,7 @@ def audit_profiles(profiles: DataFrame, deploy: DataFrame, aliases: DataFrame, m
     (absent = off) as the validator does; the checks read resolved values.
     """
     resolved, _ = resolve_profiles(profiles, deploy, aliases, keep_raw=True)
-    r = resolved.join(F.broadcast(minimums), "role")
+    r = resolved.join(minimums, "role")
     checked = (
         ~((F.col("role") == "configserver") & ~F.coalesce(F.col("_raw_dedicated"), F.lit(False)))
         & ~((F.col("role") == "monitoring") & ~F.coalesce(F.col("_raw_enabled"), F.lit(False)))
@@ -235,19 +229,27 @@ def audit_profiles(profiles: DataFrame, deploy: DataFrame, aliases: DataFrame, m
         issue(data_on & F.coalesce(F.col("log_enabled"), F.lit(False)) & (ltype != IO_M3), "log_disk_type", "WARN",
               txt("observer log_disk.type=", ltype)),
     )
-    found = r.select("deploy_id", "role", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("i")).select(
-        "deploy_id", "role", "i.rule", "i.severity", "i.message"
-    )
-    # a config without an observer profile reads as observer count 0
-    no_observer = deploy.select("deploy_id").join(
-        resolved.where(F.col("role") == "observer").select("deploy_id"), "deploy_id", "left_anti"
-    ).select("deploy_id", F.lit("observer").alias("role"), F.lit("observer_count").alias("rule"),
-             F.lit("WARN").alias("severity"), F.lit("observer.count=0 < 3").alias("message"))
-    return found.unionByName(no_observer)
+    broken = F.transform(F.filter(rules, lambda x: x.isNotNull()), lambda x: F.struct(
+        F.col("role").alias("role"), x["rule"].alias("rule"), x["severity"].alias("severity"), x["message"].alias("message")))
+    # a config without an observer profile reads as observer count 0: known once a deployment's
+    # roles are together (as many rows as roles)
+    none = F.array(F.struct(F.lit("observer").alias("role"), F.lit("observer_count").alias("rule"), F.lit("WARN").alias("severity"),
+                            F.lit("observer.count=0 < 3").alias("message")))
+    per = deploy.select("deploy_id", F.lit(True).alias("_listed")).join(r.select("deploy_id", obs.alias("_obs"), broken.alias("_i")),
+                                                                       "deploy_id", "full_outer")
+    per = per.groupBy("deploy_id").agg(F.flatten(F.collect_list("_i")).alias("_i"),
+                                       F.bool_or(F.coalesce("_obs", F.lit(False)) | F.col("_listed").isNull()).alias("_has"))
+    every = F.when(F.col("_has"), F.col("_i")).otherwise(F.concat("_i", none))
+    return per.select("deploy_id", F.explode(every).alias("i")).select("deploy_id", "i.role", "i.rule", "i.severity", "i.message")
+
+
+def routed(issues: DataFrame) -> DataFrame:
+    """#14 each issue with its ``route``: errors to one output, the rest to another; one pass."""
+    return issues.withColumn("route", F.when(F.col("severity") == "ERROR", F.lit("errors")).otherwise(F.lit("others")))
 
 
 def route_issues(issues: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """#14 errors to one output, the rest to another (cache ``issues`` when both are written)."""
+    """The two outputs of :func:`routed`."""
     err = F.col("severity") == "ERROR"
     return issues.where(err), issues.where(~err)
 

@@ -47,7 +47,7 @@ def _with_base(targets: DataFrame, base) -> DataFrame:
     if isinstance(base, dict):
         return targets.select("*", *[F.lit(v).alias(f"base_{k}") for k, v in base.items() if k != "base_id"])
     b = base.select(*[F.col(c).alias(f"base_{c}") if c != "base_id" else F.col(c) for c in base.columns])
-    return targets.join(F.broadcast(b), "base_id")
+    return targets.join(b, "base_id")
 
 
 def scale_capacity(targets: DataFrame, base=None) -> DataFrame:

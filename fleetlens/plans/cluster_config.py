@@ -1,51 +1,37 @@
 """The cluster-configuration pipeline: config + listing -> one document per deployment.
 
-inventory -> addresses -> server overrides + zones + tuning + scrape targets
--> component placement -> cluster document. Every intermediate is built
-once and handed to all its consumers, so the physical plan reads each
-input once and reuses the shuffles of shared subplans (``ReusedExchange``)
-instead of recomputing them per consumer.
+inventory -> addresses -> servers, zones, tuning, scrape jobs and component
+hosts -> cluster document. The resolved profiles and the inventory, which
+several parts read, are written once as tables in the shared folder, so the
+listing and the profiles are worked once and no cache is left behind.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from ..functions.scalars import user_effective
 from ..operators.inventory import feature_flags, vm_inventory, vm_queue
 from ..operators.profiles import auto_tune, effective_tuning, resolve_profiles, role_lookup
-from ..sinks.documents import component_placement, render_cluster_docs, scrape_targets, server_overrides
+from ..session import stored
+from ..sinks.documents import render_cluster_docs, scrape_targets
 
 
-def cluster_inputs(deploy: DataFrame, profiles: DataFrame, aliases: DataFrame, listing: DataFrame,
-                   persist: bool = True) -> dict:
-    """The shared intermediates of the pipeline, each defined once.
-
-    With ``persist`` the resolved profiles and the inventory - each read by
-    several outputs - are kept (memory, then disk) after their first
-    computation, so the listing and the profile table are scanned once per
-    run. A lost executor's blocks are recomputed from their short lineage.
-    """
-    deploy = deploy.withColumn("deploy_user_eff", user_effective("deploy_user", "ssh_user"))
+def cluster_inputs(deploy: DataFrame, profiles: DataFrame, aliases: DataFrame, listing: DataFrame) -> dict:
+    """The shared intermediates of the pipeline, each worked once."""
     raw = role_lookup(profiles, aliases)
     resolved, rejects = resolve_profiles(profiles, deploy, aliases, keep_raw=True)
-    inv = vm_inventory(vm_queue(deploy, raw), listing, deploy)
-    if persist:
-        resolved = resolved.persist(StorageLevel.MEMORY_AND_DISK)
-        inv = inv.persist(StorageLevel.MEMORY_AND_DISK)
+    resolved = stored(resolved)
+    inv = stored(vm_inventory(vm_queue(deploy, raw), listing, deploy))
     flags = feature_flags(deploy, resolved)
     return dict(deploy=deploy, raw=raw, resolved=resolved, rejects=rejects, inventory=inv, flags=flags)
 
 
 def cluster_documents(deploy: DataFrame, profiles: DataFrame, aliases: DataFrame, listing: DataFrame) -> DataFrame:
     x = cluster_inputs(deploy, profiles, aliases, listing)
-    placement = component_placement(x["inventory"], x["flags"], x["raw"])
-    servers = server_overrides(x["inventory"], x["deploy"])
-    tuning = effective_tuning(x["deploy"], auto_tune(x["resolved"])).drop("auto_tune_on")
-    return render_cluster_docs(placement, servers, tuning, x["flags"])
+    tuning = effective_tuning(deploy, auto_tune(x["resolved"]))
+    return render_cluster_docs(x["inventory"], x["flags"], deploy, tuning, x["raw"])
 
 
 def cluster_scrape_targets(deploy, profiles, aliases, listing) -> DataFrame:
     x = cluster_inputs(deploy, profiles, aliases, listing)
-    return scrape_targets(x["inventory"], x["flags"])
+    return scrape_targets(x["inventory"], x["flags"], deploy)

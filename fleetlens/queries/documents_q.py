@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..fixtures import fixture
-from ..functions.scalars import user_effective
 from ..operators import inventory as I
-from ..operators import profiles as P
+from ..session import ensure_checkpoint_dir
 from ..sinks import documents as D
 from . import common as C
 from .profiles_q import RESOLVED_CTE, resolved
@@ -18,11 +19,6 @@ INV_FX = PROF + ("fx_instance",)
 BASE = f"{RESOLVED_CTE}, {C.PR_CTE}, {C.DESIRED_CTE}, {C.INVENTORY_CTE}"
 
 
-def deploy_eff(spark, sf):
-    d = fixture(spark, sf, "fx_deployment")
-    return d.withColumn("deploy_user_eff", user_effective("deploy_user", "ssh_user"))
-
-
 def flags(spark, sf):
     return I.feature_flags(fixture(spark, sf, "fx_deployment"), C.resolved_raw(spark, sf))
 
@@ -35,8 +31,11 @@ FLAGS_CTE = """pf AS (SELECT deploy_id,
 flags AS (SELECT d.deploy_id,
                  coalesce(d.ocp_enabled, false) AND coalesce(pf.ocp_vm, false) AS management,
                  coalesce(d.prometheus_component, false) OR coalesce(pf.mon_vm, false) AS prometheus,
-                 coalesce(pf.mon_vm, false) AS grafana,
-                 coalesce(pf.mon_vm, false) OR coalesce(d.prometheus_component, false) AS node_exporter,
+                 coalesce(d.grafana_component, false) OR coalesce(pf.mon_vm, false) AS grafana,
+                 coalesce(d.node_exporter_enabled, true)
+                   AND (coalesce(pf.mon_vm, false) OR coalesce(d.prometheus_component, false)) AS node_exporter,
+                 coalesce(d.configserver_component, true) AS configserver, coalesce(d.database_component, true) AS database,
+                 coalesce(d.proxy_component, true) AS proxy, coalesce(d.agent_component, true) AS agent,
                  coalesce(pf.obs, 3) >= 3 AS production_mode
           FROM fx_deployment d LEFT JOIN pf ON d.deploy_id = pf.deploy_id)"""
 
@@ -46,6 +45,19 @@ HOSTS_CTE = f"""ch AS (
   FROM inv WHERE role IN ('observer', 'obproxy', 'configserver', 'monitoring')),
 hosts AS (SELECT * FROM ch WHERE NOT (role = 'configserver' AND host IS NULL))"""
 
+# The settings of the documents with their defaults (fixed values, see sinks.documents.CONFIG_DEFAULTS).
+CFG_CTE = """cfg0 AS (SELECT *, coalesce(deploy_user, ssh_user, 'obadmin') AS usr FROM fx_deployment),
+cfg AS (SELECT deploy_id, usr, coalesce(ssh_port, 22) AS ssh_port, nullif(key_file, '') AS key_file,
+               coalesce(mysql_port, 2881) AS mysql_port, 2882 AS rpc_port, 2886 AS obshell_port,
+               coalesce(exporter_port, 9100) AS exporter_port, coalesce(agent_port, 8088) AS agent_port,
+               coalesce(prometheus_port, 9090) AS prometheus_port, coalesce(management_port, 8080) AS management_port,
+               coalesce(home_path, '/home/' || usr || '/observer') AS home_path, coalesce(data_dir, '/data/1') AS data_dir,
+               coalesce(redo_dir, '/data/log1') AS redo_dir, coalesce(cluster_name, 'obcluster') AS cluster_name,
+               coalesce(agent_user, 'admin') AS agent_user, nullif(management_version, '') AS management_version,
+               coalesce(management_memory, '8G') AS management_memory, coalesce(meta_tenant_name, 'ocp_meta') AS meta_tenant_name,
+               coalesce(meta_max_cpu, CAST(2 AS DOUBLE)) AS meta_max_cpu
+        FROM cfg0)"""
+
 
 @query(
     "inventory_render",
@@ -60,15 +72,18 @@ hosts AS (SELECT * FROM ch WHERE NOT (role = 'configserver' AND host IS NULL))""
                      max(CASE WHEN role = 'ocp' THEN vm_count END) AS ocp,
                      bool_or(role = 'ocp' AND coalesce(enabled, false)) AS ocp_on
               FROM pr GROUP BY deploy_id),
+        bad AS (SELECT DISTINCT deploy_id FROM inv WHERE coalesce(ip, '') = ''),
         f AS (SELECT d.deploy_id, p.obs, p.prx, p.cs, p.cs_ded, p.mon, p.mon_on, p.ocp, p.ocp_on, d.deploy_name,
                      d.ssh_user
-              FROM fx_deployment d LEFT JOIN p ON d.deploy_id = p.deploy_id),
+              FROM fx_deployment d LEFT JOIN p ON d.deploy_id = p.deploy_id
+              WHERE d.deploy_id NOT IN (SELECT deploy_id FROM bad)),
         k AS (SELECT *, CASE role WHEN 'observer' THEN 'OBSERVER' WHEN 'obproxy' THEN 'OBPROXY'
                                   WHEN 'configserver' THEN 'CONFIGSERVER' WHEN 'monitoring' THEN 'MONITOR' ELSE 'OCP' END
                         AS key,
                         CASE role WHEN 'observer' THEN 1 WHEN 'obproxy' THEN 2 WHEN 'configserver' THEN 3
                                   WHEN 'monitoring' THEN 4 ELSE 5 END AS section
-              FROM inv WHERE ip <> '')
+              FROM inv WHERE deploy_id NOT IN (SELECT deploy_id FROM bad)),
+        lines AS (
         SELECT deploy_id, section, idx, 0 AS kind, key || '_' || CAST(idx AS VARCHAR) || '_NAME=' || name AS line FROM k
         UNION ALL SELECT deploy_id, section, idx, 1, key || '_' || CAST(idx AS VARCHAR) || '_IP=' || ip FROM k
         UNION ALL SELECT deploy_id, 9, 0, 0, 'OBSERVER_COUNT=' || coalesce(CAST(obs AS VARCHAR), '') FROM f
@@ -81,13 +96,20 @@ hosts AS (SELECT * FROM ch WHERE NOT (role = 'configserver' AND host IS NULL))""
                   CASE WHEN coalesce(ocp_on, false) THEN coalesce(CAST(ocp AS VARCHAR), '') ELSE '0' END FROM f
         UNION ALL SELECT deploy_id, 9, 0, 5, 'DEPLOY_NAME=' || deploy_name FROM f
         UNION ALL SELECT deploy_id, 9, 0, 6, 'SSH_USER=' || coalesce(ssh_user, '') FROM f
-        UNION ALL SELECT deploy_id, 9, 0, 7, 'CONFIGSERVER_DEDICATED=' || coalesce(CAST(cs_ded AS VARCHAR), '') FROM f""",
+        UNION ALL SELECT deploy_id, 9, 0, 7, 'CONFIGSERVER_DEDICATED=' || coalesce(CAST(cs_ded AS VARCHAR), '') FROM f)
+        SELECT deploy_id, section, idx, kind, line, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS reason FROM lines
+        UNION ALL
+        SELECT deploy_id, NULL, NULL, NULL, NULL, name,
+               CASE WHEN coalesce(ip, '') = '' THEN 'no address for VM'
+                    ELSE 'withheld: another VM of the deployment has no address' END
+        FROM inv WHERE deploy_id IN (SELECT deploy_id FROM bad)""",
     INV_FX,
 )
 def q_inventory_render(spark, sf):
-    lines, _ = D.render_inventory(C.inventory(spark, sf), fixture(spark, sf, "fx_deployment"),
-                                  C.profiles_with_role(spark, sf))
-    return lines
+    """Every VM is in a line or a reject row (``line`` NULL, with the reason)."""
+    lines, rejects = D.render_inventory(C.inventory(spark, sf), fixture(spark, sf, "fx_deployment"),
+                                        C.profiles_with_role(spark, sf))
+    return lines.unionByName(rejects, allowMissingColumns=True).select("deploy_id", "section", "idx", "kind", "line", "name", "reason")
 
 
 PROFILE_VALUES = ", ".join([
@@ -111,74 +133,90 @@ def q_profile_render(spark, sf):
     return D.render_profile(resolved(spark, sf))
 
 
+HOST_TEMPLATE = """#cloud-config
+hostname: ${name}
+users:
+  - name: ${ssh_user}
+write_files:
+  - path: /etc/role-${role}
+    content: |
+      ${marker}
+"""
+
+
 @query(
     "host_docs",
-    f"""WITH {BASE}
-        SELECT v.deploy_id, v.name,
-               concat_ws(chr(10), 'role=' || v.role,
-                         'deploy_user=' || coalesce(d.ssh_user, ''),
-                         'data_disk_enabled=' || CAST(coalesce(r.data_enabled, false) AS VARCHAR),
-                         'data_mount=' || coalesce(r.data_mount, '/data'),
-                         'log_disk_enabled=' || CAST(coalesce(r.log_enabled, false) AS VARCHAR),
-                         'log_mount=' || coalesce(r.log_mount, '/data/log1'),
-                         'data_dir=', 'redo_dir=') AS doc
-        FROM inv v LEFT JOIN resolved r ON v.deploy_id = r.deploy_id AND v.role = r.role
-        LEFT JOIN fx_deployment d ON d.deploy_id = v.deploy_id""",
+    f"""WITH {BASE},
+        m AS (SELECT v.deploy_id, v.name, v.role, coalesce(d.ssh_user, '') AS usr,
+                     ['role=' || v.role, 'deploy_user=' || coalesce(d.ssh_user, ''),
+                      'data_disk_enabled=' || CAST(coalesce(r.data_enabled, false) AS VARCHAR),
+                      'data_mount=' || coalesce(r.data_mount, '/data'),
+                      'log_disk_enabled=' || CAST(coalesce(r.log_enabled, false) AS VARCHAR),
+                      'log_mount=' || coalesce(r.log_mount, '/data/log1'),
+                      'data_dir=' || coalesce(d.data_dir, ''), 'redo_dir=' || coalesce(d.redo_dir, '')] AS l
+              FROM inv v LEFT JOIN resolved r ON v.deploy_id = r.deploy_id AND v.role = r.role
+              LEFT JOIN fx_deployment d ON d.deploy_id = v.deploy_id)
+        SELECT deploy_id, name, array_to_string(l, chr(10)) AS doc,
+               concat_ws(chr(10), '#cloud-config', 'hostname: ' || name, 'users:', '  - name: ' || usr, 'write_files:',
+                         '  - path: /etc/role-' || role, '    content: |',
+                         '      ' || array_to_string(l, chr(10) || '      '), '') AS document
+        FROM m""",
     INV_FX,
 )
 def q_host_docs(spark, sf):
-    return D.render_host_docs(C.inventory(spark, sf), resolved(spark, sf), deploy_eff(spark, sf))
+    return D.render_host_docs(C.inventory(spark, sf), resolved(spark, sf), fixture(spark, sf, "fx_deployment"), HOST_TEMPLATE)
 
 
 @query(
     "host_logs",
-    """WITH h AS (SELECT 'dep-' || CAST(op_id AS VARCHAR) || '-observer-1.ru-central1.internal' AS host, line_no, line
-                  FROM fx_op_line)
-       SELECT 'observer' AS role, replace(replace(replace(host, '.', '_'), '/', '_'), ':', '_') AS host_safe,
-              'observer-' || replace(replace(replace(host, '.', '_'), '/', '_'), ':', '_') || '.log' AS log_name,
-              line_no, line
-       FROM h""",
+    """SELECT 'observer' AS role, 'dep-' || CAST(op_id % 200 AS VARCHAR) || '-observer-1_ru-central1_internal' AS host_safe,
+              line_no // 5000 AS part, line
+       FROM fx_op_line""",
     ("fx_op_line",),
 )
 def q_host_logs(spark, sf):
+    """#13 the logs written by host and line range, then read back from the files."""
     lines = fixture(spark, sf, "fx_op_line").select(
         F.lit("observer").alias("role"),
-        F.concat(F.lit("dep-"), F.col("op_id").cast("string"), F.lit("-observer-1.ru-central1.internal")).alias("host"),
+        F.concat(F.lit("dep-"), (F.col("op_id") % 200).cast("string"), F.lit("-observer-1.ru-central1.internal")).alias("host"),
         "line_no", "line")
-    return D.host_log_frame(lines)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/host-logs-{uuid.uuid4().hex}"
+    D.write_host_logs(lines, path, part_lines=5000)
+    return D.read_host_logs(spark, path)
 
 
 @query(
     "scrape_targets",
-    f"""WITH {BASE}, {FLAGS_CTE}, {HOSTS_CTE},
-        f AS (SELECT deploy_id, node_exporter FROM flags WHERE prometheus)
+    f"""WITH {BASE}, {FLAGS_CTE}, {HOSTS_CTE}, {CFG_CTE},
+        f AS (SELECT flags.deploy_id, node_exporter, agent, exporter_port, agent_port
+              FROM flags JOIN cfg ON cfg.deploy_id = flags.deploy_id WHERE prometheus)
         SELECT f.deploy_id, 'prometheus' AS job_name, '/metrics' AS metrics_path, 'localhost:9090' AS target,
                0 AS section, 0 AS idx FROM f
         UNION ALL
-        SELECT h.deploy_id, 'node_exporter', '/metrics', h.host || ':9100', h.section, h.idx
-        FROM hosts h JOIN f ON h.deploy_id = f.deploy_id
+        SELECT h.deploy_id, 'node_exporter', '/metrics', h.host || ':' || CAST(f.exporter_port AS VARCHAR), h.section, h.idx
+        FROM hosts h JOIN f ON h.deploy_id = f.deploy_id WHERE f.node_exporter
         UNION ALL
-        SELECT deploy_id, j.job_name, j.metrics_path, host || ':8088', section, idx
-        FROM (SELECT h.*, unnest([{{'job_name': 'node', 'metrics_path': '/metrics/node/host'}},
+        SELECT deploy_id, j.job_name, j.metrics_path, host || ':' || CAST(agent_port AS VARCHAR), section, idx
+        FROM (SELECT h.*, f.agent_port, unnest([{{'job_name': 'node', 'metrics_path': '/metrics/node/host'}},
                                   {{'job_name': 'ob_basic', 'metrics_path': '/metrics/ob/basic'}},
                                   {{'job_name': 'ob_extra', 'metrics_path': '/metrics/ob/extra'}},
                                   {{'job_name': 'agent', 'metrics_path': '/metrics/stat'}}]) AS j
-              FROM hosts h JOIN f ON h.deploy_id = f.deploy_id WHERE h.role = 'observer')""",
+              FROM hosts h JOIN f ON h.deploy_id = f.deploy_id WHERE h.role = 'observer' AND f.agent)""",
     INV_FX,
 )
 def q_scrape_targets(spark, sf):
-    return D.scrape_targets(C.inventory(spark, sf), flags(spark, sf))
+    return D.scrape_targets(C.inventory(spark, sf), flags(spark, sf), fixture(spark, sf, "fx_deployment"))
 
 
-SERVERS_CTE = """o AS (SELECT deploy_id, idx, name, nullif(ip, '') AS ip,
-                     row_number() OVER (PARTITION BY deploy_id ORDER BY idx, name) AS rn,
-                     count(*) OVER (PARTITION BY deploy_id) AS n
-              FROM inv WHERE role = 'observer'),
-so AS (SELECT o.deploy_id, 'server' || CAST(o.rn AS VARCHAR) AS server_name, o.ip, 2881 AS mysql_port,
-              2882 AS rpc_port, 2886 AS obshell_port, '/home/' || coalesce(d.deploy_user, d.ssh_user) || '/observer'
-              AS home_path, '/data/1' AS data_dir, '/data/log1' AS redo_dir,
+SERVERS_CTE = f"""{CFG_CTE},
+o AS (SELECT deploy_id, idx, name, nullif(ip, '') AS ip, {C.host_sql('name', 'ip', 'zone')} AS host,
+             row_number() OVER (PARTITION BY deploy_id ORDER BY idx, name) AS rn,
+             count(*) OVER (PARTITION BY deploy_id) AS n
+      FROM inv WHERE role = 'observer'),
+so AS (SELECT o.deploy_id, o.rn AS server_pos, 'server' || CAST(o.rn AS VARCHAR) AS server_name, o.ip, c.mysql_port,
+              c.rpc_port, c.obshell_port, c.home_path, c.data_dir, c.redo_dir,
               'zone' || CAST(((o.rn - 1) % o.n) + 1 AS VARCHAR) AS zone
-       FROM o JOIN fx_deployment d ON d.deploy_id = o.deploy_id)"""
+       FROM o JOIN cfg c ON c.deploy_id = o.deploy_id)"""
 
 
 @query(
@@ -203,15 +241,19 @@ PLACEMENT_CTES = f"""v AS (SELECT deploy_id, role, idx, nullif(ip, '') AS ip FRO
         pp AS (SELECT deploy_id, bool_or(role = 'configserver' AND coalesce(dedicated, false)) AS cs_ded,
                       bool_or(role = 'monitoring' AND coalesce(enabled, false)) AS mon_vm
                FROM pr GROUP BY deploy_id),
-        g AS (SELECT fs.*, pp.cs_ded, pp.mon_vm, fl.prometheus, fl.grafana, fl.management,
+        g AS (SELECT fs.*, pp.cs_ded, pp.mon_vm, fl.* EXCLUDE (deploy_id),
                      coalesce(pp.mon_vm, false) AND fs.n_mon > 0 AS mon_here
               FROM fs LEFT JOIN pp ON fs.deploy_id = pp.deploy_id LEFT JOIN flags fl ON fs.deploy_id = fl.deploy_id),
 placement AS (
-        SELECT deploy_id, CASE WHEN role = 'observer' THEN 'oceanbase-ce' ELSE 'obproxy-ce' END AS component, idx, ip
-        FROM v WHERE role IN ('observer', 'obproxy')
-        UNION ALL SELECT deploy_id, 'obagent', idx, ip FROM v WHERE role = 'observer'
+        SELECT v.deploy_id, 'oceanbase-ce' AS component, v.idx, v.ip FROM v JOIN g ON g.deploy_id = v.deploy_id
+          WHERE v.role = 'observer' AND g.database
+        UNION ALL SELECT v.deploy_id, 'obproxy-ce', v.idx, v.ip FROM v JOIN g ON g.deploy_id = v.deploy_id
+          WHERE v.role = 'obproxy' AND g.proxy
+        UNION ALL SELECT v.deploy_id, 'obagent', v.idx, v.ip FROM v JOIN g ON g.deploy_id = v.deploy_id
+          WHERE v.role = 'observer' AND g.agent
         UNION ALL SELECT deploy_id, 'ob-configserver', 1, CASE WHEN coalesce(cs_ded, false) THEN cs1 ELSE obs1 END FROM g
-        UNION ALL SELECT deploy_id, 'obproxy-ce', 1, obs1 FROM g WHERE n_proxy = 0
+                  WHERE configserver
+        UNION ALL SELECT deploy_id, 'obproxy-ce', 1, obs1 FROM g WHERE n_proxy = 0 AND proxy
         UNION ALL SELECT deploy_id, 'prometheus', 1, CASE WHEN mon_here THEN mon1 ELSE obs1 END FROM g
                   WHERE coalesce(prometheus, false)
         UNION ALL SELECT deploy_id, 'grafana', 1, CASE WHEN mon_here OR mon1 IS NOT NULL THEN mon1 ELSE obs1 END FROM g
@@ -230,7 +272,9 @@ def q_component_placement(spark, sf):
     f"""WITH RECURSIVE {BASE}, {FLAGS_CTE}, {PLACEMENT_CTES},
         comps AS (SELECT DISTINCT deploy_id, component FROM placement),
         e AS (SELECT c.deploy_id, x.component, x.depends_on FROM comps c JOIN fx_component_edge x
-                ON x.component = c.component),
+                ON x.component = c.component
+              WHERE x.depends_on NOT IN ('ob-configserver', 'obagent')
+                 OR EXISTS (SELECT 1 FROM comps t WHERE t.deploy_id = c.deploy_id AND t.component = x.depends_on)),
         cl(deploy_id, component, depends_on, depth) AS (
           SELECT deploy_id, component, depends_on, 1 FROM e
           UNION ALL
@@ -241,43 +285,93 @@ def q_component_placement(spark, sf):
     INV_FX + ("fx_component_edge",),
 )
 def q_component_closure(spark, sf):
-    """#50 per deployment: the dependency closure of the components it runs."""
+    """#50 per deployment: the dependency closure of the components it runs. A dependency on the
+    config server or the agent holds only where that component is switched on."""
     from ..operators import graph as G
 
     placement = D.component_placement(C.inventory(spark, sf), flags(spark, sf), C.profiles_with_role(spark, sf))
-    return G.closure_per_component_set(placement, fixture(spark, sf, "fx_component_edge"))
+    return G.component_closure(placement, fixture(spark, sf, "fx_component_edge"), optional=("ob-configserver", "obagent"))
+
+
+def _fields_sql(struct: str) -> str:
+    """The fields of a JSON object without its braces."""
+    return f"substr(CAST(to_json({struct}) AS VARCHAR), 2, length(CAST(to_json({struct}) AS VARCHAR)) - 2)"
+
+
+def _json_sql(struct: str) -> str:
+    return f"CAST(to_json({struct}) AS VARCHAR)"
 
 
 def _cluster_docs_sql() -> str:
-    from ..sinks.documents import DEPENDS
     from .profiles_q import TUNED_CTE
 
-    deps = ", ".join(f"('{k}', [{', '.join(repr(d) for d in v)}])" for k, v in DEPENDS.items())
-    return f"""WITH {BASE}, {FLAGS_CTE}, {PLACEMENT_CTES}, {SERVERS_CTE}, {TUNED_CTE},
-        dep(component, depends) AS (VALUES {deps}),
-        comps AS (SELECT deploy_id, component, list(ip ORDER BY idx) AS servers FROM placement
-                  GROUP BY deploy_id, component),
-        cdoc AS (SELECT c.deploy_id,
-                        list({{'component': c.component, 'depends': coalesce(d.depends, CAST([] AS VARCHAR[])),
-                               'servers': c.servers}} ORDER BY c.component) AS components
-                 FROM comps c LEFT JOIN dep d ON c.component = d.component GROUP BY c.deploy_id),
-        sdoc AS (SELECT deploy_id,
-                        list({{'server_name': server_name, 'ip': ip, 'zone': zone, 'mysql_port': mysql_port,
-                               'rpc_port': rpc_port, 'obshell_port': obshell_port, 'home_path': home_path,
-                               'data_dir': data_dir, 'redo_dir': redo_dir}} ORDER BY server_name) AS servers
-                 FROM so GROUP BY deploy_id),
-        tdoc AS (SELECT d.deploy_id,
-                        {{'memory_limit': CASE WHEN coalesce(d.auto_tune, true) THEN t.memory_limit END,
-                          'system_memory': CASE WHEN coalesce(d.auto_tune, true) THEN t.system_memory END,
-                          'datafile_size': CASE WHEN coalesce(d.auto_tune, true) THEN t.datafile_size END,
-                          'log_disk_size': CASE WHEN coalesce(d.auto_tune, true) THEN t.log_disk_size END,
-                          'cpu_count': CASE WHEN coalesce(d.auto_tune, true) THEN t.cpu_count END}} AS g
-                 FROM fx_deployment d LEFT JOIN tuned t ON d.deploy_id = t.deploy_id)
-        SELECT c.deploy_id,
-               CAST(to_json({{'components': c.components, 'servers': s.servers, 'global': t.g,
-                              'production_mode': f.production_mode}}) AS VARCHAR) AS doc
-        FROM cdoc c LEFT JOIN sdoc s ON c.deploy_id = s.deploy_id LEFT JOIN tdoc t ON c.deploy_id = t.deploy_id
-        LEFT JOIN flags f ON c.deploy_id = f.deploy_id"""
+    j, f = _json_sql, _fields_sql
+    home = lambda part: f"'home_path': '/home/' || c.usr || '/{part}'"
+    agents = ", ".join(
+        f"CASE WHEN g.agent THEN {j(f"{{'job_name': '{n}', 'metrics_path': '{p}', 'basic_auth': {{'username': c.agent_user}}, "
+                                    f"'static_configs': [{{'targets': ob.agent_targets}}]}}")} END"
+        for n, p in D.AGENT_JOBS)
+    ports = "'mysql_port': c.mysql_port, 'rpc_port': c.rpc_port, 'obshell_port': c.obshell_port, 'home_path': c.home_path"
+    tuned = ", ".join(f"CASE WHEN coalesce(d.auto_tune, true) THEN t.{k} ELSE d.{k} END AS {k}" for k in (
+        "memory_limit", "system_memory", "datafile_size", "log_disk_size", "cpu_count"))
+    return f"""WITH {BASE}, {FLAGS_CTE}, {PLACEMENT_CTES}, {HOSTS_CTE}, {SERVERS_CTE}, {TUNED_CTE},
+        tn AS (SELECT d.deploy_id, {tuned} FROM fx_deployment d LEFT JOIN tuned t ON d.deploy_id = t.deploy_id),
+        ob AS (SELECT o.deploy_id, list({{'name': 'server' || CAST(o.rn AS VARCHAR), 'ip': o.ip}} ORDER BY o.rn) AS servers,
+                      list(o.host || ':' || CAST(c.agent_port AS VARCHAR) ORDER BY o.rn) AS agent_targets,
+                      string_agg('"server' || CAST(o.rn AS VARCHAR) || '":' ||
+                        {j(f"{{{ports}, 'data_dir': c.data_dir, 'redo_dir': c.redo_dir, 'zone': 'zone' || CAST(o.rn AS VARCHAR)}}")},
+                        ',' ORDER BY o.rn) AS overrides
+               FROM o JOIN cfg c ON c.deploy_id = o.deploy_id GROUP BY o.deploy_id),
+        px AS (SELECT deploy_id, list(ip ORDER BY idx) AS ips FROM v WHERE role = 'obproxy' GROUP BY deploy_id),
+        hx AS (SELECT h.deploy_id, list(h.host || ':' || CAST(c.exporter_port AS VARCHAR) ORDER BY h.section, h.idx) AS targets
+               FROM hosts h JOIN cfg c ON c.deploy_id = h.deploy_id GROUP BY h.deploy_id)
+        SELECT g.deploy_id, '{{' || concat_ws(',',
+          '"user":{{' || concat_ws(',', {f("{'username': c.usr, 'port': c.ssh_port, 'timeout': 60}")},
+                                   CASE WHEN c.key_file IS NOT NULL THEN {f("{'key_file': c.key_file}")} END) || '}}',
+          CASE WHEN g.configserver THEN '"ob-configserver":' || {j(
+              f"{{'servers': [CASE WHEN coalesce(g.cs_ded, false) THEN g.cs1 ELSE g.obs1 END], "
+              f"'global': {{'listen_port': 8080, {home('ob-configserver')}}}}}")} END,
+          CASE WHEN g.database THEN '"oceanbase-ce":{{' || concat_ws(',',
+              CASE WHEN g.configserver THEN '"depends":["ob-configserver"]' ELSE '"depends":[]' END,
+              {f("{'servers': ob.servers}")},
+              '"global":{{' || concat_ws(',', {f(
+                  "{'appname': c.cluster_name, 'cluster_id': 1, 'memory_limit': tn.memory_limit, 'system_memory': tn.system_memory, "
+                  "'datafile_size': tn.datafile_size, 'log_disk_size': tn.log_disk_size, 'cpu_count': tn.cpu_count, "
+                  "'production_mode': g.production_mode, 'enable_syslog_wf': false}")},
+                CASE WHEN g.management THEN {f(
+                  "{'ocp_meta_tenant': {'tenant_name': c.meta_tenant_name, 'max_cpu': c.meta_max_cpu, 'memory_size': '4G'}, "
+                  "'ocp_meta_username': 'root', 'ocp_meta_db': 'meta_database', "
+                  "'ocp_monitor_tenant': {'tenant_name': 'ocp_monitor', 'max_cpu': CAST(2 AS DOUBLE), 'memory_size': '4G'}, "
+                  "'ocp_monitor_username': 'root', 'ocp_monitor_db': 'monitor_database'}")} END) || '}}',
+              ob.overrides) || '}}' END,
+          CASE WHEN g.proxy THEN '"obproxy-ce":' || {j(
+              f"{{'depends': ['oceanbase-ce'], 'servers': coalesce(px.ips, [g.obs1]), 'global': {{'listen_port': 2883, "
+              f"'prometheus_listen_port': 2884, {home('obproxy')}, 'enable_cluster_checkout': false, "
+              f"'skip_proxy_sys_private_check': true, 'enable_strict_kernel_release': false}}}}")} END,
+          CASE WHEN g.agent THEN '"obagent":' || {j(
+              f"{{'depends': ['oceanbase-ce'], 'servers': ob.servers, 'global': {{{home('obagent')}, "
+              f"'monagent_http_port': c.agent_port, 'http_basic_auth_user': c.agent_user, 'ob_monitor_status': 'active'}}}}")} END,
+          CASE WHEN g.prometheus THEN '"prometheus":{{' || concat_ws(',',
+              CASE WHEN g.agent THEN '"depends":["obagent"]' ELSE '"depends":[]' END,
+              {f("{'servers': [CASE WHEN g.mon_here THEN g.mon1 ELSE g.obs1 END]}")},
+              '"global":{{' || {f(f"{{{home('prometheus')}, 'port': c.prometheus_port}}")} || ',"config":{{' ||
+              '"global":{{"scrape_interval":"15s","evaluation_interval":"15s"}},"scrape_configs":[' || concat_ws(',',
+                '{{"job_name":"prometheus","metrics_path":"/metrics","static_configs":[{{"targets":["localhost:9090"]}}]}}',
+                CASE WHEN g.node_exporter THEN {j(
+                  "{'job_name': 'node_exporter', 'metrics_path': '/metrics', 'static_configs': [{'targets': hx.targets}]}")} END,
+                {agents}) || ']}}}}') || '}}' END,
+          CASE WHEN g.grafana THEN '"grafana":' || {j(
+              f"{{'depends': ['prometheus'], 'servers': [CASE WHEN g.mon_here OR g.mon1 IS NOT NULL THEN g.mon1 ELSE g.obs1 END], "
+              f"'global': {{{home('grafana')}}}}}")} END,
+          CASE WHEN g.management THEN '"ocp-server-ce":{{' || concat_ws(',', {f(
+              f"{{'depends': ['oceanbase-ce', 'obproxy-ce'], 'servers': [CASE WHEN g.n_ocp > 0 THEN g.ocp1 END], 'global': {{{home('ocp')}, "
+              "'soft_dir': '/home/' || c.usr || '/ocp/software', 'log_dir': '/home/' || c.usr || '/ocp/logs', "
+              "'ocp_site_url': 'http://' || CASE WHEN g.n_ocp > 0 THEN g.ocp1 END || ':' || CAST(c.management_port AS VARCHAR), "
+              "'port': c.management_port, 'memory_size': c.management_memory}}")},
+              CASE WHEN c.management_version IS NOT NULL THEN {f("{'version': c.management_version}")} END) || '}}' END) || '}}' AS doc
+        FROM g JOIN cfg c ON c.deploy_id = g.deploy_id LEFT JOIN ob ON ob.deploy_id = g.deploy_id
+        LEFT JOIN px ON px.deploy_id = g.deploy_id LEFT JOIN hx ON hx.deploy_id = g.deploy_id
+        LEFT JOIN tn ON tn.deploy_id = g.deploy_id"""
 
 
 @query("cluster_docs", _cluster_docs_sql(), INV_FX)

@@ -247,7 +247,7 @@ def jobs(spark, sf):
     lines = I.classify_op_lines(fixture(spark, sf, "fx_op_line"))
     j = lines.groupBy("op_id").agg(F.bool_or(F.col("line_class") == "error").alias("failed"))
     host = F.concat(F.lit("host-"), F.col("op_id").cast("string"))
-    return j.select((F.col("op_id") % 3).alias("run_id"), host.alias("host"),
+    return j.select("op_id", (F.col("op_id") % 3).alias("run_id"), host.alias("host"),
                     host_log_name(F.lit("observer"), host).alias("log_name"), "failed")
 
 

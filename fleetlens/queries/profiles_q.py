@@ -26,8 +26,8 @@ def _round(size: str, typ: str) -> str:
 RESOLVED_CTE = f"""resolved AS (
   SELECT p.deploy_id, a.role,
          coalesce(p.platform, d.default_platform, 'standard-v3') AS platform,
-         coalesce(p.cores, 4) AS cores,
-         coalesce(p.memory_gb, 16) AS memory_gb,
+         coalesce(p.cores, d.default_cores, 4) AS cores,
+         coalesce(p.memory_gb, d.default_memory_gb, 16) AS memory_gb,
          CASE WHEN nullif(d.image_name, '') IS NOT NULL
               THEN 'image-folder-id=' || coalesce(nullif(d.image_folder_id, ''), 'standard-images') || ',image-name=' || d.image_name
               ELSE 'image-folder-id=' || coalesce(nullif(d.image_folder_id, ''), 'standard-images') || ',image-family='
@@ -144,9 +144,21 @@ def q_role_lookup(spark, sf):
     return P.role_lookup(p, a).select("deploy_id", "role_in", "role")
 
 
-@query("profile_resolve", f"WITH {RESOLVED_CTE} SELECT {RESOLVED_COLS} FROM resolved", FX)
+# every fiftieth deployment asks for a management role that does not exist
+UNKNOWN = "p.deploy_id % 50 = 0 AND p.role_in = 'ocp'"
+
+
+@query("profile_resolve", f"""WITH {RESOLVED_CTE}
+        SELECT {RESOLVED_COLS}, CAST(NULL AS VARCHAR) AS role_in, CAST(NULL AS VARCHAR) AS reason
+        FROM resolved WHERE NOT (deploy_id % 50 = 0 AND role = 'ocp')
+        UNION ALL BY NAME
+        SELECT p.deploy_id, 'ocp-next' AS role_in, 'unknown vm profile role' AS reason FROM fx_profile p WHERE {UNKNOWN}""", FX)
 def q_profile_resolve(spark, sf):
-    return resolved(spark, sf)
+    """Resolved profiles, and a row with the reason for each requested role that is unknown."""
+    prof, dep, ali = inputs(spark, sf)
+    asked = prof.alias("p").withColumn("role_in", F.when(F.expr(UNKNOWN), F.lit("ocp-next")).otherwise(F.col("role_in")))
+    res, rejects = P.resolve_profiles(asked, dep, ali)
+    return res.unionByName(rejects, allowMissingColumns=True)
 
 
 @query("auto_tune", f"WITH {RESOLVED_CTE}, {TUNED_CTE} SELECT * FROM tuned", FX)
@@ -158,11 +170,11 @@ def q_auto_tune(spark, sf):
     "tune_override",
     f"""WITH {RESOLVED_CTE}, {TUNED_CTE}
         SELECT d.deploy_id, coalesce(d.auto_tune, true) AS auto_tune_on,
-               CASE WHEN coalesce(d.auto_tune, true) THEN t.memory_limit END AS memory_limit,
-               CASE WHEN coalesce(d.auto_tune, true) THEN t.system_memory END AS system_memory,
-               CASE WHEN coalesce(d.auto_tune, true) THEN t.datafile_size END AS datafile_size,
-               CASE WHEN coalesce(d.auto_tune, true) THEN t.log_disk_size END AS log_disk_size,
-               CASE WHEN coalesce(d.auto_tune, true) THEN t.cpu_count END AS cpu_count
+               CASE WHEN coalesce(d.auto_tune, true) THEN t.memory_limit ELSE d.memory_limit END AS memory_limit,
+               CASE WHEN coalesce(d.auto_tune, true) THEN t.system_memory ELSE d.system_memory END AS system_memory,
+               CASE WHEN coalesce(d.auto_tune, true) THEN t.datafile_size ELSE d.datafile_size END AS datafile_size,
+               CASE WHEN coalesce(d.auto_tune, true) THEN t.log_disk_size ELSE d.log_disk_size END AS log_disk_size,
+               CASE WHEN coalesce(d.auto_tune, true) THEN t.cpu_count ELSE d.cpu_count END AS cpu_count
         FROM fx_deployment d LEFT JOIN tuned t ON d.deploy_id = t.deploy_id""",
     FX,
 )
@@ -183,8 +195,7 @@ def q_profile_audit(spark, sf):
     FX + ("fx_role_min",),
 )
 def q_issue_route(spark, sf):
-    err, other = P.route_issues(issues(spark, sf))
-    return err.withColumn("route", F.lit("errors")).unionByName(other.withColumn("route", F.lit("others")))
+    return P.routed(issues(spark, sf))
 
 
 @query(

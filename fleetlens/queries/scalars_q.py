@@ -137,8 +137,11 @@ def q_role_disk_needs(spark, sf):
         SELECT d.deploy_id,
                coalesce(d.ocp_enabled, false) AND coalesce(p.ocp_vm, false) AS management,
                coalesce(d.prometheus_component, false) OR coalesce(p.mon_vm, false) AS prometheus,
-               false OR coalesce(p.mon_vm, false) AS grafana,
-               true AND (coalesce(p.mon_vm, false) OR coalesce(d.prometheus_component, false)) AS node_exporter,
+               coalesce(d.grafana_component, false) OR coalesce(p.mon_vm, false) AS grafana,
+               coalesce(d.node_exporter_enabled, true)
+                 AND (coalesce(p.mon_vm, false) OR coalesce(d.prometheus_component, false)) AS node_exporter,
+               coalesce(d.configserver_component, true) AS configserver, coalesce(d.database_component, true) AS database,
+               coalesce(d.proxy_component, true) AS proxy, coalesce(d.agent_component, true) AS agent,
                coalesce(p.obs, 3) >= 3 AS production_mode
         FROM fx_deployment d LEFT JOIN p ON d.deploy_id = p.deploy_id""",
     ("fx_profile", "fx_deployment", "fx_role_alias"),
@@ -253,15 +256,18 @@ def q_vm_key(spark, sf):
     "endpoint_text",
     f"""WITH {RESOLVED_CTE}, {C.PR_CTE}, {C.DESIRED_CTE}, {C.INVENTORY_CTE}
         SELECT v.name,
-               {C.host_sql('v.name', 'v.ip', 'v.zone')} || ':9100' AS exporter_target,
-               CASE WHEN v.role = 'observer' THEN {C.host_sql('v.name', 'v.ip', 'v.zone')} || ':8088' END AS agent_target,
-               CASE WHEN v.role = 'ocp' THEN 'http://' || v.ip || ':8080' END AS site_url,
+               {C.host_sql('v.name', 'v.ip', 'v.zone')} || ':' || CAST(coalesce(d.exporter_port, 9100) AS VARCHAR) AS exporter_target,
+               CASE WHEN v.role = 'observer' THEN {C.host_sql('v.name', 'v.ip', 'v.zone')} || ':' ||
+                    CAST(coalesce(d.agent_port, 8088) AS VARCHAR) END AS agent_target,
+               CASE WHEN v.role = 'ocp' THEN 'http://' || v.ip || ':' ||
+                    CAST(coalesce(d.management_port, 8080) AS VARCHAR) END AS site_url,
                r.image_spec || ',name=' || v.name || '-boot,type=' || coalesce(r.boot_type, 'network-ssd')
                || ',size=' || CAST(coalesce(r.boot_size_gb, 50) AS VARCHAR) || 'G,auto-delete=true' AS boot_disk_spec
-        FROM inv v JOIN resolved r ON v.deploy_id = r.deploy_id AND v.role = r.role""",
+        FROM inv v JOIN resolved r ON v.deploy_id = r.deploy_id AND v.role = r.role
+        JOIN fx_deployment d ON d.deploy_id = v.deploy_id""",
     ("fx_profile", "fx_deployment", "fx_role_alias", "fx_instance"),
 )
 def q_endpoint_text(spark, sf):
     from ..sinks.documents import endpoint_text
 
-    return endpoint_text(C.inventory(spark, sf), resolved(spark, sf))
+    return endpoint_text(C.inventory(spark, sf), resolved(spark, sf), fixture(spark, sf, "fx_deployment"))

@@ -30,19 +30,22 @@ def _yaml_docs(spark, sf):
         F.lit(NL + "  auto_tune: "), b("auto_tune"),
         F.lit(NL + "  root_password: secret" + NL + "ssh:" + NL + "  port: 22" + NL),
     )
-    return d.select("deploy_id", F.when(F.col("deploy_id") % 10 == 0, F.lit("")).otherwise(text).alias("doc"))
+    broken = F.when(F.col("deploy_id") % 50 == 1, F.lit("a: 2024-13-45")).when(F.col("deploy_id") % 50 == 2, F.lit("a: ["))
+    return d.select("deploy_id", F.when(F.col("deploy_id") % 10 == 0, F.lit("")).otherwise(F.coalesce(broken, text)).alias("doc"))
 
 
 @query(
     "config_docs",
-    """SELECT deploy_id,
-              CASE WHEN deploy_id % 10 = 0 THEN NULL ELSE deploy_name END AS deploy_name,
-              CASE WHEN deploy_id % 10 = 0 THEN NULL ELSE zone END AS zone,
-              CASE WHEN deploy_id % 10 = 0 THEN NULL ELSE deploy_user END AS deploy_user,
-              CASE WHEN deploy_id % 10 = 0 THEN NULL ELSE auto_tune END AS auto_tune,
-              CASE WHEN deploy_id % 10 = 0 THEN NULL ELSE default_core_fraction END AS core_fraction,
-              false AS has_secret
-       FROM fx_deployment""",
+    """WITH d AS (SELECT *, deploy_id % 10 = 0 OR deploy_id % 50 IN (1, 2) AS none FROM fx_deployment)
+       SELECT deploy_id,
+              CASE WHEN none THEN NULL ELSE deploy_name END AS deploy_name,
+              CASE WHEN none THEN NULL ELSE zone END AS zone,
+              CASE WHEN none THEN NULL ELSE deploy_user END AS deploy_user,
+              CASE WHEN none THEN NULL ELSE auto_tune END AS auto_tune,
+              CASE WHEN none THEN NULL ELSE default_core_fraction END AS core_fraction,
+              false AS has_secret,
+              CASE deploy_id % 50 WHEN 1 THEN 'not a config: ValueError' WHEN 2 THEN 'not a config: ParserError' END AS reject
+       FROM d""",
     ("fx_deployment",),
 )
 def q_config_docs(spark, sf):
@@ -54,7 +57,8 @@ def q_config_docs(spark, sf):
         F.col("config.oceanbase.deploy_user").alias("deploy_user"),
         F.col("config.oceanbase.auto_tune").alias("auto_tune"),
         F.col("config.vm_defaults.core_fraction").alias("core_fraction"),
-        F.col("config_json").contains("password").alias("has_secret"),
+        F.coalesce(F.col("config_json").contains("password"), F.lit(False)).alias("has_secret"),
+        "reject",
     )
 
 
@@ -65,7 +69,7 @@ def _json_docs(spark, sf):
         F.struct("deploy_user", "auto_tune").alias("oceanbase"),
         F.struct(F.col("default_core_fraction").alias("core_fraction")).alias("vm_defaults"),
     ))
-    return d.select("deploy_id", doc.alias("doc"))
+    return d.select("deploy_id", F.when(F.col("deploy_id") % 50 == 3, F.lit('{"a":')).otherwise(doc).alias("doc"))
 
 
 PATHS = {
@@ -83,20 +87,70 @@ PATHS = {
     """WITH j AS (SELECT deploy_id, to_json({'yandex_cloud': {'zone': zone, 'ssh_user': ssh_user, 'image_family': image_family},
                                            'oceanbase': {'deploy_user': deploy_user, 'auto_tune': auto_tune},
                                            'vm_defaults': {'core_fraction': default_core_fraction}}) AS doc
-                  FROM fx_deployment)
+                  FROM fx_deployment WHERE deploy_id % 50 <> 3)
        SELECT deploy_id,
               coalesce(json_extract_string(doc, '$.yandex_cloud.zone'), '') AS zone,
               coalesce(json_extract_string(doc, '$.yandex_cloud.image_family'), '') AS family,
               coalesce(json_extract_string(doc, '$.oceanbase.deploy_user'), '') AS deploy_user,
               coalesce(json_extract_string(doc, '$.oceanbase.auto_tune'), '') AS auto_tune,
               coalesce(json_extract_string(doc, '$.vm_defaults.core_fraction'), '') AS core_fraction,
-              coalesce(json_extract_string(doc, '$.ocp.port'), '') AS ocp_port
-       FROM j""",
+              coalesce(json_extract_string(doc, '$.ocp.port'), '') AS ocp_port, CAST(NULL AS VARCHAR) AS reject
+       FROM j
+       UNION ALL
+       SELECT deploy_id, '', '', '', '', '', '', 'not a config: malformed JSON' FROM fx_deployment WHERE deploy_id % 50 = 3""",
     ("fx_deployment",),
 )
 def q_config_get(spark, sf):
-    d = _json_docs(spark, sf)
-    return d.select("deploy_id", *[CF.config_get("doc", p).alias(k) for k, p in PATHS.items()])
+    d = CF.read_config_json(_json_docs(spark, sf))
+    return d.select("deploy_id", *[CF.config_get("variant", p).alias(k) for k, p in PATHS.items()], "reject")
+
+
+def _full_json_docs(spark, sf):
+    """The whole config of each deployment as JSON text, roles under their canonical names; every
+    fiftieth text is broken."""
+    from . import common as C
+
+    d = fixture(spark, sf, "fx_deployment")
+    disk = lambda k: F.struct(*[F.col(f"{k}_{c}").alias(c) for c in ("enabled", "type", "size_gb") if not (k == "boot" and c == "enabled")])
+    p = C.profiles_with_role(spark, sf).select("deploy_id", F.struct("role", F.struct(
+        F.col("vm_count").alias("count"), "enabled", "dedicated", "platform", "cores", "memory_gb", disk("boot").alias("boot_disk"),
+        disk("data").alias("data_disk"), disk("log").alias("log_disk"))).alias("e"))
+    roles = p.groupBy("deploy_id").agg(F.map_from_entries(F.collect_list("e")).alias("vm_profiles"))  # five roles
+    doc = F.to_json(F.struct(
+        F.struct("zone", "ssh_user", "image_folder_id", "image_name", "image_family").alias("yandex_cloud"),
+        F.struct(F.col("deploy_name").alias("name")).alias("deployment"),
+        F.struct(F.col("default_platform").alias("platform"), F.col("default_cores").alias("cores"),
+                 F.col("default_memory_gb").alias("memory_gb"), F.col("default_core_fraction").alias("core_fraction")).alias("vm_defaults"),
+        "vm_profiles",
+        F.struct("deploy_user", "auto_tune", "memory_limit", "system_memory", "datafile_size", "log_disk_size", "cpu_count").alias("oceanbase")))
+    j = d.join(roles, "deploy_id")
+    return j.select("deploy_id", F.when(F.col("deploy_id") % 50 == 3, F.lit('{"a":')).otherwise(doc).alias("doc"))
+
+
+def _config_audit_sql() -> str:
+    from .profiles_q import ISSUES_CTE, RESOLVED_CTE, TUNED_CTE
+
+    return f"""WITH {RESOLVED_CTE}, {ISSUES_CTE}, {TUNED_CTE}
+        SELECT i.deploy_id, i.role, i.rule, i.severity, i.message,
+               CASE WHEN coalesce(d.auto_tune, true) THEN t.memory_limit ELSE d.memory_limit END AS memory_limit,
+               CAST(NULL AS VARCHAR) AS reason
+        FROM issues i JOIN fx_deployment d ON d.deploy_id = i.deploy_id LEFT JOIN tuned t ON t.deploy_id = i.deploy_id
+        WHERE i.deploy_id % 50 <> 3
+        UNION ALL
+        SELECT deploy_id, NULL, NULL, NULL, NULL, NULL, 'not a config: malformed JSON' FROM fx_deployment WHERE deploy_id % 50 = 3"""
+
+
+@query("config_audit", _config_audit_sql(), ("fx_profile", "fx_deployment", "fx_role_alias", "fx_role_min"))
+def q_config_audit(spark, sf):
+    """Config texts -> deployments and profiles -> audit and tuning, with a row for each text that can't be read."""
+    from ..operators import profiles as P
+
+    deploy, profiles, rejects = CF.config_frames(CF.read_config_json(_full_json_docs(spark, sf)))
+    aliases = fixture(spark, sf, "fx_role_alias")
+    issues = P.audit_profiles(profiles, deploy, aliases, fixture(spark, sf, "fx_role_min"))
+    tuning = P.effective_tuning(deploy, P.auto_tune(P.resolve_profiles(profiles, deploy, aliases)[0]))
+    found = issues.join(tuning.select("deploy_id", "memory_limit"), "deploy_id", "left")
+    return found.unionByName(rejects, allowMissingColumns=True)
 
 
 @query(
@@ -248,21 +302,24 @@ def result_table_lines(spark, sf):
     """Render each run's counts and percentiles as a box-drawn table (as a load tool prints it)."""
     from ..sinks.documents import render_result_table
 
-    tx = _tx(spark, sf)
-    return render_result_table(B.tx_summary(tx, total=True), B.tx_percentiles(tx))
+    # counts and type names wider than a table's headings
+    tx = _tx(spark, sf).withColumn("tx_type", F.when(F.col("tx_type") == "StockLevel", F.lit("StockLevelReadOnly")).otherwise(F.col("tx_type")))
+    counts = B.tx_summary(tx, total=True).withColumn("ok_count", F.col("ok_count") * 1000003)
+    return render_result_table(counts, B.tx_percentiles(tx))
 
 
 @query(
     "result_table_parse",
-    """WITH c AS (SELECT run_id, CASE WHEN grouping(tx_type) = 1 THEN 'TOTAL' ELSE tx_type END AS tx_type,
-                         CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS ok_count,
+    """WITH tx AS (SELECT * REPLACE (CASE tx_type WHEN 'StockLevel' THEN 'StockLevelReadOnly' ELSE tx_type END AS tx_type) FROM fx_tx),
+            c AS (SELECT run_id, CASE WHEN grouping(tx_type) = 1 THEN 'TOTAL' ELSE tx_type END AS tx_type,
+                         CAST(1000003 * count(*) FILTER (WHERE ok) AS BIGINT) AS ok_count,
                          CAST(count(*) FILTER (WHERE NOT ok) AS BIGINT) AS failed_count
-                  FROM fx_tx GROUP BY GROUPING SETS ((run_id, tx_type), (run_id))),
+                  FROM tx GROUP BY GROUPING SETS ((run_id, tx_type), (run_id))),
             p AS (SELECT run_id, tx_type,
                          CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY latency_ms) AS INTEGER) AS p50,
                          CAST(percentile_disc(0.9) WITHIN GROUP (ORDER BY latency_ms) AS INTEGER) AS p90,
                          CAST(percentile_disc(0.99) WITHIN GROUP (ORDER BY latency_ms) AS INTEGER) AS p99
-                  FROM fx_tx GROUP BY run_id, tx_type)
+                  FROM tx GROUP BY run_id, tx_type)
        SELECT c.run_id, c.tx_type, c.ok_count, c.failed_count, p.p50, p.p90, p.p99, c.tx_type = 'TOTAL' AS is_total
        FROM c LEFT JOIN p ON c.run_id = p.run_id AND c.tx_type = p.tx_type""",
     ("fx_tx",),

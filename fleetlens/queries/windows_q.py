@@ -53,7 +53,7 @@ def q_zone_assign(spark, sf):
     ("fx_op_line",),
 )
 def q_log_tail(spark, sf):
-    failed = jobs(spark, sf).where("failed").select(F.substring("host", 6, 100).cast("bigint").alias("op_id"))
+    failed = jobs(spark, sf).where("failed").select("op_id")
     lines = fixture(spark, sf, "fx_op_line").join(failed, "op_id", "left_semi").select("op_id", "line_no", "line")
     return I.log_tail(lines, 40)
 

@@ -20,10 +20,18 @@ from ..operators.inventory import cluster_hosts, server_name_col, server_positio
 QUEUE_ORDER = [("observer", "OBSERVER", 1), ("obproxy", "OBPROXY", 2), ("configserver", "CONFIGSERVER", 3),
                ("monitoring", "MONITOR", 4), ("ocp", "OCP", 5)]
 # Default ports, paths and metrics endpoints of the generated documents.
-NODE_EXPORTER_PORT = 9100
-AGENT_PORT = 8088
 PROMETHEUS_SELF = "localhost:9090"
-MGMT_PORT = 8080
+CONFIG_DEFAULTS = {
+    "ssh_port": 22, "mysql_port": 2881, "rpc_port": 2882, "obshell_port": 2886, "proxy_port": 2883,
+    "exporter_port": 9100, "agent_port": 8088, "prometheus_port": 9090, "management_port": 8080,
+    "data_dir": "/data/1", "redo_dir": "/data/log1", "cluster_name": "obcluster", "agent_user": "admin",
+    "management_memory": "8G",
+    "meta_tenant_name": "ocp_meta", "meta_max_cpu": 2.0, "meta_memory_size": "4G", "meta_username": "root",
+    "meta_database": "meta_database",
+    "monitor_tenant_name": "ocp_monitor", "monitor_max_cpu": 2.0, "monitor_memory_size": "4G", "monitor_username": "root",
+    "monitor_database": "monitor_database",
+}
+LAST_USER = "obadmin"
 AGENT_JOBS = [("node", "/metrics/node/host"), ("ob_basic", "/metrics/ob/basic"),
               ("ob_extra", "/metrics/ob/extra"), ("agent", "/metrics/stat")]
 # Order of the transaction types in a printed result table.
@@ -37,22 +45,54 @@ def _case(col: Column, mapping: dict, default=None) -> Column:
     return e.otherwise(F.lit(default)) if default is not None else e
 
 
+def config_values(deploy: DataFrame) -> DataFrame:
+    """``deploy_id`` with every setting of the generated documents: the configured value, or the
+    default where the key (or the column) is absent."""
+    from ..operators.profiles import col_or_null
+
+    user = F.coalesce(col_or_null(deploy, "deploy_user", "string"), col_or_null(deploy, "ssh_user", "string"), F.lit(LAST_USER))
+    kinds = {int: "int", float: "double", str: "string"}
+    cols = [F.coalesce(col_or_null(deploy, k, kinds[type(v)]), F.lit(v)).alias(k) for k, v in CONFIG_DEFAULTS.items()]
+    home = F.concat(F.lit("/home/"), user)
+    mgmt = F.coalesce(col_or_null(deploy, "management_home", "string"), F.concat(home, F.lit("/ocp")))
+    return deploy.select(
+        "deploy_id", user.alias("user"), home.alias("user_home"), *cols,
+        F.nullif(col_or_null(deploy, "key_file", "string"), F.lit("")).alias("key_file"),
+        F.coalesce(col_or_null(deploy, "home_path", "string"), F.concat(home, F.lit("/observer"))).alias("home_path"),
+        mgmt.alias("management_home"),
+        F.coalesce(col_or_null(deploy, "management_soft_dir", "string"), F.concat(mgmt, F.lit("/software"))).alias("management_soft_dir"),
+        F.coalesce(col_or_null(deploy, "management_log_dir", "string"), F.concat(mgmt, F.lit("/logs"))).alias("management_log_dir"),
+        F.nullif(col_or_null(deploy, "management_version", "string"), F.lit("")).alias("management_version"),
+    )
+
+
+def on(flags: DataFrame, name: str, default: bool = True) -> Column:
+    """A component switch; absent means ``default``."""
+    return F.coalesce(F.col(name), F.lit(default)) if name in flags.columns else F.lit(default)
+
+
 # ---------------------------------------------------------------- inventory (#9)
 
 
 def render_inventory(inv: DataFrame, deploy: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``KEY=value`` lines per deployment: name and address per VM in queue order,
-    then counts and facts. Returns (lines, rejects); a VM with an empty
-    address is a reject (the provisioner stops there).
+    then counts and facts. Returns (lines, rejects).
+
+    A deployment with a VM that has no address gets no lines at all (the
+    provisioner stops there); all its VMs are rejects with the reason, so
+    every VM is a line or a reject.
 
     Lines carry a sort key ``(section, idx, kind)`` instead of a global row
     number, so no window is needed to order them.
     """
     key = _case(F.col("role"), {r: k for r, k, _ in QUEUE_ORDER})
     sec = _case(F.col("role"), {r: s for r, _, s in QUEUE_ORDER})
-    ok = inv.where(F.col("ip") != "")
-    rejects = inv.where(F.coalesce(F.col("ip"), F.lit("")) == "").select(
-        "deploy_id", "name", F.lit("no address for VM").alias("reason"))
+    empty = F.coalesce(F.col("ip"), F.lit("")) == ""
+    blocked = inv.groupBy("deploy_id").agg(F.bool_or(empty).alias("_blocked")).where("_blocked").select("deploy_id")
+    ok = inv.join(blocked, "deploy_id", "left_anti")
+    rejects = inv.join(blocked, "deploy_id", "left_semi").select(
+        "deploy_id", "name", F.when(empty, F.lit("no address for VM")).otherwise(
+            F.lit("withheld: another VM of the deployment has no address")).alias("reason"))
     base = F.concat(key, F.lit("_"), F.col("idx").cast("string"))
     vm_lines = ok.select(
         "deploy_id", sec.alias("section"), "idx",
@@ -74,7 +114,7 @@ def render_inventory(inv: DataFrame, deploy: DataFrame, profiles: DataFrame) ->
             (F.col("role") == "ocp") & F.coalesce(F.col("enabled"), F.lit(False))).alias("ocp_on"),
     )
     # every deployment gets its facts, also one whose config has no profiles
-    d = deploy.select("deploy_id", "deploy_name", "ssh_user").join(p, "deploy_id", "left")
+    d = deploy.select("deploy_id", "deploy_name", "ssh_user").join(blocked, "deploy_id", "left_anti").join(p, "deploy_id", "left")
     txt = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     ded = F.coalesce(F.col("cs_ded"), F.lit(False))
     facts = [
@@ -136,10 +176,20 @@ def read_profile_lines(lines: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- host documents (#12, #13)
 
 
-def render_host_docs(inv: DataFrame, resolved: DataFrame, deploy: DataFrame) -> DataFrame:
-    """The role marker text of each VM (8 ``key=value`` lines): role, the login user (the
-    ssh user), data / log disk flags and mounts from the role profile, and the data and
-    redo directories of the config (empty when the config has none)."""
+# The keys of a role marker, in order.
+MARKER_KEYS = ["role", "deploy_user", "data_disk_enabled", "data_mount", "log_disk_enabled", "log_mount", "data_dir", "redo_dir"]
+
+
+def render_host_docs(inv: DataFrame, resolved: DataFrame, deploy: DataFrame, template: str | None = None) -> DataFrame:
+    """``deploy_id, name, doc`` and, with a template, ``document``.
+
+    ``doc`` is the role marker text of each VM (8 ``key=value`` lines): role,
+    the login user (the ssh user), data / log disk flags and mounts from the
+    role profile, and the data and redo directories of the config (empty when
+    the config has none). ``document`` is the template with ``${name}``,
+    ``${ssh_user}`` and any marker key replaced; a line that holds only
+    ``${marker}`` becomes the marker's lines at its indentation.
+    """
     from ..operators.profiles import col_or_null
 
     r = resolved.select("deploy_id", "role", "data_enabled", "data_mount", "log_enabled", "log_mount")
@@ -149,17 +199,25 @@ def render_host_docs(inv: DataFrame, resolved: DataFrame, deploy: DataFrame) ->
     j = inv.join(r, ["deploy_id", "role"], "left").join(d, "deploy_id", "left")
     b = lambda c: F.lower(F.coalesce(F.col(c), F.lit(False)).cast("string"))
     e = lambda c: F.coalesce(F.col(c), F.lit(""))
-    lines = [
-        F.concat(F.lit("role="), F.col("role")),
-        F.concat(F.lit("deploy_user="), e("_user")),
-        F.concat(F.lit("data_disk_enabled="), b("data_enabled")),
-        F.concat(F.lit("data_mount="), F.coalesce("data_mount", F.lit("/data"))),
-        F.concat(F.lit("log_disk_enabled="), b("log_enabled")),
-        F.concat(F.lit("log_mount="), F.coalesce("log_mount", F.lit("/data/log1"))),
-        F.concat(F.lit("data_dir="), e("_data_dir")),
-        F.concat(F.lit("redo_dir="), e("_redo_dir")),
-    ]
-    return j.select("deploy_id", "name", F.concat_ws("\n", *lines).alias("doc"))
+    values = dict(zip(MARKER_KEYS, [
+        F.col("role"), e("_user"), b("data_enabled"), F.coalesce("data_mount", F.lit("/data")), b("log_enabled"),
+        F.coalesce("log_mount", F.lit("/data/log1")), e("_data_dir"), e("_redo_dir")]))
+    marker = [F.concat(F.lit(k + "="), v) for k, v in values.items()]
+    out = ["deploy_id", "name", F.concat_ws("\n", *marker).alias("doc")]
+    if template is not None:
+        lines = []
+        for line in template.split("\n"):
+            if line.strip() == "${marker}":
+                indent = line[: len(line) - len(line.lstrip())]
+                lines.append(F.concat_ws("\n", *[F.concat(F.lit(indent), m) for m in marker]))
+                continue
+            text = F.lit(line)
+            for k, v in {"name": F.col("name"), "ssh_user": e("_user"), **values}.items():
+                if "${" + k + "}" in line:
+                    text = F.replace(text, F.lit("${" + k + "}"), v)
+            lines.append(text)
+        out.append(F.concat_ws("\n", *lines).alias("document"))
+    return j.select(*out)
 
 
 def host_log_frame(lines: DataFrame) -> DataFrame:
@@ -169,27 +227,37 @@ def host_log_frame(lines: DataFrame) -> DataFrame:
         host_log_name("role", "host").alias("log_name"), "line_no", "line")
 
 
-def write_host_logs(lines: DataFrame, path: str) -> None:
-    """One folder per role and host (``role=…/host_safe=…``), lines in order."""
-    (host_log_frame(lines).repartition("role", "host_safe").sortWithinPartitions("role", "host_safe", "line_no")
-     .select("role", "host_safe", "line").write.mode("overwrite").partitionBy("role", "host_safe").text(path))
+def write_host_logs(lines: DataFrame, path: str, part_lines: int = 1_000_000) -> None:
+    """Folders ``role=…/host_safe=…/part=…``, lines in order: ``part`` counts blocks of
+    ``part_lines`` line numbers, so a huge log is written by many tasks and reads back in order."""
+    frame = host_log_frame(lines).withColumn("part", F.floor(F.col("line_no") / F.lit(part_lines)).cast("bigint"))
+    keys = ["role", "host_safe", "part"]
+    (frame.repartition(*keys).sortWithinPartitions(*keys, "line_no")
+     .select(*keys, "line").write.mode("overwrite").partitionBy(*keys).text(path))
+
+
+def read_host_logs(spark, path: str) -> DataFrame:
+    """``role, host_safe, part, line`` of a folder that :func:`write_host_logs` wrote."""
+    schema = "value string, role string, host_safe string, part bigint"
+    return spark.read.schema(schema).text(path).withColumnRenamed("value", "line").select("role", "host_safe", "part", "line")
 
 
 # ---------------------------------------------------------------- endpoints (#34)
 
 
-def endpoint_text(inv: DataFrame, resolved: DataFrame) -> DataFrame:
+def endpoint_text(inv: DataFrame, resolved: DataFrame, deploy: DataFrame) -> DataFrame:
     """Per VM: exporter target ``host:port`` (every host), agent target (observers), the
     management site URL (management servers) and the boot-disk spec text."""
     r = resolved.select("deploy_id", "role", "image_spec", "boot_type", "boot_size_gb")
-    j = inv.join(r, ["deploy_id", "role"])
+    c = config_values(deploy).select("deploy_id", "exporter_port", "agent_port", "management_port")
+    j = inv.join(r, ["deploy_id", "role"]).join(c, "deploy_id")
     host = host_address("name", "ip", "zone")
+    port = lambda name: F.concat(F.lit(":"), F.col(name).cast("string"))
     return j.select(
         "name",
-        F.concat(host, F.lit(f":{NODE_EXPORTER_PORT}")).alias("exporter_target"),
-        F.when(F.col("role") == "observer", F.concat(host, F.lit(f":{AGENT_PORT}"))).alias("agent_target"),
-        F.when(F.col("role") == "ocp", F.concat(F.lit("http://"), F.col("ip"), F.lit(f":{MGMT_PORT}")))
-        .alias("site_url"),
+        F.concat(host, port("exporter_port")).alias("exporter_target"),
+        F.when(F.col("role") == "observer", F.concat(host, port("agent_port"))).alias("agent_target"),
+        F.when(F.col("role") == "ocp", F.concat(F.lit("http://"), F.col("ip"), port("management_port"))).alias("site_url"),
         F.format_string("%s,name=%s-boot,type=%s,size=%sG,auto-delete=true", F.col("image_spec"), F.col("name"),
                         F.coalesce("boot_type", F.lit("network-ssd")),
                         F.coalesce(F.col("boot_size_gb"), F.lit(50)).cast("string")).alias("boot_disk_spec"),
@@ -199,128 +267,193 @@ def endpoint_text(inv: DataFrame, resolved: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- scrape targets (#46)
 
 
-def scrape_targets(inv: DataFrame, flags: DataFrame) -> DataFrame:
+def scrape_targets(inv: DataFrame, flags: DataFrame, deploy: DataFrame) -> DataFrame:
     """Scrape jobs x hosts for deployments that run prometheus.
 
     Self job once per deployment; the exporter job on every cluster host
-    when the exporter is on; four agent jobs on every observer. The agent
-    jobs are a literal array exploded on each observer row (a generator, not
-    a join).
+    when the exporter is on; four agent jobs on every observer when the agent
+    is on. Each host's jobs are an array that is exploded (a generator, not a
+    join), so the inventory is read once.
     """
-    f = flags.where(F.col("prometheus")).select("deploy_id", "node_exporter")
-    hosts = cluster_hosts(inv).join(f, "deploy_id")
+    f = flags.where(F.col("prometheus")).select("deploy_id", on(flags, "node_exporter").alias("_exporter"), on(flags, "agent").alias("_agent"))
+    c = config_values(deploy).select("deploy_id", "exporter_port", "agent_port")
+    hosts = cluster_hosts(inv).join(f, "deploy_id").join(c, "deploy_id")
+    job = lambda name, path, target: F.struct(F.lit(name).alias("job_name"), F.lit(path).alias("metrics_path"), target.alias("target"))
+    at = lambda port: F.concat("host", F.lit(":"), F.col(port).cast("string"))
+    jobs = F.array(F.when(F.col("_exporter"), job("node_exporter", "/metrics", at("exporter_port"))),
+                   *[F.when(F.col("_agent") & (F.col("role") == "observer"), job(j, p, at("agent_port"))) for j, p in AGENT_JOBS])
+    per_host = hosts.select("deploy_id", "section", "idx", F.explode(F.filter(jobs, lambda x: x.isNotNull())).alias("j")).select(
+        "deploy_id", "j.job_name", "j.metrics_path", "j.target", "section", "idx")
     self_job = f.select("deploy_id", F.lit("prometheus").alias("job_name"), F.lit("/metrics").alias("metrics_path"),
                         F.lit(PROMETHEUS_SELF).alias("target"), F.lit(0).alias("section"), F.lit(0).alias("idx"))
-    exporter = hosts.select(
-        "deploy_id", F.lit("node_exporter").alias("job_name"), F.lit("/metrics").alias("metrics_path"),
-        F.concat("host", F.lit(f":{NODE_EXPORTER_PORT}")).alias("target"), "section", "idx")
-    jobs = F.array(*[F.struct(F.lit(j).alias("job_name"), F.lit(p).alias("metrics_path")) for j, p in AGENT_JOBS])
-    agents = hosts.where(F.col("role") == "observer").select(
-        "deploy_id", "section", "idx", F.concat("host", F.lit(f":{AGENT_PORT}")).alias("target"),
-        F.explode(jobs).alias("j")).select("deploy_id", "j.job_name", "j.metrics_path", "target", "section", "idx")
-    return self_job.unionByName(exporter).unionByName(agents)
+    return self_job.unionByName(per_host)
 
 
 # ---------------------------------------------------------------- servers and components (#47, #91)
 
 
 def server_overrides(inv: DataFrame, deploy: DataFrame, n_zones: int | None = None) -> DataFrame:
-    """Observer servers with their name, zone, ports and directories; ``ip`` NULL is an error row."""
+    """Observer servers with their position, name, zone, ports and directories; ``ip`` NULL is an error row."""
     obs = inv.where(F.col("role") == "observer").select("deploy_id", "idx", "name",
                                                         F.nullif("ip", F.lit("")).alias("ip"))
     s = server_positions(obs)
     n = F.lit(n_zones) if n_zones else F.col("n_servers")
-    s = s.select("deploy_id", "ip", server_name_col(F.col("server_pos")).alias("server_name"),
+    s = s.select("deploy_id", "server_pos", "ip", server_name_col(F.col("server_pos")).alias("server_name"),
                  zone_col(F.col("server_pos"), n).alias("zone_name"))
-    d = deploy.select(
-        "deploy_id",
-        F.lit(2881).alias("mysql_port"), F.lit(2882).alias("rpc_port"), F.lit(2886).alias("obshell_port"),
-        F.concat(F.lit("/home/"), F.coalesce("deploy_user", "ssh_user"), F.lit("/observer")).alias("home_path"),
-        F.lit("/data/1").alias("data_dir"), F.lit("/data/log1").alias("redo_dir"),
-    )
-    return s.join(d, "deploy_id").select("deploy_id", "server_name", "ip", "mysql_port", "rpc_port", "obshell_port",
+    d = config_values(deploy).select("deploy_id", "mysql_port", "rpc_port", "obshell_port", "home_path", "data_dir", "redo_dir")
+    return s.join(d, "deploy_id").select("deploy_id", "server_pos", "server_name", "ip", "mysql_port", "rpc_port", "obshell_port",
                                          "home_path", "data_dir", "redo_dir", F.col("zone_name").alias("zone"))
 
 
-def component_placement(inv: DataFrame, flags: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Hosts of each component per deployment; ``ip`` NULL marks an error row.
+def _gathered(inv: DataFrame, profiles: DataFrame) -> DataFrame:
+    """One row per deployment: addresses by role in index order, the cluster's hosts, and who is first.
+    Lists are as long as the VMs of one deployment, whose document they become."""
+    from ..operators.inventory import SECTION_ORDER
 
-    Multi-host components come straight from the inventory rows; the
-    single-host ones from one aggregated row per deployment holding the
-    first VM of each role, so no window or self-join over VMs is needed.
-    """
-    v = inv.select("deploy_id", "role", "idx", F.nullif("ip", F.lit("")).alias("ip"))
+    v = inv.withColumn("ip", F.nullif("ip", F.lit("")))
+    if "name" in inv.columns and "zone" in inv.columns:
+        v = v.withColumn("host", host_address("name", "ip", "zone"))
+    else:
+        v = v.withColumn("name", F.lit("")).withColumn("host", F.col("ip"))
+    ordered = lambda role: F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("idx", "name", "ip", "host"))))
+    section = _case(F.col("role"), SECTION_ORDER)
+    listed = section.isNotNull() & ~((F.col("role") == "configserver") & F.col("host").isNull())
     first = lambda role: F.max(F.when((F.col("role") == role) & (F.col("idx") == 1), F.col("ip")))
-    firsts = v.groupBy("deploy_id").agg(
-        first("observer").alias("obs1"), first("configserver").alias("cs1"), first("monitoring").alias("mon1"),
-        first("ocp").alias("ocp1"),
-        F.count_if(F.col("role") == "obproxy").alias("n_proxy"),
-        F.count_if(F.col("role") == "monitoring").alias("n_mon"),
-        F.count_if(F.col("role") == "ocp").alias("n_ocp"),
-    )
+    g = v.groupBy("deploy_id").agg(
+        ordered("observer").alias("obs"), ordered("obproxy").alias("proxies"),
+        F.array_sort(F.collect_list(F.when(listed, F.struct(section.alias("section"), "idx", "host")))).alias("hosts"),
+        first("observer").alias("obs1"), first("configserver").alias("cs1"), first("monitoring").alias("mon1"), first("ocp").alias("ocp1"),
+        F.count_if(F.col("role") == "monitoring").alias("n_mon"), F.count_if(F.col("role") == "ocp").alias("n_ocp"))
     p = profiles.groupBy("deploy_id").agg(
         F.bool_or((F.col("role") == "configserver") & F.coalesce("dedicated", F.lit(False))).alias("cs_ded"),
-        F.bool_or((F.col("role") == "monitoring") & F.coalesce("enabled", F.lit(False))).alias("mon_vm"),
-    )
-    g = firsts.join(p, "deploy_id", "left").join(
-        flags.select("deploy_id", "prometheus", "grafana", "management"), "deploy_id", "left")
+        F.bool_or((F.col("role") == "monitoring") & F.coalesce("enabled", F.lit(False))).alias("mon_vm"))
     mon_here = F.coalesce("mon_vm", F.lit(False)) & (F.col("n_mon") > 0)
-    single = F.array(
-        F.struct(F.lit("ob-configserver").alias("component"),
-                 F.when(F.coalesce("cs_ded", F.lit(False)), F.col("cs1")).otherwise(F.col("obs1")).alias("ip"),
-                 F.lit(True).alias("on")),
-        F.struct(F.lit("obproxy-ce").alias("component"), F.col("obs1").alias("ip"),
-                 (F.col("n_proxy") == 0).alias("on")),
-        F.struct(F.lit("prometheus").alias("component"),
-                 F.when(mon_here, F.col("mon1")).otherwise(F.col("obs1")).alias("ip"),
-                 F.coalesce("prometheus", F.lit(False)).alias("on")),
-        F.struct(F.lit("grafana").alias("component"),
-                 F.when(mon_here | F.col("mon1").isNotNull(), F.col("mon1")).otherwise(F.col("obs1")).alias("ip"),
-                 F.coalesce("grafana", F.lit(False)).alias("on")),
-        F.struct(F.lit("ocp-server-ce").alias("component"),
-                 F.when(F.col("n_ocp") > 0, F.col("ocp1")).alias("ip"),
-                 F.coalesce("management", F.lit(False)).alias("on")),
-    )
-    singles = g.select("deploy_id", F.explode(single).alias("c")).where("c.on").select(
-        "deploy_id", "c.component", F.lit(1).alias("idx"), "c.ip")
-    comp = F.when(F.col("role") == "observer", F.array(F.lit("oceanbase-ce"), F.lit("obagent"))).when(
-        F.col("role") == "obproxy", F.array(F.lit("obproxy-ce")))
-    multi = v.where(F.col("role").isin("observer", "obproxy")).select(
-        "deploy_id", F.explode(comp).alias("component"), "idx", "ip")
-    return multi.unionByName(singles)
+    return g.join(p, "deploy_id", "left").select(
+        "deploy_id", "obs", "proxies", "hosts", "obs1",
+        F.when(F.coalesce("cs_ded", F.lit(False)), F.col("cs1")).otherwise(F.col("obs1")).alias("cs_ip"),
+        F.when(mon_here, F.col("mon1")).otherwise(F.col("obs1")).alias("prom_ip"),
+        F.when(mon_here | F.col("mon1").isNotNull(), F.col("mon1")).otherwise(F.col("obs1")).alias("graf_ip"),
+        F.when(F.col("n_ocp") > 0, F.col("ocp1")).alias("ocp_ip"))
+
+
+def component_placement(inv: DataFrame, flags: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Hosts of each component per deployment; ``ip`` NULL marks an error row. The inventory is
+    read once: one grouped row per deployment, exploded into its components' hosts."""
+    f = flags.select("deploy_id", *[on(flags, c).alias(c) for c in ("configserver", "database", "proxy", "agent")],
+                     *[on(flags, c, False).alias(c) for c in ("prometheus", "grafana", "management")])
+    g = _gathered(inv, profiles).join(f, "deploy_id", "left")
+    off = F.array().cast("array<struct<idx:int,ip:string>>")
+    many = lambda c: F.transform(F.col(c), lambda x: F.struct(x["idx"].cast("int").alias("idx"), x["ip"].alias("ip")))
+    one = lambda c: F.array(F.struct(F.lit(1).alias("idx"), F.col(c).alias("ip")))
+    places = {"ob-configserver": ("configserver", True, one("cs_ip")), "oceanbase-ce": ("database", True, many("obs")),
+              "obproxy-ce": ("proxy", True, F.when(F.size("proxies") > 0, many("proxies")).otherwise(one("obs1"))),
+              "obagent": ("agent", True, many("obs")), "prometheus": ("prometheus", False, one("prom_ip")),
+              "grafana": ("grafana", False, one("graf_ip")), "ocp-server-ce": ("management", False, one("ocp_ip"))}
+
+    def named(component, flag, default, hosts):
+        listed = F.when(F.coalesce(F.col(flag), F.lit(default)), hosts).otherwise(off)
+        return F.transform(listed, lambda x: F.struct(F.lit(component).alias("component"), x["idx"].alias("idx"), x["ip"].alias("ip")))
+
+    rows = F.flatten(F.array(*[named(component, *how) for component, how in places.items()]))
+    return g.select("deploy_id", F.explode(rows).alias("r")).select("deploy_id", "r.component", "r.idx", "r.ip")
 
 
 # ---------------------------------------------------------------- cluster documents (#10)
 
-# Component dependencies of the cluster document.
-DEPENDS = {"oceanbase-ce": ["ob-configserver"], "obproxy-ce": ["oceanbase-ce"], "obagent": ["oceanbase-ce"],
-           "prometheus": ["obagent"], "grafana": ["prometheus"], "ocp-server-ce": ["oceanbase-ce", "obproxy-ce"]}
 
+def _json(*cols: Column) -> Column:
+    """A JSON object; NULL fields are written as null, so a missing address stays visible."""
+    return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+
+
+def _fields(*cols: Column) -> Column:
+    """The fields of a JSON object without its braces."""
+    text = _json(*cols)
+    return F.substring(text, F.lit(2), F.length(text) - 2)
 
-def render_cluster_docs(placement: DataFrame, servers: DataFrame, tuning: DataFrame, flags: DataFrame) -> DataFrame:
-    """One JSON cluster document per deployment.
 
-    Per component: its dependencies and its servers in index order; the
-    database component also carries the tuning values, production mode and
-    the per-server overrides. Lists are gathered per deployment and
-    component only, i.e. bounded by the VMs of one deployment.
+def _object(*parts: Column) -> Column:
+    """Fields joined to an object; NULL parts are left out."""
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def _member(name: str, value: Column) -> Column:
+    return F.concat(F.lit(f'"{name}":'), value)
+
+
+def render_cluster_docs(inv: DataFrame, flags: DataFrame, deploy: DataFrame, tuning: DataFrame, profiles: DataFrame) -> DataFrame:
+    """One JSON cluster document per deployment, components in the generator's order.
+
+    user, then for every component that is on: its dependencies, its servers
+    in index order and its settings; the database also has the tuning values,
+    the management tenants and the overrides of each server, prometheus its
+    scrape jobs. Passwords are never written. One grouped row per deployment
+    holds all that is needed, so the inventory is read once.
     """
-    dep = F.create_map(*[x for k, v in DEPENDS.items() for x in (F.lit(k), F.array(*[F.lit(d) for d in v]))])
-    comps = placement.groupBy("deploy_id", "component").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("idx", "ip"))), lambda s: s["ip"]).alias("servers"))
-    comps = comps.select("deploy_id", F.struct(
-        "component", F.coalesce(dep[F.col("component")], F.array().cast("array<string>")).alias("depends"),
-        "servers").alias("c"))
-    per_dep = comps.groupBy("deploy_id").agg(F.array_sort(F.collect_list("c")).alias("components"))
-    srv = servers.groupBy("deploy_id").agg(F.array_sort(F.collect_list(F.struct(
-        "server_name", "ip", "zone", "mysql_port", "rpc_port", "obshell_port", "home_path", "data_dir",
-        "redo_dir"))).alias("servers"))
-    t = tuning.select("deploy_id", F.struct(*[c for c in tuning.columns if c != "deploy_id"]).alias("global"))
-    f = flags.select("deploy_id", "production_mode")
-    doc = per_dep.join(srv, "deploy_id", "left").join(t, "deploy_id", "left").join(f, "deploy_id", "left")
-    # NULL fields are written as null (a missing address or tuning value stays visible)
-    return doc.select("deploy_id", F.to_json(F.struct("components", "servers", "global", "production_mode"),
-                                             {"ignoreNullFields": "false"}).alias("doc"))
+    f = flags.select("deploy_id", *[on(flags, c).alias(c) for c in ("configserver", "database", "proxy", "agent", "node_exporter")],
+                     *[on(flags, c, False).alias(c) for c in ("prometheus", "grafana", "management")], "production_mode")
+    t = tuning.select("deploy_id", "memory_limit", "system_memory", "datafile_size", "log_disk_size", "cpu_count")
+    g = _gathered(inv, profiles).join(config_values(deploy), "deploy_id").join(f, "deploy_id", "left").join(t, "deploy_id", "left")
+    c = F.col
+    home = lambda part: F.concat("user_home", F.lit("/" + part)).alias("home_path")
+    depends = lambda *names: F.array(*map(F.lit, names)).cast("array<string>").alias("depends")
+    only = lambda ip: F.array(ip).alias("servers")
+    sname = lambda i: F.concat(F.lit("server"), (i + 1).cast("string"))
+    servers = F.transform("obs", lambda x, i: F.struct(sname(i).alias("name"), x["ip"].alias("ip"))).alias("servers")
+    settings = lambda *cols: F.struct(*cols).alias("global")
+
+    user = _object(_fields(c("user").alias("username"), c("ssh_port").alias("port"), F.lit(60).alias("timeout")),
+                   F.when(c("key_file").isNotNull(), _fields(c("key_file"))))
+    configserver = _json(only(c("cs_ip")), settings(F.lit(8080).alias("listen_port"), home("ob-configserver")))
+    tenant = lambda k: F.struct(c(f"{k}_tenant_name").alias("tenant_name"), c(f"{k}_max_cpu").alias("max_cpu"),
+                                c(f"{k}_memory_size").alias("memory_size"))
+    tenants = F.when(c("management"), _fields(
+        tenant("meta").alias("ocp_meta_tenant"), c("meta_username").alias("ocp_meta_username"), c("meta_database").alias("ocp_meta_db"),
+        tenant("monitor").alias("ocp_monitor_tenant"), c("monitor_username").alias("ocp_monitor_username"),
+        c("monitor_database").alias("ocp_monitor_db")))
+    overrides = F.array_join(F.transform("obs", lambda x, i: F.concat(F.lit('"'), sname(i), F.lit('":'), _json(
+        c("mysql_port"), c("rpc_port"), c("obshell_port"), c("home_path"), c("data_dir"), c("redo_dir"),
+        F.concat(F.lit("zone"), (i + 1).cast("string")).alias("zone")))), ",")
+    database = _object(
+        _fields(F.when(c("configserver"), F.array(F.lit("ob-configserver"))).otherwise(F.array().cast("array<string>")).alias("depends")),
+        _fields(servers),
+        _member("global", _object(_fields(
+            c("cluster_name").alias("appname"), F.lit(1).alias("cluster_id"), c("memory_limit"), c("system_memory"), c("datafile_size"),
+            c("log_disk_size"), c("cpu_count"), c("production_mode"), F.lit(False).alias("enable_syslog_wf")), tenants)),
+        F.nullif(overrides, F.lit("")))
+    proxies = F.when(F.size("proxies") > 0, F.transform("proxies", lambda x: x["ip"])).otherwise(F.array("obs1")).alias("servers")
+    proxy = _json(depends("oceanbase-ce"), proxies, settings(
+        c("proxy_port").alias("listen_port"), F.lit(2884).alias("prometheus_listen_port"), home("obproxy"),
+        F.lit(False).alias("enable_cluster_checkout"), F.lit(True).alias("skip_proxy_sys_private_check"),
+        F.lit(False).alias("enable_strict_kernel_release")))
+    agent = _json(depends("oceanbase-ce"), servers, settings(
+        home("obagent"), c("agent_port").alias("monagent_http_port"), c("agent_user").alias("http_basic_auth_user"),
+        F.lit("active").alias("ob_monitor_status")))
+    static = lambda targets: F.array(F.struct(targets.alias("targets"))).alias("static_configs")
+    job = lambda name, path: (F.lit(name).alias("job_name"), F.lit(path).alias("metrics_path"))
+    at = lambda hosts, port: F.transform(hosts, lambda x: F.concat(x["host"], F.lit(":"), c(port).cast("string")))
+    jobs = F.concat_ws(
+        ",", _json(*job("prometheus", "/metrics"), static(F.array(F.lit(PROMETHEUS_SELF)))),
+        F.when(c("node_exporter"), _json(*job("node_exporter", "/metrics"), static(at("hosts", "exporter_port")))),
+        *[F.when(c("agent"), _json(*job(j, path), F.struct(c("agent_user").alias("username")).alias("basic_auth"),
+                                   static(at("obs", "agent_port")))) for j, path in AGENT_JOBS])
+    prometheus = _object(
+        _fields(F.when(c("agent"), F.array(F.lit("obagent"))).otherwise(F.array().cast("array<string>")).alias("depends")),
+        _fields(only(c("prom_ip"))),
+        _member("global", _object(_fields(home("prometheus"), c("prometheus_port").alias("port")), _member("config", _object(
+            _fields(settings(F.lit("15s").alias("scrape_interval"), F.lit("15s").alias("evaluation_interval"))),
+            _member("scrape_configs", F.concat(F.lit("["), jobs, F.lit("]"))))))))
+    grafana = _json(depends("prometheus"), only(c("graf_ip")), settings(home("grafana")))
+    site = F.concat(F.lit("http://"), c("ocp_ip"), F.lit(":"), c("management_port").cast("string"))
+    management = _object(
+        _fields(depends("oceanbase-ce", "obproxy-ce"), only(c("ocp_ip")), settings(
+            c("management_home").alias("home_path"), c("management_soft_dir").alias("soft_dir"), c("management_log_dir").alias("log_dir"),
+            site.alias("ocp_site_url"), c("management_port").alias("port"), c("management_memory").alias("memory_size"))),
+        F.when(c("management_version").isNotNull(), _fields(c("management_version").alias("version"))))
+    parts = [("configserver", "ob-configserver", configserver), ("database", "oceanbase-ce", database), ("proxy", "obproxy-ce", proxy),
+             ("agent", "obagent", agent), ("prometheus", "prometheus", prometheus), ("grafana", "grafana", grafana),
+             ("management", "ocp-server-ce", management)]
+    return g.select("deploy_id", _object(_member("user", user), *[F.when(c(flag), _member(name, text)) for flag, name, text in parts]).alias("doc"))
 
 
 def write_cluster_docs(docs: DataFrame, path: str) -> None:
@@ -331,30 +464,37 @@ def write_cluster_docs(docs: DataFrame, path: str) -> None:
 # ---------------------------------------------------------------- result tables (#8)
 
 
+# The columns of a printed result table with their headings.
+TABLE_COLUMNS = [("tx_type", "Transaction", 11), ("ok_count", "OK", 6), ("failed_count", "Failed", 6), ("p50", "p50, ms", 7),
+                 ("p90", "p90, ms", 7), ("p99", "p99, ms", 7)]
+
+
 def render_result_table(counts: DataFrame, pct: DataFrame, keys=("run_id",)) -> DataFrame:
-    """Print counts and percentiles of each run as a box-drawn table (``run_id, line_no, line``)."""
+    """Print counts and percentiles of each run as a box-drawn table (``run_id, line_no, line``).
+    A column is as wide as its widest cell in the run, so no value is shortened."""
     keys = list(keys)
     j = counts.join(pct, [*keys, "tx_type"], "left")
+    text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
+    widths = j.groupBy(*keys).agg(*[F.greatest(F.lit(least), F.max(F.length(text(name)))).alias(f"_w_{name}") for name, _, least in TABLE_COLUMNS])
+    w = lambda name: F.col(f"_w_{name}")
     rank = F.coalesce(_case(F.col("tx_type"), {t: i for i, t in enumerate(TX_ORDER)}),
                       F.when(F.col("tx_type") == "TOTAL", F.lit(90)).otherwise(F.lit(50)))
-    cell = lambda c, w: F.rpad(F.coalesce(F.col(c).cast("string"), F.lit("")), w, " ")
     bar = "│"
-    row = F.concat(F.lit(bar + " "), cell("tx_type", 11), F.lit(" " + bar + " "), cell("ok_count", 6),
-                   F.lit(" " + bar + " "), cell("failed_count", 6), F.lit(" " + bar + " "), cell("p50", 7),
-                   F.lit(" " + bar + " "), cell("p90", 7), F.lit(" " + bar + " "), cell("p99", 7), F.lit(" " + bar))
-    sep = "├" + "─" * 13 + "┼" + "─" * 8 + "┤"
-    body = j.select(*keys, (F.lit(10) + rank * 2).alias("line_no"), row.alias("line")).unionByName(
-        j.select(*keys, (F.lit(11) + rank * 2).alias("line_no"), F.lit(sep).alias("line")))
-    runs = counts.select(*keys).distinct()
-    head = runs.select(*keys, F.explode(F.array(
-        F.struct(F.lit(0).alias("line_no"), F.lit("┌" + "─" * 13 + "┐").alias("line")),
-        F.struct(F.lit(1).alias("line_no"), F.lit(
-            f"{bar} Transaction {bar} OK     {bar} Failed {bar} p50, ms {bar} p90, ms {bar} p99, ms {bar}").alias("line")),
-        F.struct(F.lit(2).alias("line_no"), F.lit(sep).alias("line")),
-        F.struct(F.lit(500).alias("line_no"), F.lit("└" + "─" * 13 + "┘").alias("line")),
-        F.struct(F.lit(501).alias("line_no"), F.lit("").alias("line")),
-    )).alias("l")).select(*keys, "l.line_no", "l.line")
-    total = counts.where(F.col("tx_type") == "TOTAL").select(
-        *keys, F.lit(502).alias("line_no"), F.concat(F.lit("total_ok: "), F.col("ok_count").cast("string"),
-                                                      F.lit("*")).alias("line"))
-    return head.unionByName(body).unionByName(total)
+
+    def line(cells):
+        return F.concat(F.lit(bar + " "), *[x for i, (name, cell) in enumerate(cells) for x in (
+            *((F.lit(" " + bar + " "),) if i else ()), F.rpad(cell, w(name), " "))], F.lit(" " + bar))
+
+    rule = F.concat(F.lit("├"), F.repeat(F.lit("─"), w("tx_type") + 2), F.lit("┼"), F.repeat(F.lit("─"), w("ok_count") + 2), F.lit("┤"))
+    top = lambda a, b: F.concat(F.lit(a), F.repeat(F.lit("─"), w("tx_type") + 2), F.lit(b))
+    row = line([(name, text(name)) for name, _, _ in TABLE_COLUMNS])
+    total = F.col("tx_type") == "TOTAL"
+    entry = lambda no, x: F.struct(F.lit(no).cast("int").alias("line_no") if isinstance(no, int) else no.cast("int").alias("line_no"), x.alias("line"))
+    body = j.join(widths, keys).select(*keys, F.explode(F.filter(F.array(
+        entry(10 + rank * 2, row), entry(11 + rank * 2, rule),
+        F.when(total, entry(502, F.concat(F.lit("total_ok: "), F.col("ok_count").cast("string"), F.lit("*"))))),
+        lambda x: x.isNotNull())).alias("l"))
+    head = widths.select(*keys, F.explode(F.array(
+        entry(0, top("┌", "┐")), entry(1, line([(name, F.lit(title)) for name, title, _ in TABLE_COLUMNS])), entry(2, rule),
+        entry(500, top("└", "┘")), entry(501, F.lit("")))).alias("l"))
+    return head.unionByName(body).select(*keys, "l.line_no", "l.line")

@@ -10,23 +10,29 @@ from fleetlens.plans.cluster_config import cluster_documents
 SF = "/root/testdata/sf0.001"
 
 
+def _addressed(spark):
+    """The inventory with an address for every VM of every second deployment."""
+    inv = C.inventory(spark, SF)
+    return inv.withColumn("ip", F.when(F.col("deploy_id") % 2 == 0, F.concat(F.lit("10.0.0."), F.col("idx").cast("string"))).otherwise(F.col("ip")))
+
+
 def test_inventory_lines_round_trip(spark, scratch):
-    lines, rejects = D.render_inventory(C.inventory(spark, SF), fixture(spark, SF, "fx_deployment"),
-                                        C.profiles_with_role(spark, SF))
+    inv = _addressed(spark)
+    lines, rejects = D.render_inventory(inv, fixture(spark, SF, "fx_deployment"), C.profiles_with_role(spark, SF))
     D.write_lines(lines, f"{scratch}/inv")
     back = spark.read.text(f"{scratch}/inv")
     assert back.count() == lines.count()
     assert "deploy_id" in back.columns  # one folder per deployment
-    # VMs without an address are rejects, not lines
+    # every VM is a line or a reject, and a deployment has only one of them
     names = lines.where(F.col("line").rlike("^[A-Z]+_[0-9]+_NAME=")).count()
-    assert names + rejects.count() == C.inventory(spark, SF).count()
+    assert names + rejects.count() == inv.count() and names > 0
+    assert lines.join(rejects, "deploy_id").count() == 0
 
 
 def test_inventory_lines_parse_back(spark, scratch):
     from fleetlens.sources.kv import parse_kv
 
-    lines, _ = D.render_inventory(C.inventory(spark, SF), fixture(spark, SF, "fx_deployment"),
-                                  C.profiles_with_role(spark, SF))
+    lines, _ = D.render_inventory(_addressed(spark), fixture(spark, SF, "fx_deployment"), C.profiles_with_role(spark, SF))
     numbered = lines.withColumn("line_no", F.col("section") * 100000 + F.col("idx") * 10 + F.col("kind"))
     kv = parse_kv(numbered, key_cols=("deploy_id",))
     counts = kv.where("key = 'OBSERVER_COUNT'").select("deploy_id", F.col("value").cast("int").alias("n"))
@@ -54,14 +60,73 @@ def test_host_logs_written_by_role_and_host(spark, scratch):
     assert back.select("host_safe").where(F.col("host_safe").rlike("[.:/]")).count() == 0
 
 
+def test_host_logs_split_by_line_range_keep_their_order(spark, scratch):
+    import glob
+
+    lines = spark.createDataFrame([("observer", "h.x", i, f"line {i}") for i in range(95)] + [("observer", "h.y", 3, "other")],
+                                  "role string, host string, line_no long, line string").orderBy(F.rand(1))
+    D.write_host_logs(lines, f"{scratch}/split", part_lines=10)
+    parts = sorted(glob.glob(f"{scratch}/split/role=observer/host_safe=h_x/part=*"), key=lambda p: int(p.rsplit("=", 1)[1]))
+    text = "".join(open(f).read() for p in parts for f in sorted(glob.glob(f"{p}/part-*")))
+    assert len(parts) == 10 and text.splitlines() == [f"line {i}" for i in range(95)]
+    assert D.read_host_logs(spark, f"{scratch}/split").groupBy("host_safe").count().collect().__len__() == 2
+
+
 def test_cluster_docs_one_per_deployment(spark, scratch):
     docs = cluster_documents(fixture(spark, SF, "fx_deployment"), fixture(spark, SF, "fx_profile"),
                              fixture(spark, SF, "fx_role_alias"), fixture(spark, SF, "fx_instance"))
     D.write_cluster_docs(docs, f"{scratch}/docs")
-    back = spark.read.json(f"{scratch}/docs")
-    assert back.count() == fixture(spark, SF, "fx_deployment").count()
-    comp = back.select(F.explode("components").alias("c")).select("c.component").distinct()
-    assert {r[0] for r in comp.collect()} >= {"oceanbase-ce", "obagent", "ob-configserver"}
+    back = spark.read.text(f"{scratch}/docs").collect()
+    assert len(back) == fixture(spark, SF, "fx_deployment").count()
+    assert not any("password" in r.value for r in back)
+
+
+def _one_document(spark, **config):
+    """The document of one deployment with two observers, a monitoring VM and a management VM."""
+    import json
+
+    inv = spark.createDataFrame([(1, r, i, f"p-{r}-{i}", "z-a", f"10.0.0.{k}") for k, (r, i) in enumerate(
+        [("observer", 1), ("observer", 2), ("monitoring", 1), ("ocp", 1)])],
+        "deploy_id long, role string, idx int, name string, zone string, ip string")
+    flags = spark.createDataFrame([(1, *[config.pop(k, True) for k in ("configserver", "agent", "prometheus", "management")], True)],
+                                  "deploy_id long, configserver boolean, agent boolean, prometheus boolean, management boolean, "
+                                  "production_mode boolean")
+    profiles = spark.createDataFrame([(1, "monitoring", None, True)], "deploy_id long, role string, dedicated boolean, enabled boolean")
+    tuning = spark.createDataFrame([(1, "8G", "2G", "85G", "24G", 4)], "deploy_id long, memory_limit string, system_memory string, "
+                                   "datafile_size string, log_disk_size string, cpu_count int")
+    deploy = spark.createDataFrame([(1, "adm", *config.values())], ", ".join(
+        ["deploy_id long", "ssh_user string", *(f"{k} {'int' if isinstance(v, int) else 'string'}" for k, v in config.items())]))
+    return json.loads(D.render_cluster_docs(inv, flags, deploy, tuning, profiles).first().doc)
+
+
+def test_cluster_document_follows_config_and_switches(spark):
+    doc = _one_document(spark, mysql_port=3306, agent_port=9000, key_file="/k")
+    assert list(doc) == ["user", "ob-configserver", "oceanbase-ce", "obproxy-ce", "obagent", "prometheus", "ocp-server-ce"]
+    assert doc["user"] == {"username": "adm", "port": 22, "timeout": 60, "key_file": "/k"}
+    ob = doc["oceanbase-ce"]
+    assert [s["name"] for s in ob["servers"]] == ["server1", "server2"] and ob["server2"]["mysql_port"] == 3306
+    assert ob["server2"]["zone"] == "zone2" and ob["global"]["ocp_meta_tenant"]["max_cpu"] == 2.0
+    jobs = {j["job_name"]: j for j in doc["prometheus"]["global"]["config"]["scrape_configs"]}
+    assert jobs["node"]["static_configs"][0]["targets"] == ["p-observer-1.z.internal:9000", "p-observer-2.z.internal:9000"]
+    assert len(jobs["node_exporter"]["static_configs"][0]["targets"]) == 3 and doc["prometheus"]["servers"] == ["10.0.0.2"]
+    assert doc["ocp-server-ce"]["global"]["ocp_site_url"] == "http://10.0.0.3:8080" and "version" not in doc["ocp-server-ce"]
+    off = _one_document(spark, configserver=False, agent=False, management=False)
+    assert list(off) == ["user", "oceanbase-ce", "obproxy-ce", "prometheus"]
+    assert off["oceanbase-ce"]["depends"] == [] and off["prometheus"]["depends"] == [] and "key_file" not in off["user"]
+    assert [j["job_name"] for j in off["prometheus"]["global"]["config"]["scrape_configs"]] == ["prometheus", "node_exporter"]
+    assert "ocp_meta_tenant" not in off["oceanbase-ce"]["global"]
+
+
+def test_printed_table_shortens_nothing(spark):
+    from fleetlens.sources.logs import parse_result_table
+
+    counts = spark.createDataFrame([(1, "AVeryLongTransactionName", 12345678, 9999999), (1, "TOTAL", 12345678901, 0), (2, "A", 1, 0)],
+                                   "run_id int, tx_type string, ok_count long, failed_count long")
+    pct = spark.createDataFrame([(1, "AVeryLongTransactionName", 123456789, 2, 3)], "run_id int, tx_type string, p50 int, p90 int, p99 int")
+    rows, foot = parse_result_table(D.render_result_table(counts, pct))
+    got = {(r.run_id, r.tx_type): (r.ok_count, r.failed_count, r.p50) for r in rows.collect()}
+    assert got == {(1, "AVeryLongTransactionName"): (12345678, 9999999, 123456789), (1, "TOTAL"): (12345678901, 0, None), (2, "A"): (1, 0, None)}
+    assert [(r.key, r.value, r.starred) for r in foot.collect()] == [("total_ok", "12345678901", True)]
 
 
 def test_provisioning_and_validation_plans(spark):
@@ -102,8 +167,7 @@ def test_listing_files_and_lines_agree(spark, scratch):
 def test_inventory_file_order(spark, scratch):
     import glob
 
-    lines, _ = D.render_inventory(C.inventory(spark, SF), fixture(spark, SF, "fx_deployment"),
-                                  C.profiles_with_role(spark, SF))
+    lines, _ = D.render_inventory(_addressed(spark), fixture(spark, SF, "fx_deployment"), C.profiles_with_role(spark, SF))
     D.write_lines(lines, f"{scratch}/inv_order")
     one = sorted(glob.glob(f"{scratch}/inv_order/deploy_id=*"))[0]
     dep = int(one.rsplit("=", 1)[1])
