@@ -9,18 +9,21 @@ run if there are fewer). Every element spreads points of a Poisson process over
 * Documents with equal sets are one node from then on.
 * ``BANDS`` bands of ``ROWS`` registers name buckets. A pair at a threshold of
   0.8 shares no bucket with probability (1 - 0.8**5)**48 = 5e-9, at 0.85 with 6e-13.
-* Pairs inside a bucket are not all formed: in each round the next leaders of a
-  bucket (1, then 2, 4, 8, ...) are compared with the members that are still in
-  another component, so a large group of copies costs about one pair a member.
-  A bucket is done when its members are one component or all have led.
-* A pair's similarity is estimated from its registers by maximum likelihood
-  (set sizes are known); pairs six standard errors below the threshold are let
-  go, the rest is decided by exact counts on the full sets.
-
-Sets travel only for nodes that share a bucket. Hot sets and buckets: equal sets
-are reduced by partial aggregation, joins on hot keys are splittable inner or
-left joins, and nothing gathers a bucket or component in one value. Links and
-components stay DataFrames; each round is a written table in the shared folder.
+* Inside a bucket, two bits of every register decide which members can be
+  near: pairs six standard errors below the threshold can't. A bucket sends a
+  spanning forest of what remains, at most one edge a member; the forests'
+  components are clusters, and every link lies inside one.
+* Each clustered node's full set travels once, to its cluster. A search goes
+  from member to member: similarities are estimated from all registers by joint
+  maximum likelihood (set sizes are known), those that can reach the threshold
+  are counted exactly on the full sets, and linked members are not asked again.
+
+No pair is ever a row. Equal sets are reduced by partial aggregation. A bucket of
+more than ``HOT`` members makes one cluster without a search, and a cluster of
+more than ``LARGE`` nodes is not worked by one task: in rounds, the next leaders
+of its buckets (1, then 2, 4, 8, ...) are compared with the members that are
+still in another component, as joins. Both ways give the same components (tests
+set the limits to 3). Nothing is collected; stages are written tables.
 
 Defined results: documents without words (null and empty texts too) are linked
 with nothing. A null id stands after all ids. Rows that share an id stand or
@@ -51,6 +54,10 @@ B, RATE, TOP = 1.001, 20.0, 65535
 #: Points drawn for all active elements at once.
 POINTS = 1 << 18
 NO_ID = (1 << 63) - 1
+#: Largest bucket that is searched, largest cluster that one task holds.
+HOT, LARGE = 20_000, 20_000
+#: Equal two-bit fields of two bytes, by their exclusive or.
+FIELDS = np.array([sum(x >> i & 3 == 0 for i in (0, 2, 4, 6)) for x in range(256)], np.uint8)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
@@ -101,7 +108,24 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def joint_estimate(ra, rb, na, nb, grid: int = 201) -> np.ndarray:
+def codes(regs: np.ndarray) -> np.ndarray:
+    """Two bits of each register, four registers a byte."""
+    two = (mix(regs.astype(U64)) & U64(3)).astype(np.uint8).reshape(len(regs), -1, 4)
+    return two[:, :, 0] | two[:, :, 1] << 2 | two[:, :, 2] << 4 | two[:, :, 3] << 6
+
+
+def least_equal(threshold: int) -> float:
+    """Equal two-bit fields that a linked pair has but for six standard errors."""
+    a = threshold / 100 + (1 - threshold / 100) / 4
+    return REGISTERS * (a - 6 * np.sqrt(a * (1 - a) / REGISTERS))
+
+
+def least_estimate(threshold: int) -> float:
+    t = threshold / 100
+    return t - 6 * np.sqrt(t * (1 - t) / REGISTERS)
+
+
+def joint_estimate(ra, rb, na, nb, grid: int = 41) -> np.ndarray:
     """Jaccard similarity of each pair: the maximum of the registers' joint likelihood on a grid."""
     m = ra.shape[1]
     more, less = (ra > rb).sum(1), (ra < rb).sum(1)
@@ -125,11 +149,11 @@ def _sets_of(batch_col, width):
 
 
 def sketch(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(id, node, n, bands, regs) of (id, text): node names the set, n is its size."""
+    """(id, node, n, bands, regs, code) of (id, text): node names the set, n is its size."""
 
     def run(batches):
         for batch in batches:
-            nodes, sizes, bands, regs = [], [], [], []
+            nodes, sizes, bands, regs, code = [], [], [], [], []
             for sets in _sets_of(batch.column(1), width):
                 r = registers(sets)
                 folded = r.reshape(len(sets), BANDS, ROWS).astype(U64)
@@ -140,12 +164,13 @@ def sketch(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 sizes += [len(s) for s in sets]
                 bands += list(h.astype(np.int64))
                 regs += [x.tobytes() for x in r]
+                code += [x.tobytes() for x in codes(r)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.array(bands, pa.list_(pa.int64())), pa.array(regs, pa.binary())],
-                names=["id", "node", "n", "bands", "regs"])
+                 pa.array(bands, pa.list_(pa.int64())), pa.array(regs, pa.binary()), pa.array(code, pa.binary())],
+                names=["id", "node", "n", "bands", "regs", "code"])
 
-    return docs.mapInArrow(run, "id bigint, node bigint, n bigint, bands array<bigint>, regs binary")
+    return docs.mapInArrow(run, "id bigint, node bigint, n bigint, bands array<bigint>, regs binary, code binary")
 
 
 def _full_sets(rows: DataFrame, width: int) -> DataFrame:
@@ -163,8 +188,7 @@ def _full_sets(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _plausible(threshold: int):
-    t = threshold / 100
-    cut = t - 6 * np.sqrt(t * (1 - t) / REGISTERS)
+    cut = least_estimate(threshold)
 
     def run(batches):
         for batch in batches:
@@ -226,21 +250,122 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return comp
 
 
-def find_links(nodes: DataFrame, sets_of, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(node, comp) of the nodes that share a bucket, and the confirmed links (a, b).
+def _runs(stream, key: str):
+    """Tables of whole groups from batches sorted by ``key``."""
+    held = None
+    for batch in stream:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        if not table.num_rows:
+            continue
+        keys = table.column(key).to_numpy()
+        first = int(np.searchsorted(keys, keys[-1], side="left")) if keys[0] != keys[-1] else 0
+        if first:
+            yield table.slice(0, first)
+        held = table.slice(first)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _search(m: int, near):
+    """Edges (from, to) of a search over m members; near(x, others) -> the others beside x."""
+    rest, edges = np.arange(m), []
+    while len(rest):
+        todo, rest = [int(rest[0])], rest[1:]
+        while todo and len(rest):
+            x = todo.pop()
+            hit = near(x, rest)
+            edges += [(x, int(y)) for y in rest[hit]]
+            todo += rest[hit].tolist()
+            rest = rest[~hit]
+    return edges
+
+
+def _forests(threshold: int):
+    """Buckets (key, node, n, code), sorted by key -> edges (a, b)."""
+    cut = least_equal(threshold)
+
+    def run(stream):
+        for table in _runs(stream, "key"):
+            keys, nodes, n = (table.column(c).to_numpy() for c in ("key", "node", "n"))
+            code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(keys), -1)
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            sizes = np.diff(np.append(starts, len(keys)))
+
+            def like(x, others):
+                small, large = np.minimum(n[x], n[others]), np.maximum(n[x], n[others])
+                return (FIELDS[code[x] ^ code[others]].sum(-1) >= cut) & (100 * small >= threshold * large)
+
+            two = starts[sizes == 2]
+            two = two[like(two, two + 1)] if len(two) else two
+            edges = [(two, two + 1)] if len(two) else []
+            for s, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+                got = _search(m, lambda x, others: like(s + x, s + others))
+                if got:
+                    edges.append(tuple(np.array(got).T + s))
+            if edges:
+                a, b = (nodes[np.concatenate(x)] for x in zip(*edges))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    nodes: (node, n, bands, regs); sets_of(node rows) -> (node, shingles).
-    Links between nodes that another link already joins may be left out."""
-    exploded = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = exploded.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("all"),
-                                         F.min("node").alias("least")).where("size > 1")
-    # buckets of the same members count once
-    shared = shared.groupBy("size", "all", "least").agg(F.min("key").alias("key")).select("key")
+    return run
+
+
+def cluster_components(n: np.ndarray, regs: np.ndarray, sets: list[np.ndarray], threshold: int) -> np.ndarray:
+    """Index of the first member of each member's component, over exact links."""
+    m = len(n)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    _, word = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = owner[np.argsort(word, kind="stable")]  # of each shingle in turn
+    begin = np.concatenate([[0], np.cumsum(np.bincount(word))])
+    cut = least_estimate(threshold)
+
+    def near(x, others):
+        like = np.zeros(len(others), bool)
+        fit = 100 * np.minimum(n[x], n[others]) >= threshold * np.maximum(n[x], n[others])
+        some = np.flatnonzero(fit)
+        if not len(some):
+            return like
+        y = others[some]
+        likely = joint_estimate(np.broadcast_to(regs[x], (len(y), regs.shape[1])), regs[y], np.full(len(y), float(n[x])), n[y].astype(float)) >= cut
+        some = some[likely]
+        if not len(some):
+            return like
+        mine = word[at[x]: at[x + 1]]
+        size = begin[mine + 1] - begin[mine]
+        place = np.arange(size.sum()) + np.repeat(begin[mine] - (np.cumsum(size) - size), size)
+        both = np.bincount(holders[place], minlength=m)[others[some]]
+        like[some] = 100 * both >= threshold * (n[x] + n[others[some]] - both)
+        return like
+
+    label = np.arange(m)
+    for x, y in _search(m, near):  # an edge leads away from the first member found
+        label[y] = label[x]
+    return label
+
+
+def _clusters(threshold: int):
+    """Clusters (cluster, node, n, regs, shingles), sorted by cluster -> (node, comp)."""
+
+    def run(stream):
+        for table in _runs(stream, "cluster"):
+            cluster, nodes, n = (table.column(c).to_numpy() for c in ("cluster", "node", "n"))
+            regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(len(n), -1)
+            sets = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()]
+            starts = np.flatnonzero(np.concatenate([[True], cluster[1:] != cluster[:-1]]))
+            comp = np.empty(len(n), np.int64)
+            for s, e in zip(starts, np.append(starts[1:], len(n))):
+                comp[s:e] = nodes[s + cluster_components(n[s:e], regs[s:e], sets[s:e], threshold)]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(comp)], names=["node", "comp"])
+
+    return run
+
+
+def _in_rounds(members: DataFrame, comp: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(node, comp) of large clusters: members (key, node, n), nodes (node, n, regs), sets (node, shingles)."""
     rank = F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1
-    members = stored(exploded.join(shared, "key").withColumn("rank", rank).select("key", "node", "n", "rank"))
-    comp = stored(members.select("node").distinct().withColumn("comp", F.col("node")))
-    known = stored(nodes.join(comp.select("node"), "node").select("node", "n", "regs"))
-    sets = stored(sets_of(comp.select("node")))
+    members = stored(members.withColumn("rank", rank))
+    comp = stored(comp.select("node", F.col("node").alias("comp")))
     links = None
     first, last = 0, 1
     while True:
@@ -249,34 +374,58 @@ def find_links(nodes: DataFrame, sets_of, threshold: int = THRESHOLD) -> tuple[D
                        .where(F.col("top") > first).where("low <> high").select("key")
         members = stored(members.join(open_keys, "key", "left_semi"))
         if members.isEmpty():
-            break
+            return comp if links is None else components(comp, links)
         now = members.join(comp, "node")
         lead = now.where((F.col("rank") >= first) & (F.col("rank") < last)).select("key", *(F.col(c).alias(f"{c}_l") for c in ("node", "n", "rank", "comp")))
         smaller, larger = F.least("n", "n_l"), F.greatest("n", "n_l")
         pairs = now.join(lead, "key").where((F.col("rank") > F.col("rank_l")) & (F.col("comp") != F.col("comp_l"))
                                             & (100 * smaller >= threshold * larger))
         pairs = pairs.select(F.least("node", "node_l").alias("a"), F.greatest("node", "node_l").alias("b")).distinct()
-        found = stored(_verify(pairs, known, sets, threshold))
-        links = found if links is None else links.unionByName(found)
+        found = stored(_verify(pairs, nodes, sets, threshold))
         if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
             comp = stored(_hop(_hop(comp, found), found))
         first, last = last, 2 * last
-    if links is not None:
-        comp = components(comp, links)
-    else:
-        links = comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).limit(0)
-    return comp, links
+
+
+def link_components(nodes: DataFrame, sets_of, threshold: int = THRESHOLD, hot: int = HOT, large: int = LARGE) -> DataFrame:
+    """(node, comp) of the nodes that may have links; the others are alone.
+
+    nodes: (node, n, bands, regs, code); sets_of(node rows) -> (node, shingles)."""
+    exploded = nodes.select("node", "n", F.explode("bands").alias("key"))
+    shared = exploded.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("all"),
+                                         F.min("node").alias("least")).where("size > 1")
+    # buckets of the same members count once
+    shared = stored(shared.groupBy("size", "all", "least").agg(F.min("key").alias("key")))
+    members = stored(exploded.join(shared.select("key", "size", "least"), "key"))
+    searched = members.where(F.col("size") <= hot).join(nodes.select("node", "code"), "node").select("key", "node", "n", "code")
+    edges = searched.repartition("key").sortWithinPartitions("key").mapInArrow(_forests(threshold), "a bigint, b bigint")
+    stars = members.where((F.col("size") > hot) & (F.col("node") != F.col("least"))).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    edges = stored(edges.unionByName(stars).distinct())
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    clustered = components(ends, edges)
+    sizes = clustered.groupBy("comp").agg(F.count("*").alias("size"))
+    clustered = stored(clustered.join(sizes, "comp").select("node", F.col("comp").alias("cluster"), "size"))
+    sets = stored(sets_of(clustered.select("node")))
+    known = nodes.select("node", "n", "regs")
+    small = clustered.where(F.col("size") <= large).select("node", "cluster").join(known, "node").join(sets, "node")
+    small = small.select("cluster", "node", "n", "regs", "shingles").repartition("cluster").sortWithinPartitions("cluster")
+    done = small.mapInArrow(_clusters(threshold), "node bigint, comp bigint")
+    rest = clustered.where(F.col("size") > large).select("node")
+    if not rest.isEmpty():
+        done = done.unionByName(_in_rounds(members.select("key", "node", "n").join(rest, "node"), rest, known, sets, threshold))
+    return stored(done)
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
+                    text_col: str = "text", hot: int = HOT, large: int = LARGE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): links where 100 * intersection >= threshold * union."""
     spark = docs.sparkSession
     short_batches(spark)
     src = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(NO_ID)).alias("id"), docs[text_col].cast("string").alias("text"))
     sk = stored(sketch(src, width))
     classes = sk.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"),
-                                                    F.first("regs").alias("regs"))
+                                                    F.first("regs").alias("regs"), F.first("code").alias("code"))
     classes = stored(classes)
     owners = classes.select("node", "id")
 
@@ -285,7 +434,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = WI
         texts = src.join(wanted, "id").select("node", "text")
         return _full_sets(texts, width).dropDuplicates(["node"])
 
-    comp, _ = find_links(classes.select("node", "n", "bands", "regs"), sets_of, threshold)
+    comp = link_components(classes.select("node", "n", "bands", "regs", "code"), sets_of, threshold, hot, large)
     low = owners.join(comp, "node").groupBy("comp").agg(F.min("id").alias("component"))
     named = comp.join(low, "comp").select("node", "component")
     named = owners.join(named, "node", "left").select("node", F.coalesce("component", "id").alias("component"))

@@ -82,7 +82,14 @@ def test_large_group_of_copies(spark):
     rng = random.Random(11)
     texts = copies(rng, 150, 3) + copies(rng, 40, 6, 60) + ["Same TEXT over and over again"] * 60 + copies(rng, 5, 1, 6)
     rows = list(zip(rng.sample(range(10**6), len(texts)), texts))
-    assert seen(N.near_duplicates(frame(spark, rows).repartition(7))) == brute(rows)
+    want = brute(rows)
+    assert seen(N.near_duplicates(frame(spark, rows).repartition(7))) == want
+    assert seen(N.near_duplicates(frame(spark, rows[100:]), hot=3, large=3)) == brute(rows[100:])
+
+
+def test_threshold_of_the_pipeline(spark):
+    rows = list(enumerate(copies(random.Random(5), 120, 5, 80)))
+    assert seen(N.near_duplicates(frame(spark, rows), 80)) == brute(rows, 80)
 
 
 def test_query_equals_sql(spark, duck):
