@@ -102,7 +102,7 @@ PATHS = {
 )
 def q_config_get(spark, sf):
     d = CF.read_config_json(_json_docs(spark, sf))
-    return d.select("deploy_id", *[CF.config_get("variant", p).alias(k) for k, p in PATHS.items()], "reject")
+    return d.select("deploy_id", *[CF.variant_text("variant", p).alias(k) for k, p in PATHS.items()], "reject")
 
 
 def _full_json_docs(spark, sf):

@@ -110,13 +110,20 @@ def read_config_json(docs: DataFrame, text_col: str = "doc", schema: str = CONFI
     return d.withColumn("config", F.when(F.col("reject").isNull(), F.from_json(F.col(text_col), schema)))
 
 
-def config_get(variant, path: str) -> Column:
+def variant_text(variant, path: str) -> Column:
     """Dotted-path lookup on a parsed document: missing or null -> '', booleans -> 'true'/'false',
     anything else -> its text."""
     c = F.col(variant) if isinstance(variant, str) else variant
     return F.coalesce(F.try_variant_get(c, json_path(path), "string"), F.lit(""))
 
 
+def config_get(doc_json, path: str) -> Column:
+    """:func:`variant_text` on JSON text; malformed text has no values (its reject is in
+    :func:`read_config_json`, which also parses a text once for many lookups)."""
+    c = F.col(doc_json) if isinstance(doc_json, str) else doc_json
+    return variant_text(F.try_parse_json(c), path)
+
+
 # Where the columns that the operators read stand in a config.
 DEPLOY_FIELDS = {
     "deploy_name": "deployment.name", "zone": "yandex_cloud.zone", "ssh_user": "yandex_cloud.ssh_user",

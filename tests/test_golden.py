@@ -135,6 +135,7 @@ def test_scale_capacity_golden(spark):
     assert round(head[1].cpu_headroom_pct, 1) == 5.6
 
 
+# Published result lines, as parse input.
 RESULT_LOG = """2026-07-21T10:17:34.248 info: === TPC-C Results ===
 2026-07-21T10:17:34.248 info:   Scale: 2400 warehouses
 2026-07-21T10:17:34.248 info:   Measured Duration: 600.0s (configured: 600s)
@@ -158,6 +159,7 @@ def test_result_log_parse(spark):
     assert (f.warehouses, f.measured_s, f.tpmc, f.efficiency_pct, f.total_failed) == (2400, 600.0, 28039.94, 90.8, 0)
 
 
+# A published result table, as parse input.
 RESULT_TABLE = """┌─────────────┬────────┬────────┐
 │ Transaction │ OK     │ Failed │ p50, ms │ p90, ms │ p99, ms │
 ├─────────────┼────────┼────────┤
@@ -209,6 +211,31 @@ def test_config_get_rules(spark):
     got = df.select(*[config_get("doc", p).alias(str(i)) for i, p in
                       enumerate(["a.b", "a.c", "a..n", "a.s", "a.missing", "a.s.deeper", "e", ".a.n."])]).collect()[0]
     assert tuple(got) == ("true", "", "22", "x", "", "", "", "22")
+    broken = spark.createDataFrame([('{"a":',)], "doc string").select(config_get("doc", "a").alias("x"))
+    assert broken.collect()[0].x == ""
+
+
+def test_yaml_rejects_and_frames(spark):
+    from fleetlens.sources.config import config_frames, read_config_docs
+
+    good = """
+deployment: {name: prod}
+vm_defaults: {platform: p1, data_disk: {type: t, size_gb: 5}}
+vm_profiles:
+  observer: {count: 3, cores: 8, data_disk: {enabled: true, mount_point: /d}}
+  obproxy: {count: 0}
+oceanbase: {ports: {mysql: 3306}, components: {obagent: false}, memory_limit: 9G}
+ocp: {meta_tenant: {max_cpu: 4}}
+"""
+    docs = spark.createDataFrame([(1, good), (2, "a: 2024-13-45"), (3, "a: ["), (4, ""), (5, "- 1"), (6, None)], "deploy_id long, doc string")
+    deploy, profiles, rejects = config_frames(read_config_docs(docs))
+    assert {r.deploy_id for r in rejects.collect()} == {2, 3, 5}
+    d = {r.deploy_id: r for r in deploy.collect()}
+    assert set(d) == {1, 4, 6}
+    assert (d[1].deploy_name, d[1].mysql_port, d[1].agent_component, d[1].memory_limit, d[1].meta_max_cpu, d[1].default_data_size_gb) == \
+        ("prod", 3306, False, "9G", 4.0, 5)
+    p = {r.role_in: r for r in profiles.collect()}
+    assert (p["observer"].vm_count, p["observer"].data_mount, p["obproxy"].vm_count, p["obproxy"].cores) == (3, "/d", 0, None)
 
 
 def test_merge_open_maps(spark):
