@@ -13,9 +13,10 @@ Size-partitioned MinHash containment search, in DataFrame functions only.
   that holds at least ``CONTAINMENT`` percent of the item's shingles.
 
 The document side streams: words, hashes and the threshold filter are array
-expressions of one projection, only kept hashes become rows. Spark broadcasts
-the index while it is under ``spark.sql.autoBroadcastJoinThreshold`` and
-shuffles otherwise. Candidates are aggregated before documents are read again.
+expressions of one projection, only kept hashes become rows. The index, the
+items' shingles and the candidates are written as tables first, so Spark knows
+their sizes: it broadcasts them under ``spark.sql.autoBroadcastJoinThreshold``,
+so that documents don't move, and shuffles beyond it.
 
 Defined results: null and empty texts, and items with fewer than ``WIDTH`` words,
 match nothing. Rows that share an id are one document (or item) with the runs of
@@ -28,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import stored
+
 WIDTH = 5
 SKETCH = 16
 CONTAINMENT = 80
@@ -82,9 +85,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                  item_col: str = "item_id", item_text: str = "text", containment: int = CONTAINMENT) -> DataFrame:
     """(doc_id, item_id, n_item, n_common, containment) of every item found in a document."""
     docs, items = _named(docs, id_col, "doc", text_col), _named(items, item_col, "item", item_text)
-    sketches = index(items)
-    found = candidates(docs, sketches).select(F.col("doc").alias("d"), F.col("item").alias("i"))
-    shingles = _texts(items, "item")
+    sketches = stored(index(items))
+    found = stored(candidates(docs, sketches).select(F.col("doc").alias("d"), F.col("item").alias("i")))
+    shingles = stored(_texts(items, "item"))
     sizes = shingles.groupBy("item").agg(F.count("*").alias("n_item"))
     suspects = found.select("d").distinct()
     read_again = docs.join(suspects, F.col("doc").eqNullSafe(F.col("d")), "left_semi")
