@@ -48,7 +48,8 @@ def q_scrape_windows(spark, sf):
 )
 def q_readiness_stream(spark, sf):
     # the fixture's statuses are sparse, so a wait lasts ten days instead of an hour
-    return ST.run_to_table(ST.readiness_stream(ST.stream_fixture(spark, sf, "fx_status"), timeout_s=864000), "readiness")
+    with ST.rocksdb_state(spark):
+        return ST.run_to_table(ST.readiness_stream(ST.stream_fixture(spark, sf, "fx_status"), timeout_s=864000), "readiness")
 
 
 @query(
@@ -70,4 +71,5 @@ def q_readiness_stream(spark, sf):
     ("fx_probe",),
 )
 def q_health_stream(spark, sf):
-    return ST.run_to_table(ST.health_stream(ST.stream_fixture(spark, sf, "fx_probe")), "health")
+    with ST.rocksdb_state(spark):
+        return ST.run_to_table(ST.health_stream(ST.stream_fixture(spark, sf, "fx_probe")), "health")

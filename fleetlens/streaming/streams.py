@@ -20,6 +20,7 @@ so streams cast with the session time zone (UTC in our sessions).
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 import numpy as np
@@ -72,9 +73,26 @@ def idle_sessions_stream(conns: DataFrame, gap: str = "24 hours", watermark: str
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
 def _needs_rocksdb(spark: SparkSession) -> None:
-    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
-        raise ValueError(f"list state and timers need spark.sql.streaming.stateStore.providerClass={ROCKSDB}")
+    if spark.conf.get(PROVIDER, "") != ROCKSDB:
+        raise ValueError(f"list state and timers need {PROVIDER}={ROCKSDB}")
+
+
+@contextlib.contextmanager
+def rocksdb_state(spark: SparkSession):
+    """The session with the RocksDB state store, for streams defined and run inside."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield spark
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
 
 
 def _retime(handle: StatefulProcessorHandle, when: int) -> None:

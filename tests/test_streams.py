@@ -154,6 +154,10 @@ def test_stateful_streams_name_the_state_store_they_need(spark):
         for stream in (ST.readiness_stream, ST.health_stream):
             with pytest.raises(ValueError, match="RocksDB"):
                 stream(fixture(spark, SF, "fx_status" if stream is ST.readiness_stream else "fx_probe"))
+        from fleetlens.catalog import load_all
+
+        assert load_all()["health_stream"].build(spark, SF).count() > 0  # the query sets it for itself
+        assert spark.conf.get(key).endswith("HDFSBackedStateStoreProvider")
     finally:
         spark.conf.set(key, old)
 
