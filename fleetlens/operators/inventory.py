@@ -377,21 +377,13 @@ def failed_hosts(jobs: DataFrame) -> DataFrame:
     ``jobs`` has one row per host job (``run_id, host, log_name, failed``).
     The result has one row per failed host with the run's count beside it
     (a per-run aggregate joined back), so no run's hosts are gathered into
-    one value; :func:`failed_host_lists` renders the lists when wanted.
+    one value.
     """
     f = jobs.where(F.col("failed")).select("run_id", "host", "log_name")
     n = f.groupBy("run_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_failed"))
     return f.join(n, "run_id")
 
 
-def failed_host_lists(failed: DataFrame) -> DataFrame:
-    """Sorted host and log lists per run (the printed summary; one list per run)."""
-    return failed.groupBy("run_id", "n_failed").agg(
-        F.array_sort(F.collect_list("host")).alias("hosts"),
-        F.array_sort(F.collect_list("log_name")).alias("logs"),
-    )
-
-
 def log_tail(lines: DataFrame, n: int = 40, key: str = "op_id") -> DataFrame:
     """#70 last ``n`` lines of each log.
 
