@@ -8,11 +8,13 @@ is marked, wherever it stands; covered bytes go.
   in fourteen. Those whose gram stands in one row only are dropped (``passages``).
 * The rest travel as tuples of key, context, id and place to shards by key. The
   queues between tasks and shards are Spark's shuffle files: sorted runs on disk.
-* Inside a shard the other suffixes of a window are induced from its sampled
-  one: the string that starts ``back`` bytes before it is equal to another one
-  exactly if the common prefix after the sample and the common suffix before it
-  are long enough, so strings are grouped for each ``back`` and compared byte by
-  byte with the first of their group.
+* Inside a shard the sampled suffixes are sorted and the length of the common
+  prefix with their neighbour is kept. The other suffixes of a window are induced
+  from its sampled one: the string that starts ``back`` bytes before it equals
+  another one exactly if the common prefix reaches ``LENGTH - back`` and the
+  ``back`` bytes before are the same. So for each ``back`` the runs of the sorted
+  order between shorter prefixes, split by the bytes before, are the classes of
+  equal strings.
 
 A task resolves its own tuples first and sends only strings that are first among
 its documents, so a string that a third of all documents share costs a shard
@@ -67,30 +69,34 @@ def resolve(context: np.ndarray, open_: np.ndarray, ids: np.ndarray):
     later, first = np.zeros(m, np.uint32), np.zeros(m, np.uint32)
     if not m:
         return later, first
-    hashes = np.empty((SPAN, m), U64)
-    p, inv = powers(BASE, CONTEXT + 1)
-    for a in range(0, m, 1 << 14):
-        part = context[a: a + (1 << 14)].astype(U64) * p[None, :CONTEXT]
-        sums = np.zeros((len(part), CONTEXT + 1), U64)
-        np.cumsum(part, axis=1, out=sums[:, 1:])
-        for back in range(SPAN):
-            s = SPAN - 1 - back
-            hashes[back, a: a + len(part)] = (sums[:, s + LENGTH] - sums[:, s]) * inv[s]
+    before, after = context[:, : SPAN - 1], context[:, SPAN - 1:]
+    padded = np.zeros((m, -(-LENGTH // 8) * 8), np.uint8)
+    padded[:, :LENGTH] = after
+    order = np.lexsort(padded.view(">u8").T[::-1])  # the sampled suffixes in byte order
+    common = np.full(m, 0)
+    for a in range(0, m - 1, 1 << 16):
+        differ = after[order[a: a + (1 << 16)]][: m - 1 - a] != after[order[a + 1: a + (1 << 16) + 1]]
+        common[a + 1: a + 1 + len(differ)] = np.where(differ.any(1), differ.argmax(1), LENGTH)
+    p, inv = powers(BASE, SPAN)
+    sums = np.zeros((m, SPAN), U64)
+    np.cumsum(before.astype(U64) * p[None, : SPAN - 1], axis=1, out=sums[:, 1:])
     for back in range(SPAN):
+        run = np.empty(m, np.int64)
+        run[order] = np.cumsum(common < LENGTH - back)
         rows = np.flatnonzero(open_ >> np.uint32(back) & np.uint32(1))
         if not len(rows):
             continue
-        h = hashes[back, rows]
-        order = np.lexsort((ids[rows], h))
-        rows, h = rows[order], h[order]
+        s = SPAN - 1 - back
+        h = mix(mix((sums[rows, SPAN - 1] - sums[rows, s]) * inv[s]) + run[rows].astype(U64) * U64(0xD6E8FEB86659FD93))
+        by = np.lexsort((ids[rows], h))
+        rows, h = rows[by], h[by]
         new = np.concatenate([[True], h[1:] != h[:-1]])
         least = rows[new][np.cumsum(new) - 1]
         dup = ids[least] < ids[rows]
-        s = SPAN - 1 - back
         check = np.flatnonzero(dup)
-        for a in range(0, len(check), 1 << 16):
+        for a in range(0, len(check), 1 << 16):  # the bytes before, and the run, are compared themselves
             c = check[a: a + (1 << 16)]
-            equal = (context[rows[c], s: s + LENGTH] == context[least[c], s: s + LENGTH]).all(1)
+            equal = (before[rows[c], s:] == before[least[c], s:]).all(1) & (run[rows[c]] == run[least[c]])
             dup[c[~equal]] = False
         bit = np.uint32(1 << back)
         later[rows[dup]] |= bit
