@@ -153,7 +153,7 @@ def _send(buckets: int):
                 c = c[np.argsort(ask[c] == 0, kind="stable")]  # asked tuples first: only they carry a context
                 asked = c[ask[c] > 0]
                 out.append((int(b[x]), planes(uid[c]), planes(own[asked]), planes(at[c]), planes(ask[asked]),
-                            context[asked].tobytes(), planes(known[c])))
+                            pa.compress(context[asked].tobytes(), codec="zstd", asbytes=True), planes(known[c])))
             yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 6))],
                                              names=["bucket", "uid", "id", "at", "open", "context", "known"])
 
@@ -171,7 +171,8 @@ def _answer(table: pa.Table) -> pa.Table:
         marks.append(from_planes(col["known"][i], np.uint32))
         ids.append(from_planes(col["id"][i], np.int64))
         open_.append(from_planes(col["open"][i], np.uint32))
-        context.append(np.frombuffer(col["context"][i], np.uint8).reshape(-1, CONTEXT))
+        raw = pa.decompress(col["context"][i], len(ids[-1]) * CONTEXT, codec="zstd", asbytes=True)
+        context.append(np.frombuffer(raw, np.uint8).reshape(-1, CONTEXT))
         where.append(np.arange(len(ids[-1])) + seen)
         seen += len(uid[-1])
     uid, at, marks, where, ids, open_, context = (np.concatenate(x) for x in (uid, at, marks, where, ids, open_, context))
