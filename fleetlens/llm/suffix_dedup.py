@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .passages import NO_ID, Corpus, batches_of, from_planes, minimizers, places_of, planes, shared_places
+from .passages import GATHER, NO_ID, Corpus, batches_of, from_planes, minimizers, places_of, planes, shared_places
 from .text import BASE, U64, mix, powers, prefix_hash, steps, text_bytes
 
 LENGTH = 50
@@ -77,17 +77,18 @@ def resolve(context: np.ndarray, open_: np.ndarray, ids: np.ndarray):
     for a in range(0, m - 1, 1 << 16):
         differ = after[order[a: a + (1 << 16)]][: m - 1 - a] != after[order[a + 1: a + (1 << 16) + 1]]
         common[a + 1: a + 1 + len(differ)] = np.where(differ.any(1), differ.argmax(1), LENGTH)
-    p, inv = powers(BASE, SPAN)
-    sums = np.zeros((m, SPAN), U64)
-    np.cumsum(before.astype(U64) * p[None, : SPAN - 1], axis=1, out=sums[:, 1:])
+    p, _ = powers(BASE, SPAN)
+    left = np.zeros(m, U64)  # hash of the ``back`` bytes before, one byte longer each time
     for back in range(SPAN):
+        if back:
+            left += before[:, SPAN - 1 - back].astype(U64) * p[back - 1]
         run = np.empty(m, np.int64)
         run[order] = np.cumsum(common < LENGTH - back)
         rows = np.flatnonzero(open_ >> np.uint32(back) & np.uint32(1))
         if not len(rows):
             continue
         s = SPAN - 1 - back
-        h = mix(mix((sums[rows, SPAN - 1] - sums[rows, s]) * inv[s]) + run[rows].astype(U64) * U64(0xD6E8FEB86659FD93))
+        h = mix(mix(left[rows]) + run[rows].astype(U64) * U64(0xD6E8FEB86659FD93))
         by = np.lexsort((ids[rows], h))
         rows, h = rows[by], h[by]
         new = np.concatenate([[True], h[1:] != h[:-1]])
@@ -110,7 +111,7 @@ MARKS = "uid bigint, marks binary"
 
 def _send(buckets: int):
     def run(stream):
-        for table in batches_of(stream):
+        for table in batches_of(stream, GATHER // 2):  # a tuple is far larger than the bytes it stands for
             uids, ids = table.column("uid").to_numpy(), table.column("id").to_numpy()
             places = table.column("places").to_pylist()
             data, offsets = text_bytes(table.column("text"))
@@ -134,9 +135,12 @@ def _send(buckets: int):
                 p, doc, open_ = p[some], doc[some], open_[some]
                 if not len(p):
                     continue
-                cells = p[:, None] + np.arange(1 - SPAN, LENGTH)[None, :]
-                inside = (cells >= own[doc][:, None]) & (cells < own[doc + 1][:, None])
-                context = np.where(inside, text[np.clip(cells, 0, len(text) - 1)], 0).astype(np.uint8)
+                context = np.zeros((len(p), CONTEXT), np.uint8)
+                for a in range(0, len(p), 1 << 14):
+                    part = slice(a, a + (1 << 14))
+                    cells = p[part, None] + np.arange(1 - SPAN, LENGTH)[None, :]
+                    inside = (cells >= own[doc[part]][:, None]) & (cells < own[doc[part] + 1][:, None])
+                    context[part] = np.where(inside, text[np.clip(cells, 0, len(text) - 1)], 0)
                 parts.append((h[p], (doc + lo).astype(np.int64), (p - own[doc]).astype(np.uint32), open_, context))
             if not parts:
                 continue
