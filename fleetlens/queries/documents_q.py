@@ -170,7 +170,7 @@ def q_host_docs(spark, sf):
 @query(
     "host_logs",
     """SELECT 'observer' AS role, 'dep-' || CAST(op_id % 200 AS VARCHAR) || '-observer-1_ru-central1_internal' AS host_safe,
-              line_no // 5000 AS part, line
+              line_no // 50000 AS part, line
        FROM fx_op_line""",
     ("fx_op_line",),
 )
@@ -181,7 +181,7 @@ def q_host_logs(spark, sf):
         F.concat(F.lit("dep-"), (F.col("op_id") % 200).cast("string"), F.lit("-observer-1.ru-central1.internal")).alias("host"),
         "line_no", "line")
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/host-logs-{uuid.uuid4().hex}"
-    D.write_host_logs(lines, path, part_lines=5000)
+    D.write_host_logs(lines, path, part_lines=50000)
     return D.read_host_logs(spark, path)
 
 
