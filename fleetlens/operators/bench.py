@@ -156,15 +156,16 @@ def tx_percentiles(
 
 def percentile_bounds(approx: DataFrame, tx: DataFrame, percentiles=(0.5, 0.9, 0.99), accuracy: int = 10000,
                       keys=("run_id",)) -> DataFrame:
-    """Whether each approximate percentile lies within its rank bound (``1 / accuracy``) of the exact counts."""
+    """Whether each approximate percentile lies within its rank bound of the exact counts:
+    ``1 / accuracy`` of the group's values, and one value for the rounding of a rank."""
     h = type_histogram(tx, F.col("latency_ms"), keys).join(approx, [*keys, "tx_type"])
     names = percentile_names(percentiles)
     sums = h.groupBy(*keys, "tx_type").agg(
         F.sum("_n").alias("_total"),
         *[F.sum(F.when(F.col("_v") < F.col(n), F.col("_n")).otherwise(0)).alias(f"_below_{n}") for n in names],
         *[F.sum(F.when(F.col("_v") <= F.col(n), F.col("_n")).otherwise(0)).alias(f"_upto_{n}") for n in names])
-    ok = lambda p, n: ((F.col(f"_upto_{n}") >= (p - 1 / accuracy) * F.col("_total"))
-                       & (F.col(f"_below_{n}") <= (p + 1 / accuracy) * F.col("_total"))).alias(f"{n}_within")
+    ok = lambda p, n: ((F.col(f"_upto_{n}") >= (p - 1 / accuracy) * F.col("_total") - 1)
+                       & (F.col(f"_below_{n}") <= (p + 1 / accuracy) * F.col("_total") + 1)).alias(f"{n}_within")
     return sums.select(*keys, "tx_type", *[ok(p, n) for p, n in zip(percentiles, names)])
 
 

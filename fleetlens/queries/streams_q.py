@@ -56,7 +56,7 @@ def q_readiness_stream(spark, sf):
     "health_stream",
     """WITH k AS (SELECT * FROM fx_probe WHERE epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) FROM fx_probe) - 3600000),
             p AS (SELECT *, CASE WHEN lag(ok) OVER (PARTITION BY backend_id ORDER BY probe_no) IS DISTINCT FROM ok
-                                 THEN 1 ELSE 0 END AS chg FROM fx_probe),
+                                 THEN 1 ELSE 0 END AS chg FROM k),
             r AS (SELECT *, sum(chg) OVER (PARTITION BY backend_id ORDER BY probe_no ROWS UNBOUNDED PRECEDING) AS run_id
                   FROM p),
             q AS (SELECT *, row_number() OVER (PARTITION BY backend_id, run_id ORDER BY probe_no) AS pos FROM r),

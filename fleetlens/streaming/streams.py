@@ -293,6 +293,10 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | N
     return r.parquet(sf_dir)
 
 
+#: Rows of a file that a stream over a table takes at a time.
+FILE_ROWS = 500_000
+
+
 def stream_fixture(spark: SparkSession, sf_dir: str, name: str, files: int = 4, order: str = "event_id") -> DataFrame:
     """A fixture view over its base table as a stream of ``files`` files, one a micro-batch
     (same SQL text as the batch view). The table is first written in ranges of ``order``
@@ -305,11 +309,12 @@ def stream_fixture(spark: SparkSession, sf_dir: str, name: str, files: int = 4,
     for t in base_tables_of(name):
         table = read_table(spark, sf_dir, t)
         path = f"{root}/fleetlens-streams/{t}-{uuid.uuid4().hex[:12]}"
+        files = max(files, -(-table.count() // FILE_ROWS))
         cuts = sorted(set(table.stat.approxQuantile(order, [i / files for i in range(1, files)], 0.01)))
         for low, high in zip([None, *cuts], [*cuts, None]):
             part = table if low is None else table.where(F.col(order) > low)
             part = part if high is None else part.where(F.col(order) <= high)
-            part.write.mode("append").parquet(path)
+            part.coalesce(1).write.mode("append").parquet(path)  # one file, so that files follow one another in time
         frames[t] = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return spark.sql(FIXTURE_SQL[name], **frames)
 
