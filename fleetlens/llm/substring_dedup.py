@@ -15,7 +15,9 @@ windows are resolved among its own documents, so a passage that a third of all
 documents share sends one entry for each task batch to its block.
 
 Defined results: a null or empty text has no words. A null id stands after all
-ids. Rows with the same id never remove from each other. Windows are named by
+ids. Rows with the same id never remove from each other unless they are read
+``apart``: then other texts under one id are documents of their own, ordered by
+uid, and only rows with the same text stand together. Windows are named by
 64 bits: two different ones are taken for equal with probability n**2 / 2**65,
 n being the windows looked up.
 """
@@ -57,9 +59,10 @@ def seeds(window: int, gram: int):
     return grams
 
 
-def _first(h, ids, at):
-    """For every entry the entry with its hash that has the smallest (id, place)."""
-    order = np.lexsort((at, ids, h))
+def _first(h, ids, uid, at, apart):
+    """For every entry the entry with its hash that has the smallest (id, place), or (id, uid, place)
+    where the texts of an id stand apart."""
+    order = np.lexsort((at, uid, ids, h) if apart else (at, ids, h))
     new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
     out = np.empty(len(h), np.int64)
     out[order] = order[new][np.cumsum(new) - 1]
@@ -81,7 +84,7 @@ def _hits(uid, at, ref, ref_at):
                      "hits": pa.array([rows[x:y].tobytes() for x, y in zip(cut, ends)], pa.binary())})
 
 
-def _look_up(window: int, gram: int, buckets: int):
+def _look_up(window: int, gram: int, buckets: int, apart: bool):
     """Tasks: windows over shared minimizers, resolved among the task's documents; the first of
     each is sent to its block."""
 
@@ -112,11 +115,11 @@ def _look_up(window: int, gram: int, buckets: int):
                 continue
             h, doc, at = (np.concatenate(x) for x in zip(*parts))
             own, uid = ids[doc], uids[doc]
-            first = _first(h, own, at)
+            first = _first(h, own, uid, at, apart)
             bucket = ((h >> U64(20)) % U64(buckets)).astype(np.int64)
-            dup = own[first] < own
+            dup = uid[first] != uid if apart else own[first] < own
             out = []
-            for kind, chosen in ((1, np.flatnonzero(dup)), (0, np.flatnonzero(own[first] == own))):
+            for kind, chosen in ((1, np.flatnonzero(dup)), (0, np.flatnonzero(~dup))):
                 chosen = chosen[np.argsort(bucket[chosen], kind="stable")]
                 b = bucket[chosen]
                 cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else []
@@ -132,7 +135,7 @@ def _look_up(window: int, gram: int, buckets: int):
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
+def _answer(table: pa.Table, apart: bool) -> pa.Table:
     """A block: the first place of each window; answers where it is in an earlier document."""
     col = {c: table.column(c).to_pylist() for c in table.column_names}
     asked = [i for i, k in enumerate(col["kind"]) if k == 0]
@@ -141,8 +144,8 @@ def _answer(table: pa.Table) -> pa.Table:
     h = np.frombuffer(b"".join(col["h"][i] for i in asked), U64)
     uid, ids, at = join("uid", asked, np.int64), join("id", asked, np.int64), join("at", asked, np.uint32)
     if len(h):
-        first = _first(h, ids, at)
-        dup = np.flatnonzero(ids[first] < ids)
+        first = _first(h, ids, uid, at, apart)
+        dup = np.flatnonzero(uid[first] != uid if apart else ids[first] < ids)
         got = (uid[dup], at[dup], ids[first[dup]], at[first[dup]])
     else:
         got = (uid, at, ids, at)
@@ -214,13 +217,15 @@ def _cut(window: int, keep_text: bool):
     return run
 
 
-def _parsed(docs: DataFrame, window: int, gram: int, id_col: str, text_col: str, keep_text: bool) -> DataFrame:
+def _parsed(docs: DataFrame, window: int, gram: int, id_col: str, text_col: str, keep_text: bool,
+            apart: bool = False) -> DataFrame:
     corpus = Corpus(docs, id_col, text_col, carry=keep_text)
     originals = corpus.rows.where(~F.col("copy"))
     places = shared_places(originals, seeds(window, gram), corpus.buckets)
     asked = corpus.base.join(places, "uid").select("uid", "id", "text", "rest", "places")
-    asked = asked.mapInArrow(_look_up(window, gram, corpus.buckets), LOOKUP)
-    hits = asked.groupBy("bucket").applyInArrow(_answer, HITS).groupBy("uid").agg(F.collect_list("hits").alias("hits"))
+    asked = asked.mapInArrow(_look_up(window, gram, corpus.buckets, apart), LOOKUP)
+    answer = lambda table: _answer(table, apart)
+    hits = asked.groupBy("bucket").applyInArrow(answer, HITS).groupBy("uid").agg(F.collect_list("hits").alias("hits"))
     whole = corpus.rows.join(hits, "uid", "left").select("id", "text", "copy", "hits", "rest")
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, n_factors bigint, longest_factor bigint"
     if keep_text:
@@ -238,9 +243,10 @@ def remove_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
 
 
 def rewrite_documents(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id",
-                      text_col: str = "text") -> DataFrame:
+                      text_col: str = "text", apart: bool = False) -> DataFrame:
     """The documents, all columns, without their duplicate spans: a text that loses nothing stays
-    as it is, else its kept words are joined by a blank. A null text comes out empty."""
-    got = _parsed(docs, window, gram, id_col, text_col, True)
+    as it is, else its kept words are joined by a blank. A null text comes out empty. ``apart``: other
+    texts under one id are documents of their own."""
+    got = _parsed(docs, window, gram, id_col, text_col, True, apart)
     of = {id_col: F.col("doc_id"), text_col: F.col("kept_text")}
     return got.select(*(of[c].alias(c) if c in of else F.col("rest").getField(c).alias(c) for c in docs.columns))

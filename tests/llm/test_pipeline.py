@@ -63,3 +63,41 @@ def test_stages_survive_edge_cases(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
     last = corpus_pipeline.STAGES[-1][1]
     assert last(spark, docs, SF).count() == len(DOCS) and last(spark, docs.limit(0), SF).count() == 0
+
+
+def _kept(spark, stage, rows):
+    from .helpers import frame
+
+    return sorted((tuple(r) for r in dict(corpus_pipeline.STAGES)[stage](spark, frame(spark, rows), SF).collect()), key=str)
+
+
+def test_rows_that_share_an_id_are_judged_one_by_one(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    text = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "abcdefg"}
+    rows = [(1, text["a"]), (None, text["a"]), (None, text["b"]), (None, text["c"]), (None, text["c"]),
+            (7, text["d"]), (7, text["d"]), (7, text["e"]), (9, text["e"]), (None, None), (None, ""), (7, "")]
+    want = [(1, text["a"]), (None, text["b"]), (None, text["c"]), (7, text["d"]), (7, text["e"]), (None, None), (None, ""), (7, "")]
+    assert _kept(spark, "near_dedup", rows) == sorted(want, key=str)
+
+    part = " ".join(f"p{i}" for i in range(20))
+    rows = [(7, f"{part} one two"), (7, f"three four {part}"), (None, f"{part} five"), (None, f"six {part}"), (None, text["f"]), (7, "x  y")]
+    got = _kept(spark, "substring_dedup", rows)
+    assert len(got) == 6 and sum(part in t for _, t in got) == 1  # one row holds the passage, whichever of the two comes first
+    assert next(d for d, t in got if part in t) == 7 and {(None, "five"), (None, "six"), (None, text["f"]), (7, "x  y")} <= set(got)
+
+    half = len(item.split()) // 2 + 2
+    rows = [(None, f"aa {item} bb"), (None, text["f"]), (5, f"{item}"), (5, text["g"]), (6, " ".join(item.split()[:half])),
+            (6, " ".join(item.split()[half - 4:]))]
+    assert _kept(spark, "decontamination", rows) == sorted([(None, text["f"]), (5, text["g"]), *rows[4:]], key=str)
+
+
+def test_run_keeps_clean_rows_without_an_id(spark, tmp_path):
+    """Ids gone from a third of the rows: only what is flagged for itself goes."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
+    docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id"))).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert len(got) >= 0.95 * len(whole) and sum(d is None for d in got) >= 0.8 * sum(d % 3 == 0 for d in whole)
