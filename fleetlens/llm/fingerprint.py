@@ -2,13 +2,14 @@
 
 A paragraph is a non-empty line. Each is hashed to a wide vector and the
 vectors of a document are added lane by lane: ``EQUAL`` lanes modulo 2**64,
-expanded from a 128-bit digest, decide equality; ``NEAR`` lanes modulo 2**16
+expanded from a 128-bit digest, decide equality; ``NEAR`` lanes modulo 2**32
 count its runs of three words with random signs and give likeness. Sums don't
 depend on order; ``combine`` and ``remove`` insert and delete paragraphs without
 reading the rest of a document.
 
 Likeness is the cosine of the near lanes read as signed numbers, cut to 0..1
-(standard error about ``1 / sqrt(NEAR)``); 1 for equal fingerprints.
+(standard error about ``1 / sqrt(NEAR)``); 1 for equal fingerprints. A lane holds
+the sums of up to 2**31 - 1 runs, more than a text of Spark's 2 GB can have.
 
 Null and empty texts have the zero fingerprint. Rows with equal ids are
 ordered by text; a null id stands below every id.
@@ -38,7 +39,7 @@ LOWEST = -(1 << 63)
 def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(equal lanes, near lanes) of each text, one row a text."""
     n = len(texts)
-    equal, near = np.zeros((n, EQUAL), U64), np.zeros((n, NEAR), np.uint16)
+    equal, near = np.zeros((n, EQUAL), U64), np.zeros((n, NEAR), np.uint32)
     seeds, owner = [], []
     for i, text in enumerate(texts):
         own = [hashlib.blake2b(p, digest_size=16).digest() for p in text.split(b"\n") if p]
@@ -71,17 +72,17 @@ def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lane = doc * NEAR + (features % U64(NEAR)).astype(np.int64)
     sign = 1.0 - 2.0 * ((features >> U64(40)) & U64(1)).astype(float)
     sums = np.bincount(lane, weights=sign, minlength=n * NEAR)
-    near[:] = (sums.astype(np.int64) & 0xFFFF).astype(np.uint16).reshape(n, NEAR)
+    near[:] = (sums.astype(np.int64) & 0xFFFFFFFF).astype(np.uint32).reshape(n, NEAR)
     return equal, near
 
 
 def render(equal: np.ndarray, near: np.ndarray) -> str:
-    return equal.astype("<u8").tobytes().hex() + near.astype("<u2").tobytes().hex()
+    return equal.astype("<u8").tobytes().hex() + near.astype("<u4").tobytes().hex()
 
 
 def parse(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(fingerprint)
-    return np.frombuffer(raw[: 8 * EQUAL], "<u8").copy(), np.frombuffer(raw[8 * EQUAL:], "<u2").copy()
+    return np.frombuffer(raw[: 8 * EQUAL], "<u8").copy(), np.frombuffer(raw[8 * EQUAL:], "<u4").copy()
 
 
 def fingerprint(text: str | None) -> str:
@@ -103,7 +104,7 @@ def remove(a: str, b: str) -> str:
 
 def likeness(equal_a, near_a, equal_b, near_b) -> np.ndarray:
     """Row by row, 0 to 1."""
-    a, b = near_a.astype(np.int16).astype(float), near_b.astype(np.int16).astype(float)
+    a, b = near_a.astype(np.int32).astype(float), near_b.astype(np.int32).astype(float)
     norm = np.sqrt((a * a).sum(1) * (b * b).sum(1))
     cosine = np.divide((a * b).sum(1), norm, out=np.zeros(len(a)), where=norm > 0)
     same = (equal_a == equal_b).all(1) & (near_a == near_b).all(1)

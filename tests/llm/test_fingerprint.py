@@ -71,3 +71,26 @@ def test_query(spark):
 def test_scan_equals_edits(spark):
     a = {r.doc_id: r.fingerprint for r in P.fingerprint_documents(frame(spark, DOCS[:8])).collect()}
     assert all(a[d] == P.fingerprint(t) for d, t in DOCS[:8])
+
+
+def near_sums(text):
+    """The near lanes in whole numbers, from one line of each kind."""
+    out = np.zeros(P.NEAR)
+    for line in set(text.split("\n")) - {""}:
+        out += text.split("\n").count(line) * P.vectors([line.encode()])[1][0].astype(np.int32)
+    return out
+
+
+def test_likeness_of_a_line_repeated_very_often():
+    for times in (40_000, 100_000):
+        check_repeated("one line of five words", times)
+
+
+def check_repeated(line, times):
+    text = "\n".join([line] * times)
+    edited = text[: len(text) // 2] + "\nand another end"
+    e, n = P.vectors([text.encode(), edited.encode()])
+    a, b = near_sums(text), near_sums(edited)
+    want = (a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum())
+    assert want > 0.99 and np.isclose(P.likeness(e[:1], n[:1], e[1:], n[1:])[0], want)
+    assert (n[0].astype(np.int32) == a).all() and P.remove(P.combine(P.fingerprint(text), P.fingerprint(line)), P.fingerprint(line)) == P.fingerprint(text)
