@@ -282,7 +282,7 @@ def _count(table: pa.Table) -> pa.Table:
     types = np.bincount(cls[known], minlength=CLASSES)
     some = np.flatnonzero(types)
     at = np.concatenate([[0], np.cumsum([len(x) for x in h])])
-    back = [planes(np.minimum(total[place[x:y]], 0xFFFFFFFF).astype(np.uint32)) for x, y in zip(at, at[1:])]
+    back = [planes(total[place[x:y]]) for x, y in zip(at, at[1:])]
     k = len(some)
     return pa.table([pa.array([*col["shard"], *[None] * k], pa.int64()), pa.array([*col["bucket"], *[None] * k], pa.int32()),
                      pa.array([*back, *[None] * k], pa.binary()), pa.array([*[None] * len(back), *some.tolist()], pa.int32()),
@@ -350,7 +350,7 @@ def score_documents(docs: DataFrame, held_out, rounds: int = ROUNDS, states: int
     def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right.column("bucket").to_numpy())
         blobs = right.column("counts").to_pylist()
-        c = np.concatenate([from_planes(blobs[i], np.uint32) for i in order]).astype(np.int64)
+        c = np.concatenate([from_planes(blobs[i], np.int64) for i in order])
         out = []
         for ids, no_id, held, offsets, at, sym in zip(*(left.column(x).to_pylist() for x in ("ids", "no_id", "held", "offsets", "at", "symbols"))):
             offsets, sym = np.frombuffer(offsets, np.int64), np.frombuffer(sym, np.uint8)

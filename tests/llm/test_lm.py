@@ -112,3 +112,14 @@ def test_edge_cases(spark):
     assert M.held_out_scores(frame(spark, [])).count() == 0
     only = [(1, "a b"), (2, None)]
     assert seen(M.score_documents(frame(spark, only), M.F.lit(True))) == base(only, [True, True])
+
+
+def test_counts_beyond_32_bits_come_back_whole():
+    import pyarrow as pa
+
+    h, most = np.array([11, 12], np.uint64).tobytes(), np.array([0xFFFFFFFF, 5], np.uint32)
+    sent = pa.table({"bucket": [0, 0, 0], "shard": [1, 2, 3], "h": [h] * 3, "counts": [M.planes(most)] * 3, "classes": [bytes([1, 2])] * 3})
+    got = M._count(sent).to_pylist()
+    for row in got[:3]:
+        assert M.from_planes(row["counts"], np.int64).tolist() == [3 * 0xFFFFFFFF, 15]
+    assert [r["tokens"] for r in got[3:]] == [3 * 0xFFFFFFFF, 15]
