@@ -226,3 +226,47 @@ def op12_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.collapse_edited(documents(spark, sf_dir))
+
+
+ORACLE["op13_periodic_runs"] = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w0,
+         list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda crc, b:
+           list_reduce(list_concat([xor(crc, b)], range(8)), lambda v, _: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)) AS crc
+  FROM documents
+), checked AS (
+  SELECT r, doc_id, w0, len(w0) AS n, xor(crc, 4294967295) AS h FROM split
+), folds AS (
+  SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a, (h // 10) % 8 AS g8 FROM checked
+), periods AS (
+  SELECT *, 1 + (n - a) // (3 + g8) AS p FROM folds
+), texts AS (
+  SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w0 ELSE list_transform(range(n), lambda i: w0[CASE WHEN i < a THEN i + 1 ELSE a + (i - a) % p + 1 END]) END AS w
+  FROM periods
+), grams AS (
+  SELECT r, n, unnest(range(n - 15)) AS i, unnest(list_transform(range(n - 15), lambda i: md5_number(array_to_string(w[i + 1:i + 16], ' ')))) AS g
+  FROM texts WHERE n >= 24
+), lags AS (
+  SELECT DISTINCT x.r, y.i - x.i AS q FROM grams x JOIN grams y ON x.r = y.r AND x.g = y.g AND y.i > x.i AND 3 * (y.i - x.i) <= x.n
+), diagonals AS (
+  SELECT l.r, q, unnest(list_filter(range(n - q + 1), lambda i: i = n - q OR w[i + 1] <> w[i + q + 1])) AS b FROM lags l JOIN texts t ON l.r = t.r
+), stretches AS (
+  SELECT r, q, coalesce(lag(b) OVER (PARTITION BY r, q ORDER BY b), -1) + 1 AS s, b + q AS e FROM diagonals
+), runs AS (
+  SELECT r, s, e - s AS len, min(q) AS q FROM stretches WHERE e - s >= greatest(24, 3 * q) GROUP BY r, s, e
+), listed AS (
+  SELECT r, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS runs FROM runs GROUP BY r
+), pairs AS (  -- lengths and periods are below 10,000,000, so unequal ratios differ by more than a double's error
+  SELECT r, s, len, q, row_number() OVER (PARTITION BY r ORDER BY len / q DESC, s, q) AS nth FROM runs
+), gone AS (
+  SELECT DISTINCT r, unnest(range(s + q, s + len)) AS i FROM runs
+), flat AS (
+  SELECT r, unnest(range(n)) AS i, unnest(w) AS x FROM texts
+), kept AS (
+  SELECT r, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n_kept FROM flat ANTI JOIN gone USING (r, i) GROUP BY r
+)
+SELECT t.doc_id, coalesce(l.n_runs, 0)::BIGINT AS n_runs, p.s::BIGINT AS start, p.len::BIGINT AS length, p.q::BIGINT AS period,
+       (1000 * p.len // p.q)::BIGINT AS exponent_milli, sha256(coalesce(l.runs, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256,
+       t.n::BIGINT AS n_words, (t.n - coalesce(k.n_kept, 0))::BIGINT AS n_dropped
+FROM texts t LEFT JOIN listed l ON t.r = l.r LEFT JOIN pairs p ON t.r = p.r AND p.nth = 1 LEFT JOIN kept k ON t.r = k.r
+"""
