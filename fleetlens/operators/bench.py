@@ -47,6 +47,18 @@ def measured_window(tx: DataFrame, start, warmup, duration, ts_col: str = "ts")
     return tx.where((F.col(ts_col) >= lo) & (F.col(ts_col) < hi))
 
 
+def measured_runs(tx: DataFrame, runs: DataFrame, warmup, duration, key: str = "run_id", start: str = "start_ts") -> DataFrame:
+    """#88 with a start of its own for each run: the table of runs is joined ahead of the filter.
+
+    ``runs``: one row a run (``key``, ``start``), static; transactions of other runs are dropped. The join is
+    an equi-join on the run (Spark broadcasts the runs when they are small), so ``tx`` can be a
+    stream: each of its rows is judged alone, without state.
+    """
+    r = runs.select(F.col(key).alias("_run"), F.col(start).alias("_start"))
+    met = tx.join(r, tx[key] == r["_run"])
+    return measured_window(met, F.col("_start"), warmup, duration).drop("_run", "_start")
+
+
 def tx_summary(tx: DataFrame, total: bool = False, keys=("run_id",)) -> DataFrame:
     """OK / failed counts per run and transaction type; ``total`` adds a TOTAL row per run."""
     keys = list(keys)

@@ -151,6 +151,40 @@ def pending_instances(status: DataFrame, expect: DataFrame | None = None) -> Dat
     )
 
 
+def readiness(status: DataFrame, timeout_s: float = 3600, chunk: Column | None = None) -> DataFrame:
+    """#52 + #73 per deployment, one row: ``ready`` at the first status (by time, then ``seq``) after
+    which none of its resources is pending, if that is within ``timeout_s`` of first sight; else ``timed_out``
+    with what was pending at the deadline.
+
+    Each status changes the pending count by the difference to the resource's
+    status before. The counts run along a deployment in chunks of time
+    (``chunk``, default the hour) and are carried over one row a chunk, so a large
+    deployment is not one task. The streaming form is
+    :func:`fleetlens.streaming.streams.readiness_stream`.
+    """
+    first = status.groupBy("deploy_id").agg(F.min("ts").alias("first_seen")).where("deploy_id IS NOT NULL")
+    late = F.timestamp_diff("MICROSECOND", F.col("first_seen"), F.col("ts")) > F.lit(int(timeout_s * 1e6))
+    s = status.join(first, "deploy_id").where(~late)
+    pending = F.when(F.col("status").isin(*READY_INSTANCE), 0).otherwise(1)
+    mine = Window.partitionBy("deploy_id", "resource_id").orderBy("ts", "seq")
+    s = s.withColumn("_pending", pending).withColumn("_before", F.lag("_pending").over(mine))
+    s = s.select("deploy_id", "ts", "seq", "first_seen", (chunk if chunk is not None else F.date_trunc("hour", "ts")).alias("_chunk"),
+                 (F.col("_pending") - F.coalesce("_before", F.lit(0))).alias("_more"), F.col("_before").isNull().cast("int").alias("_new"))
+    here = Window.partitionBy("deploy_id", "_chunk").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("_p", F.sum("_more").over(here)).withColumn("_n", F.sum("_new").over(here))
+    ahead = Window.partitionBy("deploy_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = s.groupBy("deploy_id", "_chunk").agg(F.sum("_more").alias("_m"), F.sum("_new").alias("_w"))
+    carry = carry.select("deploy_id", "_chunk", F.coalesce(F.sum("_m").over(ahead), F.lit(0)).alias("_p0"),
+                         F.coalesce(F.sum("_w").over(ahead), F.lit(0)).alias("_n0"))
+    s = s.join(carry, ["deploy_id", "_chunk"]).withColumn("_p", F.col("_p") + F.col("_p0")).withColumn("_n", F.col("_n") + F.col("_n0"))
+    at = F.struct("ts", "seq", "_n", "_p")
+    out = s.groupBy("deploy_id").agg(F.min("first_seen").alias("first_seen"), F.min(F.when(F.col("_p") == 0, at)).alias("_ready"),
+                                     F.max(at).alias("_last"))
+    end = F.coalesce("_ready", "_last")
+    return out.select("deploy_id", end["_n"].alias("n_resources"), end["_p"].cast("bigint").alias("pending"),
+                      F.when(F.col("_ready").isNotNull(), "ready").otherwise("timed_out").alias("state"), "first_seen", end["ts"].alias("last_seen"))
+
+
 def role_counts(vms: DataFrame) -> DataFrame:
     """#53 VM count per deployment and role; 0 for roles that are off.
 

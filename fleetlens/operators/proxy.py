@@ -99,7 +99,8 @@ def health_state(probes: DataFrame, fall: int = FALL, rise: int = RISE, key: str
 _UNITS_US = {"second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 86400 * 10**6}
 
 
-def _gap_us(gap: str) -> int:
+def gap_us(gap: str) -> int:
+    """Microseconds of a text like ``24 hours``."""
     n, unit = gap.split()
     return int(float(n) * _UNITS_US[unit.rstrip("s").lower()])
 
@@ -123,7 +124,7 @@ def idle_sessions(conns: DataFrame, gap: str = IDLE_GAP, key: str = "client_ip",
         """Rows (by, start, end, n) joined where the next begins less than the gap after the end."""
         w = Window.partitionBy(*by).orderBy("_start", "_end")
         prev = F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        new = prev.isNull() | (F.timestamp_diff("MICROSECOND", prev, F.col("_start")) >= F.lit(_gap_us(gap)))
+        new = prev.isNull() | (F.timestamp_diff("MICROSECOND", prev, F.col("_start")) >= F.lit(gap_us(gap)))
         rows = rows.withColumn("_new", new.cast("int"))
         rows = rows.withColumn("_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         return rows.groupBy(*by, "_id").agg(F.min("_start").alias("_start"), F.max("_end").alias("_end"), F.sum("_n").alias("_n")).drop("_id")

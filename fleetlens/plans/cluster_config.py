@@ -1,7 +1,7 @@
 """The cluster-configuration pipeline: config + listing -> one document per deployment.
 
 inventory -> addresses -> servers, zones, tuning, scrape jobs and component
-hosts -> cluster document. The resolved profiles and the inventory, which
+hosts -> cluster document, or a reject row for each missing address. The resolved profiles and the inventory, which
 several parts read, are written once as tables in the shared folder, so the
 listing and the profiles are worked once and no cache is left behind.
 """
@@ -26,7 +26,8 @@ def cluster_inputs(deploy: DataFrame, profiles: DataFrame, aliases: DataFrame, l
     return dict(deploy=deploy, raw=raw, resolved=resolved, rejects=rejects, inventory=inv, flags=flags)
 
 
-def cluster_documents(deploy: DataFrame, profiles: DataFrame, aliases: DataFrame, listing: DataFrame) -> DataFrame:
+def cluster_documents(deploy: DataFrame, profiles: DataFrame, aliases: DataFrame, listing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejects) of :func:`fleetlens.sinks.documents.render_cluster_docs`."""
     x = cluster_inputs(deploy, profiles, aliases, listing)
     tuning = effective_tuning(deploy, auto_tune(x["resolved"]))
     return render_cluster_docs(x["inventory"], x["flags"], deploy, tuning, x["raw"])

@@ -262,9 +262,20 @@ placement AS (
                   WHERE coalesce(management, false))"""
 
 
-@query("component_placement", f"WITH {BASE}, {FLAGS_CTE}, {PLACEMENT_CTES} SELECT * FROM placement", INV_FX)
+REASON_SQL = """CASE WHEN p.component = 'ocp-server-ce' AND g.n_ocp = 0 THEN 'no server for the component'
+                     ELSE 'no address for the host' END"""
+
+
+@query(
+    "component_placement",
+    f"""WITH {BASE}, {FLAGS_CTE}, {PLACEMENT_CTES}
+        SELECT p.*, CASE WHEN p.ip IS NULL THEN {REASON_SQL} END AS reason FROM placement p JOIN g ON g.deploy_id = p.deploy_id""",
+    INV_FX,
+)
 def q_component_placement(spark, sf):
-    return D.component_placement(C.inventory(spark, sf), flags(spark, sf), C.profiles_with_role(spark, sf))
+    """Every host of a component is a row with its address or one with the reason that it has none."""
+    hosts, rejects = D.component_placement(C.inventory(spark, sf), flags(spark, sf), C.profiles_with_role(spark, sf))
+    return hosts.unionByName(rejects, allowMissingColumns=True)
 
 
 @query(
@@ -289,8 +300,66 @@ def q_component_closure(spark, sf):
     config server or the agent holds only where that component is switched on."""
     from ..operators import graph as G
 
-    placement = D.component_placement(C.inventory(spark, sf), flags(spark, sf), C.profiles_with_role(spark, sf))
-    return G.component_closure(placement, fixture(spark, sf, "fx_component_edge"), optional=("ob-configserver", "obagent"))
+    hosts, rejects = D.component_placement(C.inventory(spark, sf), flags(spark, sf), C.profiles_with_role(spark, sf))
+    runs = hosts.select("deploy_id", "component").unionByName(rejects.select("deploy_id", "component"))
+    return G.component_closure(runs, fixture(spark, sf, "fx_component_edge"), optional=("ob-configserver", "obagent"))[0]
+
+
+# A graph of the size of the orders table: nodes in eight layers, chains, and rings that are cycles.
+EDGES_SQL = """SELECT 'n' || CAST(o_orderkey % 8 AS {text}) || '-' || CAST(o_custkey % 97 AS {text}) AS component,
+       CASE WHEN o_orderkey % 8 = 7 THEN 'z' || CAST(o_custkey % 70 AS {text})
+            ELSE 'n' || CAST(o_orderkey % 8 + 1 AS {text}) || '-' || CAST(o_orderkey % 89 AS {text}) END AS depends_on
+FROM orders
+UNION ALL
+SELECT 'z' || CAST(c_custkey % 70 AS {text}),
+       CASE WHEN c_custkey % 70 % 7 < 6 THEN 'z' || CAST(c_custkey % 70 + 1 AS {text})
+            WHEN c_custkey % 70 % 14 < 7 THEN 'z' || CAST(c_custkey % 70 - 6 AS {text}) END
+FROM customer"""
+
+
+@query(
+    "dependency_closure",
+    f"""WITH RECURSIVE edges AS (SELECT DISTINCT component, depends_on FROM ({EDGES_SQL.format(text='VARCHAR')}) WHERE depends_on IS NOT NULL),
+        reach(a, b) AS (SELECT component, depends_on FROM edges UNION SELECT r.a, e.depends_on FROM reach r JOIN edges e ON r.b = e.component),
+        cyclic AS (SELECT e.* FROM edges e WHERE EXISTS (SELECT 1 FROM reach r WHERE r.a = e.depends_on AND r.b = e.component)),
+        rest AS (SELECT * FROM edges EXCEPT SELECT * FROM cyclic),
+        longest(component, depends_on, depth) AS (
+          SELECT component, depends_on, 1 FROM rest
+          UNION SELECT l.component, e.depends_on, l.depth + 1 FROM longest l JOIN rest e ON l.depends_on = e.component)
+        SELECT component, depends_on, max(depth) AS depth, CAST(NULL AS VARCHAR) AS reason FROM longest GROUP BY component, depends_on
+        UNION ALL SELECT component, depends_on, NULL, 'on a cycle of dependencies' FROM cyclic""",
+)
+def q_dependency_closure(spark, sf):
+    """#50 on any edge table: layers, chains and cycles; the edges on a cycle are rejects."""
+    from ..operators import graph as G
+    from ..session import tables
+
+    base = tables(spark, sf, ("orders", "customer"))
+    sql = EDGES_SQL.format(text="STRING").replace("FROM orders", "FROM {orders}").replace("FROM customer", "FROM {customer}")
+    closure, rejects = G.dependency_closure(spark.sql(sql, **base))
+    return closure.unionByName(rejects, allowMissingColumns=True)
+
+
+@query(
+    "start_levels",
+    f"""WITH RECURSIVE e AS (SELECT component, depends_on FROM fx_component_edge),
+        p(component, depth) AS (SELECT depends_on, 0 FROM e UNION SELECT e.component, p.depth + 1 FROM p JOIN e ON e.depends_on = p.component),
+        l AS (SELECT component, max(depth) AS level FROM p GROUP BY component),
+        {BASE}, {FLAGS_CTE}, {PLACEMENT_CTES}
+        SELECT DISTINCT d.deploy_id, l.component, l.level FROM placement d JOIN l ON l.component = d.component
+        WHERE d.deploy_id IN (SELECT deploy_id FROM g WHERE configserver AND agent AND database AND proxy
+                              AND coalesce(prometheus, false) AND coalesce(grafana, false) AND coalesce(management, false))""",
+    INV_FX + ("fx_component_edge",),
+)
+def q_start_levels(spark, sf):
+    """#50 the start order of deployments that run every component."""
+    from ..operators import graph as G
+
+    hosts, rejects = D.component_placement(C.inventory(spark, sf), flags(spark, sf), C.profiles_with_role(spark, sf))
+    runs = hosts.select("deploy_id", "component").unionByName(rejects.select("deploy_id", "component"))
+    full = runs.groupBy("deploy_id").agg(F.count_distinct("component").alias("n")).where("n = 7").select("deploy_id")
+    closure, _ = G.component_closure(runs.join(full, "deploy_id", "left_semi"), fixture(spark, sf, "fx_component_edge"))
+    return G.start_levels(closure, ["deploy_id"])
 
 
 def _fields_sql(struct: str) -> str:
@@ -314,7 +383,9 @@ def _cluster_docs_sql() -> str:
     ports = "'mysql_port': c.mysql_port, 'rpc_port': c.rpc_port, 'obshell_port': c.obshell_port, 'home_path': c.home_path"
     tuned = ", ".join(f"CASE WHEN coalesce(d.auto_tune, true) THEN t.{k} ELSE d.{k} END AS {k}" for k in (
         "memory_limit", "system_memory", "datafile_size", "log_disk_size", "cpu_count"))
-    return f"""WITH {BASE}, {FLAGS_CTE}, {PLACEMENT_CTES}, {HOSTS_CTE}, {SERVERS_CTE}, {TUNED_CTE},
+    return f"""WITH {LISTED_BASE}, {FLAGS_CTE}, {PLACEMENT_CTES}, {HOSTS_CTE}, {SERVERS_CTE}, {TUNED_CTE},
+        missing AS (SELECT p.deploy_id, p.component, p.idx, {REASON_SQL} AS reason
+                    FROM placement p JOIN g ON g.deploy_id = p.deploy_id WHERE p.ip IS NULL),
         tn AS (SELECT d.deploy_id, {tuned} FROM fx_deployment d LEFT JOIN tuned t ON d.deploy_id = t.deploy_id),
         ob AS (SELECT o.deploy_id, list({{'name': 'server' || CAST(o.rn AS VARCHAR), 'ip': o.ip}} ORDER BY o.rn) AS servers,
                       list(o.host || ':' || CAST(c.agent_port AS VARCHAR) ORDER BY o.rn) AS agent_targets,
@@ -368,15 +439,35 @@ def _cluster_docs_sql() -> str:
               "'soft_dir': '/home/' || c.usr || '/ocp/software', 'log_dir': '/home/' || c.usr || '/ocp/logs', "
               "'ocp_site_url': 'http://' || CASE WHEN g.n_ocp > 0 THEN g.ocp1 END || ':' || CAST(c.management_port AS VARCHAR), "
               "'port': c.management_port, 'memory_size': c.management_memory}}")},
-              CASE WHEN c.management_version IS NOT NULL THEN {f("{'version': c.management_version}")} END) || '}}' END) || '}}' AS doc
+              CASE WHEN c.management_version IS NOT NULL THEN {f("{'version': c.management_version}")} END) || '}}' END) || '}}' AS doc,
+               CAST(NULL AS VARCHAR) AS component, CAST(NULL AS INTEGER) AS idx, CAST(NULL AS VARCHAR) AS reason
         FROM g JOIN cfg c ON c.deploy_id = g.deploy_id LEFT JOIN ob ON ob.deploy_id = g.deploy_id
         LEFT JOIN px ON px.deploy_id = g.deploy_id LEFT JOIN hx ON hx.deploy_id = g.deploy_id
-        LEFT JOIN tn ON tn.deploy_id = g.deploy_id"""
+        LEFT JOIN tn ON tn.deploy_id = g.deploy_id
+        WHERE g.deploy_id NOT IN (SELECT deploy_id FROM missing)
+        UNION ALL SELECT deploy_id, NULL, component, idx, reason FROM missing"""
+
+
+# Most deployments are through with provisioning: every VM of theirs is listed with an address. The
+# others are as the listing has them, which lacks a VM or an address in each.
+PROVISIONED = 4
+LISTED_BASE = BASE.replace("FROM fx_instance GROUP BY name", f"""FROM (
+    SELECT name, instance_id, ip_address, nat_address FROM fx_instance
+    UNION ALL SELECT name, 1000000000000 + deploy_id, '10.9.' || CAST(deploy_id % 250 AS VARCHAR) || '.' || CAST(idx AS VARCHAR), NULL
+    FROM desired WHERE deploy_id % {PROVISIONED} <> 0) GROUP BY name""")
 
 
 @query("cluster_docs", _cluster_docs_sql(), INV_FX)
 def q_cluster_docs(spark, sf):
+    """A document, or a reject row for each missing address; no document holds a null address."""
     from ..plans.cluster_config import cluster_documents
 
-    return cluster_documents(fixture(spark, sf, "fx_deployment"), fixture(spark, sf, "fx_profile"),
-                             fixture(spark, sf, "fx_role_alias"), fixture(spark, sf, "fx_instance"))
+    text = lambda c: F.col(c).cast("string")
+    done = C.desired(spark, sf).where(F.col("deploy_id") % PROVISIONED != 0).select(
+        "name", (F.lit(1000000000000) + F.col("deploy_id")).alias("instance_id"),
+        F.concat(F.lit("10.9."), (F.col("deploy_id") % 250).cast("string"), F.lit("."), text("idx")).alias("ip_address"),
+        F.lit(None).cast("string").alias("nat_address"))
+    listing = fixture(spark, sf, "fx_instance").select("name", "instance_id", "ip_address", "nat_address").unionByName(done)
+    docs, rejects = cluster_documents(fixture(spark, sf, "fx_deployment"), fixture(spark, sf, "fx_profile"),
+                                      fixture(spark, sf, "fx_role_alias"), listing)
+    return docs.unionByName(rejects, allowMissingColumns=True)

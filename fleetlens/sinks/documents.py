@@ -32,6 +32,8 @@ CONFIG_DEFAULTS = {
     "monitor_database": "monitor_database",
 }
 LAST_USER = "obadmin"
+# Reasons of rejects.
+NO_ADDRESS, NO_SERVER = "no address for the host", "no server for the component"
 AGENT_JOBS = [("node", "/metrics/node/host"), ("ob_basic", "/metrics/ob/basic"),
               ("ob_extra", "/metrics/ob/extra"), ("agent", "/metrics/stat")]
 # Order of the transaction types in a printed result table.
@@ -333,15 +335,19 @@ def _gathered(inv: DataFrame, profiles: DataFrame) -> DataFrame:
         F.when(F.coalesce("cs_ded", F.lit(False)), F.col("cs1")).otherwise(F.col("obs1")).alias("cs_ip"),
         F.when(mon_here, F.col("mon1")).otherwise(F.col("obs1")).alias("prom_ip"),
         F.when(mon_here | F.col("mon1").isNotNull(), F.col("mon1")).otherwise(F.col("obs1")).alias("graf_ip"),
-        F.when(F.col("n_ocp") > 0, F.col("ocp1")).alias("ocp_ip"))
+        F.when(F.col("n_ocp") > 0, F.col("ocp1")).alias("ocp_ip"), "n_ocp")
 
 
-def component_placement(inv: DataFrame, flags: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Hosts of each component per deployment; ``ip`` NULL marks an error row. The inventory is
-    read once: one grouped row per deployment, exploded into its components' hosts."""
-    f = flags.select("deploy_id", *[on(flags, c).alias(c) for c in ("configserver", "database", "proxy", "agent")],
-                     *[on(flags, c, False).alias(c) for c in ("prometheus", "grafana", "management")])
-    g = _gathered(inv, profiles).join(f, "deploy_id", "left")
+def _switches(flags: DataFrame) -> DataFrame:
+    return flags.select(
+        "deploy_id", *[on(flags, c).alias(c) for c in ("configserver", "database", "proxy", "agent", "node_exporter")],
+        *[on(flags, c, False).alias(c) for c in ("prometheus", "grafana", "management")],
+        *(["production_mode"] if "production_mode" in flags.columns else []))
+
+
+def _places() -> Column:
+    """Of a gathered deployment with its switches: (component, idx, ip, reason) of every host of
+    every component that is on; a host without an address has a reason."""
     off = F.array().cast("array<struct<idx:int,ip:string>>")
     many = lambda c: F.transform(F.col(c), lambda x: F.struct(x["idx"].cast("int").alias("idx"), x["ip"].alias("ip")))
     one = lambda c: F.array(F.struct(F.lit(1).alias("idx"), F.col(c).alias("ip")))
@@ -352,17 +358,27 @@ def component_placement(inv: DataFrame, flags: DataFrame, profiles: DataFrame) -
 
     def named(component, flag, default, hosts):
         listed = F.when(F.coalesce(F.col(flag), F.lit(default)), hosts).otherwise(off)
-        return F.transform(listed, lambda x: F.struct(F.lit(component).alias("component"), x["idx"].alias("idx"), x["ip"].alias("ip")))
+        none = F.when(F.col("n_ocp") == 0, F.lit(NO_SERVER)).otherwise(F.lit(NO_ADDRESS)) if component == "ocp-server-ce" else F.lit(NO_ADDRESS)
+        return F.transform(listed, lambda x: F.struct(F.lit(component).alias("component"), x["idx"].alias("idx"), x["ip"].alias("ip"),
+                                                      F.when(x["ip"].isNull(), none).alias("reason")))
 
-    rows = F.flatten(F.array(*[named(component, *how) for component, how in places.items()]))
-    return g.select("deploy_id", F.explode(rows).alias("r")).select("deploy_id", "r.component", "r.idx", "r.ip")
+    return F.flatten(F.array(*[named(component, *how) for component, how in places.items()]))
+
+
+def component_placement(inv: DataFrame, flags: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hosts, rejects): the hosts of each component per deployment (deploy_id, component, idx, ip), and
+    a row with the reason for each one that has no address (deploy_id, component, idx, reason). The inventory is
+    read once: one grouped row per deployment, exploded into its components' hosts."""
+    g = _gathered(inv, profiles).join(_switches(flags), "deploy_id", "left")
+    rows = g.select("deploy_id", F.explode(_places()).alias("r")).select("deploy_id", "r.*")
+    return rows.where("reason IS NULL").drop("reason"), rows.where("reason IS NOT NULL").drop("ip")
 
 
 # ---------------------------------------------------------------- cluster documents (#10)
 
 
 def _json(*cols: Column) -> Column:
-    """A JSON object; NULL fields are written as null, so a missing address stays visible."""
+    """A JSON object; NULL fields are written as null."""
     return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
 
 
@@ -381,8 +397,10 @@ def _member(name: str, value: Column) -> Column:
     return F.concat(F.lit(f'"{name}":'), value)
 
 
-def render_cluster_docs(inv: DataFrame, flags: DataFrame, deploy: DataFrame, tuning: DataFrame, profiles: DataFrame) -> DataFrame:
-    """One JSON cluster document per deployment, components in the generator's order.
+def render_cluster_docs(inv: DataFrame, flags: DataFrame, deploy: DataFrame, tuning: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejects): one JSON cluster document per deployment (deploy_id, doc), components in the
+    generator's order, and a row with the reason for each host that has no address (deploy_id, component, idx,
+    reason). A deployment with a reject has no document: the generator stops there.
 
     user, then for every component that is on: its dependencies, its servers
     in index order and its settings; the database also has the tuning values,
@@ -390,8 +408,7 @@ def render_cluster_docs(inv: DataFrame, flags: DataFrame, deploy: DataFrame, tun
     scrape jobs. Passwords are never written. One grouped row per deployment
     holds all that is needed, so the inventory is read once.
     """
-    f = flags.select("deploy_id", *[on(flags, c).alias(c) for c in ("configserver", "database", "proxy", "agent", "node_exporter")],
-                     *[on(flags, c, False).alias(c) for c in ("prometheus", "grafana", "management")], "production_mode")
+    f = _switches(flags)
     t = tuning.select("deploy_id", "memory_limit", "system_memory", "datafile_size", "log_disk_size", "cpu_count")
     g = _gathered(inv, profiles).join(config_values(deploy), "deploy_id").join(f, "deploy_id", "left").join(t, "deploy_id", "left")
     c = F.col
@@ -453,7 +470,11 @@ def render_cluster_docs(inv: DataFrame, flags: DataFrame, deploy: DataFrame, tun
     parts = [("configserver", "ob-configserver", configserver), ("database", "oceanbase-ce", database), ("proxy", "obproxy-ce", proxy),
              ("agent", "obagent", agent), ("prometheus", "prometheus", prometheus), ("grafana", "grafana", grafana),
              ("management", "ocp-server-ce", management)]
-    return g.select("deploy_id", _object(_member("user", user), *[F.when(c(flag), _member(name, text)) for flag, name, text in parts]).alias("doc"))
+    doc = _object(_member("user", user), *[F.when(c(flag), _member(name, text)) for flag, name, text in parts])
+    missing = F.filter(_places(), lambda x: x["reason"].isNotNull())
+    docs = g.where(F.size(missing) == 0).select("deploy_id", doc.alias("doc"))
+    rejects = g.select("deploy_id", F.explode(missing).alias("r")).select("deploy_id", "r.component", "r.idx", "r.reason")
+    return docs, rejects
 
 
 def write_cluster_docs(docs: DataFrame, path: str) -> None:

@@ -1,18 +1,29 @@
-"""Structured Streaming forms.
+"""Structured Streaming forms.
 
 The poll loops of the original become streams of status, probe,
 connection and metric rows. Stateless rules (#85 sticky backend, #88
 measured window) are the batch functions applied to a streaming frame.
 Stateful rules keep per-key state between micro-batches:
 
-* #87 scrape windows and #86 idle sessions use Spark's own windowed
-  aggregations with a watermark that bounds the state;
-* #83 readiness and #84 health checks keep their rows in a list state until
-  the watermark passes them and then work them in event order
-  (``transformWithStateInPandas`` with event-time timers on the RocksDB state
-  store). So the rows that come out do not depend on how the input is cut into
-  micro-batches. Frames of a key are appended one by one; no frame holds a
-  key's whole history.
+* #87 scrape windows use Spark's own windowed aggregation with a watermark
+  that bounds the state;
+* #73 on two streams is a left outer join of the wish list with the listings
+  inside the timeout: what the join gives up on has timed out;
+* #83 readiness counts what is pending in map state and tells a deployment in
+  the micro-batch in which nothing is pending any more;
+* #84 health checks keep their rows in a list state until the watermark passes
+  them and then work them in event order, so the rows that come out do not
+  depend on how the input is cut into micro-batches;
+* #86 sessions are intervals in map state that grow and merge: open ones are
+  told and revised, closed ones leave the state.
+
+#83, #84 and #86 are ``transformWithStateInPandas`` with event-time timers on the
+RocksDB state store.
+
+**End of input.** A watermark stands behind the latest row, so what came last
+would wait for rows that never come. A source that ends sends a closing row: no
+key (null) and a time beyond every deadline. It moves the watermark past all rows
+that are held, and no operator gives it out (``closing_row``).
 
 Event times of the fixtures are TIMESTAMP_NTZ; watermarks need TIMESTAMP,
 so streams cast with the session time zone (UTC in our sessions).
@@ -21,6 +32,7 @@ so streams cast with the session time zone (UTC in our sessions).
 from __future__ import annotations
 
 import contextlib
+import time
 import uuid
 
 import numpy as np
@@ -30,9 +42,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.inventory import READY_INSTANCE
+from ..operators.proxy import gap_us
 from ..session import ensure_checkpoint_dir, read_table
 
 WATERMARK = "1 hour"
+NO_KEY = -(1 << 63)
 
 
 def event_time(df: DataFrame, col: str = "ts", out: str = "event_ts") -> DataFrame:
@@ -42,11 +56,13 @@ def event_time(df: DataFrame, col: str = "ts", out: str = "event_ts") -> DataFra
 # ---------------------------------------------------------------- windowed aggregations
 
 
-def scrape_windows(metrics: DataFrame, every: str = "15 seconds", watermark: str | None = WATERMARK) -> DataFrame:
+def scrape_windows(metrics: DataFrame, every: str = "15 seconds", watermark: str | None = WATERMARK, tie: list[str] | None = None) -> DataFrame:
     """#87 samples per target and job in fixed periods: count, last value, average.
 
-    Batch or stream; on a stream give ``watermark`` so finished periods are
-    emitted (append mode) and their state dropped.
+    Of samples of one time the last is the one with the greatest ``tie`` columns (a
+    number of the sample, say; the value itself where there is none). Batch or stream;
+    on a stream give ``watermark`` so finished periods are emitted (append mode) and
+    their state dropped. Rows without a target (the closing row) give no period.
     """
     m = metrics
     ts = "ts"
@@ -55,19 +71,44 @@ def scrape_windows(metrics: DataFrame, every: str = "15 seconds", watermark: str
         ts = "event_ts"
     agg = m.groupBy("target_id", "job_name", F.window(ts, every).alias("w")).agg(
         F.count(F.lit(1)).alias("n_samples"),
-        F.max_by("value", ts).alias("last_value"),
+        F.max_by("value", F.struct(ts, *(tie or ["value"]))).alias("last_value"),
         F.round(F.avg("value"), 6).alias("avg_value"),
+        F.count("target_id").alias("_known"),  # a filter on the key itself would be pushed below the watermark
     )
-    return agg.select("target_id", "job_name", F.col("w.start").alias("window_start"),
-                      F.col("w.end").alias("window_end"), "n_samples", "last_value", "avg_value")
+    ts_type = metrics.schema["ts"].dataType.simpleString()
+    return agg.where("_known > 0").select(
+        "target_id", "job_name", F.col("w.start").cast(ts_type).alias("window_start"),
+        F.col("w.end").cast(ts_type).alias("window_end"), "n_samples", "last_value", "avg_value")
 
 
-def idle_sessions_stream(conns: DataFrame, gap: str = "24 hours", watermark: str = "24 hours") -> DataFrame:
-    """#86 on a stream: session windows closed by the watermark (append mode)."""
-    c = event_time(conns).withWatermark("event_ts", watermark)
-    s = c.groupBy("client_ip", F.session_window("event_ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("n_conns"))
-    return s.select("client_ip", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),
-                    "n_conns")
+# ---------------------------------------------------------------- wish list against listings (#73)
+
+
+def ready_after_stream(wanted: DataFrame, listing: DataFrame, timeout_s: int = 3600, poll_s: int = 5, watermark: str = WATERMARK,
+                       ready=("READY", "RUNNING", "STOPPED")) -> DataFrame:
+    """#51 / #73 on two streams: ``wanted`` (deploy_id, resource_id, first_seen) against the
+    status rows of ``listing`` (deploy_id, resource_id, ts, status).
+
+    A left outer join: a resource meets its ready statuses from first sight to
+    ``timeout_s`` later; one that met none when the watermark has passed that time has timed out.
+    The bound on both sides lets Spark drop the state of either stream. The first
+    ready status is the least of those met. Rows: those of ``ready_after``, but
+    that a status after the timeout is not seen (``first_ready`` stays null).
+    """
+    ts_type = wanted.schema["first_seen"].dataType.simpleString()
+    w = wanted.select("deploy_id", "resource_id", F.col("first_seen").cast("timestamp").alias("seen_ts")).withWatermark("seen_ts", watermark)
+    l = listing.where(F.col("status").isin(*ready) | F.col("deploy_id").isNull()).select(
+        F.col("deploy_id").alias("l_deploy"), F.col("resource_id").alias("l_resource"), F.col("ts").cast("timestamp").alias("ready_ts"))
+    l = l.withWatermark("ready_ts", watermark)
+    within = (F.col("ready_ts") >= F.col("seen_ts")) & (F.col("ready_ts") <= F.col("seen_ts") + F.expr(f"INTERVAL {int(timeout_s)} SECONDS"))
+    # null keys are compared as a number, else Spark would drop the closing rows before the watermark sees them
+    same = lambda a, b: F.coalesce(F.col(a), F.lit(NO_KEY)) == F.coalesce(F.col(b), F.lit(NO_KEY))
+    met = w.join(l, same("deploy_id", "l_deploy") & same("resource_id", "l_resource") & within, "left_outer")
+    first = met.groupBy("deploy_id", "resource_id", "seen_ts").agg(F.min("ready_ts").alias("first_ready"), F.count("deploy_id").alias("_known")).where("_known > 0")
+    secs = F.timestamp_diff("MICROSECOND", F.col("seen_ts"), F.col("first_ready")) / F.lit(1e6)
+    wait = (F.ceil(secs / F.lit(poll_s)) * poll_s).cast("bigint")
+    return first.select("deploy_id", "resource_id", F.col("seen_ts").cast(ts_type).alias("first_seen"), F.col("first_ready").cast(ts_type).alias("first_ready"),
+                        wait.alias("wait_s"), (F.col("first_ready").isNull() | (wait > timeout_s)).alias("timed_out"))
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -104,81 +145,127 @@ def _retime(handle: StatefulProcessorHandle, when: int) -> None:
 
 # ---------------------------------------------------------------- readiness (#83)
 
-READINESS_OUT = "deploy_id long, n_resources long, pending long, state string, first_ms long, last_ms long"
+READINESS_OUT = "deploy_id long, n_resources long, pending long, state string, first_us long, last_us long"
+READINESS_COLS = [c.split()[0] for c in READINESS_OUT.split(", ")]
+
+
+def _keyless(key) -> bool:
+    """The closing row's group."""
+    return key[0] is None
 
 
 class ReadinessProcessor(StatefulProcessor):
-    """#83: the statuses of a deployment up to its deadline, and a mark once its row is out."""
+    """#83: which resources of a deployment are pending, and a mark once its row is out.
+
+    The state is one entry a resource while a deployment is waited for, one value after
+    that, and nothing ``forget_s`` after the deployment's last row."""
 
-    def __init__(self, timeout_s: float, forget_s: float | None):
-        self.timeout_ms = int(timeout_s * 1000)
-        self.forget_ms = None if forget_s is None else int(forget_s * 1000)
+    def __init__(self, timeout_s: float, forget_s: float):
+        self.timeout_us, self.forget_us = int(timeout_s * 1e6), int(forget_s * 1e6)
         self.ready = set(READY_INSTANCE)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.wait = handle.getValueState("wait", "first_ms long, done boolean")
-        self.rows = handle.getListState("rows", "resource_id long, seq long, event_ms long, status string")
+        self.wait = handle.getValueState("wait", "first_us long, last_us long, n long, pending long, latest_us long")
+        self.resources = handle.getMapState("resources", "resource_id long", "us long, seq long, pending boolean")
+
+    def _row(self, key, state, first, last, n, pending):
+        return pd.DataFrame([(key[0], n, pending, state, first, last)], columns=READINESS_COLS)
+
+    def _over(self, first, last, n, pending, latest):
+        """The row is out: only the mark stays, until the deployment has been silent for ``forget_s``."""
+        self.resources.clear()
+        self.wait.update((first, last, n, pending, latest))
+        _retime(self.handle, -(-(latest + self.forget_us) // 1000))
+
+    def _after_silence(self, us, latest) -> int:
+        """The first row that begins a new wait: ``forget_s`` after the row before it."""
+        gaps = np.flatnonzero(np.diff(us, prepend=latest) >= self.forget_us)
+        return int(gaps[0]) if len(gaps) else len(us)
 
     def handleInputRows(self, key, rows, timerValues):
-        first, done = self.wait.get() if self.wait.exists() else (None, False)
-        if not done:
-            for pdf in rows:
-                low = int(pdf["event_ms"].min())
-                first = low if first is None else min(first, low)
-                pdf = pdf[pdf["event_ms"] <= first + self.timeout_ms]
-                if len(pdf):
-                    self.rows.appendList(list(pdf[["resource_id", "seq", "event_ms", "status"]].itertuples(index=False, name=None)))
-            self.wait.update((first, False))
-            _retime(self.handle, first + self.timeout_ms)
-        yield pd.DataFrame(columns=["deploy_id", "n_resources", "pending", "state", "first_ms", "last_ms"])
+        if _keyless(key):
+            return
+        first, last, n, pending, latest = self.wait.get() if self.wait.exists() else (None, None, 0, 0, None)
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["event_us", "seq"])
+        while len(pdf):
+            us = pdf["event_us"].to_numpy()
+            if latest is not None:  # told already
+                begins = self._after_silence(us, latest)
+                self._over(first, last, n, pending, max(latest, int(us[begins - 1]) if begins else latest))
+                pdf = pdf[begins:]
+                if not len(pdf):
+                    return
+                first, last, n, pending, latest = None, None, 0, 0, None
+                us = pdf["event_us"].to_numpy()
+            first = int(us[0]) if first is None else min(first, int(us[0]))
+            known: dict[int, tuple] = {}
+            ready = None
+            here = pdf[us <= first + self.timeout_us]
+            for at, (resource, when, seq, status) in enumerate(here[["resource_id", "event_us", "seq", "status"]].itertuples(index=False, name=None)):
+                if resource not in known:
+                    known[resource] = self.resources.getValue((resource,)) if self.resources.containsKey((resource,)) else None
+                old, new = known[resource], status not in self.ready
+                if old is not None and (old[0], old[1]) > (when, seq):  # came late: a newer status is known
+                    continue
+                n, pending = n + (old is None), pending + int(new) - int(old is not None and old[2])
+                known[resource], last = (when, seq, new), when
+                if pending == 0:
+                    ready = at
+                    break
+            if ready is None:
+                for resource, value in known.items():
+                    if value is not None:
+                        self.resources.updateValue((resource,), value)
+                self.wait.update((first, last, n, pending, None))
+                _retime(self.handle, -(-(first + self.timeout_us) // 1000))
+                return
+            latest = last
+            self._over(first, last, n, pending, latest)
+            yield self._row(key, "ready", first, last, n, pending)
+            pdf = pdf[ready + 1:]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        (deploy_id,) = key
-        first, done = self.wait.get()
-        if done:  # long over: a later row of the deployment is a new wait
+        first, last, n, pending, latest = self.wait.get()
+        if latest is not None:  # long silent: a later row of the deployment is a new wait
             self.wait.clear()
             return
-        deadline, last, latest = first + self.timeout_ms, first, {}
-        for resource, seq, ms, status in self.rows.get():
-            if ms <= deadline:
-                last = max(last, ms)
-                if resource not in latest or seq > latest[resource][0]:
-                    latest[resource] = (seq, status)
-        self.rows.clear()
-        self.wait.update((first, True))
-        if self.forget_ms is not None:
-            self.handle.registerTimer(deadline + self.forget_ms)
-        pending = sum(status not in self.ready for _, status in latest.values())
-        yield pd.DataFrame([{"deploy_id": deploy_id, "n_resources": len(latest), "pending": pending,
-                             "state": "timed_out" if pending else "ready", "first_ms": first, "last_ms": last}])
+        self._over(first, last, n, pending, first + self.timeout_us)
+        yield self._row(key, "timed_out", first, last, n, pending)
 
     def close(self) -> None:
         pass
 
 
-def readiness_stream(status: DataFrame, timeout_s: float = 3600, watermark: str = WATERMARK,
-                     forget_s: float | None = None) -> DataFrame:
-    """#83 one row per deployment, once the watermark passes its deadline (first sight +
-    ``timeout_s``): the latest status of each resource at the deadline, ``ready`` when nothing
-    is pending, else ``timed_out``.
-
-    Only rows up to the deadline count, in event time, so the row is the same
-    whatever micro-batches the input comes in; rows after it change nothing
-    (a mark is kept, for ``forget_s`` after the deadline if given). The state
-    holds the statuses of one wait. Event times travel as epoch milliseconds,
-    so the Python side never depends on the session time zone;
+def readiness_stream(status: DataFrame, timeout_s: float = 3600, watermark: str = WATERMARK, forget_s: float = 86400,
+                     expect: DataFrame | None = None) -> DataFrame:
+    """#83 one row per deployment, as soon as it is known: ``ready`` in the micro-batch that
+    holds the first status after which none of its resources is pending, else ``timed_out`` once the
+    watermark passes its deadline (first sight + ``timeout_s``).
+
+    A resource that has not been seen is not pending (as in the poll loop). ``expect``
+    (deploy_id, resource_id; a static table) restricts the wait to wanted resources. Rows are those of the
+    batch form ``operators.inventory.readiness``. The statuses of a micro-batch are worked in event order;
+    a status older than the one known of its resource changes nothing. The state holds one entry a
+    resource of a deployment that is waited for; of one that is over a mark, so that it is
+    told once, until the deployment has been silent for ``forget_s`` of event time: the next
+    row then begins a new wait. Event times travel as epoch
+    microseconds, so the Python side never depends on the session time zone;
     ``first_seen`` / ``last_seen`` come back in the input column's type.
     """
     _needs_rocksdb(status.sparkSession)
     ts_type = status.schema["ts"].dataType.simpleString()
     s = event_time(status).withWatermark("event_ts", watermark).select(
-        "deploy_id", "resource_id", "seq", "status", "event_ts", F.unix_millis("event_ts").alias("event_ms"))
+        "deploy_id", "resource_id", "seq", "status", "event_ts", F.unix_micros("event_ts").alias("event_us"))
+    if expect is not None:
+        # the closing row has no deployment and must stay
+        wanted = expect.select("deploy_id", "resource_id").distinct().withColumn("_wanted", F.lit(True))
+        s = s.join(wanted, ["deploy_id", "resource_id"], "left").where(F.col("_wanted") | F.col("deploy_id").isNull()).drop("_wanted")
     out = s.groupBy("deploy_id").transformWithStateInPandas(ReadinessProcessor(timeout_s, forget_s), READINESS_OUT, "Append", "EventTime")
     return out.select(
         "deploy_id", "n_resources", "pending", "state",
-        F.timestamp_millis("first_ms").cast(ts_type).alias("first_seen"),
-        F.timestamp_millis("last_ms").cast(ts_type).alias("last_seen"),
+        F.timestamp_micros("first_us").cast(ts_type).alias("first_seen"),
+        F.timestamp_micros("last_us").cast(ts_type).alias("last_seen"),
     )
 
 
@@ -223,6 +310,8 @@ class HealthProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         (backend,) = key
+        if _keyless(key):
+            return
         _, _, _, last_ms, last_probe = self.machine.get() if self.machine.exists() else (False, True, 0, None, None)
         due = min(self.handle.listTimers(), default=None)
         for pdf in rows:
@@ -271,7 +360,7 @@ def health_stream(probes: DataFrame, fall: int = 3, rise: int = 2, watermark: st
 
     Probes are held until the watermark has passed them, and worked in order of
     time and number: files that come in any order within the watermark give
-    the changes of the batch form. A probe that
+    the changes of the batch form, all of them once a closing row has come. A probe that
     arrives after a later one was worked is emitted with state ``late``. The
     state holds one backend's probes of a watermark's length and a trigger.
     """
@@ -281,6 +370,102 @@ def health_stream(probes: DataFrame, fall: int = 3, rise: int = 2, watermark: st
     return p.groupBy("backend_id").transformWithStateInPandas(HealthProcessor(fall, rise), HEALTH_OUT, "Append", "EventTime")
 
 
+# ---------------------------------------------------------------- sessions (#86)
+
+SESSION_OUT = "client_ip string, start_us long, end_us long, n_conns long, state string, revision long"
+SESSION_COLS = [c.split()[0] for c in SESSION_OUT.split(", ")]
+
+
+class SessionProcessor(StatefulProcessor):
+    """#86: the open sessions of a client, as intervals that grow and merge."""
+
+    def __init__(self, gap_us: int):
+        self.gap = gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "start_us long", "end_us long, n long")
+        self.told = handle.getValueState("told", "revision long")
+
+    def _log(self, key, rows):
+        """The rows, numbered on from the client's last one."""
+        at = self.told.get()[0] if self.told.exists() else 0
+        self.told.update((at + len(rows),))
+        return pd.DataFrame([(key[0], *r, at + i) for i, r in enumerate(rows, 1)], columns=SESSION_COLS)
+
+    def handleInputRows(self, key, rows, timerValues):
+        if _keyless(key):
+            return
+        t = np.sort(np.concatenate([pdf["event_us"].to_numpy() for pdf in rows]))
+        cut = np.flatnonzero(np.concatenate([[True], t[1:] - t[:-1] >= self.gap]))
+        stop = np.append(cut[1:], len(t))
+        have = {k[0]: tuple(v) for k, v in self.open.iterator()}
+        before = dict(have)
+        for a, b in zip(cut.tolist(), stop.tolist()):
+            start, end, n = int(t[a]), int(t[b - 1]) + self.gap, b - a
+            for s, (e, m) in list(have.items()):  # sessions less than the gap apart are one
+                if s < end and start < e:
+                    start, end, n = min(start, s), max(end, e), n + m
+                    del have[s]
+            have[start] = (end, n)
+        out = []
+        for s in before:
+            if s not in have:
+                self.open.removeKey((s,))
+                out.append((s, *before[s], "withdrawn"))
+        for s, value in sorted(have.items()):
+            if before.get(s) != value:
+                self.open.updateValue((s,), value)
+                out.append((s, *value, "open"))
+        _retime(self.handle, -(-min(e for e, _ in have.values()) // 1000))
+        yield self._log(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        have = sorted((k[0], *v) for k, v in self.open.iterator())
+        closed = [x for x in have if x[1] <= passed]
+        for s, _, _ in closed:
+            self.open.removeKey((s,))
+        if len(closed) < len(have):
+            self.handle.registerTimer(-(-min(x[1] for x in have if x[1] > passed) // 1000))
+        if closed:
+            yield self._log(key, [(*x, "closed") for x in closed])
+        if len(closed) == len(have):
+            self.told.clear()  # nothing of the client is left in the state
+
+    def close(self) -> None:
+        pass
+
+
+def idle_sessions_stream(conns: DataFrame, gap: str = "24 hours", watermark: str = "24 hours") -> DataFrame:
+    """#86 on a stream, told as it goes: a log of (client_ip, session_start, session_end, n_conns, state, revision).
+
+    Each micro-batch tells the sessions that began or grew in it (``open``, with the end
+    they have so far); connections that fill a gap merge sessions, and the later one is
+    ``withdrawn``; a session is ``closed`` when the watermark passes its end and leaves the state then.
+    ``settled_sessions`` gives what holds at the end of a log. Connections may come in any order
+    within the watermark. (Spark's own ``session_window`` tells closed sessions only: it refuses update mode.)
+    """
+    _needs_rocksdb(conns.sparkSession)
+    ts_type = conns.schema["ts"].dataType.simpleString()
+    c = event_time(conns).withWatermark("event_ts", watermark).select("client_ip", "event_ts", F.unix_micros("event_ts").alias("event_us"))
+    out = c.groupBy("client_ip").transformWithStateInPandas(SessionProcessor(gap_us(gap)), SESSION_OUT, "Append", "EventTime")
+    return out.select("client_ip", F.timestamp_micros("start_us").cast(ts_type).alias("session_start"),
+                      F.timestamp_micros("end_us").cast(ts_type).alias("session_end"), "n_conns", "state", "revision")
+
+
+def settled_sessions(log: DataFrame) -> DataFrame:
+    """The sessions that a log of ``idle_sessions_stream`` leaves: the last word on each that was not withdrawn.
+
+    A client whose state is empty counts its revisions anew, so a session's words are
+    ordered by its size first: it only grows, and it is closed last."""
+    rank = F.when(F.col("state") == "open", 0).otherwise(1)
+    last = F.struct("n_conns", rank.alias("rank"), "revision", "state", "session_end")
+    s = log.groupBy("client_ip", "session_start").agg(F.max(last).alias("last"))
+    return s.where("last.state <> 'withdrawn'").select("client_ip", "session_start", F.col("last.session_end").alias("session_end"),
+                                                       F.col("last.n_conns").alias("n_conns"), F.col("last.state").alias("state"))
+
+
 # ---------------------------------------------------------------- running a stream to a table
 
 
@@ -297,25 +482,40 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | N
 FILE_ROWS = 500_000
 
 
-def stream_fixture(spark: SparkSession, sf_dir: str, name: str, files: int = 4, order: str = "event_id") -> DataFrame:
-    """A fixture view over its base table as a stream of ``files`` files, one a micro-batch
-    (same SQL text as the batch view). The table is first written in ranges of ``order``
-    under the shared checkpoint folder, one after the other (the file source takes files by
-    their time), so no trigger takes it whole and rows come within the watermark."""
+def closing_row(table: DataFrame, ts: str, after: str) -> DataFrame:
+    """The row that ends a stream of ``table``: all null, but its time is ``after`` the latest one."""
+    last = table.agg((F.max(ts) + F.expr(f"INTERVAL {after}")).alias(ts))
+    return last.select(*((F.col(ts) if c == ts else F.lit(None)).cast(table.schema[c].dataType).alias(c) for c in table.columns))
+
+
+def stream_of(table: DataFrame, name: str, order: str, ts: str = "ts", files: int = 4, end_after: str | None = None) -> DataFrame:
+    """A table as a stream of at least ``files`` files, one a micro-batch, in ranges of ``order``.
+
+    The table is written once, range-partitioned, under the shared checkpoint folder; the files get
+    ascending times, since the file source takes them by time. With ``end_after`` a closing
+    row so much later than the last one follows as a file of its own."""
+    spark = table.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fleetlens-streams/{name}-{uuid.uuid4().hex[:12]}"
+    n = max(files, -(-table.count() // FILE_ROWS))
+    # equal values of order stay in one file, so that rows of one time are not told apart
+    table.repartitionByRange(n, order).sortWithinPartitions(order).write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    now = int(time.time() * 1000)
+    for i, part in enumerate(parts):
+        fs.setTimes(part, now - 2000 * (len(parts) - i), -1)
+    if end_after is not None:
+        closing_row(table, ts, end_after).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def stream_fixture(spark: SparkSession, sf_dir: str, name: str, files: int = 4, order: str = "event_id", end_after: str | None = None) -> DataFrame:
+    """A fixture view over its base table as a stream of files (same SQL text as the batch view; see ``stream_of``)."""
     from ..fixtures import FIXTURE_SQL, base_tables_of
 
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    frames = {}
-    for t in base_tables_of(name):
-        table = read_table(spark, sf_dir, t)
-        path = f"{root}/fleetlens-streams/{t}-{uuid.uuid4().hex[:12]}"
-        files = max(files, -(-table.count() // FILE_ROWS))
-        cuts = sorted(set(table.stat.approxQuantile(order, [i / files for i in range(1, files)], 0.01)))
-        for low, high in zip([None, *cuts], [*cuts, None]):
-            part = table if low is None else table.where(F.col(order) > low)
-            part = part if high is None else part.where(F.col(order) <= high)
-            part.coalesce(1).write.mode("append").parquet(path)  # one file, so that files follow one another in time
-        frames[t] = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    frames = {t: stream_of(read_table(spark, sf_dir, t), t, order, files=files, end_after=end_after) for t in base_tables_of(name)}
     return spark.sql(FIXTURE_SQL[name], **frames)
 
 

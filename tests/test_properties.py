@@ -393,7 +393,7 @@ def test_dependency_closure_matches_paths(spark, sets):
                                   "deploy_id long, component string")
     e = spark.createDataFrame(edges, "component string, depends_on string")
     got = {(r.deploy_id, r.component, r.depends_on): r.depth
-           for r in G.component_closure(comps, e).collect()}
+           for r in G.component_closure(comps, e)[0].collect()}
     want = {(i, c, d): n for i, s in enumerate(sets) for (c, d), n in _closure_reference(s, edges).items()}
     assert got == want
 
@@ -425,9 +425,14 @@ def test_component_placement_cases(spark):
                                   for d, (_, f, _) in enumerate(PLACED) for r in ("configserver", "monitoring")],
                                  "deploy_id long, role string, dedicated boolean, enabled boolean")
     got = {d: {} for d in range(len(PLACED))}
-    for r in sorted(D.component_placement(inv_df, flags, prof).collect(), key=lambda r: r.idx):
-        got[r.deploy_id].setdefault(r.component, []).append(r.ip)
+    hosts, rejects = D.component_placement(inv_df, flags, prof)
+    assert hosts.where("ip IS NULL").count() == 0
+    rows = [(r.idx, r.deploy_id, r.component, r.ip) for r in hosts.collect()] + [(r.idx, r.deploy_id, r.component, None) for r in rejects.collect()]
+    for _, d, component, ip in sorted(rows, key=lambda r: r[:3]):
+        got[d].setdefault(component, []).append(ip)
     assert got == {d: want for d, (_, _, want) in enumerate(PLACED)}
+    why = {(r.deploy_id, r.component): r.reason for r in rejects.collect()}
+    assert why == {(1, "oceanbase-ce"): D.NO_ADDRESS, (1, "obagent"): D.NO_ADDRESS, (2, "ob-configserver"): D.NO_ADDRESS, (2, "ocp-server-ce"): D.NO_SERVER}
 
 
 @settings(max_examples=6, deadline=None)

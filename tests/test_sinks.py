@@ -72,21 +72,49 @@ def test_host_logs_split_by_line_range_keep_their_order(spark, scratch):
     assert D.read_host_logs(spark, f"{scratch}/split").groupBy("host_safe").count().collect().__len__() == 2
 
 
-def test_cluster_docs_one_per_deployment(spark, scratch):
-    docs = cluster_documents(fixture(spark, SF, "fx_deployment"), fixture(spark, SF, "fx_profile"),
-                             fixture(spark, SF, "fx_role_alias"), fixture(spark, SF, "fx_instance"))
-    D.write_cluster_docs(docs, f"{scratch}/docs")
-    back = spark.read.text(f"{scratch}/docs").collect()
-    assert len(back) == fixture(spark, SF, "fx_deployment").count()
-    assert not any("password" in r.value for r in back)
+def test_cluster_docs_or_rejects(spark, scratch):
+    """Every deployment has a document or reject rows; no document holds a null address."""
+    from fleetlens.catalog import load_all
+
+    rows = load_all()["cluster_docs"].build(spark, SF).collect()
+    docs = [r for r in rows if r.doc is not None]
+    rejects = [r for r in rows if r.doc is None]
+    every = {r.deploy_id for r in fixture(spark, SF, "fx_deployment").collect()}
+    assert {r.deploy_id for r in docs} | {r.deploy_id for r in rejects} == every
+    assert not {r.deploy_id for r in docs} & {r.deploy_id for r in rejects}
+    assert len(docs) > 50 and rejects and all(r.reason and r.component for r in rejects)
+    assert not any('"servers":[null' in r.doc or '"ip":null' in r.doc or ",null" in r.doc or "password" in r.doc for r in docs)
+    D.write_cluster_docs(spark.createDataFrame([(r.deploy_id, r.doc) for r in docs], "deploy_id long, doc string"), f"{scratch}/docs")
+    assert len(spark.read.text(f"{scratch}/docs").collect()) == len(docs)
+
+
+def test_listing_without_addresses_gives_rejects_only(spark):
+    docs, rejects = cluster_documents(fixture(spark, SF, "fx_deployment"), fixture(spark, SF, "fx_profile"),
+                                      fixture(spark, SF, "fx_role_alias"), fixture(spark, SF, "fx_instance").where("false"))
+    assert docs.count() == 0
+    assert rejects.select("deploy_id").distinct().count() == fixture(spark, SF, "fx_deployment").count()
+
+
+def test_a_missing_management_server_is_named(spark):
+    docs, rejects = _rendered(spark, vms=[("observer", 1), ("observer", 2), ("monitoring", 1)])
+    assert docs.count() == 0
+    assert [tuple(r) for r in rejects.collect()] == [(1, "ocp-server-ce", 1, D.NO_SERVER)]
+
+
+VMS = [("observer", 1), ("observer", 2), ("monitoring", 1), ("ocp", 1)]
 
 
 def _one_document(spark, **config):
     """The document of one deployment with two observers, a monitoring VM and a management VM."""
     import json
 
-    inv = spark.createDataFrame([(1, r, i, f"p-{r}-{i}", "z-a", f"10.0.0.{k}") for k, (r, i) in enumerate(
-        [("observer", 1), ("observer", 2), ("monitoring", 1), ("ocp", 1)])],
+    docs, rejects = _rendered(spark, **config)
+    assert rejects.count() == 0
+    return json.loads(docs.first().doc)
+
+
+def _rendered(spark, vms=VMS, **config):
+    inv = spark.createDataFrame([(1, r, i, f"p-{r}-{i}", "z-a", f"10.0.0.{k}") for k, (r, i) in enumerate(vms)],
         "deploy_id long, role string, idx int, name string, zone string, ip string")
     flags = spark.createDataFrame([(1, *[config.pop(k, True) for k in ("configserver", "agent", "prometheus", "management")], True)],
                                   "deploy_id long, configserver boolean, agent boolean, prometheus boolean, management boolean, "
@@ -96,7 +124,7 @@ def _one_document(spark, **config):
                                    "datafile_size string, log_disk_size string, cpu_count int")
     deploy = spark.createDataFrame([(1, "adm", *config.values())], ", ".join(
         ["deploy_id long", "ssh_user string", *(f"{k} {'int' if isinstance(v, int) else 'string'}" for k, v in config.items())]))
-    return json.loads(D.render_cluster_docs(inv, flags, deploy, tuning, profiles).first().doc)
+    return D.render_cluster_docs(inv, flags, deploy, tuning, profiles)
 
 
 def test_cluster_document_follows_config_and_switches(spark):

@@ -51,11 +51,26 @@ def _last_ms(spark):
 
 
 def test_health_stream_equals_batch_changes(spark, scratch):
+    """Without a closing row the probes of the last hour wait; with one every change is told."""
     folder, schema = _split_events(spark, scratch)
     got = _run(ST.health_stream(_stream_fx(spark, folder, schema, "fx_probe")), scratch, "health")
     changes = _changes(spark, _last_ms(spark) - 3600_000)
     assert got.count() == changes.count() > 0
     assert got.exceptAll(changes).count() == 0
+    _end(spark, folder, schema)
+    got = _run(ST.health_stream(_stream_fx(spark, folder, schema, "fx_probe")), scratch, "health_all")
+    changes = _changes(spark, _last_ms(spark))
+    assert got.count() == changes.count() > 0
+    assert got.exceptAll(changes).count() == 0
+
+
+def _end(spark, folder, schema):
+    """A closing row as the folder's last file."""
+    import time
+
+    time.sleep(1.1)  # the file source takes files by their time
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    ST.closing_row(events, "ts", "400 days").coalesce(1).write.parquet(f"{folder}/_p=9")
 
 
 def test_health_stream_takes_files_in_any_order(spark, scratch):
@@ -69,21 +84,33 @@ def test_health_stream_takes_files_in_any_order(spark, scratch):
     assert len(files) == 4
     for f, age in zip(files, (3000, 4000, 1000, 2000)):  # the file source takes files by their time: 2, 1, 4, 3
         os.utime(f, (now - age, now - age))
+    _end(spark, folder, schema)
     got = _run(ST.health_stream(_stream_fx(spark, folder, schema, "fx_probe"), watermark="16 days"), scratch, "health_any")
-    changes = _changes(spark, _last_ms(spark) - 16 * 86400_000)
+    changes = _changes(spark, _last_ms(spark))
     assert got.count() == changes.count() > 0
     assert got.exceptAll(changes).count() == 0
 
 
 def test_readiness_stream_matches_batch(spark, scratch):
-    """The rows are those of the batch form over the statuses up to each deployment's deadline."""
     folder, schema = _split_events(spark, scratch)
-    got = _run(ST.readiness_stream(_stream_fx(spark, folder, schema, "fx_status"), timeout_s=10 * 86400), scratch, "ready")
-    status = fixture(spark, SF, "fx_status").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
-    seen = status.groupBy("deploy_id").agg(F.min("ms").alias("first"))
-    wait = status.join(seen, "deploy_id").where(F.col("ms") <= F.col("first") + 10 * 86400_000)
-    want = {(r.deploy_id, r.n_resources, r.pending, "timed_out" if r.pending else "ready") for r in I.pending_instances(wait).collect()}
-    assert {(r.deploy_id, r.n_resources, r.pending, r.state) for r in got.collect()} == want and len(want) == 10
+    _end(spark, folder, schema)
+    for days in (1, 10, 60):
+        got = _run(ST.readiness_stream(_stream_fx(spark, folder, schema, "fx_status"), timeout_s=days * 86400, forget_s=90 * 86400), scratch, f"ready{days}")
+        want = I.readiness(fixture(spark, SF, "fx_status"), timeout_s=days * 86400, chunk=F.date_trunc("day", "ts"))
+        assert got.count() == want.count() == 10
+        assert got.exceptAll(want).count() == 0
+
+
+def test_readiness_batch_by_hand(spark):
+    """A status of an unready resource takes readiness back; only up to the deadline; chunks don't show."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, 10, 1, 0, "CREATING"), (1, 11, 2, 5, "RUNNING"), (1, 10, 3, 9, "RUNNING"), (1, 11, 4, 12, "DELETING"),
+            (2, 20, 5, 0, "CREATING"), (2, 20, 6, 70, "RUNNING"), (3, 30, 7, 3, "STOPPED"), (3, 30, 8, 4, "CREATING")]
+    df = spark.createDataFrame([(d, r, q, t0 + dt.timedelta(seconds=s), x) for d, r, q, s, x in rows], "deploy_id long, resource_id long, seq long, ts timestamp_ntz, status string")
+    want = [(1, 2, 0, "ready", 0, 9), (2, 1, 1, "timed_out", 0, 0), (3, 1, 0, "ready", 3, 3)]
+    for unit in ("second", "hour"):
+        got = I.readiness(df, timeout_s=60, chunk=F.date_trunc(unit, "ts")).orderBy("deploy_id").collect()
+        assert [(r.deploy_id, r.n_resources, r.pending, r.state, (r.first_seen - t0).seconds, (r.last_seen - t0).seconds) for r in got] == want
 
 
 def _statuses(spark, folder, batches):
@@ -99,14 +126,51 @@ def _statuses(spark, folder, batches):
         "maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
 
 
-def test_readiness_is_told_once(spark, scratch):
-    """Two resources that come in different micro-batches, and rows after the deadline: one row each."""
+def _batches(df, scratch, name):
+    """(batch, row) of everything the stream tells, in order."""
+    told = []
+    q = df.writeStream.foreachBatch(lambda b, i: told.extend((i, tuple(r)) for r in b.collect())).option(
+        "checkpointLocation", f"{scratch}/ck_{name}").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return told
+
+
+def test_readiness_is_told_when_it_happens_and_once(spark, scratch):
+    """A ready deployment comes with the micro-batch that makes it ready, a late one at its deadline, none twice."""
     s = _statuses(spark, f"{scratch}/st", [
-        [(1, 10, 1, 0, "RUNNING"), (2, 20, 1, 0, "CREATING")], [(1, 11, 2, 30, "RUNNING"), (2, 20, 3, 50, "CREATING")],
-        [(1, 11, 4, 4000, "CREATING"), (2, 20, 5, 4000, "RUNNING")], [(3, 30, 6, 9000, "RUNNING")], [(1, 12, 7, 9500, "RUNNING")]])
-    got = _run(ST.readiness_stream(s, timeout_s=60, watermark="10 seconds"), scratch, "once").collect()
-    assert sorted((r.deploy_id, r.n_resources, r.pending, r.state) for r in got) == [
-        (1, 2, 0, "ready"), (2, 1, 1, "timed_out"), (3, 1, 0, "ready")]
+        [(1, 10, 1, 0, "CREATING"), (2, 20, 1, 0, "CREATING"), (4, 40, 1, 0, "RUNNING")], [(1, 11, 2, 30, "RUNNING"), (2, 20, 3, 50, "CREATING")],
+        [(1, 10, 3, 40, "RUNNING"), (1, 11, 4, 50, "CREATING")], [(2, 20, 5, 4000, "RUNNING"), (1, 10, 6, 4000, "RUNNING")],
+        [(3, 30, 6, 9000, "RUNNING")], [(1, 12, 7, 9500, "RUNNING")]])
+    told = _batches(ST.readiness_stream(s, timeout_s=60, watermark="10 seconds"), scratch, "once")
+    got = sorted((r[0], r[1], r[2], r[3]) for _, r in told)
+    assert got == [(1, 2, 0, "ready"), (2, 1, 1, "timed_out"), (3, 1, 0, "ready"), (4, 1, 0, "ready")]
+    at = {r[0]: i for i, r in told}
+    assert at[4] == 0 and at[1] == 2 and at[3] >= at[2] > at[1]
+
+
+def test_readiness_mark_expires_after_silence(spark, scratch):
+    s = _statuses(spark, f"{scratch}/st", [
+        [(1, 10, 1, 0, "RUNNING")], [(1, 10, 2, 500, "CREATING")], [(1, 10, 3, 1200, "CREATING")], [(2, 20, 4, 5000, "RUNNING")], [(1, 10, 5, 9000, "STOPPED")]])
+    got = _batches(ST.readiness_stream(s, timeout_s=60, watermark="10 seconds", forget_s=1000), scratch, "forget")
+    assert [(r[0], r[3]) for _, r in got] == [(1, "ready"), (2, "ready"), (1, "ready")]
+
+
+def test_readiness_of_wanted_resources_only(spark, scratch):
+    s = _statuses(spark, f"{scratch}/st", [[(1, 10, 1, 0, "RUNNING"), (1, 11, 2, 1, "CREATING")], [(1, 11, 3, 20, "RUNNING")], [(9, 9, 9, 9999, "RUNNING")]])
+    expect = spark.createDataFrame([(1, 11), (9, 9)], "deploy_id long, resource_id long")
+    got = _batches(ST.readiness_stream(s, timeout_s=60, watermark="10 seconds", expect=expect), scratch, "wanted")
+    assert [(r[0], r[1], r[3], r[4].second) for _, r in got] == [(1, 1, "ready", 1), (9, 1, "ready", 39)]
+
+
+def test_ready_after_stream_equals_batch(spark):
+    from fleetlens.catalog import load_all
+
+    got = load_all()["ready_after_stream"].build(spark, SF)
+    want = I.ready_after(fixture(spark, SF, "fx_status"), timeout_s=2 * 86400)
+    late = F.col("timed_out")
+    want = want.withColumn("first_ready", F.when(~late, F.col("first_ready"))).withColumn("wait_s", F.when(~late, F.col("wait_s")))
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+    assert 0 < got.where("timed_out").count() < got.count()
 
 
 def test_scrape_windows_stream_equals_batch(spark, scratch):
@@ -122,15 +186,63 @@ def test_scrape_windows_stream_equals_batch(spark, scratch):
     assert a.exceptAll(b).count() == 0
 
 
-def test_idle_sessions_stream_append(spark, scratch):
+def test_scrape_windows_of_equal_times(spark):
+    t = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(1, "a", t, 3.0, 1), (1, "a", t, 1.0, 2), (1, "a", t, 2.0, 0)], "target_id long, job_name string, ts timestamp_ntz, value double, no int")
+    assert ST.scrape_windows(df).first().last_value == 3.0
+    assert ST.scrape_windows(df, tie=["no"]).first().last_value == 1.0
+
+
+def test_idle_sessions_stream_settles_to_batch(spark, scratch):
     folder, schema = _split_events(spark, scratch)
-    s = ST.idle_sessions_stream(_stream_fx(spark, folder, schema, "fx_conn"))
-    got = _run(s, scratch, "sessions")
     batch = X.idle_sessions(fixture(spark, SF, "fx_conn"))
-    a = got.select("client_ip", F.col("session_start").cast("timestamp_ntz").alias("s"), "n_conns")
-    b = batch.select("client_ip", F.col("session_start").alias("s"), "n_conns")
-    # append mode emits sessions the watermark has closed: a subset of the batch sessions
-    assert a.count() > 0 and a.exceptAll(b).count() == 0
+    open_log = _run(ST.idle_sessions_stream(_stream_fx(spark, folder, schema, "fx_conn")), scratch, "sessions_open")
+    now = ST.settled_sessions(open_log)
+    assert now.drop("state").exceptAll(batch).count() == 0 and now.count() == batch.count()
+    assert now.where("state = 'open'").count() > 0  # told before they are closed
+    _end(spark, folder, schema)
+    log = _run(ST.idle_sessions_stream(_stream_fx(spark, folder, schema, "fx_conn")), scratch, "sessions")
+    done = ST.settled_sessions(log)
+    assert done.where("state <> 'closed'").count() == 0
+    assert done.drop("state").exceptAll(batch).count() == 0 and done.count() == batch.count()
+
+
+def test_sessions_merge_and_are_withdrawn(spark, scratch):
+    """Two open sessions and a connection between them become one; the revisions tell it."""
+    import os
+
+    import pandas as pd
+
+    t0 = dt.datetime(2024, 1, 1)
+    for i, secs in enumerate(([0, 30], [12], [100], [21], [10000])):
+        os.makedirs(f"{scratch}/c/b{i}")
+        pd.DataFrame([("a", t0 + dt.timedelta(seconds=s)) for s in secs], columns=["client_ip", "ts"]).astype({"ts": "datetime64[us]"}).to_parquet(f"{scratch}/c/b{i}/p.parquet")
+    s = spark.readStream.schema("client_ip string, ts timestamp_ntz").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{scratch}/c")
+    told = [(i, (r[1] - t0).seconds, (r[2] - t0).seconds, *r[3:]) for i, r in _batches(ST.idle_sessions_stream(s, gap="15 seconds", watermark="200 seconds"), scratch, "merge")]
+    assert [x[1:5] for x in told if x[4] != "closed"] == [
+        (0, 15, 1, "open"), (30, 45, 1, "open"), (0, 27, 2, "open"), (100, 115, 1, "open"), (30, 45, 1, "withdrawn"), (0, 45, 4, "open"), (10000, 10015, 1, "open")]
+    assert sorted(x[1:5] for x in told if x[4] == "closed") == [(0, 45, 4, "closed"), (100, 115, 1, "closed")]
+    assert [x[5] for x in told][:6] == [1, 2, 3, 4, 5, 6]
+
+
+def test_measured_runs_on_a_stream(spark, scratch):
+    folder, schema = _split_events(spark, scratch)
+    runs = fixture(spark, SF, "fx_tx").groupBy("run_id").agg((F.min("ts") + F.expr("INTERVAL 1 DAY") * F.col("run_id")).alias("start_ts"))
+    got = _run(B.measured_runs(_stream_fx(spark, folder, schema, "fx_tx"), runs, 86400, 5 * 86400), scratch, "runs")
+    want = B.measured_runs(fixture(spark, SF, "fx_tx"), runs, 86400, 5 * 86400)
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+    per_run = [B.measured_window(fixture(spark, SF, "fx_tx").where(F.col("run_id") == r.run_id), r.start_ts, 86400, 5 * 86400).count() for r in runs.collect()]
+    assert sum(per_run) == want.count()
+
+
+def test_stream_files_come_in_order(spark):
+    table = spark.read.parquet(f"{SF}/events.parquet")
+    seen = []
+    s = ST.stream_of(table, "events", "event_id", files=5, end_after="1 day")
+    q = s.writeStream.foreachBatch(lambda b, i: seen.append(b.agg(F.min("event_id"), F.max("event_id"), F.count("*")).first())).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len(seen) == 6 and sum(r[2] for r in seen) == table.count() + 1 and seen[-1][0] is None
+    assert all(a[1] < b[0] for a, b in zip(seen[:-2], seen[1:-1]))
 
 
 def test_stateless_rules_on_streams(spark, scratch):
@@ -151,9 +263,9 @@ def test_stateful_streams_name_the_state_store_they_need(spark):
     old = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
     try:
-        for stream in (ST.readiness_stream, ST.health_stream):
+        for stream in (ST.readiness_stream, ST.health_stream, ST.idle_sessions_stream):
             with pytest.raises(ValueError, match="RocksDB"):
-                stream(fixture(spark, SF, "fx_status" if stream is ST.readiness_stream else "fx_probe"))
+                stream(fixture(spark, SF, {ST.readiness_stream: "fx_status", ST.health_stream: "fx_probe"}.get(stream, "fx_conn")))
         from fleetlens.catalog import load_all
 
         assert load_all()["health_stream"].build(spark, SF).count() > 0  # the query sets it for itself
