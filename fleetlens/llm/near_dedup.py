@@ -18,17 +18,22 @@ run if there are fewer). Every element spreads points of a Poisson process over
   maximum likelihood (set sizes are known), those that can reach the threshold
   are counted exactly on the full sets, and linked members are not asked again.
 
-No pair is ever a row. Equal sets are reduced by partial aggregation. A bucket of
-more than ``HOT`` members makes one cluster without a search, and a cluster of
-more than ``LARGE`` nodes is not worked by one task: in rounds, the next leaders
-of its buckets (1, then 2, 4, 8, ...) are compared with the members that are
-still in another component, as joins. Both ways give the same components (tests
-set the limits to 3). Nothing is collected; stages are written tables.
-
-Defined results: documents without words (null and empty texts too) are linked
-with nothing. A null id stands after all ids. Rows that share an id stand or
-fall together. Nodes are named by 64 bits of their set's digest, shingles by 64
-bits: two different sets merge with probability n**2 / 2**65.
+Pairs are no rows there. Equal sets are reduced by partial aggregation. A bucket of
+more than ``HOT`` members makes one cluster without a search. A cluster of more than
+``LARGE`` nodes or ``LARGE_BYTES`` of shingles is not worked by one task but by joins, in
+rounds: linked sets share one of the rarest shingles of each (as many as the threshold lets
+them differ by, and one), so these name buckets; the next leaders of a bucket (1, then 2, 4,
+8, ...) are compared with the members that are still in another component. What many
+variants of a text share is frequent and names no bucket, so variants that aren't linked
+rarely meet, and no pair is compared twice. Both ways give the same components (tests set the
+limits to 3). Nothing is collected; stages are written tables.
+
+Defined results: documents without words (null and empty texts too) are linked with nothing
+and kept. Rows are judged one by one, also rows that share an id: ``component_id`` is the
+smallest id that a row reaches, and it is kept if that is its own. Rows without an id
+stand after all ids; of a component of such rows alone, whose ``component_id`` is null, one
+row is kept. Nodes are named by 64 bits of their set's 128-bit digest; if two different digests of
+the input share a name, all are named anew. Shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -37,6 +42,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,7 +61,7 @@ B, RATE, TOP = 1.001, 20.0, 65535
 POINTS = 1 << 18
 NO_ID = (1 << 63) - 1
 #: Largest bucket that is searched, largest cluster that one task holds.
-HOT, LARGE = 20_000, 20_000
+HOT, LARGE, LARGE_BYTES = 20_000, 20_000, 256 << 20
 #: Equal two-bit fields of two bytes, by their exclusive or.
 FIELDS = np.array([sum(x >> i & 3 == 0 for i in (0, 2, 4, 6)) for x in range(256)], np.uint8)
 
@@ -138,8 +144,10 @@ def joint_estimate(ra, rb, na, nb, grid: int = 41) -> np.ndarray:
     return j[np.arange(len(j)), like.argmax(1)]
 
 
-def _node(own: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _node(own: np.ndarray) -> tuple[int, int]:
+    """(name, check) of a set: the halves of its digest."""
+    d = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
 def _sets_of(batch_col, width):
@@ -148,13 +156,18 @@ def _sets_of(batch_col, width):
         yield shingle_sets(LOWER[data[offsets[lo]: offsets[hi]]], offsets[lo: hi + 1] - offsets[lo], width)
 
 
+SKETCH = ("row bigint, id bigint, digest binary, node bigint, check bigint, n bigint, bands array<bigint>, "
+          "regs binary, code binary")
+
+
 def sketch(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(id, node, n, bands, regs, code) of (id, text): node names the set, n is its size."""
+    """``SKETCH`` of (id, digest, text): row numbers the rows of a run, node and check name the set, n is its size."""
 
     def run(batches):
+        made = TaskContext.get().partitionId() << 36
         for batch in batches:
             nodes, sizes, bands, regs, code = [], [], [], [], []
-            for sets in _sets_of(batch.column(1), width):
+            for sets in _sets_of(batch.column(2), width):
                 r = registers(sets)
                 folded = r.reshape(len(sets), BANDS, ROWS).astype(U64)
                 h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U64), (len(sets), BANDS))
@@ -166,23 +179,26 @@ def sketch(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 regs += [x.tobytes() for x in r]
                 code += [x.tobytes() for x in codes(r)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
+                [pa.array(np.arange(made, made + len(nodes))), batch.column(0), batch.column(1), pa.array([x for x, _ in nodes], pa.int64()),
+                 pa.array([x for _, x in nodes], pa.int64()), pa.array(sizes, pa.int64()),
                  pa.array(bands, pa.list_(pa.int64())), pa.array(regs, pa.binary()), pa.array(code, pa.binary())],
-                names=["id", "node", "n", "bands", "regs", "code"])
+                names=["row", "id", "digest", "node", "check", "n", "bands", "regs", "code"])
+            made += len(nodes)
 
-    return docs.mapInArrow(run, "id bigint, node bigint, n bigint, bands array<bigint>, regs binary, code binary")
+    return docs.mapInArrow(run, SKETCH)
 
 
 def _full_sets(rows: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) of (node, text) where the text's set is the node's."""
+    """(node, shingles) of (node, text), where the text's set is the node's; once a task."""
 
     def run(batches):
+        done = set()
         for batch in batches:
-            sets = [s for part in _sets_of(batch.column(1), width) for s in part]
-            keep = [i for i, x in enumerate(batch.column(0).to_pylist()) if _node(sets[i]) == x]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())),
-                                              pa.array([sets[i].tobytes() for i in keep], pa.binary())],
-                                             names=["node", "shingles"])
+            nodes = batch.column(0).to_pylist()
+            first = [i for i, x in enumerate(nodes) if x not in done and not done.add(x)]
+            batch = batch.take(pa.array(first, pa.int64()))
+            sets = [s.tobytes() for part in _sets_of(batch.column(1), width) for s in part]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     return rows.mapInArrow(run, "node bigint, shingles binary")
 
@@ -361,12 +377,42 @@ def _clusters(threshold: int):
     return run
 
 
-def _in_rounds(members: DataFrame, comp: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(node, comp) of large clusters: members (key, node, n), nodes (node, n, regs), sets (node, shingles)."""
+def _members(exploded: DataFrame) -> DataFrame:
+    """(key, node, n, size, least) of the buckets that hold several nodes; those of the same members count once."""
+    shared = exploded.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("all"),
+                                         F.min("node").alias("least")).where("size > 1")
+    shared = stored(shared.groupBy("size", "all", "least").agg(F.min("key").alias("key")))
+    return stored(exploded.join(shared.select("key", "size", "least"), "key"))
+
+
+def rarest(sets: DataFrame, threshold: int) -> DataFrame:
+    """(node, n, key): of each set (node, shingles) the rarest shingles, so many that two linked sets share one.
+
+    Linked sets share at least threshold % of either, so one of any (n - that + 1) of each
+    in an order that is the same for all."""
+
+    def explode(batches):
+        for batch in batches:
+            own = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            sizes = [len(x) for x in own]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes).astype(np.int64)),
+                                              pa.array(np.concatenate([np.zeros(0, np.int64), *own]))], names=["node", "n", "key"])
+
+    words = sets.mapInArrow(explode, "node bigint, n bigint, key bigint")
+    often = words.groupBy("key").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "key"))
+    ranked = words.join(often, "key").withColumn("rank", rank)
+    return ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) / 100) + 1).where("often > 1").select("node", "n", "key")
+
+
+def _in_rounds(comp: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(node, comp) of large clusters: comp (node), nodes (node, n, regs), sets (node, shingles)."""
+    own = sets.join(comp.select("node"), "node", "left_semi")
+    members = _members(rarest(own, threshold)).select("key", "node", "n")
     rank = F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1
     members = stored(members.withColumn("rank", rank))
     comp = stored(comp.select("node", F.col("node").alias("comp")))
-    links = None
+    links = tried = None
     first, last = 0, 1
     while True:
         now = members.join(comp, "node")
@@ -381,6 +427,8 @@ def _in_rounds(members: DataFrame, comp: DataFrame, nodes: DataFrame, sets: Data
         pairs = now.join(lead, "key").where((F.col("rank") > F.col("rank_l")) & (F.col("comp") != F.col("comp_l"))
                                             & (100 * smaller >= threshold * larger))
         pairs = pairs.select(F.least("node", "node_l").alias("a"), F.greatest("node", "node_l").alias("b")).distinct()
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
         found = stored(_verify(pairs, nodes, sets, threshold))
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
@@ -388,58 +436,70 @@ def _in_rounds(members: DataFrame, comp: DataFrame, nodes: DataFrame, sets: Data
         first, last = last, 2 * last
 
 
-def link_components(nodes: DataFrame, sets_of, threshold: int = THRESHOLD, hot: int = HOT, large: int = LARGE) -> DataFrame:
+def link_components(nodes: DataFrame, sets_of, threshold: int = THRESHOLD, hot: int = HOT, large: int = LARGE,
+                    large_bytes: int = LARGE_BYTES) -> DataFrame:
     """(node, comp) of the nodes that may have links; the others are alone.
 
     nodes: (node, n, bands, regs, code); sets_of(node rows) -> (node, shingles)."""
-    exploded = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = exploded.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("all"),
-                                         F.min("node").alias("least")).where("size > 1")
-    # buckets of the same members count once
-    shared = stored(shared.groupBy("size", "all", "least").agg(F.min("key").alias("key")))
-    members = stored(exploded.join(shared.select("key", "size", "least"), "key"))
+    members = _members(nodes.select("node", "n", F.explode("bands").alias("key")))
     searched = members.where(F.col("size") <= hot).join(nodes.select("node", "code"), "node").select("key", "node", "n", "code")
     edges = searched.repartition("key").sortWithinPartitions("key").mapInArrow(_forests(threshold), "a bigint, b bigint")
     stars = members.where((F.col("size") > hot) & (F.col("node") != F.col("least"))).select(F.col("least").alias("a"), F.col("node").alias("b"))
     edges = stored(edges.unionByName(stars).distinct())
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    clustered = components(ends, edges)
-    sizes = clustered.groupBy("comp").agg(F.count("*").alias("size"))
-    clustered = stored(clustered.join(sizes, "comp").select("node", F.col("comp").alias("cluster"), "size"))
+    clustered = stored(components(ends, edges).join(nodes.select("node", "n"), "node"))
+    sizes = clustered.groupBy("comp").agg(((F.count("*") > large) | (F.sum("n") * 8 > large_bytes)).alias("large"))
+    clustered = stored(clustered.join(sizes, "comp").select("node", F.col("comp").alias("cluster"), "large"))
     sets = stored(sets_of(clustered.select("node")))
     known = nodes.select("node", "n", "regs")
-    small = clustered.where(F.col("size") <= large).select("node", "cluster").join(known, "node").join(sets, "node")
+    small = clustered.where(~F.col("large")).select("node", "cluster").join(known, "node").join(sets, "node")
     small = small.select("cluster", "node", "n", "regs", "shingles").repartition("cluster").sortWithinPartitions("cluster")
     done = small.mapInArrow(_clusters(threshold), "node bigint, comp bigint")
-    rest = clustered.where(F.col("size") > large).select("node")
+    rest = clustered.where("large").select("node")
     if not rest.isEmpty():
-        done = done.unionByName(_in_rounds(members.select("key", "node", "n").join(rest, "node"), rest, known, sets, threshold))
+        done = done.unionByName(_in_rounds(rest, known, sets, threshold))
     return stored(done)
 
 
+def _classes(sk: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sketches, classes): a class for each set, (node, id, digest, nameless, n, bands, regs, code).
+
+    id and digest are those of a row that holds the set, nameless is the first row without an id. Where a name
+    stands for two different digests all sets get new names, made of both halves."""
+    for _ in range(8):
+        classes = stored(sk.where("n > 0").groupBy("node").agg(
+            F.min(F.struct("id", "digest")).alias("owner"), F.min(F.when(F.col("id") == NO_ID, F.col("row"))).alias("nameless"),
+            F.min("check").alias("low"), F.max("check").alias("high"), F.first("n").alias("n"), F.first("bands").alias("bands"),
+            F.first("regs").alias("regs"), F.first("code").alias("code")))
+        if classes.where("low < high").isEmpty():
+            return sk, classes.select("node", "owner.id", "owner.digest", "nameless", "n", "bands", "regs", "code")
+        sk = stored(sk.withColumn("node", F.xxhash64("node", "check")))
+    raise ValueError("sets can't be told apart by 64 bits")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, id_col: str = "doc_id",
                     text_col: str = "text", hot: int = HOT, large: int = LARGE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): links where 100 * intersection >= threshold * union."""
     spark = docs.sparkSession
     short_batches(spark)
-    src = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(NO_ID)).alias("id"), docs[text_col].cast("string").alias("text"))
-    sk = stored(sketch(src, width))
-    classes = sk.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"),
-                                                    F.first("regs").alias("regs"), F.first("code").alias("code"))
-    classes = stored(classes)
-    owners = classes.select("node", "id")
+    text = docs[text_col].cast("string")
+    src = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(NO_ID)).alias("id"),
+                      F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("digest"), text.alias("text"))
+    sk, classes = _classes(stored(sketch(src, width)))
+    owners = classes.select("node", "id", "nameless")
 
     def sets_of(rows):
-        wanted = owners.join(rows, "node").select("node", "id")
-        texts = src.join(wanted, "id").select("node", "text")
+        wanted = classes.select("node", "id", "digest").join(rows, "node").select("node", "id", "digest")
+        texts = src.join(wanted, ["id", "digest"]).select("node", "text")  # rows of other texts don't meet, whatever their id
         return _full_sets(texts, width).dropDuplicates(["node"])
 
     comp = link_components(classes.select("node", "n", "bands", "regs", "code"), sets_of, threshold, hot, large)
-    low = owners.join(comp, "node").groupBy("comp").agg(F.min("id").alias("component"))
-    named = comp.join(low, "comp").select("node", "component")
-    named = owners.join(named, "node", "left").select("node", F.coalesce("component", "id").alias("component"))
-    out = sk.select("id", "node", "n").join(named, "node", "left")
+    low = owners.join(comp, "node").groupBy("comp").agg(F.min("id").alias("component"), F.min("nameless").alias("first"))
+    named = comp.join(low, "comp").select("node", "component", "first")
+    named = owners.join(named, "node", "left").select("node", F.coalesce("component", "id").alias("component"), F.coalesce("first", "nameless").alias("first"))
+    out = sk.select("row", "id", "node", "n").join(named, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     clean = lambda c: F.nullif(c, F.lit(NO_ID))
+    kept = (F.col("id") == component) & ((F.col("id") != NO_ID) | (F.col("n") == 0) | (F.col("row") == F.col("first")))
     return out.select(clean(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), clean(component).alias("component_id"),
-                      (F.col("id") == component).alias("kept"))
+                      kept.alias("kept"))

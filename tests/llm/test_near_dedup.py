@@ -74,6 +74,7 @@ def test_registers_do_not_depend_on_the_batch():
 
 def test_edge_cases(spark):
     assert seen(N.near_duplicates(clashing(spark, DOCS))) == brute(DOCS)
+    assert seen(N.near_duplicates(clashing(spark, DOCS), hot=3, large=3)) == brute(DOCS)
     assert N.near_duplicates(frame(spark, [])).count() == 0
     assert seen(N.near_duplicates(frame(spark, [(1, None), (2, "")]))) == brute([(1, None), (2, "")])
 
@@ -87,6 +88,80 @@ def test_large_group_of_copies(spark):
     assert seen(N.near_duplicates(frame(spark, rows[100:]), hot=3, large=3)) == brute(rows[100:])
 
 
+def test_rows_without_an_id_and_rows_that_share_one(spark, monkeypatch):
+    """Copies without an id leave one row; their texts are taken up once a row, not once a pair of rows."""
+    rng = random.Random(3)
+    texts = copies(rng, 60, 3, 100)
+    rows = [(None, t) for t in texts] + [(None, texts[0])] * 40 + [(3, "one two three four five six"), (5, "one two three four five six"),
+                                                                 (5, "another text of id five here"), (None, "seven eight nine"), (None, "seven eight nine")]
+    asked = []
+    real = N._full_sets
+    monkeypatch.setattr(N, "_full_sets", lambda df, width: asked.append(df.count()) or real(df, width))
+    got = N.near_duplicates(frame(spark, rows).repartition(5)).collect()
+    assert len(got) == len(rows) and sum(asked) <= len(rows)
+    want = brute([(i, t) for i, (_, t) in enumerate(rows)])  # by row number: as many components
+    named = {100, 101, 102}
+    assert sum(r.kept for r in got if r.doc_id is None) == len({c for d, _, c, _ in want if int(d) not in named})
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id is not None) == [(3, 3, True), (5, 3, False), (5, 5, True)]
+    assert all(r.component_id is None for r in got if r.doc_id is None)
+
+
+def test_null_ids_do_not_multiply(spark, monkeypatch):
+    asked = []
+    real = N._full_sets
+    monkeypatch.setattr(N, "_full_sets", lambda df, width: asked.append(df.count()) or real(df, width))
+    rng = random.Random(6)
+    texts = copies(rng, 800, 2, 60)
+    got = N.near_duplicates(frame(spark, [(None, t) for t in texts])).collect()
+    assert len(got) == 800 and sum(asked) <= 800
+    assert sum(r.kept for r in got) == len({c for _, _, c, _ in brute(list(enumerate(texts)))})
+
+
+def test_unlinked_variants_of_a_text_rarely_meet(spark, monkeypatch):
+    """Variants that share most of a text but aren't linked: pair rows don't grow with their square."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    pairs = []
+    real = N._verify
+    monkeypatch.setattr(N, "_verify", lambda p, *a: pairs.append(p.count()) or real(p, *a))
+    counts = []
+    for m in (40, 80):
+        texts = []
+        for k in range(m):
+            t = list(base)
+            for j in rng.sample(range(150), 9):
+                t[j] = f"v{k}-{j}"
+            texts.append(" ".join(t))
+        rows = list(enumerate(texts)) + [(1000, texts[3] + " z"), (1001, texts[4])]
+        pairs.clear()
+        assert seen(N.near_duplicates(frame(spark, rows), hot=3, large=3)) == brute(rows)
+        counts.append(sum(pairs))
+    assert counts[1] < 80 * 79 / 2 / 4
+
+
+def test_a_cluster_of_many_bytes_is_worked_by_joins(spark):
+    rows = list(enumerate(copies(random.Random(9), 60, 4, 120)))
+    df = frame(spark, rows)
+    called = []
+    real = N._in_rounds
+    N._in_rounds = lambda *a: called.append(1) or real(*a)
+    try:
+        old, N.LARGE_BYTES = N.LARGE_BYTES, 5000
+        N.link_components.__defaults__ = (*N.link_components.__defaults__[:3], 5000)
+        assert seen(N.near_duplicates(df)) == brute(rows) and called
+    finally:
+        N._in_rounds, N.LARGE_BYTES = real, old
+        N.link_components.__defaults__ = (*N.link_components.__defaults__[:3], old)
+
+
+def test_names_that_collide_are_made_anew(spark, monkeypatch):
+    rows = list(enumerate(copies(random.Random(2), 30, 4, 60)))
+    src = frame(spark, rows)
+    real = N.sketch
+    monkeypatch.setattr(N, "sketch", lambda df, width: real(df, width).withColumn("node", N.F.col("node") % 7))
+    assert seen(N.near_duplicates(src)) == brute(rows)
+
+
 def test_threshold_of_the_pipeline(spark):
     rows = list(enumerate(copies(random.Random(5), 120, 5, 80)))
     assert seen(N.near_duplicates(frame(spark, rows), 80)) == brute(rows, 80)
