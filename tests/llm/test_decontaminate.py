@@ -7,18 +7,26 @@ from .helpers import DOCS, SF, clashing, frame, lower
 from .test_license_scan import WORD
 
 
-def grams(text):
+def grams(text, item=False):
+    """Runs of five words; of an item with fewer the whole sequence, of a document every shorter run."""
     w = WORD.findall(lower(text))
-    return {tuple(w[i: i + 5]) for i in range(len(w) - 4)}
+    if item:
+        return {tuple(w[i: i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+    return {tuple(w[i: i + k]) for k in range(1, 6) for i in range(len(w) - k + 1)}
 
 
 def brute(docs, items):
-    by = lambda rows: {d: set().union(*(grams(t) for k, t in rows if k == d)) for d, _ in rows}
+    def by(rows, item):
+        named = [(f"none{t}" if d is None else d, t) for d, t in rows if t is not None]
+        return {d: set().union(*(grams(t, item) for k, t in named if k == d)) for d, _ in named}
+
+    name = lambda d: "None" if isinstance(d, str) else str(d)
     out = []
-    for d, s in by(docs).items():
-        for i, g in by(items).items():
+    have = by(items, True)
+    for d, s in by(docs, False).items():
+        for i, g in have.items():
             if g and 100 * len(g & s) >= 80 * len(g):
-                out.append((str(d), str(i), len(g), len(g & s)))
+                out.append((name(d), name(i), len(g), len(g & s)))
     return sorted(out)
 
 
@@ -55,7 +63,43 @@ def test_empty(spark):
     docs = frame(spark, DOCS)
     assert D.contaminated(frame(spark, []), one).count() == 0
     assert D.contaminated(docs, none).count() == 0
-    assert D.contaminated(docs, frame(spark, [(1, "too short")], ITEMS)).count() == 0
+    assert D.contaminated(docs, frame(spark, [(1, "not there"), (2, " ,; "), (3, None)], ITEMS)).count() == 0
+
+
+def test_short_items(spark):
+    """An item of fewer than five words is found as its whole word sequence, anywhere in a text."""
+    items = [(1, "alpha beta gamma delta"), (2, "alpha"), (3, "gamma, beta"), (4, "one two three four five"), (5, "beta gamma")]
+    docs = [(1, "Alpha beta GAMMA delta"), (2, "x alpha, beta; gamma: delta y"), (3, "beta alpha gamma beta"), (4, "one two three four five six"),
+            (5, "alpha beta gamma x delta"), (6, "alphabet"), (7, "one two three four")]
+    got = seen(D.contaminated(frame(spark, docs), frame(spark, items, ITEMS)))
+    assert got == brute(docs, items)
+    assert {(d, i) for d, i, _, _ in got} >= {("1", "1"), ("2", "1"), ("2", "2"), ("3", "3"), ("4", "4"), ("1", "5")}
+    assert not {("5", "1"), ("6", "2"), ("7", "4")} & {(d, i) for d, i, _, _ in got}
+
+
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    half = item.split()
+    docs = [(None, " ".join(half[:12])), (None, " ".join(half[8:])), (None, f"x {item} y"), (None, "clean text without it at all"), (7, " ".join(half[:12])), (7, " ".join(half[8:]))]
+    got = seen(D.contaminated(frame(spark, docs), frame(spark, [(1, item), (None, item), (None, "clean text without")], ITEMS)))
+    assert got == brute(docs, [(1, item), (None, item), (None, "clean text without")])
+    assert [r[:2] for r in got] == [("7", "1"), ("7", "None"), ("None", "1"), ("None", "None"), ("None", "None")]
+
+
+def test_every_partition_has_a_threshold_of_its_own(spark):
+    rng = random.Random(1)
+    items = frame(spark, [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(n + 4))) for i, n in enumerate([8] * 30 + [64] * 30 + [1000] * 10)], ITEMS)
+    named = D._named(items, "item_id", "item", "text")
+    rows = D.index(named, [5]).collect()
+    per = {}
+    for r in rows:
+        per.setdefault((r.part, r.item), []).append(r.hash)
+        assert r.hash <= r.threshold
+    assert {len(v) for (p, _), v in per.items() if p == 3} == {2}  # 8 shingles: 7 of them make 80 %, so one of any two
+    assert {len(v) for (p, _), v in per.items() if p == 6} == {13}
+    assert {len(v) for (p, _), v in per.items() if p == 9} == {16}
+    bound = {r.part: r.threshold for r in rows}
+    assert bound[9] < bound[6] < bound[3]
 
 
 def test_query_equals_sql(spark, duck):
@@ -66,6 +110,12 @@ def test_query_equals_sql(spark, duck):
                  list(map(tuple, spark.read.parquet(f"{SF}/benchmark.parquet").collect()))) == got
 
 
-def test_no_python_in_the_plan(spark):
-    plan = QUERIES["op2_decontaminate"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+def test_no_python_in_the_plans(spark, monkeypatch):
+    """Neither in the last plan nor in those of the tables that are written before it."""
+    frames = []
+    real = D.stored
+    monkeypatch.setattr(D, "stored", lambda df: frames.append(df) or real(df))
+    frames.append(QUERIES["op2_decontaminate"](spark, SF))
+    assert len(frames) == 4
+    plan = "".join(df._jdf.queryExecution().executedPlan().toString() for df in frames)
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
