@@ -163,14 +163,17 @@ def test_readiness_of_wanted_resources_only(spark, scratch):
 
 
 def test_ready_after_stream_equals_batch(spark):
-    from fleetlens.catalog import load_all
-
-    got = load_all()["ready_after_stream"].build(spark, SF)
-    want = I.ready_after(fixture(spark, SF, "fx_status"), timeout_s=2 * 86400)
-    late = F.col("timed_out")
-    want = want.withColumn("first_ready", F.when(~late, F.col("first_ready"))).withColumn("wait_s", F.when(~late, F.col("wait_s")))
-    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
-    assert 0 < got.where("timed_out").count() < got.count()
+    status = fixture(spark, SF, "fx_status")
+    wanted = status.groupBy("deploy_id", "resource_id").agg(F.min("ts").alias("first_seen"))
+    for hours in (6, 48):
+        streams = ST.stream_of(wanted, "wanted", "first_seen", ts="first_seen", end_after="400 days"), ST.stream_fixture(spark, SF, "fx_status", end_after="400 days")
+        got = ST.run_to_table(ST.ready_after_stream(*streams, timeout_s=hours * 3600), "ready_after")
+        want = I.ready_after(status, timeout_s=hours * 3600)
+        late = F.col("timed_out")
+        want = want.withColumn("first_ready", F.when(~late, F.col("first_ready"))).withColumn("wait_s", F.when(~late, F.col("wait_s")))
+        assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+        if hours == 6:
+            assert 0 < got.where("timed_out").count() < got.count()
 
 
 def test_scrape_windows_stream_equals_batch(spark, scratch):
