@@ -6,10 +6,11 @@
 4. decontamination: documents that hold a benchmark item (80 % of its runs of five words) go.
 5. byte_bpe: the remaining texts are encoded and decoded again.
 
-A document is an id with a text: rows with other texts under the same id, and rows
-without an id, are judged one by one by ``ROW``, 64 bits of both; rows that repeat
-id and text are copies. "Smaller id" means the smaller id, then the smaller ``ROW``;
-a null id stands after all ids.
+Near duplicates and benchmark items are judged row by row: rows with other texts under the same id, rows
+without an id and repeated rows are told apart by a number that each row gets when the stage's
+input is written (``numbered``; a column of the user's may have any name). In stage 3 a document is an id with
+a text, and rows that repeat both stand together. "Smaller id" means the smaller id, then
+the smaller row number; a null id stands after all ids.
 
 Every stage works on all that the one before it kept. All but the last return
 the columns of ``documents``; ``run`` writes each stage as a Parquet table in
@@ -28,17 +29,14 @@ from fleetlens.llm import bpe, decontaminate, language_id, near_dedup, substring
 from fleetlens.session import ship_package, stored
 
 THRESHOLD = 80
-ROW = "row_key"
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """The documents with the column ``ROW`` that names id and text."""
-    return docs.withColumn(ROW, F.xxhash64(F.col("doc_id").cast("bigint"), F.md5(F.col("text").cast("binary"))))
-
-
-def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The keyed documents whose ``ROW`` is not in the column ``gone`` of rows."""
-    return docs.join(rows, docs[ROW] == rows["gone"], "left_anti")
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents, written once, with a number for each row; and the column that holds it."""
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    return stored(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,18 +46,14 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    docs = keyed(docs)
-    judged = near_dedup.near_duplicates(docs, THRESHOLD, id_col=ROW).where("n_shingles > 0")
-    judged = judged.groupBy(F.col("doc_id").alias("row")).agg(F.first("component_id").alias("component"), F.count("*").alias("size"))
-    ids = docs.select(F.col(ROW).alias("row"), F.col("doc_id").cast("bigint").alias("id")).distinct()
-    judged = stored(judged.join(ids, "row"))
-    first = judged.groupBy("component").agg(F.min(F.struct(F.isnull("id"), "id", "row"))["row"].alias("row"))
-    kept = _without(docs, judged.join(first, "row", "left_anti").select(F.col("row").alias("gone")))
-    again = judged.where("size > 1").select(F.col("row").alias("gone"))
-    if again.isEmpty():
-        return kept.drop(ROW)
-    one = kept.join(again, kept[ROW] == again["gone"], "left_semi").dropDuplicates([ROW])
-    return _without(kept, again).unionByName(one).drop(ROW)
+    docs, row = numbered(docs)
+    judged = near_dedup.near_duplicates(docs, THRESHOLD, id_col=row).where("n_shingles > 0")
+    judged = judged.select(F.col("doc_id").alias("gone"), "component_id")
+    ids = docs.select(F.col(row).alias("gone"), F.col("doc_id").cast("bigint").alias("id"))
+    judged = stored(judged.join(ids, "gone"))
+    first = judged.groupBy("component_id").agg(F.min(F.struct(F.isnull("id"), "id", "gone"))["gone"].alias("gone"))
+    gone = judged.select("gone").join(first, "gone", "left_anti")
+    return docs.join(gone, docs[row] == gone["gone"], "left_anti").drop(row)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,9 +66,9 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    docs = keyed(docs)
-    found = decontaminate.contaminated(docs, items, id_col=ROW)
-    return _without(docs, found.select(F.col("doc_id").alias("gone")).distinct()).drop(ROW)
+    docs, row = numbered(docs)
+    found = decontaminate.contaminated(docs, items, id_col=row).select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(found, docs[row] == found["gone"], "left_anti").drop(row)
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

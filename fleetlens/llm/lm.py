@@ -46,8 +46,6 @@ BUCKET = 16 << 20
 LEAST_BUCKETS = 32
 BLOCK = 64
 RESCALE = 8
-#: Shards an Arrow batch holds at most.
-ROWS = 8
 
 
 class Hmm:
@@ -336,7 +334,6 @@ def score_documents(docs: DataFrame, held_out, rounds: int = ROUNDS, states: int
     short_batches(spark)
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     packed = stored(src.mapInArrow(_pack(max(LEAST_BUCKETS, int(size // BUCKET))), PACKED))
-    short_batches(spark, ROWS)
     sent = packed.where("kind = 0").select("bucket", "shard", "h", "counts", "classes")
     counted = stored(sent.groupBy("bucket").applyInArrow(_count, COUNTED))
     sums = counted.where("class IS NOT NULL").groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).collect()

@@ -5,10 +5,11 @@ its minimizer, the gram with the smallest hash inside it: equal windows have
 equal minimizers, so a window that stands in two documents has a minimizer
 that does. Only minimizers move (one gram in ten to twenty bytes, four words).
 
-A task sends each gram once however often its documents hold it, so a gram that
+A task asks for each gram once however often its documents hold it, so a gram that
 a third of all documents share costs its bucket one entry for each few
-thousand documents. Entries travel as packed arrays, a row for each task and
-bucket; the number of buckets follows the input, so a bucket's size does not
+thousand documents. The places of grams that a task holds more than once need no
+answer: they go to buckets by document, not to the gram's. Entries travel as packed arrays, a
+row for each task and bucket; the number of buckets follows the input, so a bucket's size does not
 grow with it. A bucket answers with the places of grams that several rows
 hold. False answers (32 bits of hash within a bucket) only cost work: what
 follows compares the windows themselves.
@@ -29,11 +30,13 @@ GATHER = 16 << 20
 #: Bytes of input text for each bucket.
 BUCKET = 16 << 20
 LEAST_BUCKETS = 32
+SALTS = 8
 NO_ID = (1 << 63) - 1
 
 
 class Corpus:
-    """base: (uid, id, text, rest), uid naming the id and text, rest holding the other columns;
+    """base: (uid, id, text, rest), uid naming the id and text (64 bits, proved to be different for
+    different ones of this input, else made with another salt), rest holding the other columns;
     copies: (uid) of rows whose whole text stands in a row with a smaller id; buckets: how many
     buckets fit the input."""
 
@@ -43,10 +46,17 @@ class Corpus:
         rest = F.struct(*others) if others else F.lit(None).cast("int")
         src = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(NO_ID)).alias("id"),
                           F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
-        digest = F.md5(F.col("text").cast("binary"))
-        self.base = src.select(F.xxhash64("id", digest).alias("uid"), "id", "text", "rest")
-        seen = stored(src.select(F.xxhash64("id", digest).alias("uid"), "id", F.unhex(digest).alias("digest"),
-                                 F.octet_length("text").alias("n")))
+        digest = F.unhex(F.md5(F.col("text").cast("binary")))
+        seen = stored(src.select("id", digest.alias("digest"), F.octet_length("text").alias("n")))
+        for salt in range(SALTS):
+            uid = lambda d: F.xxhash64("id", d, F.lit(salt))  # noqa: B023, E731
+            named = seen.groupBy(uid("digest").alias("uid")).agg(F.min(F.struct("id", "digest")).alias("low"), F.max(F.struct("id", "digest")).alias("high"))
+            if named.where("low < high").isEmpty():
+                break
+        else:
+            raise ValueError("rows can't be told apart by 64 bits")
+        seen = seen.withColumn("uid", uid("digest"))
+        self.base = src.select(uid(digest).alias("uid"), "id", "text", "rest")
         self.buckets = max(LEAST_BUCKETS, int((seen.agg(F.sum("n")).first()[0] or 0) // BUCKET))
         first = seen.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
         self.copies = seen.join(first, "digest").where("id > least").select("uid").distinct().withColumn("copy", F.lit(True))
@@ -98,6 +108,11 @@ def minimizers(h: np.ndarray, offsets: np.ndarray, gram: int, window: int):
     return (most == h) & (most > 0), least
 
 
+def by_document(uid: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of what needs no answer."""
+    return mix(uid.astype(np.int64).view(U64)) % U64(buckets)
+
+
 SEEDS = "bucket int, h binary, uids binary, counts binary, at binary, kind int"
 
 
@@ -145,11 +160,11 @@ def shared_places(rows: DataFrame, grams, buckets: int) -> DataFrame:
             here[order] = (np.bincount(group) > 1)[group]
             once = np.zeros(len(h), bool)
             once[order[new]] = True
-            bucket = (h >> U64(32)) % U64(buckets)
             out = []
             for kind, chosen in ((1, np.flatnonzero(here)), (0, np.flatnonzero(once))):
-                chosen = chosen[np.argsort(bucket[chosen], kind="stable")]
-                b = bucket[chosen]
+                bucket = by_document(uids[doc[chosen]], buckets) if kind else (h[chosen] >> U64(32)) % U64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                chosen, b = chosen[order], bucket[order]
                 cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else []
                 for x, y in zip(cut, np.append(cut, len(b))[1:]):
                     own = chosen[x:y]

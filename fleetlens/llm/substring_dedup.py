@@ -18,8 +18,8 @@ Defined results: a null or empty text has no words. A null id stands after all
 ids. Rows with the same id never remove from each other unless they are read
 ``apart``: then other texts under one id are documents of their own, ordered by
 uid, and only rows with the same text stand together. Windows are named by
-64 bits: two different ones are taken for equal with probability n**2 / 2**65,
-n being the windows looked up.
+96 bits: two different ones are taken for equal with probability n**2 / 2**97,
+n being the windows looked up (6e-9 for 3e10).
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .passages import NO_ID, Corpus, batches_of, from_planes, minimizers, places_of, planes, shared_places
-from .text import U64, steps, text_bytes, window_hashes, word_hashes, word_spans
+from .passages import NO_ID, Corpus, batches_of, by_document, from_planes, minimizers, places_of, planes, shared_places
+from .text import U64, mix, steps, text_bytes, window_hashes, word_hashes, word_spans
 
 WINDOW = 13
 GRAM = 7
@@ -59,17 +59,22 @@ def seeds(window: int, gram: int):
     return grams
 
 
-def _first(h, ids, uid, at, apart):
-    """For every entry the entry with its hash that has the smallest (id, place), or (id, uid, place)
+def _second(words: np.ndarray, window: int) -> np.ndarray:
+    """32 more bits of each window's name, from other hashes of its words."""
+    return (window_hashes(mix(words ^ U64(0xC2B2AE3D27D4EB4F)), np.array([0, len(words)]), window)[0] >> U64(32)).astype(np.uint32)
+
+
+def _first(h, g, ids, uid, at, apart):
+    """For every entry the entry with its hashes that has the smallest (id, place), or (id, uid, place)
     where the texts of an id stand apart."""
-    order = np.lexsort((at, uid, ids, h) if apart else (at, ids, h))
-    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+    order = np.lexsort((at, uid, ids, g, h) if apart else (at, ids, g, h))
+    new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])])
     out = np.empty(len(h), np.int64)
     out[order] = order[new][np.cumsum(new) - 1]
     return out
 
 
-LOOKUP = "bucket int, h binary, uid binary, id binary, at binary, kind int, ref binary, ref_at binary"
+LOOKUP = "bucket int, h binary, g binary, uid binary, id binary, at binary, kind int, ref binary, ref_at binary"
 HITS = "uid bigint, hits binary"
 
 
@@ -110,27 +115,27 @@ def _look_up(window: int, gram: int, buckets: int, apart: bool):
                     continue
                 hashes, _, _ = window_hashes(words, np.array([0, len(words)]), window)
                 doc = np.searchsorted(at, w, side="right") - 1
-                parts.append((hashes[w], (doc + lo).astype(np.int32), (w - at[doc]).astype(np.uint32)))
+                parts.append((hashes[w], _second(words, window)[w], (doc + lo).astype(np.int32), (w - at[doc]).astype(np.uint32)))
             if not parts:
                 continue
-            h, doc, at = (np.concatenate(x) for x in zip(*parts))
+            h, g, doc, at = (np.concatenate(x) for x in zip(*parts))
             own, uid = ids[doc], uids[doc]
-            first = _first(h, own, uid, at, apart)
-            bucket = ((h >> U64(20)) % U64(buckets)).astype(np.int64)
+            first = _first(h, g, own, uid, at, apart)
             dup = uid[first] != uid if apart else own[first] < own
             out = []
             for kind, chosen in ((1, np.flatnonzero(dup)), (0, np.flatnonzero(~dup))):
-                chosen = chosen[np.argsort(bucket[chosen], kind="stable")]
-                b = bucket[chosen]
+                bucket = by_document(uid[chosen], buckets) if kind else (h[chosen] >> U64(20)) % U64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                chosen, b = chosen[order], bucket[order]
                 cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else []
                 for x, y in zip(cut, np.append(cut, len(b))[1:]):
                     c = chosen[x:y]
                     f = first[c]
-                    out.append((int(b[x]), h[c].tobytes() if not kind else b"", planes(uid[c]), planes(own[c]) if not kind else b"",
+                    out.append((int(b[x]), h[c].tobytes() if not kind else b"", g[c].tobytes() if not kind else b"", planes(uid[c]), planes(own[c]) if not kind else b"",
                                 planes(at[c]), kind, planes(own[f]) if kind else b"", planes(at[f]) if kind else b""))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (
-                pa.int32(), *[pa.binary()] * 4, pa.int32(), *[pa.binary()] * 2))],
-                names=["bucket", "h", "uid", "id", "at", "kind", "ref", "ref_at"])
+                pa.int32(), *[pa.binary()] * 5, pa.int32(), *[pa.binary()] * 2))],
+                names=["bucket", "h", "g", "uid", "id", "at", "kind", "ref", "ref_at"])
 
     return run
 
@@ -142,9 +147,10 @@ def _answer(table: pa.Table, apart: bool) -> pa.Table:
     known = [i for i, k in enumerate(col["kind"]) if k == 1]
     join = lambda name, rows, t: np.concatenate([np.zeros(0, t), *(from_planes(col[name][i], t) for i in rows)])
     h = np.frombuffer(b"".join(col["h"][i] for i in asked), U64)
+    g = np.frombuffer(b"".join(col["g"][i] for i in asked), np.uint32)
     uid, ids, at = join("uid", asked, np.int64), join("id", asked, np.int64), join("at", asked, np.uint32)
     if len(h):
-        first = _first(h, ids, uid, at, apart)
+        first = _first(h, g, ids, uid, at, apart)
         dup = np.flatnonzero(uid[first] != uid if apart else ids[first] < ids)
         got = (uid[dup], at[dup], ids[first[dup]], at[first[dup]])
     else:

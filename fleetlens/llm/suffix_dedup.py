@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .passages import GATHER, NO_ID, Corpus, batches_of, from_planes, minimizers, places_of, planes, shared_places
+from .passages import GATHER, NO_ID, Corpus, batches_of, by_document, from_planes, minimizers, places_of, planes, shared_places
 from .text import BASE, U64, mix, powers, prefix_hash, steps, text_bytes
 
 LENGTH = 50
@@ -147,7 +147,7 @@ def _send(buckets: int):
             h, doc, at, open_, context = (np.concatenate(x) for x in zip(*parts))
             uid, own = uids[doc], ids[doc]
             known, ask = resolve(context, open_, own)
-            bucket = (mix(h) % U64(buckets)).astype(np.int64)
+            bucket = np.where(ask > 0, mix(h) % U64(buckets), by_document(uid, buckets))  # what is known needs no shard
             keep = np.argsort(bucket, kind="stable")
             b = bucket[keep]
             cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))

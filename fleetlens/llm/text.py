@@ -27,15 +27,20 @@ ALNUM_WORD[0x30:0x3A] = ALNUM_WORD[0x61:0x7B] = ALNUM_WORD[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-#: Rows of an Arrow batch sent to a Python worker. Texts can be long, so batches are short.
+#: Rows of an Arrow batch sent to a Python worker at most. Texts can be long, so batches are short; long rows
+#: are bounded by Spark's own limit on an Arrow batch's bytes.
 BATCH_ROWS = 400
 #: Bytes of text that one vectorised step works on at a time.
 STEP_BYTES = 1 << 21
 
 
-def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows (and so the bytes) of each Arrow batch of this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def short_batches(spark: SparkSession) -> None:
+    """Bound the rows of each Arrow batch of this session, to one number for all operators: frames are
+    lazy, so the order in which they are built must not matter. A lower bound of the user's stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -101,3 +101,14 @@ def test_run_keeps_clean_rows_without_an_id(spark, tmp_path):
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert len(got) >= 0.95 * len(whole) and sum(d is None for d in got) >= 0.8 * sum(d % 3 == 0 for d in whole)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from .helpers import frame
+
+    rows = [(1, "one two three four five six seven", "a", 5, 7), (2, "one two three four five six seven", "b", 6, 8), (None, "other words of another text", "c", None, 9)]
+    docs = frame(spark, rows, "doc_id long, text string, row_key string, row int, gone int")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+    assert sorted(map(tuple, dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF).collect()), key=str) == sorted([rows[0], rows[2]], key=str)
