@@ -36,3 +36,31 @@ def ordered_index(df: DataFrame, order: list[str], chunk: Column, by: tuple[str,
     offsets = offsets.drop("_n")
     return local.join(offsets, [*by, "_chunk"]).withColumn(out, F.col("_off") + F.col("_local")).drop(
         "_chunk", "_local", "_off")
+
+
+def carry_last(df: DataFrame, value: Column, order: str, chunk: Column, by: tuple[str, ...] = (), out: str = "last") -> DataFrame:
+    """Add ``out`` = the last ``value`` that is not NULL at or before each row of ``by`` in ``order`` (unique).
+
+    The rule is associative, so it is worked inside ``(by, chunk)`` and the last value of each
+    chunk is carried over one row per chunk; ``chunk`` must not decrease along ``order``.
+    """
+    by = list(by)
+    d = df.withColumn("_chunk", chunk).withColumn("_value", value)
+    here = Window.partitionBy(*by, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = d.withColumn("_local", F.last("_value", ignorenulls=True).over(here))
+    before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = d.groupBy(*by, "_chunk").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_end"))
+    carried = ends.select(*by, "_chunk", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    return local.join(carried, [*by, "_chunk"]).withColumn(out, F.coalesce("_local", "_carried")).drop("_chunk", "_value", "_local", "_carried")
+
+
+def running_sum(df: DataFrame, value: Column, order: str, chunk: list[str], by: list[str], out: str) -> DataFrame:
+    """Add ``out`` = the sum of ``value`` over the rows of ``by`` ahead of each row; ``chunk`` are columns that
+    order the chunks of ``by``, ``order`` the rows of a chunk."""
+    d = df.withColumn("_value", value)
+    here = Window.partitionBy(*by, *chunk).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = d.withColumn("_local", F.coalesce(F.sum("_value").over(here), F.lit(0)))
+    before = Window.partitionBy(*by).orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
+    sums = d.groupBy(*by, *chunk).agg(F.sum("_value").alias("_sum"))
+    carried = sums.select(*by, *chunk, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carried"))
+    return local.join(carried, [*by, *chunk]).withColumn(out, F.col("_local") + F.col("_carried")).drop("_value", "_local", "_carried")

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..fixtures import fixture
 from ..operators import bench as B
+from ..operators import ranks as R
 from ..plans.benchmark import run_report
+from ..session import stored
 
 # Fixture parameters (FIXTURES fx_tx): run start, 5 days warmup, 10 days measured.
 START = dt.datetime(2024, 1, 1)
@@ -155,3 +158,52 @@ def q_run_compare(spark, sf):
 )
 def q_run_report(spark, sf):
     return run_report(_tx(spark, sf), _runs(spark, sf), START, WARMUP, DURATION)
+
+
+def _samples(spark, sf):
+    """Metric samples with continuous values, once by job and once as one group of all rows."""
+    m = fixture(spark, sf, "fx_metric")
+    return m.select(F.explode(F.array("job_name", F.lit("ALL"))).alias("job_name"), (F.col("value") * F.lit(1.5)).alias("value"))
+
+
+@query(
+    "sample_percentiles",
+    """WITH m AS (SELECT job_name, value * 1.5 AS value FROM fx_metric UNION ALL SELECT 'ALL', value * 1.5 FROM fx_metric)
+       SELECT job_name, percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_disc(0.9) WITHIN GROUP (ORDER BY value) AS p90,
+              percentile_disc(0.99) WITHIN GROUP (ORDER BY value) AS p99, percentile_disc(0.999) WITHIN GROUP (ORDER BY value) AS p99_9
+       FROM m GROUP BY job_name""",
+    ("fx_metric",),
+)
+def q_sample_percentiles(spark, sf):
+    """#61 on continuous values, one group holding half of all rows: passes until 1,000 values are left, so the query makes several."""
+    return R.rank_select(_samples(spark, sf), "value", (0.5, 0.9, 0.99, 0.999), ["job_name"], at_most=1000)
+
+
+G = (1 + 0.01) / (1 - 0.01)
+SKETCH_SQL = f"""WITH b AS (SELECT run_id, tx_type, latency_ms, CAST(ceil(ln(latency_ms) / {math.log(G)!r}) AS INTEGER) AS b FROM fx_tx),
+       c AS (SELECT run_id, tx_type, b, count(*) AS n FROM b GROUP BY run_id, tx_type, b),
+       u AS (SELECT *, sum(n) OVER (PARTITION BY run_id, tx_type ORDER BY b) AS upto, sum(n) OVER (PARTITION BY run_id, tx_type) AS total FROM c)"""
+
+
+@query(
+    "tx_percentiles_sketch",
+    f"""{SKETCH_SQL},
+       q AS (SELECT run_id, tx_type, max(total)::BIGINT AS n, min(b) FILTER (WHERE upto >= total * 0.5) AS b50,
+                    min(b) FILTER (WHERE upto >= total * 0.9) AS b90, min(b) FILTER (WHERE upto >= total * 0.99) AS b99
+             FROM u GROUP BY run_id, tx_type)
+       SELECT run_id, tx_type, n, round(2 * pow({G!r}, b50) / {G + 1!r}, 6) AS p50, round(2 * pow({G!r}, b90) / {G + 1!r}, 6) AS p90,
+              round(2 * pow({G!r}, b99) / {G + 1!r}, 6) AS p99, true AS p50_within, true AS p90_within, true AS p99_within
+       FROM q""",
+    ("fx_tx",),
+)
+def q_tx_percentiles_sketch(spark, sf):
+    """#63 sketches of each day and run, stored; merged over the days; values, and whether each is within 1 % of the exact one."""
+    tx = _tx(spark, sf)
+    days = stored(R.sketch(tx.withColumn("day", F.to_date("ts")), "latency_ms", ["run_id", "tx_type", "day"]))
+    keys = ["run_id", "tx_type"]
+    merged = R.merge_sketches(days, keys)
+    names = ["p50", "p90", "p99"]
+    near = R.sketch_percentiles(merged, keys=keys)
+    exact = B.tx_percentiles(tx).select(*keys, *(F.col(n).alias(f"_{n}") for n in names))
+    within = [(F.abs(F.col(n) - F.col(f"_{n}")) <= F.col(f"_{n}") * 0.0100001).alias(f"{n}_within") for n in names]
+    return merged.select(*keys, "n").join(near, keys).join(exact, keys).select(*keys, "n", *(F.round(n, 6).alias(n) for n in names), *within)

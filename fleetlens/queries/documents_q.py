@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
@@ -170,19 +171,20 @@ def q_host_docs(spark, sf):
 @query(
     "host_logs",
     """SELECT 'observer' AS role, 'dep-' || CAST(op_id % 200 AS VARCHAR) || '-observer-1_ru-central1_internal' AS host_safe,
-              line_no // 50000 AS part, line
+              row_number() OVER (PARTITION BY op_id % 200 ORDER BY line_no) AS nth, line
        FROM fx_op_line""",
     ("fx_op_line",),
 )
 def q_host_logs(spark, sf):
-    """#13 the logs written by host and line range, then read back from the files."""
+    """#13 the logs written by host in parts of some size, then read back from the files, in order."""
     lines = fixture(spark, sf, "fx_op_line").select(
         F.lit("observer").alias("role"),
         F.concat(F.lit("dep-"), (F.col("op_id") % 200).cast("string"), F.lit("-observer-1.ru-central1.internal")).alias("host"),
         "line_no", "line")
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/host-logs-{uuid.uuid4().hex}"
     D.write_host_logs(lines, path, part_lines=50000)
-    return D.read_host_logs(spark, path)
+    nth = F.row_number().over(Window.partitionBy("role", "host_safe").orderBy("part", "pos"))
+    return D.read_host_logs(spark, path).select("role", "host_safe", nth.alias("nth"), "line")
 
 
 @query(

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..fixtures import fixture
 from ..operators import bench as B
+from ..session import ensure_checkpoint_dir
 from ..sources import config as CF
+from ..sources import json_array as JA
 from ..sources import listings as L
 from ..sources import logs as LG
 from ..sources.kv import parse_kv
@@ -187,10 +191,12 @@ def q_marker_parse(spark, sf):
     return parse_kv(fixture(spark, sf, "fx_kv_line"), keep="first", key_cols=("file_id",), defaults=MARKER_KEYS)
 
 
-def _instance_docs(spark, sf):
+def _instance_docs(spark, sf, of=None, note=None):
     i = fixture(spark, sf, "fx_instance")
     labels = F.when(F.col("label_deployment").isNull(), F.create_map().cast("map<string,string>")).otherwise(
         F.create_map(F.lit("deployment"), F.col("label_deployment")))
+    if note is not None:
+        labels = F.map_concat(labels, F.create_map(F.lit("note"), note))
     el = F.struct(
         F.col("instance_id").cast("string").alias("id"), "name", "status", labels.alias("labels"),
         F.array(F.struct(F.struct(F.col("ip_address").alias("address"),
@@ -198,7 +204,7 @@ def _instance_docs(spark, sf):
                          .alias("primary_v4_address"))).alias("network_interfaces"),
     )
     # a listing document holds up to four instances (bounded group)
-    return i.groupBy(F.expr("instance_id div 4").alias("doc_id")).agg(
+    return i.groupBy((F.expr("instance_id div 4") if of is None else of).alias("doc_id")).agg(
         F.to_json(F.collect_list(el)).alias("doc"))
 
 
@@ -213,6 +219,23 @@ def q_instance_listing(spark, sf):
     return L.instance_rows(_instance_docs(spark, sf))
 
 
+@query(
+    "instance_listing_array",
+    """SELECT CAST(instance_id AS VARCHAR) AS instance_id, name, status, label_deployment,
+              coalesce(nullif(ip_address, ''), nullif(nat_address, ''), '') AS ip
+       FROM fx_instance""",
+    ("fx_instance",),
+)
+def q_instance_listing_array(spark, sf):
+    """Files of one JSON array each (20,000 instances, a single line, strings with brackets and quotes), read back by size."""
+    n = fixture(spark, sf, "fx_instance").count() // 20_000 + 2
+    note = F.concat(F.lit('a "}],[{\\'), F.col("instance_id").cast("string"))
+    docs = _instance_docs(spark, sf, F.col("instance_id") % n, note)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/listing-{uuid.uuid4().hex}"
+    docs.repartition(n, "doc_id").write.partitionBy("doc_id").text(path)
+    return L.listed_instances(JA.read_listing_array(spark, path, L.INSTANCE_SCHEMA))
+
+
 @query(
     "disk_listing",
     """SELECT CAST(disk_id AS VARCHAR) AS disk_id, name, status, label_deployment,
@@ -282,6 +305,38 @@ def q_step_log_parse(spark, sf):
     return LG.parse_step_log(step_lines(spark, sf))
 
 
+def _parsed_sql(cut: str = "") -> str:
+    return f"""{STEP_LINES_SQL},
+        p AS (SELECT op_id, line_no, line,
+                     regexp_matches(line, '^\\[(\\d{{4}}-\\d\\d-\\d\\d \\d\\d:\\d\\d:\\d\\d)\\] (INFO|WARN|ERROR): (.*)$') AS ok,
+                     CASE WHEN regexp_matches(line, '^=== (.*) ===$') THEN regexp_extract(line, '^=== (.*) ===$', 1) END AS step FROM sl),
+        l AS (SELECT op_id, line_no,
+                     CASE WHEN ok THEN strptime(regexp_extract(line, '^\\[([^\\]]*)\\]', 1), '%Y-%m-%d %H:%M:%S') END AS ts,
+                     CASE WHEN ok THEN regexp_extract(line, '^\\[[^\\]]*\\] (INFO|WARN|ERROR): ', 1) END AS level,
+                     last_value(step IGNORE NULLS) OVER w AS in_step,
+                     last_value(CASE WHEN step IS NOT NULL THEN line_no END IGNORE NULLS) OVER w AS step_line
+              FROM p WINDOW w AS (PARTITION BY op_id ORDER BY line_no ROWS UNBOUNDED PRECEDING))"""
+
+
+@query("step_of_line", f"WITH {_parsed_sql()} SELECT op_id, line_no, ts, level, in_step, step_line FROM l", ("fx_op_line",))
+def q_step_of_line(spark, sf):
+    # chunks of 1000 line numbers, so that logs cross many chunk edges
+    return LG.lines_in_steps(LG.parse_step_log(step_lines(spark, sf)), chunk_lines=1000).drop("message", "step")
+
+
+@query(
+    "step_times",
+    f"""WITH {_parsed_sql()}
+        SELECT op_id, step_line, in_step AS step, count(*) AS n_lines, count(*) FILTER (WHERE level = 'ERROR') AS n_errors,
+               count(*) FILTER (WHERE level = 'WARN') AS n_warnings, min(ts) AS first_ts, max(ts) AS last_ts,
+               date_diff('second', min(ts), max(ts)) AS seconds
+        FROM l GROUP BY op_id, step_line, in_step""",
+    ("fx_op_line",),
+)
+def q_step_times(spark, sf):
+    return LG.step_times(LG.lines_in_steps(LG.parse_step_log(step_lines(spark, sf)), chunk_lines=1000))
+
+
 @query(
     "result_log_parse",
     """SELECT run_id, line_no,

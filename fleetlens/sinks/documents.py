@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import host_address, host_log_name
 from ..operators.inventory import cluster_hosts, server_name_col, server_positions, zone_col
+from .published import publish, published
 
 # Roles in queue order, with their inventory key prefix.
 QUEUE_ORDER = [("observer", "OBSERVER", 1), ("obproxy", "OBPROXY", 2), ("configserver", "CONFIGSERVER", 3),
@@ -137,10 +138,11 @@ def render_inventory(inv: DataFrame, deploy: DataFrame, profiles: DataFrame) ->
     return vm_lines.unionByName(fact_lines), rejects
 
 
-def write_lines(lines: DataFrame, path: str, by: str = "deploy_id") -> None:
-    """One text file set per ``by`` value, lines in their sort order within each file."""
-    (lines.repartition(by).sortWithinPartitions(by, "section", "idx", "kind")
-     .select(by, "line").write.mode("overwrite").partitionBy(by).text(path))
+def write_lines(lines: DataFrame, path: str, by: str = "deploy_id") -> str:
+    """One text file set per ``by`` value, lines in their sort order within each file; published as a whole
+    (:mod:`.published`), the version's folder is returned."""
+    rows = lines.repartition(by).sortWithinPartitions(by, "section", "idx", "kind").select(by, "line")
+    return publish(lines.sparkSession, path, lambda folder: rows.write.partitionBy(by).text(folder))
 
 
 # ---------------------------------------------------------------- profile lines (#11)
@@ -229,19 +231,26 @@ def host_log_frame(lines: DataFrame) -> DataFrame:
         host_log_name("role", "host").alias("log_name"), "line_no", "line")
 
 
-def write_host_logs(lines: DataFrame, path: str, part_lines: int = 1_000_000) -> None:
-    """Folders ``role=…/host_safe=…/part=…``, lines in order: ``part`` counts blocks of
-    ``part_lines`` line numbers, so a huge log is written by many tasks and reads back in order."""
-    frame = host_log_frame(lines).withColumn("part", F.floor(F.col("line_no") / F.lit(part_lines)).cast("bigint"))
-    keys = ["role", "host_safe", "part"]
-    (frame.repartition(*keys).sortWithinPartitions(*keys, "line_no")
-     .select(*keys, "line").write.mode("overwrite").partitionBy(*keys).text(path))
+def write_host_logs(lines: DataFrame, path: str, part_lines: int = 1_000_000) -> str:
+    """Folders ``role=…/host_safe=…`` with text files, lines in order; published as a whole (:mod:`.published`),
+    the version's folder is returned.
+
+    The log is cut in ranges of role, host and line number of about ``part_lines`` lines, whatever the
+    sizes of hosts: a task writes many small hosts, a huge host is written by many tasks. The files of a
+    host follow one another by name.
+    """
+    n = max(1, -(-lines.count() // part_lines))
+    keys = ["role", "host_safe", "line_no"]
+    rows = host_log_frame(lines).repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("role", "host_safe", "line")
+    return publish(lines.sparkSession, path, lambda folder: rows.write.partitionBy("role", "host_safe").text(folder))
 
 
 def read_host_logs(spark, path: str) -> DataFrame:
-    """``role, host_safe, part, line`` of a folder that :func:`write_host_logs` wrote."""
-    schema = "value string, role string, host_safe string, part bigint"
-    return spark.read.schema(schema).text(path).withColumnRenamed("value", "line").select("role", "host_safe", "part", "line")
+    """``role, host_safe, part, pos, line`` of what :func:`write_host_logs` published: ``part`` numbers the files,
+    lines follow one another by part, then pos."""
+    t = spark.read.schema("value string, role string, host_safe string").text(published(spark, path))
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("bigint")
+    return t.select("role", "host_safe", part.alias("part"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
 
 
 # ---------------------------------------------------------------- endpoints (#34)
@@ -477,9 +486,10 @@ def render_cluster_docs(inv: DataFrame, flags: DataFrame, deploy: DataFrame, tun
     return docs, rejects
 
 
-def write_cluster_docs(docs: DataFrame, path: str) -> None:
-    """One JSON document per deployment folder."""
-    docs.repartition("deploy_id").write.mode("overwrite").partitionBy("deploy_id").text(path)
+def write_cluster_docs(docs: DataFrame, path: str) -> str:
+    """One JSON document per deployment folder; published as a whole (:mod:`.published`), the version's folder is returned."""
+    rows = docs.repartition("deploy_id")
+    return publish(docs.sparkSession, path, lambda folder: rows.write.partitionBy("deploy_id").text(folder))
 
 
 # ---------------------------------------------------------------- result tables (#8)

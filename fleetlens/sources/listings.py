@@ -32,8 +32,12 @@ def read_listing(docs: DataFrame, schema: str, text_col: str = "doc", keep=()) -
 
 def instance_rows(docs: DataFrame, text_col: str = "doc", keep=()) -> DataFrame:
     """Instances with status, deployment label and the picked address."""
-    r = read_listing(docs, INSTANCE_SCHEMA, text_col, keep)
-    return r.where(F.col("name").isNotNull()).select(
+    return listed_instances(read_listing(docs, INSTANCE_SCHEMA, text_col, keep), keep)
+
+
+def listed_instances(rows: DataFrame, keep=()) -> DataFrame:
+    """The same of listed resources that were read in another way (JSON lines, large arrays)."""
+    return rows.where(F.col("name").isNotNull()).select(
         *keep, F.col("id").alias("instance_id"), "name", "status",
         F.col("labels")["deployment"].alias("label_deployment"),
         pick_ip("network_interfaces").alias("ip"),
@@ -69,8 +73,9 @@ def read_listing_lines(spark, path: str, schema: str) -> DataFrame:
 def read_listing_files(spark, path: str, schema: str) -> DataFrame:
     """Listing files (one JSON array per file) from a folder, read in parallel by file.
 
-    Each file is one value decoded by one task; for listings too large for
-    that, store them as JSON lines and use :func:`read_listing_lines`.
+    Each file is one value decoded by one task; files too large for that are read by
+    :func:`fleetlens.sources.json_array.read_listing_array`, or as JSON lines by
+    :func:`read_listing_lines`.
     """
     docs = spark.read.text(path, wholetext=True).withColumnRenamed("value", "doc").withColumn(
         "source_file", F.input_file_name())

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.sequence import carry_last
+
 # Line formats of the tools that write these logs.
 STEP_LINE = r"^\[(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)\] (INFO|WARN|ERROR): (.*)$"
 STEP_MARK = r"^=== (.*) ===$"
@@ -40,6 +42,26 @@ def parse_step_log(lines: DataFrame) -> DataFrame:
     )
 
 
+def lines_in_steps(parsed: DataFrame, key: str = "op_id", chunk_lines: int = 100_000) -> DataFrame:
+    """The parsed lines with the step each stands in: ``in_step`` its name, ``step_line`` the number of
+    its mark, which tells repeated steps apart (both NULL ahead of the first mark; a mark stands in its own step).
+
+    The last mark is carried along a log in chunks of ``chunk_lines`` line numbers, so one huge log is many tasks.
+    """
+    mark = F.when(F.col("step").isNotNull(), F.struct("line_no", "step"))
+    got = carry_last(parsed, mark, "line_no", F.floor(F.col("line_no") / F.lit(chunk_lines)), (key,), "_mark")
+    return got.select(*parsed.columns, F.col("_mark.step").alias("in_step"), F.col("_mark.line_no").alias("step_line"))
+
+
+def step_times(lines: DataFrame, key: str = "op_id") -> DataFrame:
+    """One row a step of a log: lines, errors and warnings, first and last time, and the seconds between."""
+    at = lambda level: F.count_if(F.col("level") == level)
+    s = lines.groupBy(key, "step_line", F.col("in_step").alias("step")).agg(
+        F.count(F.lit(1)).alias("n_lines"), at("ERROR").alias("n_errors"), at("WARN").alias("n_warnings"),
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return s.withColumn("seconds", F.timestamp_diff("SECOND", F.col("first_ts"), F.col("last_ts")))
+
+
 def parse_result_log(lines: DataFrame, keys=("run_id",)) -> DataFrame:
     """Per-transaction lines of a result log -> (tx_type, ok, failed, p50, p90, p99)."""
     tx = lines.where(F.col("line").rlike(RESULT_TX))

@@ -19,8 +19,8 @@ def _addressed(spark):
 def test_inventory_lines_round_trip(spark, scratch):
     inv = _addressed(spark)
     lines, rejects = D.render_inventory(inv, fixture(spark, SF, "fx_deployment"), C.profiles_with_role(spark, SF))
-    D.write_lines(lines, f"{scratch}/inv")
-    back = spark.read.text(f"{scratch}/inv")
+    folder = D.write_lines(lines, f"{scratch}/inv")
+    back = spark.read.text(folder)
     assert back.count() == lines.count()
     assert "deploy_id" in back.columns  # one folder per deployment
     # every VM is a line or a reject, and a deployment has only one of them
@@ -55,21 +55,55 @@ def test_host_logs_written_by_role_and_host(spark, scratch):
         F.lit("observer").alias("role"), F.concat(F.lit("h-"), F.col("op_id").cast("string"), F.lit(".x:22")).alias("host"),
         "line_no", "line")
     D.write_host_logs(lines, f"{scratch}/logs")
-    back = spark.read.text(f"{scratch}/logs")
+    back = D.read_host_logs(spark, f"{scratch}/logs")
     assert back.count() == lines.count()
-    assert back.select("host_safe").where(F.col("host_safe").rlike("[.:/]")).count() == 0
+    assert back.where(F.col("host_safe").rlike("[.:/]")).count() == 0
 
 
-def test_host_logs_split_by_line_range_keep_their_order(spark, scratch):
+def test_host_logs_are_cut_by_size_and_keep_their_order(spark, scratch):
+    """A large host is several files in order, small hosts share a task; no folder beside those of the hosts."""
     import glob
 
-    lines = spark.createDataFrame([("observer", "h.x", i, f"line {i}") for i in range(95)] + [("observer", "h.y", 3, "other")],
+    lines = spark.createDataFrame([("observer", "h.x", i, f"line {i}") for i in range(950)] + [("observer", f"s.{k}", 3, "other") for k in range(30)],
                                   "role string, host string, line_no long, line string").orderBy(F.rand(1))
-    D.write_host_logs(lines, f"{scratch}/split", part_lines=10)
-    parts = sorted(glob.glob(f"{scratch}/split/role=observer/host_safe=h_x/part=*"), key=lambda p: int(p.rsplit("=", 1)[1]))
-    text = "".join(open(f).read() for p in parts for f in sorted(glob.glob(f"{p}/part-*")))
-    assert len(parts) == 10 and text.splitlines() == [f"line {i}" for i in range(95)]
-    assert D.read_host_logs(spark, f"{scratch}/split").groupBy("host_safe").count().collect().__len__() == 2
+    folder = D.write_host_logs(lines, f"{scratch}/split", part_lines=100)
+    parts = sorted(glob.glob(f"{folder}/role=observer/host_safe=h_x/part-*"))
+    text = "".join(open(f).read() for f in parts)
+    assert 6 <= len(parts) <= 11 and text.splitlines() == [f"line {i}" for i in range(950)]
+    assert len(glob.glob(f"{folder}/role=observer/*")) == 31
+    back = D.read_host_logs(spark, f"{scratch}/split").where("host_safe = 'h_x'").orderBy("part", "pos")
+    assert [r.line for r in back.collect()] == [f"line {i}" for i in range(950)]
+
+
+def test_a_failed_publication_leaves_the_last_version(spark, scratch):
+    import os
+
+    from fleetlens.sinks.published import publish, published
+
+    path = f"{scratch}/pub"
+    import pytest
+
+    with pytest.raises(FileNotFoundError):
+        published(spark, path)
+    first = publish(spark, path, lambda folder: spark.range(10).write.parquet(folder))
+    assert published(spark, path) == first
+
+    def breaks(folder):
+        spark.range(5).write.parquet(folder)
+        raise RuntimeError("killed half way")
+
+    with pytest.raises(RuntimeError, match="half way"):
+        publish(spark, path, breaks)
+    bad = spark.range(100).select(F.assert_true(F.col("id") < 50))
+    with pytest.raises(Exception):
+        publish(spark, path, lambda folder: bad.write.mode("overwrite").parquet(folder))
+    assert published(spark, path) == first and spark.read.parquet(first).count() == 10
+    assert [x for x in os.listdir(path) if x.startswith("version-")] == [os.path.basename(first)]
+    second = publish(spark, path, lambda folder: spark.range(20).write.parquet(folder))
+    assert spark.read.parquet(first).count() == 10  # readers of the version before go on
+    third = publish(spark, path, lambda folder: spark.range(30).write.parquet(folder))
+    assert published(spark, path) == third and spark.read.parquet(published(spark, path)).count() == 30
+    assert sorted(x for x in os.listdir(path) if x.startswith("version-")) == [os.path.basename(second), os.path.basename(third)]
 
 
 def test_cluster_docs_or_rejects(spark, scratch):
@@ -84,8 +118,8 @@ def test_cluster_docs_or_rejects(spark, scratch):
     assert not {r.deploy_id for r in docs} & {r.deploy_id for r in rejects}
     assert len(docs) > 50 and rejects and all(r.reason and r.component for r in rejects)
     assert not any('"servers":[null' in r.doc or '"ip":null' in r.doc or ",null" in r.doc or "password" in r.doc for r in docs)
-    D.write_cluster_docs(spark.createDataFrame([(r.deploy_id, r.doc) for r in docs], "deploy_id long, doc string"), f"{scratch}/docs")
-    assert len(spark.read.text(f"{scratch}/docs").collect()) == len(docs)
+    folder = D.write_cluster_docs(spark.createDataFrame([(r.deploy_id, r.doc) for r in docs], "deploy_id long, doc string"), f"{scratch}/docs")
+    assert len(spark.read.text(folder).collect()) == len(docs)
 
 
 def test_listing_without_addresses_gives_rejects_only(spark):
@@ -196,8 +230,8 @@ def test_inventory_file_order(spark, scratch):
     import glob
 
     lines, _ = D.render_inventory(_addressed(spark), fixture(spark, SF, "fx_deployment"), C.profiles_with_role(spark, SF))
-    D.write_lines(lines, f"{scratch}/inv_order")
-    one = sorted(glob.glob(f"{scratch}/inv_order/deploy_id=*"))[0]
+    folder = D.write_lines(lines, f"{scratch}/inv_order")
+    one = sorted(glob.glob(f"{folder}/deploy_id=*"))[0]
     dep = int(one.rsplit("=", 1)[1])
     text = "".join(open(f).read() for f in sorted(glob.glob(f"{one}/part-*")))
     want = [r.line for r in lines.where(F.col("deploy_id") == dep).orderBy("section", "idx", "kind").collect()]
