@@ -435,34 +435,26 @@ def test_component_placement_cases(spark):
     assert why == {(1, "oceanbase-ce"): D.NO_ADDRESS, (1, "obagent"): D.NO_ADDRESS, (2, "ob-configserver"): D.NO_ADDRESS, (2, "ocp-server-ce"): D.NO_SERVER}
 
 
-@settings(max_examples=6, deadline=None)
-@given(st.lists(st.tuples(
-    st.dictionaries(st.sampled_from(["observer", "obproxy", "configserver", "monitoring", "ocp"]),
-                    st.integers(1, 3)), st.booleans()), min_size=1, max_size=6))
-def test_scrape_targets_match_generator(spark, deps):
+def test_scrape_targets_cases(spark):
+    """Deployment 0 runs prometheus with every role, 1 with one observer, 2 has it off."""
     from fleetlens.sinks import documents as D
 
-    inv, want = [], set()
-    for d, (counts, prom) in enumerate(deps):
-        counts = dict(counts, observer=counts.get("observer", 1))
-        hosts = []
-        for role in ("observer", "obproxy", "configserver", "monitoring", "ocp"):
-            for i in range(1, counts.get(role, 0) + 1):
-                name = f"d{d}-{role}-{i}"
-                inv.append((d, role, i, name, "", f"10.{d}.0.{i}"))
-                if role != "ocp":
-                    hosts.append((role, f"{name}:9100", f"{name}:8088"))
-        if prom:  # the generator writes scrape jobs only with prometheus
-            want.add((d, "prometheus", "/metrics", "localhost:9090"))
-            want |= {(d, "node_exporter", "/metrics", t) for _, t, _ in hosts}
-            for job, path in [("node", "/metrics/node/host"), ("ob_basic", "/metrics/ob/basic"),
-                              ("ob_extra", "/metrics/ob/extra"), ("agent", "/metrics/stat")]:
-                want |= {(d, job, path, a) for r, _, a in hosts if r == "observer"}
-    inv_df = spark.createDataFrame(inv, "deploy_id long, role string, idx int, name string, zone string, ip string")
-    flags = spark.createDataFrame([(d, p, True) for d, (_, p) in enumerate(deps)],
-                                  "deploy_id long, prometheus boolean, node_exporter boolean")
-    got = {(r.deploy_id, r.job_name, r.metrics_path, r.target) for r in D.scrape_targets(inv_df, flags, flags.select("deploy_id")).collect()}
-    assert got == want
+    vms = [(0, "observer", 1, "a1"), (0, "observer", 2, "a2"), (0, "obproxy", 1, "p1"), (0, "configserver", 1, "c1"), (0, "monitoring", 1, "m1"),
+           (0, "ocp", 1, "o1"), (1, "observer", 1, "b1"), (2, "observer", 1, "x1")]
+    inv = spark.createDataFrame([(d, r, i, n, "", f"10.0.0.{k}") for k, (d, r, i, n) in enumerate(vms)],
+                                "deploy_id long, role string, idx int, name string, zone string, ip string")
+    flags = spark.createDataFrame([(0, True, True), (1, True, True), (2, False, True)], "deploy_id long, prometheus boolean, node_exporter boolean")
+    got = sorted((r.deploy_id, r.job_name, r.metrics_path, r.target) for r in D.scrape_targets(inv, flags, flags.select("deploy_id")).collect())
+    assert got == sorted([
+        (0, "prometheus", "/metrics", "localhost:9090"),
+        (0, "node_exporter", "/metrics", "a1:9100"), (0, "node_exporter", "/metrics", "a2:9100"), (0, "node_exporter", "/metrics", "p1:9100"),
+        (0, "node_exporter", "/metrics", "c1:9100"), (0, "node_exporter", "/metrics", "m1:9100"),
+        (0, "node", "/metrics/node/host", "a1:8088"), (0, "node", "/metrics/node/host", "a2:8088"),
+        (0, "ob_basic", "/metrics/ob/basic", "a1:8088"), (0, "ob_basic", "/metrics/ob/basic", "a2:8088"),
+        (0, "ob_extra", "/metrics/ob/extra", "a1:8088"), (0, "ob_extra", "/metrics/ob/extra", "a2:8088"),
+        (0, "agent", "/metrics/stat", "a1:8088"), (0, "agent", "/metrics/stat", "a2:8088"),
+        (1, "prometheus", "/metrics", "localhost:9090"), (1, "node_exporter", "/metrics", "b1:9100"), (1, "node", "/metrics/node/host", "b1:8088"),
+        (1, "ob_basic", "/metrics/ob/basic", "b1:8088"), (1, "ob_extra", "/metrics/ob/extra", "b1:8088"), (1, "agent", "/metrics/stat", "b1:8088")])
 
 
 def test_inventory_lines_of_one_deployment(spark):
@@ -511,24 +503,18 @@ def test_ready_after_matches_poll_loop(spark, events, poll, timeout):
     assert got == want
 
 
-@settings(max_examples=5, deadline=None)
-@given(st.lists(st.tuples(st.lists(st.sampled_from(["", "10.0.0.1", "10.0.0.2"]), min_size=1, max_size=12),
-                          st.sampled_from([None, "", "ops"]), st.sampled_from(["adm", "root"])), min_size=1, max_size=5))
-def test_server_overrides_match_generator(spark, deps):
+def test_server_overrides_cases(spark):
+    """Zones count along the servers of a deployment; an empty address is an error row; '' is a configured user."""
     from fleetlens.sinks import documents as D
 
-    inv = [(d, "observer", i, f"d{d}-observer-{i}", "", ip) for d, (ips, _, _) in enumerate(deps)
-           for i, ip in enumerate(ips, 1)]
-    inv_df = spark.createDataFrame(inv, "deploy_id long, role string, idx int, name string, zone string, ip string")
-    dep = spark.createDataFrame([(d, u, s) for d, (_, u, s) in enumerate(deps)],
-                                "deploy_id long, deploy_user string, ssh_user string")
-    got = {(r.deploy_id, r.server_name): (r.ip, r.zone, r.home_path) for r in D.server_overrides(inv_df, dep).collect()}
-    want = {}
-    for d, (ips, user, ssh) in enumerate(deps):
-        home_user = ssh if user is None else user  # absent-only fallback of the generator
-        for i, ip in enumerate(ips, 1):
-            want[(d, f"server{i}")] = (ip or None, f"zone{(i - 1) % len(ips) + 1}", f"/home/{home_user}/observer")
-    assert got == want
+    inv = spark.createDataFrame([(0, "observer", 1, "a1", "", "10.0.0.1"), (0, "observer", 2, "a2", "", ""), (0, "observer", 3, "a3", "", "10.0.0.2"),
+                                 (1, "observer", 1, "b1", "", "10.0.0.2"), (2, "observer", 1, "c1", "", "10.0.0.3")],
+                                "deploy_id long, role string, idx int, name string, zone string, ip string")
+    dep = spark.createDataFrame([(0, None, "adm"), (1, "ops", "root"), (2, "", "adm")], "deploy_id long, deploy_user string, ssh_user string")
+    got = sorted((r.deploy_id, r.server_name, r.ip, r.zone, r.home_path) for r in D.server_overrides(inv, dep).collect())
+    assert got == [(0, "server1", "10.0.0.1", "zone1", "/home/adm/observer"), (0, "server2", None, "zone2", "/home/adm/observer"),
+                   (0, "server3", "10.0.0.2", "zone3", "/home/adm/observer"), (1, "server1", "10.0.0.2", "zone1", "/home/ops/observer"),
+                   (2, "server1", "10.0.0.3", "zone1", "/home//observer")]
 
 
 @settings(max_examples=5, deadline=None)
@@ -552,62 +538,39 @@ def test_image_availability_matches_check(spark, wanted, images):
     assert got == want
 
 
-@settings(max_examples=5, deadline=None)
-@given(st.lists(st.tuples(st.one_of(st.none(), st.booleans()), st.one_of(st.none(), st.booleans()),
-                          st.dictionaries(st.sampled_from(["observer", "monitoring", "ocp"]), PROFILE, max_size=3)),
-                min_size=1, max_size=10))
-def test_feature_flags_match_generator(spark, deps):
+def test_feature_flags_cases(spark):
+    """(ocp_enabled, prometheus_component, profiles) -> management, prometheus, grafana, exporter, production."""
     from fleetlens.operators import profiles as P
 
-    cols = ["count", "enabled", "dedicated"]
-    rows = [(d, role, *[p.get(c) for c in cols]) for d, (_, _, cfg) in enumerate(deps) for role, p in cfg.items()]
+    cases = [
+        (True, None, {"ocp": {"enabled": True}, "observer": {"count": 3}}, (True, False, False, False, True)),
+        (True, None, {"ocp": {"enabled": False}, "observer": {"count": 2}}, (False, False, False, False, False)),
+        (None, None, {"ocp": {"enabled": True}, "observer": {}}, (False, False, False, False, True)),
+        (False, True, {"observer": {"count": 1}}, (False, True, False, True, False)),
+        (None, False, {"monitoring": {"enabled": True}, "observer": {"count": 5}}, (False, True, True, True, True)),
+        (None, True, {"monitoring": {}, "observer": {"count": 3}}, (False, True, False, True, True)),
+        (True, None, {}, (False, False, False, False, True)),
+    ]
+    rows = [(d, role, p.get("count"), p.get("enabled"), p.get("dedicated")) for d, (_, _, cfg, _) in enumerate(cases) for role, p in cfg.items()]
     prof = spark.createDataFrame(rows, "deploy_id long, role_in string, vm_count int, enabled boolean, dedicated boolean")
-    dep = spark.createDataFrame([(d, o, pc) for d, (o, pc, _) in enumerate(deps)],
-                                "deploy_id long, ocp_enabled boolean, prometheus_component boolean")
+    dep = spark.createDataFrame([(d, o, c) for d, (o, c, _, _) in enumerate(cases)], "deploy_id long, ocp_enabled boolean, prometheus_component boolean")
     resolved, _ = P.resolve_profiles(prof, dep, P.alias_frame(spark), keep_raw=True)
-    got = {r.deploy_id: (r.management, r.prometheus, r.grafana, r.node_exporter, r.production_mode)
-           for r in I.feature_flags(dep, resolved).collect()}
-    want = {}
-    for d, (ocp, prom_c, cfg) in enumerate(deps):
-        mon_vm = bool(cfg.get("monitoring", {}).get("enabled", False))
-        want[d] = (bool(ocp) and bool(cfg.get("ocp", {}).get("enabled", False)),
-                   bool(prom_c) or mon_vm, mon_vm, mon_vm or bool(prom_c),
-                   cfg.get("observer", {}).get("count", 3) >= 3)
-    assert got == want
-
-
-@settings(max_examples=5, deadline=None)
-@given(st.lists(st.tuples(st.integers(1, 4), st.booleans(), st.booleans()), min_size=1, max_size=4),
-       st.lists(st.tuples(st.integers(0, 3), st.integers(1, 4), st.sampled_from(["-data", "-log"]),
-                          st.sampled_from(["READY", "DELETING"])), max_size=10),
-       st.lists(st.tuples(st.integers(0, 3), st.integers(1, 4)), max_size=6))
-def test_disks_to_create_match_provisioner(spark, deps, disks, existing):
-    """New VMs = queued names not listed; their data / log disks by the role profile, minus
-    disks that exist and are not being deleted."""
-    deps = [(n, de, le) for n, de, le in deps]
-    prof = spark.createDataFrame([(d, "observer", n) for d, (n, _, _) in enumerate(deps)],
-                                 "deploy_id long, role string, vm_count int")
-    dep = spark.createDataFrame([(d, f"p{d}") for d in range(len(deps))], "deploy_id long, deploy_name string")
-    resolved = spark.createDataFrame([(d, "observer", de, "t", 1, le, "t", 1) for d, (_, de, le) in enumerate(deps)],
-                                     "deploy_id long, role string, data_enabled boolean, data_type string, "
-                                     "data_size_gb int, log_enabled boolean, log_type string, log_size_gb int")
-    listing = spark.createDataFrame([(i, f"p{d}-observer-{k}") for i, (d, k) in enumerate(existing)] or
-                                    [(-1, "none")], "instance_id long, name string")
-    disk_rows = [(i, f"p{d}-observer-{k}{suf}", st_) for i, (d, k, suf, st_) in enumerate(disks)] or [(-1, "x", "READY")]
-    dl = spark.createDataFrame(disk_rows, "disk_id long, name string, status string")
+    got = {r.deploy_id: (r.management, r.prometheus, r.grafana, r.node_exporter, r.production_mode) for r in I.feature_flags(dep, resolved).collect()}
+    assert got == {d: want for d, (_, _, _, want) in enumerate(cases)}
+
+
+def test_disks_to_create_cases(spark):
+    """Disks of VMs that aren't listed yet, by the role's switches, but not those that are there; a disk that is being deleted isn't."""
+    prof = spark.createDataFrame([(0, "observer", 3), (1, "observer", 2), (2, "observer", 1)], "deploy_id long, role string, vm_count int")
+    dep = spark.createDataFrame([(0, "p0"), (1, "p1"), (2, "p2")], "deploy_id long, deploy_name string")
+    resolved = spark.createDataFrame([(0, "observer", True, "t", 1, True, "t", 1), (1, "observer", True, "t", 1, False, "t", 1), (2, "observer", False, "t", 1, False, "t", 1)],
+                                     "deploy_id long, role string, data_enabled boolean, data_type string, data_size_gb int, log_enabled boolean, log_type string, log_size_gb int")
+    listing = spark.createDataFrame([(1, "p0-observer-2"), (2, "p9-observer-1")], "instance_id long, name string")
+    disks = spark.createDataFrame([(1, "p0-observer-1-data", "READY"), (2, "p0-observer-3-log", "DELETING"), (3, "p1-observer-2-log", "READY"),
+                                   (4, "p1-observer-2-data", "DELETING"), (5, "p1-observer-2-data", "CREATING")], "disk_id long, name string, status string")
     new = I.new_vms(I.vm_queue(dep, prof), listing)
-    got = {r.disk_name for r in I.disks_to_create(new, resolved, dl).collect()}
-    have = {f"p{d}-observer-{k}" for d, k in existing}
-    live = {f"p{d}-observer-{k}{suf}" for d, k, suf, st_ in disks if st_ != "DELETING"}
-    want = set()
-    for d, (n, de, le) in enumerate(deps):
-        for k in range(1, n + 1):
-            vm = f"p{d}-observer-{k}"
-            if vm in have:
-                continue
-            want |= {vm + "-data"} if de else set()
-            want |= {vm + "-log"} if le else set()
-    assert got == want - live
+    got = {r.disk_name for r in I.disks_to_create(new, resolved, disks).collect()}
+    assert got == {"p0-observer-1-log", "p0-observer-3-data", "p0-observer-3-log", "p1-observer-1-data"}
 
 
 @settings(max_examples=5, deadline=None)
