@@ -44,6 +44,48 @@ def test_templates(spark):
     assert 0 < got[2].score < 1 and 0 < got[11].score < 1
 
 
+def test_whole_licences(spark):
+    """The licences as they are printed, with names filled in, wrapped and commented; a changed word is no match."""
+    fill = lambda t: re.sub(r"<<any \d+ \d+>>", "the Acme Authors", re.sub(r"<<like [^>]*>>", "2024", re.sub(r"<</?optional>>", "", t)))
+    wrap = lambda t: "/*\n * " + "\n * ".join(t[i: i + 70] for i in range(0, len(t), 70)) + "\n */"
+    names = ["mit", "isc", "bsd-2-clause", "bsd-3-clause", "zlib"]
+    rows, want = [], {}
+    for name in names:
+        text = fill(S.TEMPLATES[name][-1])
+        for k, t in enumerate((text, "Copyright (c) 2024 Acme\n\n" + text.replace(". ", ".\n\n") + "\n\nint main;", text.upper(), text.rsplit(" ", 3)[0],
+                               text.replace("software", "hardware").replace("SOFTWARE", "HARDWARE"))):
+            rows.append((len(rows), t))
+            want[len(rows) - 1] = (name in ("mit", "isc", "bsd-2-clause", "bsd-3-clause", "zlib") and k < 3, name)
+    got = {r.doc_id: r for r in S.scan_licenses(frame(spark, rows)).collect()}
+    for i, (yes, name) in want.items():
+        assert (name in got[i].labels.split(",")) == yes, (name, i)
+        assert got[i].score == 1.0 if yes else got[i].score > 0
+    three = rows[15][1]
+    assert got[15].labels == "bsd,bsd-3-clause" and "Neither the name" in three
+    assert wrap("x")
+
+
+def test_fields_with_patterns():
+    a = S.compile_template("x", "All rights <<optional>>since <<like (19|20)[0-9]{2}>><</optional>> reserved")
+    ok = ["all rights reserved", "all rights since 1999 reserved"]
+    no = ["all rights since 99 reserved", "all rights since x1999 reserved", "all rights since reserved"]
+    assert [a.run(t.split(), 0) == 1 for t in ok + no] == [True] * 2 + [False] * 3
+    with pytest.raises(ValueError):
+        S.compile_template("x", "a <<like b>> c")
+
+
+def test_long_templates_compile_in_linear_time():
+    import time
+
+    spent = []
+    for n in (2000, 20_000):
+        t = time.process_time()
+        a = S.compile_template("x", " ".join(f"w{i} <<optional>>v{i}<</optional>>" for i in range(n)))
+        spent.append(time.process_time() - t)
+        assert a.left[0] == n
+    assert spent[1] < 40 * max(spent[0], 0.05)
+
+
 def test_markup():
     a = S.compile_template("x", "a b <<optional>>c <<any 1 2>><</optional>> d")
     ok = ["a b d", "a b c z d", "a b c z z d"]
