@@ -62,6 +62,8 @@ POINTS = 1 << 18
 NO_ID = (1 << 63) - 1
 #: Largest bucket that is searched, largest cluster that one task holds.
 HOT, LARGE, LARGE_BYTES = 20_000, 20_000, 256 << 20
+#: Bytes of a written table up to which it is broadcast, so that the other side doesn't move.
+SMALL = 64 << 20
 #: Equal two-bit fields of two bytes, by their exclusive or.
 FIELDS = np.array([sum(x >> i & 3 == 0 for i in (0, 2, 4, 6)) for x in range(256)], np.uint8)
 
@@ -156,8 +158,7 @@ def _sets_of(batch_col, width):
         yield shingle_sets(LOWER[data[offsets[lo]: offsets[hi]]], offsets[lo: hi + 1] - offsets[lo], width)
 
 
-SKETCH = ("row bigint, id bigint, digest binary, node bigint, check bigint, n bigint, bands array<bigint>, "
-          "regs binary, code binary")
+SKETCH = "row bigint, id bigint, digest binary, node bigint, check bigint, n bigint, regs binary"
 
 
 def sketch(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -166,28 +167,52 @@ def sketch(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(batches):
         made = TaskContext.get().partitionId() << 36
         for batch in batches:
-            nodes, sizes, bands, regs, code = [], [], [], [], []
+            nodes, sizes, regs = [], [], []
             for sets in _sets_of(batch.column(2), width):
-                r = registers(sets)
-                folded = r.reshape(len(sets), BANDS, ROWS).astype(U64)
-                h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U64), (len(sets), BANDS))
-                for i in range(ROWS):
-                    h = mix(h * U64(0x9E3779B97F4A7C15) + folded[:, :, i])
                 nodes += [_node(s) for s in sets]
                 sizes += [len(s) for s in sets]
-                bands += list(h.astype(np.int64))
-                regs += [x.tobytes() for x in r]
-                code += [x.tobytes() for x in codes(r)]
+                regs += [x.tobytes() for x in registers(sets)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(made, made + len(nodes))), batch.column(0), batch.column(1), pa.array([x for x, _ in nodes], pa.int64()),
-                 pa.array([x for _, x in nodes], pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.array(bands, pa.list_(pa.int64())), pa.array(regs, pa.binary()), pa.array(code, pa.binary())],
-                names=["row", "id", "digest", "node", "check", "n", "bands", "regs", "code"])
+                 pa.array([x for _, x in nodes], pa.int64()), pa.array(sizes, pa.int64()), pa.array(regs, pa.binary())],
+                names=["row", "id", "digest", "node", "check", "n", "regs"])
             made += len(nodes)
 
     return docs.mapInArrow(run, SKETCH)
 
 
+def _registers_of(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+
+def band_keys(nodes: DataFrame) -> DataFrame:
+    """(node, n, key) of (node, n, regs): the buckets of each node."""
+
+    def run(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, 4096):
+                part = batch.slice(low, 4096)
+                folded = _registers_of(part.column(2)).reshape(part.num_rows, BANDS, ROWS).astype(U64)
+                h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U64), (part.num_rows, BANDS))
+                for i in range(ROWS):
+                    h = mix(h * U64(0x9E3779B97F4A7C15) + folded[:, :, i])
+                node, n = (np.repeat(part.column(i).to_numpy(), BANDS) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n), pa.array(h.ravel().view(np.int64))], names=["node", "n", "key"])
+
+    return nodes.select("node", "n", "regs").mapInArrow(run, "node bigint, n bigint, key bigint")
+
+
+def node_codes(nodes: DataFrame) -> DataFrame:
+    """(node, code) of (node, regs)."""
+
+    def run(batches):
+        for batch in batches:
+            code = [x.tobytes() for x in codes(_registers_of(batch.column(1)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code, pa.binary())], names=["node", "code"])
+
+    return nodes.select("node", "regs").mapInArrow(run, "node bigint, code binary")
+
+
 def _full_sets(rows: DataFrame, width: int) -> DataFrame:
     """(node, shingles) of (node, text), where the text's set is the node's; once a task."""
 
@@ -377,12 +402,17 @@ def _clusters(threshold: int):
     return run
 
 
+def _small(written: DataFrame, row_bytes: int) -> DataFrame:
+    """The written table, broadcast in joins if its rows of so many bytes are ``SMALL``."""
+    return F.broadcast(written) if written.count() * row_bytes <= SMALL else written
+
+
 def _members(exploded: DataFrame) -> DataFrame:
     """(key, node, n, size, least) of the buckets that hold several nodes; those of the same members count once."""
     shared = exploded.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("all"),
                                          F.min("node").alias("least")).where("size > 1")
     shared = stored(shared.groupBy("size", "all", "least").agg(F.min("key").alias("key")))
-    return stored(exploded.join(shared.select("key", "size", "least"), "key"))
+    return stored(exploded.join(_small(shared.select("key", "size", "least"), 32), "key"))
 
 
 def rarest(sets: DataFrame, threshold: int) -> DataFrame:
@@ -440,9 +470,9 @@ def link_components(nodes: DataFrame, sets_of, threshold: int = THRESHOLD, hot:
                     large_bytes: int = LARGE_BYTES) -> DataFrame:
     """(node, comp) of the nodes that may have links; the others are alone.
 
-    nodes: (node, n, bands, regs, code); sets_of(node rows) -> (node, shingles)."""
-    members = _members(nodes.select("node", "n", F.explode("bands").alias("key")))
-    searched = members.where(F.col("size") <= hot).join(nodes.select("node", "code"), "node").select("key", "node", "n", "code")
+    nodes: (node, n, regs); sets_of(node rows) -> (node, shingles)."""
+    members = _members(band_keys(nodes))
+    searched = members.where(F.col("size") <= hot).join(node_codes(nodes), "node").select("key", "node", "n", "code")
     edges = searched.repartition("key").sortWithinPartitions("key").mapInArrow(_forests(threshold), "a bigint, b bigint")
     stars = members.where((F.col("size") > hot) & (F.col("node") != F.col("least"))).select(F.col("least").alias("a"), F.col("node").alias("b"))
     edges = stored(edges.unionByName(stars).distinct())
@@ -462,17 +492,16 @@ def link_components(nodes: DataFrame, sets_of, threshold: int = THRESHOLD, hot:
 
 
 def _classes(sk: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sketches, classes): a class for each set, (node, id, digest, nameless, n, bands, regs, code).
+    """(sketches, classes): a class for each set, (node, id, digest, nameless, n, regs).
 
     id and digest are those of a row that holds the set, nameless is the first row without an id. Where a name
     stands for two different digests all sets get new names, made of both halves."""
     for _ in range(8):
         classes = stored(sk.where("n > 0").groupBy("node").agg(
             F.min(F.struct("id", "digest")).alias("owner"), F.min(F.when(F.col("id") == NO_ID, F.col("row"))).alias("nameless"),
-            F.min("check").alias("low"), F.max("check").alias("high"), F.first("n").alias("n"), F.first("bands").alias("bands"),
-            F.first("regs").alias("regs"), F.first("code").alias("code")))
+            F.min("check").alias("low"), F.max("check").alias("high"), F.first("n").alias("n"), F.first("regs").alias("regs")))
         if classes.where("low < high").isEmpty():
-            return sk, classes.select("node", "owner.id", "owner.digest", "nameless", "n", "bands", "regs", "code")
+            return sk, classes.select("node", "owner.id", "owner.digest", "nameless", "n", "regs")
         sk = stored(sk.withColumn("node", F.xxhash64("node", "check")))
     raise ValueError("sets can't be told apart by 64 bits")
 
@@ -489,11 +518,11 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = WI
     owners = classes.select("node", "id", "nameless")
 
     def sets_of(rows):
-        wanted = classes.select("node", "id", "digest").join(rows, "node").select("node", "id", "digest")
+        wanted = _small(stored(classes.select("node", "id", "digest").join(rows, "node").select("node", "id", "digest")), 48)
         texts = src.join(wanted, ["id", "digest"]).select("node", "text")  # rows of other texts don't meet, whatever their id
         return _full_sets(texts, width).dropDuplicates(["node"])
 
-    comp = link_components(classes.select("node", "n", "bands", "regs", "code"), sets_of, threshold, hot, large)
+    comp = link_components(classes.select("node", "n", "regs"), sets_of, threshold, hot, large)
     low = owners.join(comp, "node").groupBy("comp").agg(F.min("id").alias("component"), F.min("nameless").alias("first"))
     named = comp.join(low, "comp").select("node", "component", "first")
     named = owners.join(named, "node", "left").select("node", F.coalesce("component", "id").alias("component"), F.coalesce("first", "nameless").alias("first"))
