@@ -307,15 +307,15 @@ def q_component_closure(spark, sf):
     return G.component_closure(runs, fixture(spark, sf, "fx_component_edge"), optional=("ob-configserver", "obagent"))[0]
 
 
-# A graph of the size of the orders table: nodes in eight layers, chains, and rings that are cycles.
-EDGES_SQL = """SELECT 'n' || CAST(o_orderkey % 8 AS {text}) || '-' || CAST(o_custkey % 97 AS {text}) AS component,
-       CASE WHEN o_orderkey % 8 = 7 THEN 'z' || CAST(o_custkey % 70 AS {text})
-            ELSE 'n' || CAST(o_orderkey % 8 + 1 AS {text}) || '-' || CAST(o_orderkey % 89 AS {text}) END AS depends_on
+# A graph of the size of the orders table: nodes in five layers, chains, and rings that are cycles.
+EDGES_SQL = """SELECT 'n' || CAST(o_orderkey % 5 AS {text}) || '-' || CAST(o_custkey % 97 AS {text}) AS component,
+       CASE WHEN o_orderkey % 5 = 4 THEN 'z' || CAST(o_custkey % 64 AS {text})
+            ELSE 'n' || CAST(o_orderkey % 5 + 1 AS {text}) || '-' || CAST(o_orderkey % 89 AS {text}) END AS depends_on
 FROM orders
 UNION ALL
-SELECT 'z' || CAST(c_custkey % 70 AS {text}),
-       CASE WHEN c_custkey % 70 % 7 < 6 THEN 'z' || CAST(c_custkey % 70 + 1 AS {text})
-            WHEN c_custkey % 70 % 14 < 7 THEN 'z' || CAST(c_custkey % 70 - 6 AS {text}) END
+SELECT 'z' || CAST(c_custkey % 64 AS {text}),
+       CASE WHEN c_custkey % 4 < 3 THEN 'z' || CAST(c_custkey % 64 + 1 AS {text})
+            WHEN c_custkey % 8 < 4 THEN 'z' || CAST(c_custkey % 64 - 3 AS {text}) END
 FROM customer"""
 
 
