@@ -11,7 +11,9 @@ path (``MAX_VOCAB`` bounds it); it is broadcast once. The memo of pre-tokens
 seen by a task holds at most ``MEMO`` entries, is emptied when full and never
 changes a result.
 
-Nulls and empty texts have no tokens. Repeated rows each get their own row.
+Nulls and empty texts have no tokens. Repeated rows and null ids each get their own row. Texts of any
+length are encoded whole (a pre-token too: its heap grows with it). Other columns, whatever their
+names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

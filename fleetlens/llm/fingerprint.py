@@ -12,7 +12,8 @@ Likeness is the cosine of the near lanes read as signed numbers, cut to 0..1
 the sums of up to 2**31 - 1 runs, more than a text of Spark's 2 GB can have.
 
 Null and empty texts have the zero fingerprint. Rows with equal ids are
-ordered by text; a null id stands below every id.
+ordered by text; a null id stands below every id. Texts of any length are taken whole. Other
+columns, whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ The counts are summed inside each task, then once by (language, bin): at most
 
 A null text or one without a letter is ``und`` with score 0 and no
 proportions. Rows without a language are not learned from. With nothing to
-learn from, every text is ``und``. Repeated rows each get their own row.
+learn from, every text is ``und``. Repeated rows and null ids each get their own row. Equal proportions
+go to the language that comes first by name. Texts of any length are counted whole, in pieces.
+Other columns, whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

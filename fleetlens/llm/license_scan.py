@@ -12,8 +12,9 @@ Phrases (plain words) are counted wherever they stand consecutively. A scan
 with no shuffle; phrases and templates are a short list given by the caller
 (``MAX_TEMPLATES`` bounds it).
 
-Null and empty texts have no words, no labels and score 0. Repeated rows each
-get their own row.
+Null and empty texts have no words, no labels and score 0. Repeated rows and null ids each
+get their own row. Texts of any length are read whole. Other columns, whatever their names, are not
+read; an empty table gives no rows.
 """
 
 from __future__ import annotations

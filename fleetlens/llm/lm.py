@@ -20,7 +20,8 @@ and buckets have a fixed size; their number follows the input.
 
 Defined results: null and empty texts are the end token alone. A null id learns
 (its fold is not the held-out one). Repeated rows count, and are scored, once
-each. Words are told apart by 64 bits.
+each. Words are told apart by 64 bits. Other columns, whatever their names, are not read; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

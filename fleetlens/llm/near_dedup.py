@@ -33,7 +33,8 @@ and kept. Rows are judged one by one, also rows that share an id: ``component_id
 smallest id that a row reaches, and it is kept if that is its own. Rows without an id
 stand after all ids; of a component of such rows alone, whose ``component_id`` is null, one
 row is kept. Nodes are named by 64 bits of their set's 128-bit digest; if two different digests of
-the input share a name, all are named anew. Shingles are 64-bit hashes.
+the input share a name, all are named anew. Shingles are 64-bit hashes. Texts of any length are taken
+whole. Other columns, whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

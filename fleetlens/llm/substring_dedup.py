@@ -19,7 +19,8 @@ ids. Rows with the same id never remove from each other unless they are read
 ``apart``: then other texts under one id are documents of their own, ordered by
 uid, and only rows with the same text stand together. Windows are named by
 96 bits: two different ones are taken for equal with probability n**2 / 2**97,
-n being the windows looked up (6e-9 for 3e10).
+n being the windows looked up (6e-9 for 3e10). Texts of any length are worked whole. Other columns,
+whatever their names, are not read (``rewrite_documents`` carries them along); an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -21,7 +21,9 @@ its documents, so a string that a third of all documents share costs a shard
 one tuple for each few thousand documents. Whole copies are settled by digest.
 
 Defined results: null texts are empty; a null id stands after all ids; rows
-with the same id never remove from each other; repeated rows each get their row.
+with the same id never remove from each other; repeated rows each get their row. Texts of any
+length are worked whole. Other columns, whatever their names, are not read; an empty table gives no
+rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ of two equal entries the blocking one.
 A scan with no shuffle. The trie is broadcast; ``MAX_RULE_BYTES`` bounds it.
 
 Null urls and urls without ``://`` have an empty host and path and get the
-default verdict. Repeated rows each get their own row.
+default verdict. Repeated rows and null ids each get their own row. Urls of any length are read
+whole. Other columns, whatever their names, are not read; an empty table gives no rows,
+no rules allow everything.
 """
 
 from __future__ import annotations

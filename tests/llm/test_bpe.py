@@ -7,7 +7,7 @@ import tiktoken
 
 from fleetlens.llm import bpe
 
-from .helpers import frame
+from .helpers import DOCS, clashing, frame
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -57,3 +57,8 @@ def test_query_against_the_library(spark, library):
 
 def test_empty_table(spark):
     assert bpe.encode_documents(frame(spark, [], "doc_id long, text string"), PATH, P.PATTERN).count() == 0
+
+
+def test_other_columns_do_not_matter(spark, library):
+    got = bpe.encode_documents(clashing(spark, DOCS), PATH, P.PATTERN).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(i), len(library.encode_ordinary(t or ""))) for i, t in DOCS)

@@ -50,3 +50,13 @@ def test_empty_and_bounds(spark):
         raise AssertionError("a rule with an unknown verdict was taken")
     except ValueError:
         pass
+
+
+def test_long_urls_and_other_columns(spark):
+    """Urls of a megabyte are read whole; columns named like the operator's own don't matter."""
+    deep = "x." * 200_000 + "example.net"
+    urls = [f"http://{deep}/en/" + "y/" * 300_000, f"http://{deep}/de/", "http://example.com/de/" + "z" * 10**6, "http://example.org" + "/fr" * 300_000]
+    df = spark.createDataFrame([(i, u, "h", 1, True, None) for i, u in enumerate(urls)], "page_id long, url string, host string, path int, rule boolean, verdict string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in U.filter_urls(df, URL_RULES).collect()}
+    assert got == {i: brute(u, URL_RULES) for i, u in enumerate(urls)}
+    assert [got[i][3] for i in range(4)] == ["allow", "block", "block", "allow"]
