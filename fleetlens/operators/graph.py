@@ -50,12 +50,12 @@ def _by_length(edges: DataFrame, keys: list[str]) -> DataFrame | None:
 
 def _reachable(edges: DataFrame, keys: list[str]) -> DataFrame:
     """All pairs that some path connects, on any graph: pairs that were visited are not taken up again."""
-    seen = now = edges
+    seen, now = edges, edges
     while True:
         now = stored(_ahead(now, edges, keys).join(seen, [*keys, "component", "depends_on"], "left_anti"))
         if now.isEmpty():
             return seen
-        seen = stored(seen.unionByName(now))
+        seen = seen.unionByName(now)  # of written tables
 
 
 def dependency_closure(edges: DataFrame, keys=()) -> tuple[DataFrame, DataFrame]:
