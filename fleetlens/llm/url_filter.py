@@ -27,6 +27,8 @@ MAX_RULE_BYTES = 64 << 20
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Keys of a trie node that no label or segment can equal.
 ANY, PREFIX, PATHS = ("any",), ("prefix",), ("paths",)
+#: In a table of prefixes: the length of the longest, so that a long segment is cut no further.
+LONGEST = ("longest",)
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -67,6 +69,7 @@ def compile_rules(rules) -> dict:
             for segment in inner:
                 node = node.setdefault(segment, {})
             slot, key = node.setdefault(PREFIX, {}), last
+            slot[LONGEST] = max(slot.get(LONGEST, 0), len(last))
         if key not in slot or verdict == "block":
             slot[key] = (host + path, verdict)
     return root
@@ -88,7 +91,7 @@ def match(trie: dict, host: str, path: str) -> tuple[str, str] | None:
         for i, segment in enumerate(segments):
             ends = here.get(PREFIX)
             if ends:
-                best = next((ends[segment[:n]] for n in range(len(segment), -1, -1) if segment[:n] in ends), best)
+                best = next((ends[segment[:n]] for n in range(min(len(segment), ends[LONGEST]), -1, -1) if segment[:n] in ends), best)
             here = here.get(segment) if i + 1 < len(segments) else None
             if here is None:
                 break
