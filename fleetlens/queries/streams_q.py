@@ -141,4 +141,4 @@ def q_measured_runs_stream(spark, sf):
 )
 def q_health_stream(spark, sf):
     with ST.rocksdb_state(spark):
-        return ST.run_to_table(ST.health_stream(ST.stream_fixture(spark, sf, "fx_probe", end_after=END)), "health")
+        return ST.run_to_table(ST.health_stream(ST.stream_fixture(spark, sf, "fx_probe", end_after=END, one_by_one=True)), "health")

@@ -14,8 +14,8 @@ Stateful rules keep per-key state between micro-batches:
 * #84 health checks keep their rows in a list state until the watermark passes
   them and then work them in event order, so the rows that come out do not
   depend on how the input is cut into micro-batches;
-* #86 sessions are intervals in map state that grow and merge: open ones are
-  told and revised, closed ones leave the state.
+* #86 sessions are intervals that grow and merge, one list state per bucket of clients: open ones
+  are told and revised, closed ones leave the state.
 
 #83, #84 and #86 are ``transformWithStateInPandas`` with event-time timers on the
 RocksDB state store.
@@ -373,71 +373,90 @@ def health_stream(probes: DataFrame, fall: int = 3, rise: int = 2, watermark: st
 # ---------------------------------------------------------------- sessions (#86)
 
 SESSION_OUT = "client_ip string, start_us long, end_us long, n_conns long, state string, revision long"
-SESSION_COLS = [c.split()[0] for c in SESSION_OUT.split(", ")]
+
+
+OPEN_STATE = "client_ip string, start_us long, end_us long, n_conns long, revision long"
 
 
 class SessionProcessor(StatefulProcessor):
-    """#86: the open sessions of a client, as intervals that grow and merge."""
+    """#86: the open sessions of a bucket of clients, as intervals that grow and merge.
+
+    One list per bucket, read and written once a micro-batch: a call of the state store costs
+    more than the work on a client's few sessions. Each open session carries the client's last revision."""
 
     def __init__(self, gap_us: int):
         self.gap = gap_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "start_us long", "end_us long, n long")
-        self.told = handle.getValueState("told", "revision long")
+        self.open = handle.getListState("open", OPEN_STATE)
 
-    def _log(self, key, rows):
-        """The rows, numbered on from the client's last one."""
-        at = self.told.get()[0] if self.told.exists() else 0
-        self.told.update((at + len(rows),))
-        return pd.DataFrame([(key[0], *r, at + i) for i, r in enumerate(rows, 1)], columns=SESSION_COLS)
+    def _have(self):
+        """The open sessions as arrays: client, start, end, connections, last revision of the client."""
+        client, *numbers = zip(*self.open.get()) if self.open.exists() else ((),) * 5
+        return np.array(client, dtype=object), *(np.array(x, dtype="int64") for x in numbers)
+
+    def _keep(self, client, start, end, n, revision) -> None:
+        """These are open from now on; the timer is at the end of the first one."""
+        if not len(client):
+            self.open.clear()
+            return
+        self.open.put(list(zip(client.tolist(), start.tolist(), end.tolist(), n.tolist(), revision.tolist())))
+        _retime(self.handle, -(-int(end.min()) // 1000))
+
+    def _log(self, names, told, code, start, end, n, state):
+        """The rows, numbered on from each client's last one; ``told`` is moved on to the new last ones."""
+        order = np.lexsort((start, state != "withdrawn", code))
+        code, start, end, n, state = (x[order] for x in (code, start, end, n, state))
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        revision = told[code] + 1 + np.arange(len(code)) - np.repeat(first, np.diff(np.append(first, len(code))))
+        np.maximum.at(told, code, revision)
+        return pd.DataFrame({"client_ip": names[code], "start_us": start, "end_us": end, "n_conns": n, "state": state, "revision": revision})
 
     def handleInputRows(self, key, rows, timerValues):
-        if _keyless(key):
+        new = pd.concat([pdf[["client_ip", "event_us"]] for pdf in rows], ignore_index=True)
+        new = new[new["client_ip"].notna()]  # the closing row has no client
+        if not len(new):
             return
-        t = np.sort(np.concatenate([pdf["event_us"].to_numpy() for pdf in rows]))
-        cut = np.flatnonzero(np.concatenate([[True], t[1:] - t[:-1] >= self.gap]))
-        stop = np.append(cut[1:], len(t))
-        have = {k[0]: tuple(v) for k, v in self.open.iterator()}
-        before = dict(have)
-        for a, b in zip(cut.tolist(), stop.tolist()):
-            start, end, n = int(t[a]), int(t[b - 1]) + self.gap, b - a
-            for s, (e, m) in list(have.items()):  # sessions less than the gap apart are one
-                if s < end and start < e:
-                    start, end, n = min(start, s), max(end, e), n + m
-                    del have[s]
-            have[start] = (end, n)
-        out = []
-        for s in before:
-            if s not in have:
-                self.open.removeKey((s,))
-                out.append((s, *before[s], "withdrawn"))
-        for s, value in sorted(have.items()):
-            if before.get(s) != value:
-                self.open.updateValue((s,), value)
-                out.append((s, *value, "open"))
-        _retime(self.handle, -(-min(e for e, _ in have.values()) // 1000))
-        yield self._log(key, out)
+        t = new["event_us"].astype("int64").to_numpy()
+        client, start, end, n, revision = self._have()
+        open_before = len(client)
+        code, names = pd.factorize(np.concatenate([client, new["client_ip"].to_numpy(dtype=object)]))
+        told = np.zeros(len(names), dtype="int64")
+        np.maximum.at(told, code[:open_before], revision)
+        start, end, n = np.concatenate([start, t]), np.concatenate([end, t + self.gap]), np.concatenate([n, np.ones_like(t)])
+        order = np.lexsort((start, code))  # stable: of one start the open session is first
+        known = (np.arange(len(code)) < open_before)[order]
+        code, start, end, n = (x[order] for x in (code, start, end, n))
+        reach = pd.Series(end).groupby(code, sort=False).cummax().to_numpy()
+        begins = np.append(True, (code[1:] != code[:-1]) | (start[1:] >= reach[:-1]))  # sessions less than the gap apart are one
+        first = np.flatnonzero(begins)
+        grown = np.add.reduceat((~known).astype("int64"), first) > 0
+        gone = known & ~begins
+        now = code[first], start[first], np.maximum.reduceat(end, first), np.add.reduceat(n, first)
+        out = [np.concatenate([x[gone], y[grown]]) for x, y in zip((code, start, end, n), now)]
+        log = self._log(names, told, *out, np.repeat(np.array(["withdrawn", "open"], dtype=object), [gone.sum(), grown.sum()]))
+        self._keep(names[now[0]], *now[1:], told[now[0]])
+        yield log
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        have = sorted((k[0], *v) for k, v in self.open.iterator())
-        closed = [x for x in have if x[1] <= passed]
-        for s, _, _ in closed:
-            self.open.removeKey((s,))
-        if len(closed) < len(have):
-            self.handle.registerTimer(-(-min(x[1] for x in have if x[1] > passed) // 1000))
-        if closed:
-            yield self._log(key, [(*x, "closed") for x in closed])
-        if len(closed) == len(have):
-            self.told.clear()  # nothing of the client is left in the state
+        client, start, end, n, revision = self._have()
+        over = end <= timerValues.getCurrentWatermarkInMs() * 1000
+        if not over.any():
+            return self._keep(client, start, end, n, revision)
+        code, names = pd.factorize(client)
+        told = np.zeros(len(names), dtype="int64")
+        np.maximum.at(told, code, revision)
+        log = self._log(names, told, code[over], start[over], end[over], n[over], np.full(over.sum(), "closed", dtype=object))
+        # nothing of a client without open sessions is left in the state
+        self._keep(client[~over], start[~over], end[~over], n[~over], told[code][~over])
+        yield log
 
     def close(self) -> None:
         pass
 
 
-def idle_sessions_stream(conns: DataFrame, gap: str = "24 hours", watermark: str = "24 hours") -> DataFrame:
+def idle_sessions_stream(conns: DataFrame, gap: str = "24 hours", watermark: str = "24 hours", buckets: int = 256) -> DataFrame:
     """#86 on a stream, told as it goes: a log of (client_ip, session_start, session_end, n_conns, state, revision).
 
     Each micro-batch tells the sessions that began or grew in it (``open``, with the end
@@ -445,11 +464,14 @@ def idle_sessions_stream(conns: DataFrame, gap: str = "24 hours", watermark: str
     ``withdrawn``; a session is ``closed`` when the watermark passes its end and leaves the state then.
     ``settled_sessions`` gives what holds at the end of a log. Connections may come in any order
     within the watermark. (Spark's own ``session_window`` tells closed sessions only: it refuses update mode.)
+    Clients are dealt to ``buckets`` groups by hash: the Python side is called once a bucket and
+    micro-batch, not once a client. The number is part of a checkpoint.
     """
     _needs_rocksdb(conns.sparkSession)
     ts_type = conns.schema["ts"].dataType.simpleString()
-    c = event_time(conns).withWatermark("event_ts", watermark).select("client_ip", "event_ts", F.unix_micros("event_ts").alias("event_us"))
-    out = c.groupBy("client_ip").transformWithStateInPandas(SessionProcessor(gap_us(gap)), SESSION_OUT, "Append", "EventTime")
+    c = event_time(conns).withWatermark("event_ts", watermark).select(
+        F.pmod(F.xxhash64("client_ip"), F.lit(buckets)).alias("bucket"), "client_ip", "event_ts", F.unix_micros("event_ts").alias("event_us"))
+    out = c.groupBy("bucket").transformWithStateInPandas(SessionProcessor(gap_us(gap)), SESSION_OUT, "Append", "EventTime")
     return out.select("client_ip", F.timestamp_micros("start_us").cast(ts_type).alias("session_start"),
                       F.timestamp_micros("end_us").cast(ts_type).alias("session_end"), "n_conns", "state", "revision")
 
@@ -478,7 +500,7 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | N
     return r.parquet(sf_dir)
 
 
-#: Rows of a file that a stream over a table takes at a time.
+#: Rows of a file of a stream over a table.
 FILE_ROWS = 500_000
 
 
@@ -488,15 +510,19 @@ def closing_row(table: DataFrame, ts: str, after: str) -> DataFrame:
     return last.select(*((F.col(ts) if c == ts else F.lit(None)).cast(table.schema[c].dataType).alias(c) for c in table.columns))
 
 
-def stream_of(table: DataFrame, name: str, order: str, ts: str = "ts", files: int = 4, end_after: str | None = None) -> DataFrame:
-    """A table as a stream of at least ``files`` files, one a micro-batch, in ranges of ``order``.
+def stream_of(table: DataFrame, name: str, order: str, ts: str = "ts", files: int = 4, end_after: str | None = None, one_by_one: bool = False) -> DataFrame:
+    """A table as a stream of files of at most some ``FILE_ROWS`` rows, in ranges of ``order``.
 
+    The table is taken in ``files`` micro-batches, of more files each the larger it is: a micro-batch costs
+    the same (tasks, commits of the state, what tasks tell the driver) however little it holds. With
+    ``one_by_one`` each file is a micro-batch, for streams that hold a micro-batch's rows of a key.
     The table is written once, range-partitioned, under the shared checkpoint folder; the files get
     ascending times, since the file source takes them by time. With ``end_after`` a closing
     row so much later than the last one follows as a file of its own."""
     spark = table.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fleetlens-streams/{name}-{uuid.uuid4().hex[:12]}"
     n = max(files, -(-table.count() // FILE_ROWS))
+    at_once = 1 if one_by_one else -(-n // files)
     # equal values of order stay in one file, so that rows of one time are not told apart
     table.repartitionByRange(n, order).sortWithinPartitions(order).write.parquet(path)
     jvm = spark.sparkContext._jvm
@@ -508,14 +534,17 @@ def stream_of(table: DataFrame, name: str, order: str, ts: str = "ts", files: in
         fs.setTimes(part, now - 2000 * (len(parts) - i), -1)
     if end_after is not None:
         closing_row(table, ts, end_after).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", at_once).parquet(path)
+
 
+def stream_fixture(spark: SparkSession, sf_dir: str, name: str, files: int = 4, order: str = "ts", end_after: str | None = None,
+                   one_by_one: bool = False) -> DataFrame:
+    """A fixture view over its base table as a stream of files (same SQL text as the batch view; see ``stream_of``).
 
-def stream_fixture(spark: SparkSession, sf_dir: str, name: str, files: int = 4, order: str = "event_id", end_after: str | None = None) -> DataFrame:
-    """A fixture view over its base table as a stream of files (same SQL text as the batch view; see ``stream_of``)."""
+    Rows come in order of time, so that none is behind the watermark whatever order the keys have."""
     from ..fixtures import FIXTURE_SQL, base_tables_of
 
-    frames = {t: stream_of(read_table(spark, sf_dir, t), t, order, files=files, end_after=end_after) for t in base_tables_of(name)}
+    frames = {t: stream_of(read_table(spark, sf_dir, t), t, order, files=files, end_after=end_after, one_by_one=one_by_one) for t in base_tables_of(name)}
     return spark.sql(FIXTURE_SQL[name], **frames)
 
 

@@ -289,3 +289,53 @@ def test_workers_get_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
     assert "ROWS 150" in out.stdout, out.stderr[-2000:]
+
+
+def test_micro_batches_do_not_grow_with_the_table(spark, monkeypatch):
+    """A table of many files is taken in as many micro-batches as one of four, in order and whole."""
+    monkeypatch.setattr(ST, "FILE_ROWS", 40)
+    table = spark.range(1000).select("id", F.timestamp_seconds("id").alias("ts"))
+    for one_by_one, batches in ((False, 5), (True, 26)):
+        seen = []
+        s = ST.stream_of(table, "numbers", "ts", end_after="1 day", one_by_one=one_by_one)
+        q = s.writeStream.foreachBatch(lambda b, i: seen.append(b.agg(F.min("id"), F.max("id"), F.count("id")).first())).trigger(availableNow=True).start()
+        q.awaitTermination()
+        rows = [r for r in seen if r[2]]
+        assert len(seen) <= batches and len(rows) >= batches - 2 and sum(r[2] for r in rows) == 1000
+        assert all(a[1] < b[0] for a, b in zip(rows, rows[1:]))
+
+
+def test_registered_streams_do_not_depend_on_the_order_of_keys(spark, scratch):
+    """Events whose numbers run against time: nothing falls behind the watermark."""
+    import os
+
+    from fleetlens.catalog import load_all
+
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    e.withColumn("event_id", -F.col("event_id")).coalesce(1).write.parquet(f"{scratch}/events.parquet")
+    assert os.path.isdir(f"{scratch}/events.parquet")
+    q = load_all()
+    for stream, batch in (("idle_sessions_stream", "idle_sessions"), ("scrape_windows_stream", "scrape_windows")):
+        got, want = q[stream].build(spark, scratch), q[batch].build(spark, scratch)
+        got = got.select(*want.columns)
+        assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+
+
+def test_clients_of_one_bucket_are_told_apart(spark, scratch):
+    """Three clients in one list state: sessions, merges and revisions are each client's own."""
+    import os
+
+    import pandas as pd
+
+    t0 = dt.datetime(2024, 1, 1)
+    batches = ([("a", 0), ("b", 0), ("a", 30)], [("a", 12), ("c", 50)], [("b", 5), ("a", 21)], [("c", 100), (None, 60)], [(None, 10000)])
+    for i, rows in enumerate(batches):
+        os.makedirs(f"{scratch}/c/b{i}")
+        pd.DataFrame([(c, t0 + dt.timedelta(seconds=s)) for c, s in rows], columns=["client_ip", "ts"]).astype({"client_ip": "string", "ts": "datetime64[us]"}).to_parquet(f"{scratch}/c/b{i}/p.parquet")
+    s = spark.readStream.schema("client_ip string, ts timestamp_ntz").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{scratch}/c")
+    told = [(r[0], (r[1] - t0).seconds, (r[2] - t0).seconds, *r[3:]) for _, r in _batches(ST.idle_sessions_stream(s, gap="15 seconds", watermark="200 seconds", buckets=1), scratch, "bucket")]
+    of = lambda c: [x[1:] for x in told if x[0] == c]
+    assert of("a") == [(0, 15, 1, "open", 1), (30, 45, 1, "open", 2), (0, 27, 2, "open", 3), (30, 45, 1, "withdrawn", 4), (0, 45, 4, "open", 5), (0, 45, 4, "closed", 6)]
+    assert of("b") == [(0, 15, 1, "open", 1), (0, 20, 2, "open", 2), (0, 20, 2, "closed", 3)]
+    assert of("c") == [(50, 65, 1, "open", 1), (100, 115, 1, "open", 2), (50, 65, 1, "closed", 3), (100, 115, 1, "closed", 4)]
+    assert len(told) == len(of("a")) + len(of("b")) + len(of("c"))
