@@ -506,7 +506,8 @@ def fleet_totals(resolved: DataFrame) -> DataFrame:
         .when(~F.col("enabled"), F.lit(0))
         .otherwise(F.col("vm_count"))
     )
-    r = resolved.select("deploy_id", "role", vms.alias("vms"), "cores", "memory_gb")
+    # dealt by deployment first: the rows of a short file come from one task, whose groups would all be its own
+    r = resolved.select("deploy_id", "role", vms.alias("vms"), "cores", "memory_gb").repartition("deploy_id")
     return r.rollup("deploy_id", "role").agg(
         F.sum("vms").cast("bigint").alias("vms"),
         F.sum(F.col("vms") * F.col("cores")).cast("bigint").alias("vcpu"),
