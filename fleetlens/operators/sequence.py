@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def ordered_index(df: DataFrame, order: list[str], chunk: Column, by: tuple[str, ...] = (),
                   out: str = "seq", total: str | None = None) -> DataFrame:
@@ -56,11 +58,12 @@ def carry_last(df: DataFrame, value: Column, order: str, chunk: Column, by: tupl
 
 def running_sum(df: DataFrame, value: Column, order: str, chunk: list[str], by: list[str], out: str) -> DataFrame:
     """Add ``out`` = the sum of ``value`` over the rows of ``by`` ahead of each row; ``chunk`` are columns that
-    order the chunks of ``by``, ``order`` the rows of a chunk."""
+    order the chunks of ``by``, ``order`` the rows of a chunk. The chunks' sums are written, so that a sum
+    over the result does not work out this one twice."""
     d = df.withColumn("_value", value)
     here = Window.partitionBy(*by, *chunk).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = d.withColumn("_local", F.coalesce(F.sum("_value").over(here), F.lit(0)))
     before = Window.partitionBy(*by).orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
     sums = d.groupBy(*by, *chunk).agg(F.sum("_value").alias("_sum"))
-    carried = sums.select(*by, *chunk, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carried"))
+    carried = stored(sums.select(*by, *chunk, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carried")))
     return local.join(carried, [*by, *chunk]).withColumn(out, F.col("_local") + F.col("_carried")).drop("_value", "_local", "_carried")

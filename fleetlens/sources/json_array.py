@@ -10,6 +10,7 @@ file is a task's), and what a piece means is found by scans along the file:
 
 Each scan works inside a block and carries one row per block (``sequence.running_sum``). The
 pieces of an element, which may lie in two blocks, are then put together and parsed by Spark.
+The files are read and cut once: the pieces with their counts are a written table that the scans read.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.sequence import running_sum
+from ..session import stored
 from .listings import element_schema
 
 
@@ -48,7 +50,7 @@ def array_elements(spark, path: str) -> DataFrame:
         closes = F.when((F.col("_quotes") + start) % 2 == 0, 1).otherwise(0)
         return _count(outside, "[{") - _count(outside, "]") - closes
 
-    p = p.withColumn("_d0", delta(0)).withColumn("_d1", delta(1)).drop("_parts")
+    p = stored(p.withColumn("_d0", delta(0)).withColumn("_d1", delta(1)).drop("_parts"))
     p = running_sum(p, F.col("_quotes"), "pos", block, by, "_ahead")
     p = p.withColumn("_d", F.when(F.col("_ahead") % 2 == 0, F.col("_d0")).otherwise(F.col("_d1")))
     p = running_sum(p, F.col("_d"), "pos", block, by, "_depth")

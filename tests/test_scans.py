@@ -124,3 +124,16 @@ def test_large_arrays_are_read_by_many_tasks(spark, scratch):
         assert tuple(numbers) == (0, 2999, 3000)
     finally:
         spark.conf.set(key, old)
+
+
+def test_array_files_are_read_once(spark, scratch):
+    """The scans along a file read the written pieces, so the plan does not name the file."""
+    from fleetlens.sources import json_array as JA
+
+    with open(f"{scratch}/a.json", "w") as f:
+        f.write('[{"id":"1","name":"a }],[{\\""}, {"id":"2","x":{"y":[{}]}}]')
+    e = JA.array_elements(spark, f"{scratch}/a.json")
+    assert [r.element for r in e.orderBy("element").collect()] == [0, 1]
+    assert "a.json" not in "".join(e._jdf.inputFiles())
+    plan = e._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 4 and "FileScan text" not in e._jdf.queryExecution().sparkPlan().toString(), plan
