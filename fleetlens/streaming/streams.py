@@ -500,8 +500,9 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | N
     return r.parquet(sf_dir)
 
 
-#: Rows of a file of a stream over a table.
+#: Rows of a file of a stream over a table, and the files of a micro-batch at most.
 FILE_ROWS = 500_000
+MOST_FILES = 20
 
 
 def closing_row(table: DataFrame, ts: str, after: str) -> DataFrame:
@@ -514,7 +515,9 @@ def stream_of(table: DataFrame, name: str, order: str, ts: str = "ts", files: in
     """A table as a stream of files of at most some ``FILE_ROWS`` rows, in ranges of ``order``.
 
     The table is taken in ``files`` micro-batches, of more files each the larger it is: a micro-batch costs
-    the same (tasks, commits of the state, what tasks tell the driver) however little it holds. With
+    the same (tasks, commits of the state, what tasks tell the driver) however little it holds. No
+    micro-batch takes more than ``MOST_FILES`` files, since its groups are in the state until the watermark passes
+    them; a table beyond ``files`` such micro-batches takes more of them. With
     ``one_by_one`` each file is a micro-batch, for streams that hold a micro-batch's rows of a key.
     The table is written once, range-partitioned, under the shared checkpoint folder; the files get
     ascending times, since the file source takes them by time. With ``end_after`` a closing
@@ -522,7 +525,7 @@ def stream_of(table: DataFrame, name: str, order: str, ts: str = "ts", files: in
     spark = table.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fleetlens-streams/{name}-{uuid.uuid4().hex[:12]}"
     n = max(files, -(-table.count() // FILE_ROWS))
-    at_once = 1 if one_by_one else -(-n // files)
+    at_once = 1 if one_by_one else min(-(-n // files), MOST_FILES)
     # equal values of order stay in one file, so that rows of one time are not told apart
     table.repartitionByRange(n, order).sortWithinPartitions(order).write.parquet(path)
     jvm = spark.sparkContext._jvm

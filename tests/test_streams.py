@@ -305,6 +305,17 @@ def test_micro_batches_do_not_grow_with_the_table(spark, monkeypatch):
         assert all(a[1] < b[0] for a, b in zip(rows, rows[1:]))
 
 
+def test_a_micro_batch_holds_a_bounded_number_of_files(spark, monkeypatch):
+    """A table of more than four of the largest micro-batches takes more of them, none larger."""
+    monkeypatch.setattr(ST, "FILE_ROWS", 40)
+    monkeypatch.setattr(ST, "MOST_FILES", 4)
+    seen = []
+    s = ST.stream_of(spark.range(1000).select("id", F.timestamp_seconds("id").alias("ts")), "bounded", "ts", end_after="1 day")
+    q = s.writeStream.foreachBatch(lambda b, i: seen.append(b.count())).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert 7 <= len(seen) <= 8 and max(seen) <= 200 and sum(seen) == 1001
+
+
 def test_registered_streams_do_not_depend_on_the_order_of_keys(spark, scratch):
     """Events whose numbers run against time: nothing falls behind the watermark."""
     import os
