@@ -503,6 +503,8 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | N
 #: Rows of a file of a stream over a table, and the files of a micro-batch at most.
 FILE_ROWS = 500_000
 MOST_FILES = 20
+#: Partitions of a stream's state at most; one for each core where there are more cores.
+STATE_PARTITIONS = 48
 
 
 def closing_row(table: DataFrame, ts: str, after: str) -> DataFrame:
@@ -551,13 +553,35 @@ def stream_fixture(spark: SparkSession, sf_dir: str, name: str, files: int = 4,
     return spark.sql(FIXTURE_SQL[name], **frames)
 
 
+@contextlib.contextmanager
+def bounded_state(spark: SparkSession):
+    """The session with ``STATE_PARTITIONS`` shuffle partitions at most, for streams started inside.
+
+    A task of a stateful stage tells the driver a metric for each partition of each of its stores, so what the
+    driver is told goes with the square of the partitions; and a partition writes its files in every
+    micro-batch, however few rows it holds. ``stream_of`` bounds the rows of a micro-batch,
+    and by that a partition's share of them."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key, None)
+    most = max(STATE_PARTITIONS, spark.sparkContext.defaultParallelism)
+    spark.conf.set(key, str(min(int(spark.conf.get(key)), most)))
+    try:
+        yield spark
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a streaming frame to completion (``availableNow``) into parquet under the shared
     checkpoint folder, and return the written rows as a batch frame."""
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     base = f"{root}/fleetlens-streams/{name}-{uuid.uuid4().hex[:12]}"
-    q = (df.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    with bounded_state(spark):
+        q = (df.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out")
+             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{base}/out")

@@ -316,6 +316,22 @@ def test_a_micro_batch_holds_a_bounded_number_of_files(spark, monkeypatch):
     assert 7 <= len(seen) <= 8 and max(seen) <= 200 and sum(seen) == 1001
 
 
+def test_state_partitions_are_bounded(spark, monkeypatch):
+    """A stream run to a table has no more state partitions than the bound or the cores, and every row; the session keeps its own number."""
+    import os
+
+    key = "spark.sql.shuffle.partitions"
+    monkeypatch.setattr(ST, "STATE_PARTITIONS", 3, raising=False)
+    before = spark.conf.get(key)
+    assert int(before) > spark.sparkContext.defaultParallelism > 3
+    table = spark.range(1000).select((F.col("id") % 50).alias("target_id"), F.lit("a").alias("job_name"), F.timestamp_seconds("id").alias("ts"), F.lit(1.0).alias("value"))
+    out = ST.run_to_table(ST.scrape_windows(ST.stream_of(table, "few", "ts", end_after="1 day")), "few")
+    assert out.agg(F.sum("n_samples")).first()[0] == 1000
+    state = out.inputFiles()[0].removeprefix("file://").rpartition("/out/")[0] + "/checkpoint/state/0"
+    assert len([x for x in os.listdir(state) if x.isdigit()]) == spark.sparkContext.defaultParallelism
+    assert spark.conf.get(key) == before
+
+
 def test_registered_streams_do_not_depend_on_the_order_of_keys(spark, scratch):
     """Events whose numbers run against time: nothing falls behind the watermark."""
     import os
