@@ -198,13 +198,14 @@ class ReadinessProcessor(StatefulProcessor):
                     return
                 first, last, n, pending, latest = None, None, 0, 0, None
                 us = pdf["event_us"].to_numpy()
-            first = int(us[0]) if first is None else min(first, int(us[0]))
+            fresh = first is None  # a new wait has no entries: asking for each resource is a call to the JVM
+            first = int(us[0]) if fresh else min(first, int(us[0]))
             known: dict[int, tuple] = {}
             ready = None
             here = pdf[us <= first + self.timeout_us]
             for at, (resource, when, seq, status) in enumerate(here[["resource_id", "event_us", "seq", "status"]].itertuples(index=False, name=None)):
                 if resource not in known:
-                    known[resource] = self.resources.getValue((resource,)) if self.resources.containsKey((resource,)) else None
+                    known[resource] = self.resources.getValue((resource,)) if not fresh and self.resources.containsKey((resource,)) else None
                 old, new = known[resource], status not in self.ready
                 if old is not None and (old[0], old[1]) > (when, seq):  # came late: a newer status is known
                     continue

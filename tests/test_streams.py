@@ -148,6 +148,74 @@ def test_readiness_is_told_when_it_happens_and_once(spark, scratch):
     assert at[4] == 0 and at[1] == 2 and at[3] >= at[2] > at[1]
 
 
+class _Handle:
+    """State of one key in memory; counts the calls on map entries."""
+
+    def __init__(self):
+        self.calls, self.value, self.map, self.timers = [], None, {}, []
+
+    def getValueState(self, name, schema):
+        h = self
+
+        class Value:
+            def exists(self):
+                return h.value is not None
+
+            def get(self):
+                return h.value
+
+            def update(self, v):
+                h.value = v
+
+        return Value()
+
+    def getMapState(self, name, key, value):
+        h = self
+
+        class Map:
+            def containsKey(self, k):
+                h.calls.append("containsKey")
+                return k in h.map
+
+            def getValue(self, k):
+                h.calls.append("getValue")
+                return h.map.get(k)
+
+            def updateValue(self, k, v):
+                h.map[k] = v
+
+            def clear(self):
+                h.map.clear()
+
+        return Map()
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def deleteTimer(self, t):
+        self.timers.remove(t)
+
+    def registerTimer(self, t):
+        self.timers.append(t)
+
+
+def test_readiness_asks_the_state_for_known_resources_only(spark):
+    """A new wait reads no entries; later a resource is read once a micro-batch."""
+    import pandas as pd
+
+    h = _Handle()
+    p = ST.ReadinessProcessor(60, 1000)
+    p.init(h)
+
+    def batch(*rows):
+        pdf = pd.DataFrame(rows, columns=["resource_id", "event_us", "seq", "status"])
+        return [tuple(r) for out in p.handleInputRows((1,), iter([pdf]), None) for r in out.itertuples(index=False)]
+
+    assert batch((10, 0, 1, "CREATING"), (11, 1, 2, "CREATING"), (10, 2, 3, "CREATING")) == [] and h.calls == []
+    assert batch((10, 3, 4, "RUNNING"), (12, 4, 5, "RUNNING"), (10, 5, 6, "RUNNING")) == [] and h.calls == ["containsKey", "getValue", "containsKey"]
+    assert batch((11, 6, 7, "STOPPED")) == [(1, 3, 0, "ready", 0, 6)] and h.map == {}
+
+
 def test_readiness_mark_expires_after_silence(spark, scratch):
     s = _statuses(spark, f"{scratch}/st", [
         [(1, 10, 1, 0, "RUNNING")], [(1, 10, 2, 500, "CREATING")], [(1, 10, 3, 1200, "CREATING")], [(2, 20, 4, 5000, "RUNNING")], [(1, 10, 5, 9000, "STOPPED")]])
